@@ -98,7 +98,8 @@ def mix(docs: DataFrame, shards: int = 64, seed: int = SEED, block: int = BLOCK,
     plan = work.cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
     pieces = placed.filter("size > 0").select("_row", F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"), "_at", "size", F.explode(F.sequence(F.expr(f"_at div {block}"), F.expr(f"(_at + size - 1) div {block}"))).alias("block"))
     used = slots(plan, shards, seed, block).select(F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"), "pass", "slot", "block", "words", "shard")
-    met = pieces.join(used, ["_s", "_n", "block"])
+    # Sizes of exploded rows are underestimated: never broadcast either side.
+    met = pieces.join(used.hint("merge"), ["_s", "_n", "block"])
     overlap = F.least(F.col("_at") + F.col("size"), F.col("block") * block + F.col("words")) - F.greatest(F.col("_at"), F.col("block") * block)
     uses = met.withColumn("taken", F.greatest(overlap, F.lit(0).cast("long")))
     taken = uses.groupBy("_row").agg(F.sum("taken").alias("taken"))
