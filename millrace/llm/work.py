@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -75,3 +76,8 @@ def text_slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Itera
             if held >= most or i == len(text) - 1:
                 yield batch.slice(start, i + 1 - start), [x or b"" for x in text.slice(start, i + 1 - start).to_pylist()]
                 start, held = i + 1, 0
+
+
+def process_cache() -> dict:
+    """A dict that lives as long as this Python process: modules are pickled by value, so their globals last one task."""
+    return sys.__dict__.setdefault("_millrace_cache", {})
