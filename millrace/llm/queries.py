@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality_rules, sharding, simhash
+from . import bpe, exact_dedup, mixing, quality_classifier, quality_rules, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
 
@@ -27,8 +32,23 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> bpe.Vocabulary:
+    import public_tokenizers
+
+    return bpe.Vocabulary.read(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op5_mixing, op6_simhash, op8_quality_rules)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op4_quality_classifier, op5_mixing, op6_simhash, op7_bpe, op8_quality_rules, op9_toxicity)}
