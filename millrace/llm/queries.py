@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, quality_classifier, quality_rules, sharding, simhash, toxicity
+from . import bpe, exact_dedup, mixing, pii, quality_classifier, quality_rules, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,4 +51,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op4_quality_classifier, op5_mixing, op6_simhash, op7_bpe, op8_quality_rules, op9_toxicity)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op4_quality_classifier, op5_mixing, op6_simhash, op7_bpe, op8_quality_rules, op9_toxicity, op10_pii)}
