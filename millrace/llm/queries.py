@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, pii, quality_classifier, quality_rules, sharding, simhash, toxicity
+from . import bpe, exact_dedup, mixing, pii, quality_classifier, quality_rules, sharding, simhash, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.train(docs, _table(spark, sf_dir, "labels")))
@@ -55,4 +59,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op4_quality_classifier, op5_mixing, op6_simhash, op7_bpe, op8_quality_rules, op9_toxicity, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_substring_dedup, op4_quality_classifier, op5_mixing, op6_simhash, op7_bpe, op8_quality_rules, op9_toxicity, op10_pii)}
