@@ -44,6 +44,8 @@ EVIDENCE, LATE_EVIDENCE = 40.0, 20.0
 #: Bytes saved from which a window counts, one count for each.
 THRESHOLDS = (1, 2, 3, 4, 5, 6)
 CACHE_WORDS = 400_000
+#: Slots of the table that counts segments by hash.
+HASHED = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -79,15 +81,28 @@ def evidence(a: int, n: int, b: int, m: int) -> float:
 
 
 def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    own = [segments(t) for t in dict.fromkeys(toxic)]
-    often = Counter(s for x in own for s in x)
-    often = {s: k for s, k in often.items() if k >= 4}
+    """Segments that set toxic texts apart, by greedy cover. Copies count once.
+
+    Segments are first counted by hash in a table of fixed size, so that only those
+    that may be frequent enough are held.
+    """
+    own, plain = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
+    n, m = len(own), len(plain)
+    if not n or not m:
+        return []
+    least = max(4, math.ceil(EVIDENCE / (2 * math.log((n + m) / n))))
+    mask, table = HASHED - 1, np.zeros(HASHED, np.int32)
+    for t in own:
+        table[np.unique(np.array([zlib.crc32(s) & mask for s in segments(t)], np.int64))] += 1
+    frequent = table >= least
+    left = [{s for s in segments(t) if frequent[zlib.crc32(s) & mask]} for t in own]
+    often = Counter(s for x in left for s in x)
+    often = {s: k for s, k in often.items() if k >= least}
     other: Counter[bytes] = Counter()
-    m = 0
-    for t in dict.fromkeys(ordinary):
-        m += 1
+    for t in plain:
         other.update(segments(t) & often.keys())
-    left = [{s for s in x if s in often and evidence(often[s], len(own), other[s], m) >= EVIDENCE} for x in own]
+    telling = {s for s, k in often.items() if evidence(k, n, other[s], m) >= EVIDENCE}
+    left = [x & telling for x in left]
     times, chosen = [0] * len(left), []
     while len(chosen) < MAX_SEGMENTS:
         counts = Counter(s for x in left for s in x)
