@@ -20,6 +20,7 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -313,7 +314,7 @@ class Encoder:
         return b"".join(ids), " ".join(plain)
 
     def decode(self, ids: bytes) -> str:
-        return " ".join(self.token_of[int.from_bytes(ids[i : i + 4], "little")] for i in range(0, len(ids), 4))
+        return " ".join(map(self.token_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def encoder(vocabulary: Vocabulary) -> Encoder:
@@ -338,8 +339,6 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # the size of the vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         one = encoder(shared.value)
         for part, _ in work.text_slices(batches):
             ids = [np.frombuffer(one.encode(x)[0], "<u4").astype(np.int32) for x in _texts(part)]
@@ -361,6 +360,23 @@ def decode_documents(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def encode_and_check(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """doc_id, n_tokens, ids, and the SHA-256 of what decoding the ids gives, one row per row of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = encoder(shared.value)
+        for part, _ in work.text_slices(batches):
+            ids = [one.encode(x)[0] for x in _texts(part)]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": part.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4"))),
+                "decoded_sha256": pa.array([hashlib.sha256(one.decode(x).encode()).hexdigest() for x in ids]),
+            })
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256; nulls as in ``encode_documents``."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)

@@ -35,7 +35,8 @@ MULTIPLIERS = (104729, 1299709, 15485863, 32452843)
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """doc_id, source, size in words, and the seeded place ``_mix`` of each row."""
     mix = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(work.WORD)), F.lit(0)).cast("long").alias("size"), mix.alias("_mix"))
+    key = F.xxhash64("doc_id", "source", "text").alias("_key")
+    return docs.select("doc_id", "source", key, F.coalesce(F.regexp_count("text", F.lit(work.WORD)), F.lit(0)).cast("long").alias("size"), mix.alias("_mix"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -96,7 +97,7 @@ def mix(docs: DataFrame, shards: int = 64, seed: int = SEED, block: int = BLOCK,
     rows = work.cut(sized(docs, seed).withColumn("_bucket", F.floor(F.conv(F.substring("_mix", 1, 8), 16, 10).cast("double") * buckets / 2**32).cast("long")))
     placed = work.cut(work.running_before(rows, ["source"], "_bucket", [F.col("_mix"), F.col("doc_id"), F.col("size")], F.col("size"), "_at", "source_size").drop("_bucket", "_mix").withColumn("_row", F.monotonically_increasing_id()))
     plan = work.cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap))
-    pieces = placed.filter("size > 0").select("_row", F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"), "_at", "size", F.explode(F.sequence(F.expr(f"_at div {block}"), F.expr(f"(_at + size - 1) div {block}"))).alias("block"))
+    pieces = placed.filter("size > 0").select("_row", "_key", F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"), "_at", "size", F.explode(F.sequence(F.expr(f"_at div {block}"), F.expr(f"(_at + size - 1) div {block}"))).alias("block"))
     used = slots(plan, shards, seed, block).select(F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"), "pass", "slot", "block", "words", "shard")
     # Sizes of exploded rows are underestimated: never broadcast either side.
     met = pieces.join(used.hint("merge"), ["_s", "_n", "block"])
@@ -106,3 +107,26 @@ def mix(docs: DataFrame, shards: int = 64, seed: int = SEED, block: int = BLOCK,
     known = placed.join(plan.select(F.col("source").alias("_source"), "target"), F.col("source").eqNullSafe(F.col("_source")), "left")
     documents = known.join(taken, "_row", "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "_row")
     return documents, uses
+
+
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """``docs``, all columns, with the words that the mix takes of each text; rows of which it takes none go.
+
+    A text taken in whole passes is repeated, on lines of its own; a part is the words
+    of the blocks taken, in order, with single spaces. Rows that repeat id, source and
+    text come out as one that holds what is taken of them all. Column n_chars, where
+    there is one, is counted anew.
+    """
+    _, uses = mix(docs, **settings)
+    by_pass = uses.filter("taken > 0").groupBy("_key", "_row", "pass").agg(
+        (F.sum("taken") == F.max("size")).alias("whole"), F.array_sort(F.collect_list(F.struct(F.greatest(F.col("block") * settings.get("block", BLOCK) - F.col("_at"), F.lit(0).cast("long")).alias("at"), F.col("taken").alias("n")))).alias("parts"),
+    )
+    plan = by_pass.groupBy("_key").agg(F.count_if("whole").cast("int").alias("_times"), F.collect_list(F.when(~F.col("whole"), F.struct("_row", "pass", "parts"))).alias("_parts"))
+    plan = work.cut(plan.select(F.col("_key").alias("_plan_key"), "_times", F.flatten(F.transform(F.array_sort("_parts"), lambda p: p["parts"])).alias("_parts")))
+    keyed = docs.withColumn("_plan_key", F.xxhash64("doc_id", "source", "text"))
+    joined = keyed.join(plan, "_plan_key").dropDuplicates(["_plan_key"])
+    words = F.regexp_extract_all("text", F.lit(f"({work.WORD})"), F.lit(1))
+    rest = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_words"), (p["at"] + 1).cast("int"), p["n"].cast("int")))), " ")
+    joined = joined.withColumn("_words", F.when(F.size("_parts") > 0, words))
+    joined = joined.withColumn("_text", F.array_join(F.concat(F.array_repeat(F.col("text"), F.col("_times")), F.when(F.size("_parts") > 0, F.array(rest)).otherwise(F.array().cast("array<string>"))), "\n"))
+    return joined.select(*[F.col("_text").alias("text") if c == "text" else F.length("_text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])

@@ -34,6 +34,8 @@ DISTANCE = 4
 #: Of two bits each.
 SEGMENTS = 32
 GROUPS = 8
+#: For stages that take five words and a similarity of 0.8 or more: such pairs differ in some five bits. More bits make larger cells, so segments are single bits.
+STAGE = {"words": 5, "distance": 7, "groups": 10, "segments": 64}
 #: Points of a cell up to this many are compared by sorted neighbourhoods, all cells at once; larger cells one by one.
 SMALL_CELL = 8
 ROUNDS = 60
@@ -76,13 +78,14 @@ def popcounts(bits: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
     return each.reshape(len(bits), segments, -1).sum(axis=2, dtype=np.int8)
 
 
-def _cells(batches: Iterator[pa.RecordBatch], groups: int, distance: int) -> Iterator[pa.RecordBatch]:
+def _cells(batches: Iterator[pa.RecordBatch], groups: int, distance: int, segments: int) -> Iterator[pa.RecordBatch]:
     chosen = list(combinations(range(groups), groups - distance))
-    spread = np.random.default_rng(7).integers(0, 2**63, (groups, SEGMENTS // groups), dtype=np.uint64) | np.uint64(1)
+    spread = np.random.default_rng(7).integers(0, 2**63, segments, dtype=np.uint64) | np.uint64(1)
+    starts = [int(x[0]) for x in np.array_split(np.arange(segments), groups)]
     for batch in batches:
         for at in range(0, len(batch), 4096):
             bits = batch.column(0).slice(at, 4096).to_numpy(zero_copy_only=False).astype(np.int64)
-            cells = (popcounts(bits).reshape(len(bits), groups, -1).astype(np.uint64) * spread).sum(axis=2, dtype=np.uint64)
+            cells = np.add.reduceat(popcounts(bits, segments).astype(np.uint64) * spread, starts, axis=1)
             keys = np.concatenate([_mixed(sum(_mixed(cells[:, g] + np.uint64(g)) for g in pick) + np.uint64(i)) for i, pick in enumerate(chosen)])
             yield pa.RecordBatch.from_pydict({"cell": pa.array(keys.view(np.int64)), "bits": pa.array(np.tile(bits, len(chosen)))})
 
@@ -145,9 +148,9 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(left)), "b": pa.array(np.concatenate(right))})
 
 
-def links(points: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -> DataFrame:
+def links(points: DataFrame, distance: int = DISTANCE, groups: int = GROUPS, segments: int = SEGMENTS) -> DataFrame:
     """Pairs (a, b) of distinct ``bits`` that link, and enough of them that components are whole."""
-    cells = points.select("bits").mapInArrow(lambda it: _cells(it, groups, distance), "cell long, bits long")
+    cells = points.select("bits").mapInArrow(lambda it: _cells(it, groups, distance, segments), "cell long, bits long")
     # By hash of the cell, with the rows of a cell together and unordered; a cell is then 8 bytes a point.
     return cells.repartition(F.col("cell")).mapInArrow(lambda it: _links(it, distance), "a long, b long").distinct()
 
@@ -172,7 +175,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED, groups: int = GROUPS, segments: int = SEGMENTS) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id that the row reaches over links. Nulls: a
@@ -182,14 +185,18 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, distance: int = DISTA
     """
     base = work.cut(fingerprints(docs, words, seed))
     points = work.cut(base.groupBy("bits").agg(F.min("doc_id").alias("first_id")))
-    members = work.cut(components(links(points, distance)))
+    members = work.cut(components(links(points, distance, groups, segments)))
     roots = work.cut(members.join(points, members["node"] == points["bits"]).groupBy("root").agg(F.min("first_id").alias("root_id")))
     named = members.join(roots, "root").select(F.col("node").alias("bits"), "root_id")
     named = work.cut(points.join(named, "bits", "left").select("bits", F.coalesce("root_id", "first_id").alias("component_id")))
     return base.join(named, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = DISTANCE, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one of each component stays: the smallest doc_id. Rows without an id stay."""
-    kept = near_duplicates(docs, words, distance, seed).filter("doc_id = component_id").select(F.col("doc_id").alias(KEY)).distinct()
+def drop_near_duplicates(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, all columns, of which one of each component stays: the smallest doc_id.
+
+    Settings are those of ``STAGE``. Rows without an id stay; a row repeated with its
+    id stays once.
+    """
+    kept = near_duplicates(docs, seed=seed, **STAGE).filter("doc_id = component_id").select(F.col("doc_id").alias(KEY)).distinct()
     return docs.filter("doc_id is null").unionByName(docs.join(kept, docs["doc_id"] == kept[KEY], "left_semi").dropDuplicates(["doc_id"]))
