@@ -47,7 +47,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(_table(spark, sf_dir, "documents")).drop("line_coverage", "coverage")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
