@@ -1,0 +1,453 @@
+import hashlib
+import json
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from millrace.llm import bpe, exact_dedup, mixing, pii, quality_classifier, quality_rules, sharding, simhash, substring_dedup, toxicity, work
+
+from .conftest import BASE
+
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+
+
+def raw(text):
+    return (text or "").encode()
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+# Sharding
+
+
+def test_sharding_laws(spark, docs, none):
+    found = rows(sharding.shard_documents(docs, 4))
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in found) == Counter((b[0], len(raw(b[1])) + 16, zlib.crc32(raw(b[1]))) for b in BASE)
+    by = defaultdict(list)
+    for r in found:
+        by[r["shard"]].append(r["slot"])
+    assert sorted(by) == [0, 1, 2, 3] and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert sorted(map(str, found)) == sorted(map(str, rows(sharding.shard_documents(docs.repartition(5), 4))))
+    assert rows(sharding.shard_documents(none, 4)) == []
+
+
+def test_shards_hold_the_mixture(spark):
+    many = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, "mid").alias("source"))
+    counts = sharding.interleave(many, 10).groupBy("shard").pivot("source", ["hot", "mid"]).count().collect()
+    assert all(abs(r["hot"] - 280) <= 2 and abs(r["mid"] - 80) <= 2 for r in counts)
+
+
+# Exact dedup
+
+
+def test_exact_dedup(docs, none):
+    groups = defaultdict(list)
+    for b in BASE:
+        groups[raw(b[1]).translate(LOWER)].append(b[0])
+    for keep in ("largest", "smallest"):
+        found = rows(exact_dedup.classes(docs, keep))
+        assert len(found) == len(BASE)
+        for r in found:
+            text = next(t for t in groups if hashlib.sha256(t).hexdigest() == r["text_sha256"])
+            ids = [i for i in groups[text] if i is not None]
+            want = (max if keep == "largest" else min)(ids, default=None)
+            assert r["keep_id"] == want and r["group_size"] == len(groups[text]) and r["kept"] == (r["doc_id"] == want)
+    stay = exact_dedup.deduplicate(docs)
+    assert stay.columns == docs.columns and Counter(r["doc_id"] for r in rows(stay)) == Counter([1, 3, 5, 6, 7, 8, None, 9, 10, 11, 12])
+    assert rows(exact_dedup.classes(none)) == [] and rows(exact_dedup.deduplicate(none)) == []
+
+
+def test_collisions_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup.xxhash, "xxh3_128_intdigest", lambda x: len(x))
+    rows_ = [(1, "aaaa"), (2, "bbbb"), (3, "aaaa"), (4, "bbbb"), (5, "cccc"), (6, "dd")]
+    hashed = [(i, 0, len(t), t.encode(), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows_]
+    base = spark.createDataFrame(hashed, "doc_id long, h1 long, h2 long, plain binary, text_sha256 string")
+    monkeypatch.setattr(exact_dedup, "hashed", lambda docs, with_text=False: base if with_text else base.drop("plain"))
+    found = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in rows(exact_dedup.classes(base))}
+    assert found == {1: (3, 2), 3: (3, 2), 2: (4, 2), 4: (4, 2), 5: (5, 1), 6: (6, 1)}
+
+
+# Substring dedup
+
+
+def brute_repeats(documents):
+    seen, out = set(), {}
+    for doc_id, text in sorted(documents, key=lambda d: (d[0] is None, d[0] or 0)):
+        w = raw(text).split()
+        gone = [False] * len(w)
+        for i in range(len(w) - 19):
+            k = tuple(w[i : i + 20])
+            if k in seen:
+                gone[i : i + 20] = [True] * 20
+            seen.add(k)
+        out[doc_id] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest())
+    return out
+
+
+def test_repeats_against_brute_force(spark, docs, none):
+    found = rows(substring_dedup.remove_repeats(docs))
+    want = brute_repeats({(b[0], b[1]) for b in BASE})
+    assert len(found) == len(BASE) and all(want[r["doc_id"]] == (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found)
+    assert want[12][1] == 40 and want[7][1] > 0
+    assert rows(substring_dedup.remove_repeats(none)) == []
+
+
+@pytest.mark.parametrize("chunk", [64, 1 << 20])
+def test_repeats_of_random_passages(spark, monkeypatch, chunk):
+    monkeypatch.setattr(substring_dedup, "CHUNK_WORDS", chunk)
+    r = random.Random(chunk)
+    pool = [" ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(15, 60))) for _ in range(12)]
+    texts = [(i, " ".join(r.choice(pool) if r.random() < 0.6 else " ".join(str(r.random()) for _ in range(r.randint(1, 30))) for _ in range(r.randint(0, 5)))) for i in range(150)]
+    found = rows(substring_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)))
+    want = brute_repeats(texts)
+    assert all(want[x["doc_id"]] == (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in found) and sum(x["n_removed"] for x in found) > 0
+
+
+def test_known_passages_by_automaton(spark, docs, none):
+    passage = " ".join(f"z{i}" for i in range(5, 45))
+    for shard_words in (10, 1000):
+        found = {r["doc_id"]: r for r in rows(substring_dedup.remove_known(docs, [passage, "other words", None], 20, shard_words))}
+        assert found[11]["n_removed"] == 40 and found[12]["n_removed"] == 35 and found[12]["kept_text"].startswith("start z45") and found[1]["n_removed"] == 0
+    assert rows(substring_dedup.remove_known(none, [passage])) == []
+
+
+def test_matching_statistics():
+    r = random.Random(3)
+    for _ in range(200):
+        texts = [" ".join(r.choice("ab") for _ in range(r.randint(0, 9))) for _ in range(3)]
+        words = [r.choice("abc").encode() for _ in range(12)]
+        found = substring_dedup.WordAutomaton([t.encode() for t in texts]).statistics(words)
+        inside = {tuple(t.encode().split()[i:j]) for t in texts for i in range(10) for j in range(i, 11)} | {()}
+        assert [int(x) for x in found] == [max(k for k in range(i + 2) if tuple(words[i + 1 - k : i + 1]) in inside) for i in range(12)]
+
+
+# Quality classifier
+
+
+def test_ordinal_model_recovers_grades():
+    r = random.Random(1)
+    words = (["bad"] * 3 + ["w"], ["so", "w"], ["good"] * 3 + ["w"])
+    texts = [(g, " ".join(r.choice(words[g]) for _ in range(30)).encode()) for g in range(3) for _ in range(60)]
+    model = quality_classifier.fit([quality_classifier.features(t) for _, t in texts], [g for g, _ in texts])
+    assert list(model.thresholds) == sorted(model.thresholds)
+    score = np.array([float(model.weights[i] @ v) for i, v in (quality_classifier.features(t) for _, t in texts)])
+    tails = quality_classifier.probabilities(model, score)
+    assert (tails[:, 0] >= tails[:, 1]).all() and np.mean([(t > 0.5).sum() == g for t, (g, _) in zip(tails, texts)]) > 0.95
+
+
+def test_classifier_query_and_stage(spark, docs, none):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, None), (6, 0, 0), (11, 1, 0), (None, 1, 0), (7, None, 1), (99, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.train(docs, labels)
+    found = rows(quality_classifier.score(docs, model))
+    assert len(found) == len(BASE) and all(0 <= r["tail_probability"] <= 1 and 0 <= r["expected_grade"] <= 2 for r in found)
+    assert not any(r["kept"] for r in found if r["doc_id"] in (3, 4, 5))
+    stay = quality_classifier.keep_good(docs, labels)
+    assert stay.columns == docs.columns and Counter(r["doc_id"] for r in rows(stay)) == Counter(r["doc_id"] for r in found if r["kept"])
+    assert rows(quality_classifier.score(none, quality_classifier.train(none, labels))) == []
+
+
+# Mixing
+
+
+def filled(sizes, weights=(1, 2, 3), cap=3):
+    """Shares by weight; what is over a cap is shared again until nothing is."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: float(weights[i % len(weights)]) for i, s in enumerate(order)}
+    target, capped, left = dict.fromkeys(order, 0.0), set(), float(sum(sizes.values()))
+    while True:
+        free = [s for s in order if s not in capped]
+        if not free:
+            return target
+        share = {s: left * w[s] / sum(w[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > cap * sizes[s]]
+        if not over:
+            return target | share
+        for s in over:
+            target[s] = float(cap * sizes[s])
+            left -= target[s]
+            capped.add(s)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_are_filled_by_weight(spark, seed):
+    r = random.Random(seed)
+    sizes = {f"s{i}": r.choice([0, 1, 5, 100, 5000, 100_000]) for i in range(9)} | {None: 40}
+    found = {x["source"]: x["target"] for x in rows(mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")))}
+    want = filled(sizes)
+    assert all(abs(found[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in sizes)
+
+
+def test_mix_takes_its_targets(spark, docs, none):
+    found = rows(mixing.mix(docs)[0])
+    assert Counter((r["doc_id"], r["size"]) for r in found) == Counter((b[0], len(raw(b[1]).split())) for b in BASE)
+    for s in {r["source"] for r in found}:
+        own = [r for r in found if r["source"] == s]
+        assert sum(r["size"] for r in own) == own[0]["source_size"] and sum(r["taken"] for r in own) == int(own[0]["target"] + 0.5)
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in found)
+    assert sorted(map(str, found)) != [] and Counter((r["doc_id"], r["taken"]) for r in found) == Counter((r["doc_id"], r["taken"]) for r in rows(mixing.mix(docs.repartition(6))[0]))
+    assert rows(mixing.mix(none)[0]) == []
+
+
+def test_mixed_texts_hold_what_is_taken(docs, none):
+    taken = Counter()
+    for r in rows(mixing.mix(docs)[0]):
+        taken[r["doc_id"]] += r["taken"]
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    found = rows(out)
+    assert {r["doc_id"]: len(raw(r["text"]).split()) for r in found} == {k: n for k, n in taken.items() if n}
+    words = {b[0]: set(raw(b[1]).split()) for b in BASE}
+    assert all(set(raw(r["text"]).split()) <= words[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in found)
+    assert rows(mixing.mixed(none)) == []
+
+
+def test_slots_of_a_pass_are_each_block_once(spark):
+    plan = spark.createDataFrame([("a", 1000, 2500.0), ("b", 7, 21.0)], "source string, source_size long, target double")
+    found = rows(mixing.slots(plan, 5))
+    for source, size in (("a", 1000), ("b", 7)):
+        whole = [r for r in found if r["source"] == source and r["pass"] == 0]
+        assert sorted(r["block"] for r in whole) == list(range(-(-size // mixing.BLOCK))) and sum(r["words"] for r in whole) == size
+    assert sum(r["words"] for r in found if r["source"] == "a") == 2500 and {r["shard"] for r in found} == set(range(5))
+
+
+# SimHash
+
+
+def brute_fingerprint(text, n):
+    w = raw(text).translate(LOWER).split()
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + n]), 42) for i in range(max(1, len(w) - n + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(points, distance):
+    root = {p: p for p in points}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(points):
+        for b in points[i + 1 :]:
+            if (a ^ b).bit_count() <= distance:
+                root[find(a)] = find(b)
+    return {p: find(p) for p in points}
+
+
+def test_near_duplicates(docs, none):
+    found = rows(simhash.near_duplicates(docs))
+    prints = {b[0]: brute_fingerprint(b[1], 4) for b in BASE}
+    root = brute_components(sorted(set(prints.values())), 4)
+    least = defaultdict(lambda: None)
+    for i, f in prints.items():
+        if i is not None:
+            least[root[f]] = min(i, least[root[f]] if least[root[f]] is not None else i)
+    assert len(found) == len(BASE)
+    assert all(r["fingerprint"] == f"{prints[r['doc_id']]:016x}" and r["component_id"] == least[root[prints[r["doc_id"]]]] for r in found)
+    assert rows(simhash.near_duplicates(none)) == []
+    stay = simhash.drop_near_duplicates(docs)
+    assert stay.columns == docs.columns and Counter(r["doc_id"] for r in rows(stay))[8] == 1 and {r["doc_id"] for r in rows(stay)} >= {1, 3, None}
+
+
+@pytest.mark.parametrize(("distance", "groups", "segments"), [(4, 8, 32), (7, 10, 64)])
+def test_links_of_dense_and_sparse_points(spark, distance, groups, segments):
+    r = random.Random(distance)
+    points = set()
+    for size in (1, 1, 2, 9, 200):  # clusters, the last one dense
+        centre = r.getrandbits(64)
+        for _ in range(size):
+            p = centre
+            for b in r.sample(range(64), r.randint(0, distance)):
+                p ^= 1 << b
+            points.add(p)
+    chain = r.getrandbits(64)
+    for b in range(0, 40, distance):  # a chain of links just short enough
+        points.add(chain)
+        for k in range(distance):
+            chain ^= 1 << (b + k) % 64
+    signed = [p - (1 << 64) if p >> 63 else p for p in sorted(points)]
+    edges = simhash.links(spark.createDataFrame([(p,) for p in signed], "bits long"), distance, groups, segments)
+    found = {x["node"] % (1 << 64): x["root"] for x in rows(simhash.components(edges))}
+    want = brute_components(sorted(points), distance)
+    groups_of = lambda d: {frozenset(k for k in d if d[k] == v) for v in set(d.values())}
+    assert groups_of({p: found.get(p, ("alone", p)) for p in points}) == groups_of(want)
+    assert edges.count() < 40 * len(points)
+
+
+# BPE
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    one = Tokenizer.from_file(path)
+    one.no_truncation()
+    one.no_padding()
+    return path, one
+
+
+def test_encoder_equals_the_library(tokenizer):
+    path, library = tokenizer
+    mine, r = bpe.Encoder(bpe.Vocabulary.read(path)), random.Random(5)
+    vocabulary = [t.replace("</w>", "") for t in mine.vocabulary.ids]
+    odd = ["Σ", "ΑΣ", "İ", "ß", "23", "½", "Ⅷ", "\x1c", "\x85", " ", "​", "　", "é", "한", "字", "😀", "<|endoftext|>", "<|startoftext|>", "</w>", "\n", "'s", "'LL", "!!!", "\x00", "Ᲊ", "꟒"]
+    texts = ["", " ", "a" * 3000, *("".join(r.choice(odd) if r.random() < 0.3 else r.choice(vocabulary) for _ in range(r.randint(0, 9))) for _ in range(3000)), *("".join(chr(r.choice([r.randint(0, 0x2FF), r.randint(0, 0xD7FF), r.randint(0x1F000, 0x1FFFF)])) for _ in range(6)) for _ in range(1500))]
+    for text in texts:
+        want = library.encode(text, add_special_tokens=False).ids
+        ids, plain = mine.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == want and plain == mine.decode(ids) == library.decode(want, skip_special_tokens=False), repr(text)
+
+
+def test_bpe_queries(tokenizer, docs, none):
+    path, library = tokenizer
+    vocabulary = bpe.Vocabulary.read(path)
+    want = {}
+    for b in BASE:
+        ids = library.encode(b[1] or "", add_special_tokens=False).ids
+        want[b[0]] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    found = rows(bpe.digests(docs, vocabulary))
+    assert len(found) == len(BASE) and all((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == want[r["doc_id"]] for r in found)
+    checked = rows(bpe.encode_and_check(docs, vocabulary))
+    assert all((r["n_tokens"], r["decoded_sha256"]) == (want[r["doc_id"]][0], want[r["doc_id"]][2]) and len(r["ids"]) == r["n_tokens"] for r in checked)
+    back = {r["doc_id"]: r["text"] for r in rows(bpe.decode_documents(bpe.encode_documents(docs, vocabulary), vocabulary))}
+    assert all(hashlib.sha256(back[i].encode()).hexdigest() == w[2] for i, w in want.items())
+    assert rows(bpe.digests(none, vocabulary)) == [] and rows(bpe.encode_and_check(none, vocabulary)) == []
+
+
+# Quality rules
+
+
+def brute_measures(text):
+    w = raw(text).split()
+    covered = lambda n: {i + k for i in range(len(w) - n + 1) if Counter(tuple(w[j : j + n]) for j in range(len(w) - n + 1))[tuple(w[i : i + n])] > 1 for k in range(n)}
+    lines, seen, dup = raw(text).split(b"\n"), set(), 0
+    for line in lines:
+        if line.split():
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(len(x.decode()) for x in w), len(re.findall(rb"[#*$%&|<>]", raw(text))), dup, len(covered(5))
+
+
+def test_rules(spark, docs, none):
+    r = random.Random(2)
+    more = ["a b c d e f\na b c d e f\n\nx y\n x y\nx y", "é # | <" * 4, " ".join(r.choice("abc") for _ in range(60)), "\n\n"]
+    for text in [b[1] for b in BASE if b[0] != 7] + more:
+        assert quality_rules.measures(raw(text), (5,))[:5] == brute_measures(text)
+    found = {r["doc_id"]: r for r in rows(quality_rules.quality_rules(docs))}
+    assert found[4]["base_failed"] and not found[4]["kept"] and found[11]["kept"] and not found[6]["kept"] and found[8]["kept"]
+    assert rows(quality_rules.quality_rules(none)) == []
+
+
+# Toxicity
+
+
+def test_toxicity_learns_segments(spark, docs, none):
+    r = random.Random(4)
+    plain = lambda: " ".join("".join(r.choice(["the", "an", "er", "ing", "on", "re"]) for _ in range(r.randint(1, 3))) for _ in range(80))
+    texts = [(i, plain() + (" what a scoundrel and blackguard you are" if i % 3 == 0 else "")) for i in range(600)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in texts], "doc_id long, toxic int")
+    model = toxicity.train(frame, labels)
+    found = rows(toxicity.score(frame, model))
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found)
+    held = [r for r in found if r["held_out"]]
+    assert held and np.mean([r["predicted"] == (r["doc_id"] % 3 == 0) for r in held]) > 0.97
+    odd = rows(toxicity.score(docs, model))
+    assert len(odd) == len(BASE) and all(0 <= r["score"] <= 1 for r in odd) and rows(toxicity.score(none, model)) == []
+    nothing = toxicity.train(none, labels)
+    assert {r["predicted"] for r in rows(toxicity.score(docs, nothing))} <= {0, 1}
+
+
+def test_training_leaves_the_held_out_fold(spark):
+    frame = spark.createDataFrame([(i, "some words") for i in range(200)], "doc_id long, text string")
+    labels = lambda f: spark.createDataFrame([(i, f(i)) for i in range(200)], "doc_id long, toxic int")
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    assert toxicity.train(frame, labels(lambda i: i % 2)) == toxicity.train(frame, labels(lambda i: 1 if out(i) else i % 2))
+
+
+# Personal data
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(x):
+    return sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(x))) % 10 == 0
+
+
+def brute_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    found = [("email", m) for m in EMAIL.finditer(text)] + [("ip", m) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    found += [("card", m) for m in CARD.finditer(text) if 16 <= len(digits(m)) <= 19 and luhn(digits(m))] + [("phone", m) for m in PHONE.finditer(text) if 8 <= len(digits(m)) <= 15]
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, m in found)
+
+
+def test_base_spans(spark):
+    r = random.Random(6)
+    bits = ["a@b.c", "x.y@d-e.org", "@", ".", "1.2.3.4", "255.255.255.256", "0255.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1111", "41111111111111111", "+1 (555) 123-4567", "+", "12", " ", "-", "  ", "é😀", "_d@e.f", "\x01", "\x02", "c@d.e@f.g", "1.2.3.4.5.6.7.8", "0000000000000000", "5", "(", ")", "a..b@c.d."]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(1500)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = pii.base_spans(frame).select("doc_id", pii.joined(F.col("spans")).alias("s")).collect()
+    assert all(g.s == brute_spans(texts[g.doc_id]) for g in got)
+
+
+def test_long_runs_end(spark):
+    texts = ["a" * 200_000, "1" * 100_000, "1 " * 60_000, "+" * 50_000 + "1", "1." * 60_000, "a@" + "b." * 30_000]
+    assert pii.base_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select(F.size("spans")).count() == 6
+
+
+def test_disclosing_terms(spark, docs, none):
+    noise = [(100 + i, f"plain talk number{i} about nothing at all", "n") for i in range(40)]
+    told = [(i, f"text{i} says Zaphod, reachable at zap@example.com since{i}", "t") for i in range(5)] + [(50, "zebra wrote to me@example.org once", "t")]
+    frame = spark.createDataFrame(noise + told, "doc_id long, text string, source string")
+    found = {r["doc_id"]: r for r in rows(pii.find(frame))}
+    assert [found[0]["extra"][0][k] for k in ("kind", "value")] == ["term", "zaphod"] or "zaphod" in {s["value"] for s in found[0]["extra"]}
+    for i in range(5):
+        for s in found[i]["extra"]:
+            assert told[i][1][s["start"] : s["end"]].lower() == s["value"]
+    assert found[50]["extra"] == [] and all(not found[100 + i]["spans"] and not found[100 + i]["extra"] for i in range(40))
+    clean = frame.join(pii.find(frame), "doc_id").filter("doc_id = 0").select(pii.sanitise(F.col("text"), F.concat("spans", "extra"))).first()[0]
+    assert "zap@example.com" not in clean and "Zaphod" not in clean and "[EMAIL]" in clean
+    digest = {r["doc_id"]: r for r in rows(pii.digests(docs))}
+    for b in BASE:
+        want = brute_spans(b[1] or "")
+        assert digest[b[0]]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest() and digest[b[0]]["spans"].startswith(want)
+    assert (digest[9]["n_email"], digest[9]["n_phone"], digest[10]["n_ip"], digest[10]["n_card"]) == (1, 1, 1, 1)
+    assert rows(pii.digests(none)) == []
+
+
+def test_copies_count_once(spark):
+    copies = [(i, "uncommon words near zap@example.com here") for i in range(30)] + [(100 + i, f"talk {i}") for i in range(30)]
+    assert all(not r["extra"] for r in rows(pii.find(spark.createDataFrame(copies, "doc_id long, text string"))))
+
+
+# Shared
+
+
+def test_running_sums(spark):
+    r = random.Random(8)
+    data = [(r.choice(["a", "b", None]), i, r.randint(0, 5)) for i in range(300)]
+    frame = spark.createDataFrame(data, "g string, o long, v long").withColumn("b", F.expr("o div 7"))
+    found = work.running_before(work.cut(frame), ["g"], "b", [F.col("o")], F.col("v"), "s").collect()
+    for x in found:
+        assert x.s == sum(v for g, o, v in data if g == x.g and o < x.o) and x["_whole"] == sum(v for g, _, v in data if g == x.g)
+
+
+def test_names_are_json_safe():
+    assert json.dumps(list(map(str, quality_rules.COVERAGE)))
