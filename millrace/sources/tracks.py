@@ -90,6 +90,20 @@ def read_track(spark: SparkSession, directory: str, fmt: str, expected: int | No
                             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2).cast(pa.binary())], names=["sample_id", "class_id", "payload"])
 
         found = names.repartition(max(1, names.count()), "path").mapInArrow(load, "sample_id string, class_id int, payload binary")
+    elif fmt == "hdf5" and importlib.util.find_spec("h5py") is not None:
+        names = spark.createDataFrame([(p,) for p in sorted(glob.glob(os.path.join(os.path.abspath(directory), "part-*.h5")))], "path string")
+
+        def load_hdf5(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import h5py
+
+            for batch in batches:
+                for path in batch.column(0).to_pylist():
+                    with h5py.File(path, "r", locking=False) as h:
+                        for i in range(0, len(h["class_id"]), GROUP_ROWS):
+                            part = slice(i, i + GROUP_ROWS)
+                            yield pa.RecordBatch.from_pydict({"sample_id": pa.array([x.decode() for x in h["sample_id"][part]]), "class_id": pa.array(h["class_id"][part], pa.int32()), "payload": pa.array([x.tobytes() for x in h["payload"][part]], pa.binary())})
+
+        found = names.repartition(max(1, names.count()), "path").mapInArrow(load_hdf5, "sample_id string, class_id int, payload binary")
     else:
         raise ConfigError(f"cannot read {fmt!r} here")
     if expected is not None and (n := found.count()) != expected:
