@@ -152,14 +152,15 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch], take, flush) -> Iterator[pa.
 PACKED = "bucket int, blob binary, _key long, ordinals array<int>"
 
 
-def _packed(rows: list[tuple[int, bytes]], direct: list[tuple[int, list[int]]]) -> Iterator[pa.RecordBatch]:
+def _packed(rows: list[tuple[int, bytes]], direct: list[tuple[int, list[int]]], places: list[int]) -> Iterator[pa.RecordBatch]:
+    """Rows of blobs, then rows of what is settled already; ``bucket`` is the key that leads to the bucket's own partition."""
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("_key", pa.int64()), ("ordinals", pa.list_(pa.int32()))])
     for i in range(0, len(rows), 256):
         some = rows[i : i + 256]
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.list_(pa.int32()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([places[b] for b, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.list_(pa.int32()))], schema=schema)
     for i in range(0, len(direct), 4096):
         some = direct[i : i + 4096]
-        yield pa.RecordBatch.from_arrays([pa.array([-1] * len(some), pa.int32()), pa.nulls(len(some), pa.binary()), pa.array([k for k, _ in some], pa.int64()), pa.array([x for _, x in some], pa.list_(pa.int32()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([places[k % len(places)] for k, _ in some], pa.int32()), pa.nulls(len(some), pa.binary()), pa.array([k for k, _ in some], pa.int64()), pa.array([x for _, x in some], pa.list_(pa.int32()))], schema=schema)
 
 
 def _by_key(keys: np.ndarray, values: np.ndarray) -> list[tuple[int, list[int]]]:
@@ -169,9 +170,10 @@ def _by_key(keys: np.ndarray, values: np.ndarray) -> list[tuple[int, list[int]]]
     return [(int(keys[a]), v.tolist()) for a, v in zip(cuts, np.split(values, cuts[1:]) if len(keys) else [], strict=True)]
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], places: list[int]) -> Iterator[pa.RecordBatch]:
     """Anchors of a chunk, each once; those that the chunk itself repeats are known to be shared."""
     hashes, keys, ordinals = [], [], []
+    buckets = len(places)
 
     def take(row) -> int:
         _, key, text = row
@@ -198,7 +200,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         keep = alone | heads
         b = (h[keep] % np.uint64(buckets)).astype(np.int64)
         rows = [(i, blob) for i, blob in _split(b, buckets, {"h": h[keep], "k": k[keep], "o": o[keep]})]
-        yield from _packed(rows, _by_key(k[several], o[several]))
+        yield from _packed(rows, _by_key(k[several], o[several]), places)
 
     yield from _bucket_rows(batches, take, flush)
 
@@ -208,7 +210,7 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     held: dict[int, list] = {}
     for batch in batches:
         for bucket, blob, key, ordinals in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-            if bucket < 0:
+            if blob is None:
                 yield pa.RecordBatch.from_pydict({"_key": pa.array([key], pa.int64()), "ordinals": pa.array([ordinals], pa.list_(pa.int32()))})
             else:
                 held.setdefault(bucket, []).append(unpack(blob, np.uint64, np.int64, np.int32))
@@ -223,9 +225,10 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_pydict({"_key": pa.array([x for x, _ in found[i : i + 8192]], pa.int64()), "ordinals": pa.array([x for _, x in found[i : i + 8192]], pa.list_(pa.int32()))})
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _window_rows(batches: Iterator[pa.RecordBatch], places: list[int]) -> Iterator[pa.RecordBatch]:
     """Candidate windows of a chunk: of equal ones only the first, the others are known to be covered."""
     a1, a2, ids, keys, starts, homes = [], [], [], [], [], []
+    buckets = len(places)
 
     def take(row) -> int:
         doc_id, key, flagged, text = row
@@ -252,7 +255,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
             x.clear()
         first, later, order = _first_of_equal(h1, h2, i, s)
         rows = [(n, blob) for n, blob in _split(b[order][first], buckets, {"h1": h1[order][first], "h2": h2[order][first], "i": i[order][first], "k": k[order][first], "s": s[order][first]})]
-        yield from _packed(rows, _runs(k[order][later], s[order][later]))
+        yield from _packed(rows, _runs(k[order][later], s[order][later]), places)
 
     yield from _bucket_rows(batches, take, flush)
 
@@ -283,7 +286,7 @@ def _covered_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     held: dict[int, list] = {}
     for batch in batches:
         for bucket, blob, key, ordinals in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-            if bucket < 0:
+            if blob is None:
                 yield pa.RecordBatch.from_pydict({"_key": pa.array([key], pa.int64()), "ordinals": pa.array([ordinals], pa.list_(pa.int32()))})
             else:
                 held.setdefault(bucket, []).append(unpack(blob, np.uint64, np.uint32, np.int64, np.int64, np.int32))
@@ -295,10 +298,16 @@ def _covered_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_pydict({"_key": pa.array([x for x, _ in found[n : n + 8192]], pa.int64()), "ordinals": pa.array([x for _, x in found[n : n + 8192]], pa.list_(pa.int32()))})
 
 
+def _places(docs: DataFrame, buckets: int) -> list[int]:
+    """For each of so many partitions an integer that hash partitioning sends there, so that a bucket has one to itself."""
+    some = docs.sparkSession.range(20 * buckets + 200).select(F.col("id").cast("int").alias("k"))
+    found = some.groupBy(F.expr(f"pmod(hash(k), {buckets})").alias("p")).agg(F.min("k").alias("k")).collect()  # one row per partition
+    return [k for _, k in sorted((r["p"], r["k"]) for r in found)]
+
+
 def _exchange(rows: DataFrame, buckets: int, then) -> DataFrame:
-    """Packed rows by bucket through ``then``; what is settled already goes along in even parts."""
-    place = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.col("_key"), F.lit(buckets)).cast("int"))
-    found = rows.repartition(buckets, place).mapInArrow(then, "_key long, ordinals array<int>")
+    """Packed rows by bucket through ``then``."""
+    found = rows.repartition(buckets, "bucket").mapInArrow(then, "_key long, ordinals array<int>")
     return found.groupBy("_key").agg(F.flatten(F.collect_list("ordinals")).alias("ordinals"))
 
 
@@ -342,10 +351,11 @@ def _digests(batches: Iterator[pa.RecordBatch], cut: bool) -> Iterator[pa.Record
 def covered_runs(docs: DataFrame) -> DataFrame:
     """(_key, ordinals): runs of covered windows, as starts and lengths, of rows of ``keyed`` documents."""
     words = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] // 6
-    buckets = max(MIN_BUCKETS, -(-words // BUCKET_WORDS))
-    shared = work.cut(_exchange(docs.select("doc_id", "text", "_key").mapInArrow(lambda it: _anchor_rows(it, buckets), PACKED), buckets, _shared_anchors))
+    places = _places(docs, max(MIN_BUCKETS, -(-words // BUCKET_WORDS)))
+    buckets = len(places)
+    shared = work.cut(_exchange(docs.select("doc_id", "text", "_key").mapInArrow(lambda it: _anchor_rows(it, places), PACKED), buckets, _shared_anchors))
     may, _ = _maybe(docs, shared)
-    candidates = may.join(shared, "_key").select("doc_id", "text", "_key", "ordinals").mapInArrow(lambda it: _window_rows(it, buckets), PACKED)
+    candidates = may.join(shared, "_key").select("doc_id", "text", "_key", "ordinals").mapInArrow(lambda it: _window_rows(it, places), PACKED)
     return work.cut(_exchange(candidates, buckets, _covered_windows))
 
 
