@@ -19,7 +19,7 @@ from ..functions.stats import coefficient_of_variation, ratio
 from .batching import round_robin
 
 #: Buckets of the seeded order: ranks are counted within a bucket and added up over them.
-BUCKETS = 1024
+BUCKETS = 1 << 14
 SPREAD_CAUTION = 0.2
 
 
