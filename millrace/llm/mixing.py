@@ -126,7 +126,8 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     keyed = docs.withColumn("_plan_key", F.xxhash64("doc_id", "source", "text"))
     joined = keyed.join(plan, "_plan_key").dropDuplicates(["_plan_key"])
     words = F.regexp_extract_all("text", F.lit(f"({work.WORD})"), F.lit(1))
-    rest = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_words"), (p["at"] + 1).cast("int"), p["n"].cast("int")))), " ")
-    joined = joined.withColumn("_words", F.when(F.size("_parts") > 0, words))
+    # The words are bound to a lambda's variable: as a column they would be found anew for each part.
+    some = F.transform(F.array(words), lambda ws: F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(ws, (p["at"] + 1).cast("int"), p["n"].cast("int")))), " "))
+    rest = F.element_at(some, 1)
     joined = joined.withColumn("_text", F.array_join(F.concat(F.array_repeat(F.col("text"), F.col("_times")), F.when(F.size("_parts") > 0, F.array(rest)).otherwise(F.array().cast("array<string>"))), "\n"))
     return joined.select(*[F.col("_text").alias("text") if c == "text" else F.length("_text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
