@@ -32,7 +32,7 @@ from . import work
 #: Stands for the end of a word, in place of the vocabulary's suffix; no byte is written so.
 END = "\n"
 #: Words kept encoded; beyond that the cache starts anew with the next text.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Outside the scripts whose letters all Unicode versions in use agree on.
 UNUSUAL = re.compile("[^\x00-\u0233\u0300-\u036f\u0391-\u03a1\u03a3-\u03ce\u0400-\u052f\u1e00-\u1eff\u2000-\u2064\u20a0-\u20b9\u2190-\u23f3\u2500-\u27bf\u3000-\u303f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fcc\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f5ff\U0001f600-\U0001f64f]")
 NOT_LATIN = re.compile("[^\x00-\xff]")
@@ -206,7 +206,7 @@ class Encoder:
                 limit, a = (at_a, 1), halves[a][1]
             else:
                 limit, b = (at_b, 2), halves[b][0]
-        if len(self.together) > 1_000_000:
+        if len(self.together) > 200_000:
             self.together.clear()
         self.together[left << 32 | right] = fine
         return fine
