@@ -285,6 +285,31 @@ def test_links_of_dense_and_sparse_points(spark, distance, groups, segments):
     assert edges.count() < 40 * len(points)
 
 
+def changed(r, words, similarity):
+    """(similarity, text): ``words`` with some replaced, as near above ``similarity`` of five-word shingles as single words allow."""
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    whole, now, at = shingles(words), list(words), 1.0
+    for i in r.sample(range(len(words)), len(words)):
+        then = [*now[:i], f"y{r.getrandbits(40)}", *now[i + 1 :]]
+        got = shingles(then)
+        if (j := len(whole & got) / len(whole | got)) >= similarity:
+            now, at = then, j
+    return at, " ".join(now)
+
+
+def test_similar_texts_are_dropped_and_others_stay(spark):
+    r, table, near = random.Random(5), [], Counter()
+    for i in range(240):
+        words = [f"x{r.getrandbits(40)}" for _ in range(r.choice([100, 200, 400]))]
+        at, text = changed(r, words, (0.8, 0.85, 0.9, 0.72)[i % 4])
+        table += [(2 * i, " ".join(words)), (2 * i + 1, text)]
+        near[i % 4] += at >= 0.8
+    stay = {x["doc_id"] for x in rows(simhash.drop_near_duplicates(spark.createDataFrame(table, "doc_id long, text string")))}
+    assert near[0] == near[1] == near[2] == 60 and near[3] < 20
+    found = Counter(i % 4 for i in range(240) if 2 * i + 1 not in stay)
+    assert all(2 * i in stay for i in range(240)) and found[0] >= 56 and found[1] >= 58 and found[2] == 60 and found[3] <= near[3]
+
+
 # BPE
 
 
