@@ -50,8 +50,8 @@ SMALL_CELL = 8
 #: The same, for cells of sets.
 SMALL_SET_CELL = 256
 ROUNDS = 60
-#: Not a name that tables have.
-KEY = "_millrace_doc_id"
+#: Not names that tables have.
+KEY, ROW = "_millrace_key", "_millrace_row"
 
 
 def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
@@ -386,9 +386,11 @@ def alike(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one of each component of ``alike`` stays: the smallest doc_id.
+    """The rows of ``docs``, all columns, of which one of each component of ``alike`` stays: the smallest (doc_id, hash of doc_id and text).
 
-    Rows without an id stay; a row repeated with its id stays once.
+    Rows without an id stay; a row repeated with its id and text stays once.
+    Different texts of one id are rows of their own.
     """
-    kept = alike(docs, seed).groupBy("root").agg(F.min("doc_id").alias(KEY)).select(KEY).distinct()
-    return docs.filter("doc_id is null").unionByName(docs.join(kept, docs["doc_id"] == kept[KEY], "left_semi").dropDuplicates(["doc_id"]))
+    kept = alike(docs, seed).filter("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row"))["row"].alias(KEY)).select(KEY)
+    rows = docs.filter("doc_id is not null").withColumn(ROW, F.xxhash64("doc_id", "text"))
+    return docs.filter("doc_id is null").unionByName(rows.join(kept, rows[ROW] == kept[KEY], "left_semi").dropDuplicates([ROW]).drop(ROW))

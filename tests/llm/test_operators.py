@@ -310,6 +310,13 @@ def test_similar_texts_are_dropped_and_others_stay(spark):
     assert all(2 * i in stay for i in range(240)) and found[0] >= 56 and found[1] >= 58 and found[2] == 60 and found[3] <= near[3]
 
 
+def test_different_texts_of_one_id_stay(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(300)) for c in "abc")
+    table = [(1, one), (1, two), (1, two), (2, two + " end"), (3, three), (3, one + " end")]
+    stay = rows(simhash.drop_near_duplicates(spark.createDataFrame(table, "doc_id long, text string")))
+    assert sorted((x["doc_id"], x["text"]) for x in stay) == [(1, one), (1, two), (3, three)]
+
+
 # BPE
 
 
