@@ -75,7 +75,8 @@ def slots(plan: DataFrame, shards: int, seed: int = SEED, block: int = BLOCK) ->
     runs = runs.repartition(F.col("source"), F.col("pass"), F.col("_run"))
     each = runs.select("*", F.explode(F.sequence(F.col("_run") * run, F.least((F.col("_run") + 1) * run - 1, F.expr(f"(_take - 1) div {block}")))).alias("slot"))
     a = F.element_at(F.array(*[F.lit(p).cast("long") for p in MULTIPLIERS]), (F.pmod(F.col("pass"), F.lit(len(MULTIPLIERS))) + 1).cast("int"))
-    a = F.when(F.pmod(a, F.col("_full")) == 0, F.lit(1).cast("long")).otherwise(F.pmod(a, F.col("_full")))
+    # A prime that divides the number of blocks would come back to few of them.
+    a = F.when(F.pmod(F.col("_full"), a) == 0, F.lit(1).cast("long")).otherwise(F.pmod(a, F.col("_full")))
     shift = F.pmod(F.lit(seed).cast("long") * (F.col("pass") + 1), F.col("_full"))
     index = F.when(F.col("slot") < F.col("_full"), F.pmod(F.pmod(a * F.col("slot"), F.col("_full")) + shift, F.col("_full"))).otherwise(F.col("_full"))
     return each.select("source", "pass", "slot", index.alias("block"), F.least(F.lit(block).cast("long"), F.col("_take") - F.col("slot") * block).alias("words"), F.pmod(F.xxhash64("source", "pass", "slot", F.lit(seed)), F.lit(shards)).cast("int").alias("shard"))

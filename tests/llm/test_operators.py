@@ -219,6 +219,14 @@ def test_slots_of_a_pass_are_each_block_once(spark):
     assert sum(r["words"] for r in found if r["source"] == "a") == 2500 and {r["shard"] for r in found} == set(range(5))
 
 
+def test_block_counts_that_a_prime_divides(spark):
+    for times in (1, 2, 3):
+        full = times * mixing.MULTIPLIERS[0]
+        plan = spark.createDataFrame([("a", full * mixing.BLOCK, float(full * mixing.BLOCK))], "source string, source_size long, target double")
+        found = mixing.slots(plan, 5).agg(F.count("*").alias("n"), F.count_distinct("block").alias("blocks"), F.sum("words").alias("words")).first()
+        assert (found.n, found.blocks, found.words) == (full, full, full * mixing.BLOCK)
+
+
 # SimHash
 
 
