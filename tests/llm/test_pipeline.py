@@ -2,13 +2,16 @@
 
 import hashlib
 import os
-from collections import Counter
+import random
+from collections import Counter, defaultdict
 
 import pytest
 
 import corpus_pipeline
 from millrace.llm import quality_classifier, queries
 
+from .test_operators import changed
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -44,3 +47,45 @@ def test_stages(spark, tmp_path):
         want = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert r["ids"] == want and r["decoded_sha256"] == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
     assert sorted(texts) == sorted(r["doc_id"] for r in got[5])
+
+
+def test_near_duplicates_against_brute_force(spark):
+    """The stage's documents, with pairs planted near similarities 0.8, 0.85 and 0.9: what stays, against all pairs compared."""
+    r, texts = random.Random(3), {}
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        texts[d.doc_id] = d.text or ""
+    start, planted = max(texts) + 1, {}
+    for i in range(90):
+        words = [f"p{r.getrandbits(40)}" for _ in range(r.randint(100, 300))]
+        at, text = changed(r, words, (0.8, 0.85, 0.9)[i % 3])
+        texts[start + 2 * i], texts[start + 2 * i + 1] = " ".join(words), text
+        planted[start + 2 * i + 1] = at
+    sets, of = {}, {}
+    for k, t in texts.items():
+        w = t.encode().lower().split()
+        of[k] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+        sets[of[k]] = min(k, sets.get(of[k], k))
+    root, held, common = {s: s for s in sets}, defaultdict(list), Counter()
+
+    def find(s):
+        while root[s] is not s:
+            s = root[s]
+        return s
+
+    for s in sets:
+        common.clear()
+        for x in s:
+            common.update(held[x])
+            held[x].append(s)
+        for t, n in common.items():
+            if 9 * n >= 4 * (len(s) + len(t)):
+                root[find(s)] = find(t)
+    least = {}
+    for s, k in sets.items():
+        least[find(s)] = min(k, least.get(find(s), k))
+    stay = {d.doc_id for d in corpus_pipeline.near(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), SF).collect()}
+    want = set(least.values())
+    dropped = set(texts) - want
+    assert len(dropped) >= 90 and want <= stay  # nothing is dropped that brute force keeps
+    assert len(stay - want) <= 0.03 * len(dropped)
+    assert all(k not in stay for k, at in planted.items() if at >= 0.9)
