@@ -1,6 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text: one on ordinary text
+Two zstandard dictionaries are composed as raw content, with no zstandard training,
+from labelled text: one on ordinary text
 (its commonest words), one on toxic text (the same base, and the segments that set
 toxic documents apart, chosen greedily so that each toxic document is covered
 several times). A window is one word between fixed bytes that both dictionaries
