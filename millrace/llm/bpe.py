@@ -377,6 +377,12 @@ def encode_and_check(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
+def digest(one: Encoder, text: str) -> tuple[int, str, str]:
+    """Number of tokens of a text, and the SHA-256 of its ids and of what decoding them gives."""
+    ids = one.encode(text)[0]
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(one.decode(ids).encode()).hexdigest()
+
+
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256; nulls as in ``encode_documents``."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -384,10 +390,7 @@ def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(shared.value)
         for part, _ in work.text_slices(batches):
-            ids, plain = zip(*[one.encode(x) for x in _texts(part)], strict=True)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": part.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids]), "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in plain]),
-            })
+            counts, ids, decoded = zip(*[digest(one, x) for x in _texts(part)], strict=True)
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(decoded)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -368,6 +368,14 @@ def test_bpe_queries(tokenizer, docs, none):
     assert rows(bpe.digests(none, vocabulary)) == [] and rows(bpe.encode_and_check(none, vocabulary)) == []
 
 
+def test_a_wrong_id_shows_in_the_decoded_digest(tokenizer):
+    one = bpe.Encoder(bpe.Vocabulary.read(tokenizer[0]))
+    right = bpe.digest(one, "the other word")
+    word = next(w for w, x in one.ids.items() if len(x) >= 4)
+    one.ids[word] = np.array([(np.frombuffer(one.ids[word], "<u4")[0] + 1) % 50], "<u4").tobytes()
+    assert all(a != b for a, b in zip(right[1:], bpe.digest(one, "the other word")[1:], strict=True))
+
+
 # Quality rules
 
 
