@@ -31,8 +31,8 @@ from . import work
 
 #: Stands for the end of a word, in place of the vocabulary's suffix; no byte is written so.
 END = "\n"
-#: Words kept encoded; beyond that the cache starts anew with the next text.
-CACHE_WORDS = 150_000
+#: Words kept encoded, none longer than this; beyond that the cache starts anew.
+CACHE_WORDS, CACHE_LENGTH = 250_000, 256
 #: Outside the scripts whose letters all Unicode versions in use agree on.
 UNUSUAL = re.compile("[^\x00-\u0233\u0300-\u036f\u0391-\u03a1\u03a3-\u03ce\u0400-\u052f\u1e00-\u1eff\u2000-\u2064\u20a0-\u20b9\u2190-\u23f3\u2500-\u27bf\u3000-\u303f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fcc\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f5ff\U0001f600-\U0001f64f]")
 NOT_LATIN = re.compile("[^\x00-\xff]")
@@ -132,7 +132,14 @@ class _Words(dict):
         self.encoder = encoder
 
     def __missing__(self, word: str) -> bytes:
-        return self.encoder.remember(word, word.encode().decode("latin-1").translate(self.encoder.table))
+        """A word that starts with END is in byte characters already."""
+        piece = word[1:] if word[:1] == END else word.encode().decode("latin-1").translate(self.encoder.table)
+        found = self.encoder.word_ids(piece)
+        if len(word) <= CACHE_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = found
+        return found
 
 
 class Encoder:
@@ -165,8 +172,10 @@ class Encoder:
         self.words = regex.compile(vocabulary.pattern)
         self.narrow_words = re.compile(self._for_latin(vocabulary.pattern))
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) + ")") if vocabulary.special else None
+        self.special_starts = {x[0] for x in vocabulary.special}
         self.library = Tokenizer.from_str(vocabulary.source)
-        self.plain: dict[str, str] = {}
+        # Each token as decoding writes it, with the space that parts it from the next; null where there is no such id.
+        self.pieces = pa.array([None if (t := self.token_of.get(i)) is None else t.encode() + b" " for i in range(max(self.token_of) + 1)], pa.large_binary())
         self.ids = _Words(self)
 
     def _for_latin(self, pattern: str) -> str:
@@ -278,11 +287,9 @@ class Encoder:
             if crossing is not None and (crossing, 1) < limit:
                 return False
 
-    def remember(self, word: str, piece: str) -> bytes:
+    def word_ids(self, piece: str) -> bytes:
         ids = self.encode_word(piece + (END if self.vocabulary.suffix else ""))
-        self.plain[word] = " ".join([self.token_of[t] for t in ids])
-        self.ids[word] = found = b"".join([t.to_bytes(4, "little") for t in ids])
-        return found
+        return b"".join([t.to_bytes(4, "little") for t in ids])
 
     def _split(self, text: str) -> list[str]:
         """The words of a text without special tokens: NFC, lower case by character (no rule for a last sigma), the pattern."""
@@ -293,28 +300,30 @@ class Encoder:
             return (self.words if NOT_LATIN.search(text) else self.narrow_words).findall(text)
         # Characters that Unicode versions class differently: the library's own front end splits these texts.
         pieces = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
-        for p in pieces:
-            if END + p not in self.plain:
-                self.remember(END + p, p)
         return [END + p for p in pieces]
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """(ids as little-endian 32-bit integers, the tokens joined by spaces: what the ids decode to)."""
-        if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-            self.plain.clear()
-        if self.specials is None or "<" not in text or self.specials.search(text) is None:
-            words = self._split(text)
-            return b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.plain.__getitem__, words))
-        ids, plain = [], []
-        for i, part in enumerate(self.specials.split(text)):
-            words = [] if i % 2 else self._split(part)
-            ids += [self.vocabulary.special[part].to_bytes(4, "little")] if i % 2 else [self.ids[w] for w in words]
-            plain += [part] if i % 2 else [self.plain[w] for w in words]
-        return b"".join(ids), " ".join(plain)
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
+        found = self.ids.__getitem__
+        if not any(c in text for c in self.special_starts) or self.specials.search(text) is None:
+            return b"".join(map(found, self._split(text)))
+        parts = enumerate(self.specials.split(text))
+        return b"".join(self.vocabulary.special[part].to_bytes(4, "little") if i % 2 else b"".join(map(found, self._split(part))) for i, part in parts)
+
+    def decode_all(self, ids: list[bytes]) -> list[bytes]:
+        """What each of several id sequences decodes to, in UTF-8: the ids' tokens gathered at once, then cut where a sequence ends."""
+        taken = self.pieces.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        if taken.null_count:
+            raise KeyError("an id that the vocabulary does not have")
+        _, offsets, data = taken.buffers()
+        if data is None:
+            return [b""] * len(ids)
+        edges = np.frombuffer(offsets, np.int64)[: len(taken) + 1][np.cumsum([0, *(len(x) // 4 for x in ids)])].tolist()
+        view = memoryview(data)
+        return [bytes(view[a : max(a, b - 1)]) for a, b in zip(edges, edges[1:])]
 
     def decode(self, ids: bytes) -> str:
-        return " ".join(map(self.token_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.decode_all([ids])[0].decode()
 
 
 def encoder(vocabulary: Vocabulary) -> Encoder:
@@ -341,7 +350,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(shared.value)
         for part, _ in work.text_slices(batches):
-            ids = [np.frombuffer(one.encode(x)[0], "<u4").astype(np.int32) for x in _texts(part)]
+            ids = [np.frombuffer(one.encode(x), "<u4").astype(np.int32) for x in _texts(part)]
             yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -354,8 +363,10 @@ def decode_documents(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one = encoder(shared.value)
-            texts = [" ".join(one.token_of[t] for t in ids or ()) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "text": pa.array(texts, pa.string())})
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                texts = one.decode_all([np.array(ids or (), "<u4").tobytes() for ids in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "text": pa.array([x.decode() for x in texts], pa.string())})
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
@@ -367,20 +378,20 @@ def encode_and_check(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(shared.value)
         for part, _ in work.text_slices(batches):
-            ids = [one.encode(x)[0] for x in _texts(part)]
+            ids = [one.encode(x) for x in _texts(part)]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": part.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4"))),
-                "decoded_sha256": pa.array([hashlib.sha256(one.decode(x).encode()).hexdigest() for x in ids]),
+                "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in one.decode_all(ids)], pa.string()),
             })
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
-def digest(one: Encoder, text: str) -> tuple[int, str, str]:
-    """Number of tokens of a text, and the SHA-256 of its ids and of what decoding them gives."""
-    ids = one.encode(text)[0]
-    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(one.decode(ids).encode()).hexdigest()
+def digest(one: Encoder, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
+    """For each text the number of tokens, and the SHA-256 of its ids and of what decoding them gives."""
+    ids = [one.encode(x) for x in texts]
+    return [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(x).hexdigest() for x in one.decode_all(ids)]
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -390,7 +401,7 @@ def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(shared.value)
         for part, _ in work.text_slices(batches):
-            counts, ids, decoded = zip(*[digest(one, x) for x in _texts(part)], strict=True)
+            counts, ids, decoded = digest(one, _texts(part))
             yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(decoded)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -348,8 +348,8 @@ def test_encoder_equals_the_library(tokenizer):
     texts = ["", " ", "a" * 3000, *("".join(r.choice(odd) if r.random() < 0.3 else r.choice(vocabulary) for _ in range(r.randint(0, 9))) for _ in range(3000)), *("".join(chr(r.choice([r.randint(0, 0x2FF), r.randint(0, 0xD7FF), r.randint(0x1F000, 0x1FFFF)])) for _ in range(6)) for _ in range(1500))]
     for text in texts:
         want = library.encode(text, add_special_tokens=False).ids
-        ids, plain = mine.encode(text)
-        assert np.frombuffer(ids, "<u4").tolist() == want and plain == mine.decode(ids) == library.decode(want, skip_special_tokens=False), repr(text)
+        ids = mine.encode(text)
+        assert np.frombuffer(ids, "<u4").tolist() == want and mine.decode(ids) == library.decode(want, skip_special_tokens=False), repr(text)
 
 
 def test_bpe_queries(tokenizer, docs, none):
@@ -370,10 +370,20 @@ def test_bpe_queries(tokenizer, docs, none):
 
 def test_a_wrong_id_shows_in_the_decoded_digest(tokenizer):
     one = bpe.Encoder(bpe.Vocabulary.read(tokenizer[0]))
-    right = bpe.digest(one, "the other word")
+    right = bpe.digest(one, ["the other word"])
     word = next(w for w, x in one.ids.items() if len(x) >= 4)
     one.ids[word] = np.array([(np.frombuffer(one.ids[word], "<u4")[0] + 1) % 50], "<u4").tobytes()
-    assert all(a != b for a, b in zip(right[1:], bpe.digest(one, "the other word")[1:], strict=True))
+    assert all(a != b for a, b in zip(right[1:], bpe.digest(one, ["the other word"])[1:], strict=True))
+
+
+def test_decoding_many_at_once(tokenizer, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    one, texts = bpe.Encoder(bpe.Vocabulary.read(tokenizer[0])), ["", "a few words here and there", "", "<|endoftext|>x", "x" * 999, ""]
+    ids = [one.encode(x) for x in texts]
+    assert [x.decode() for x in one.decode_all(ids)] == [tokenizer[1].decode(np.frombuffer(x, "<u4").tolist(), skip_special_tokens=False) for x in ids]
+    assert one.decode_all([]) == [] and one.decode_all([b"", b""]) == [b"", b""] and len(one.ids) <= 3
+    with pytest.raises((KeyError, IndexError)):
+        one.decode_all([np.array([10**5], "<u4").tobytes()])
 
 
 # Quality rules
