@@ -66,6 +66,22 @@ def test_exact_dedup(docs, none):
     assert rows(exact_dedup.classes(none)) == [] and rows(exact_dedup.deduplicate(none)) == []
 
 
+@pytest.mark.parametrize("salt", [1, 1000])
+def test_repeated_and_missing_ids(spark, monkeypatch, salt):
+    monkeypatch.setattr(exact_dedup, "SALT_ROWS", salt)
+    given = [(0, "y"), (1, "x"), (1, "y"), (2, "Abc"), (2, "abc"), (None, "nul"), (None, "x"), (None, "nul"), (None, "NUL"), (3, ""), (4, None), (5, "z"), (5, "z"), (5, "z"), (5, "q")] + [(i % 7 + 10, "Hot" if i % 2 else "hOT") for i in range(400)]
+    docs = spark.createDataFrame([(*x, {"k": "v"}) for x in given], "doc_id long, text string, extra map<string,string>").repartition(5)
+    stay = rows(exact_dedup.deduplicate(docs))
+    want = {}
+    for i, t in given:
+        k = raw(t).lower()
+        want[k] = min([x for x in (want.get(k), i) if x is not None], default=None)
+    assert {raw(r["text"]).lower(): r["doc_id"] for r in stay} == want and len(stay) == len(want)
+    assert all((r["doc_id"], r["text"]) in given for r in stay)
+    found = rows(exact_dedup.classes(docs.drop("extra"), "smallest"))
+    assert len(found) == len(given) and all(r["keep_id"] == want[next(k for k in want if hashlib.sha256(k).hexdigest() == r["text_sha256"])] for r in found)
+
+
 def test_collisions_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup.xxhash, "xxh3_128_intdigest", lambda x: len(x))
     rows_ = [(1, "aaaa"), (2, "bbbb"), (3, "aaaa"), (4, "bbbb"), (5, "cccc"), (6, "dd")]
