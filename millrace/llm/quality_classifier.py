@@ -6,8 +6,8 @@ ordered thresholds cut it: P(grade <= k) = logistic(threshold_k - score). The
 expected grade and the tail probability P(grade >= k) follow; texts are selected by
 the tail.
 
-Fitting reads a bounded sample of labelled rows (``TRAIN_ROWS``, the first by hash of
-the id) and sends their features, not their texts, to the driver. Scoring handles
+Fitting reads a bounded sample of labelled rows (``TRAIN_ROWS`` and ``TRAIN_BYTES``, by
+hash) and sends their features, not their texts, to the driver. Scoring handles
 each text whole, in one task, without a shuffle.
 """
 
@@ -22,14 +22,16 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import work
 
 BITS = 16
-#: At most so many labelled rows are learned from.
-TRAIN_ROWS = 6000
+#: At most so many labelled rows, of so many bytes together, are learned from.
+TRAIN_ROWS, TRAIN_BYTES = 6000, 64 << 20
+#: One labelled row in so many is held out where a model is to be measured.
+FOLDS = 5
 EPOCHS = 400
 RIDGE = 0.1
 #: A text is kept if the probability of this grade or a higher one is at least KEEP.
@@ -68,7 +70,13 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grades(quality: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Graded ratings from two labels: 0 low quality, 1 good and toxic, 2 good."""
+    """Graded ratings from two labels: 0 low quality, 1 good and toxic, 2 good.
+
+    The tables have two yes-or-no labels and no grades. Low quality is the worst grade
+    whatever else holds; of good texts the toxic ones are the worse. Selection asks for
+    grade 1 or more (``KEEP_GRADE``), so it rejects for quality alone; ``expected_grade``
+    uses all three, and a caller who wants toxic texts gone selects by grade 2.
+    """
     return np.where(quality == 0, 0, np.where(toxic == 1, 1, 2))
 
 
@@ -117,22 +125,32 @@ def _ordered(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])]))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Fitted to at most ``rows`` labelled rows that have both labels, the first by hash of the id."""
-    known = labels.filter("quality is not null and doc_id is not null").select("doc_id", "quality", F.coalesce("toxic", F.lit(0)).alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(rows)
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows
+def held_out(doc_id: Column) -> Column:
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == 0
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES, hold_out: bool = False) -> Model:
+    """Fitted to at most ``rows`` labelled rows whose quality is known; a null toxic counts as 0.
+
+    With ``hold_out`` nothing is learned from the fold of ``held_out`` ids.
+    """
+    known = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.coalesce(F.col("toxic").cast("int"), F.lit(0)).alias("toxic"))
+    known = known.filter(~held_out(F.col("doc_id"))) if hold_out else known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in work.text_slices(batches):
             got = [features(x) for x in texts]
             yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "quality": part.column(2), "toxic": part.column(3), "index": pa.array([i for i, _ in got], pa.list_(pa.int32())), "value": pa.array([v for _, v in got], pa.list_(pa.float32()))})
 
-    plain = found.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
-    table = plain.mapInArrow(run, "doc_id long, quality int, toxic int, index array<int>, value array<float>").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("toxic", "ascending")])
+    sample = work.labelled_sample(docs, known, rows, most_bytes).select("doc_id", "text", "quality", "toxic")
+    table = sample.mapInArrow(run, "doc_id long, quality int, toxic int, index array<int>, value array<float>").toArrow()
     index, value = table["index"].combine_chunks(), table["value"].combine_chunks()
     rows_ = [(index[i].values.to_numpy(zero_copy_only=False), value[i].values.to_numpy(zero_copy_only=False)) for i in range(len(table))]
-    return fit(rows_, grades(table["quality"].to_numpy(), table["toxic"].to_numpy()).tolist())
+    grade = grades(table["quality"].to_numpy(), table["toxic"].to_numpy()).tolist()
+    # Sums of floats depend on the order of rows: one that does not depend on partitions.
+    ids = table["doc_id"].to_pylist()
+    order = sorted(range(len(rows_)), key=lambda k: (ids[k], grade[k], rows_[k][0].tobytes(), rows_[k][1].tobytes()))
+    return fit([rows_[k] for k in order], [grade[k] for k in order])
 
 
 def probabilities(model: Model, score: np.ndarray) -> np.ndarray:

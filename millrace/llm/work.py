@@ -78,6 +78,29 @@ def text_slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Itera
                 start, held = i + 1, 0
 
 
+def labelled_sample(docs: DataFrame, known: DataFrame, rows: int, most_bytes: int) -> DataFrame:
+    """The columns of ``known`` (doc_id and labels) with ``text``: at most ``rows`` rows of at most ``most_bytes`` bytes together.
+
+    Ids are taken by hash; then rows of ``docs`` by hash of id and text, so that an id
+    that many rows share cannot exceed the bound. A row repeated with id, text and
+    labels is taken once; a text that would exceed the bytes left is passed over.
+    Only ids, hashes and sizes of at most ``rows`` rows reach the driver.
+    """
+    labels = [c for c in known.columns if c != "doc_id"]
+    chosen = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", *labels).limit(rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    met = texts.join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows
+    sizes = met.select("doc_id", F.xxhash64("text").alias("_hash"), F.octet_length("text").alias("_bytes")).distinct()
+    left, picked = most_bytes, []
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "_hash", "_bytes").limit(rows).collect():
+        if r["_bytes"] <= left:
+            left -= r["_bytes"]
+            picked.append((r["doc_id"], r["_hash"]))
+    wanted = docs.sparkSession.createDataFrame(picked, "doc_id long, _hash long")
+    found = texts.withColumn("_hash", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "_hash"]).dropDuplicates(["doc_id", "_hash"])
+    return found.drop("_hash").join(F.broadcast(chosen), "doc_id")
+
+
 def process_cache() -> dict:
     """A dict that lives as long as this Python process: modules are pickled by value, so their globals last one task."""
     return sys.__dict__.setdefault("_millrace_cache", {})

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
@@ -160,6 +161,59 @@ def test_ordinal_model_recovers_grades():
     assert (tails[:, 0] >= tails[:, 1]).all() and np.mean([(t > 0.5).sum() == g for t, (g, _) in zip(tails, texts)]) > 0.95
 
 
+def test_ordinal_fit_is_the_most_likely():
+    r = random.Random(2)
+    texts = [(g, " ".join(r.choice((["bad", "w"], ["so", "w", "bad"], ["good", "w"])[g]) for _ in range(12)).encode()) for g in range(3) for _ in range(25)]
+    found = [quality_classifier.features(t) for _, t in texts]
+    model = quality_classifier.fit(found, [g for g, _ in texts])
+
+    def loss(weights, cuts):  # written out plainly, text by text
+        total = quality_classifier.RIDGE / 2 * float((weights**2).sum())
+        for (g, _), (i, v) in zip(texts, found):
+            below = [0.0, *(1 / (1 + np.exp(-(c - float(weights[i] @ v)))) for c in cuts), 1.0]
+            total -= np.log(below[g + 1] - below[g])
+        return total / len(texts)
+
+    weights, cuts = model.weights.astype(float), list(model.thresholds)
+    best, used = loss(weights, cuts), np.unique(np.concatenate([i for i, _ in found]))
+    for k in used[:: max(1, len(used) // 40)]:
+        for step in (-0.2, 0.2):
+            moved = weights.copy()
+            moved[k] += step
+            assert loss(moved, cuts) > best - 1e-5
+    for k, step in ((0, 0.2), (0, -0.2), (1, 0.2), (1, -0.2)):
+        assert loss(weights, [c + step * (n == k) for n, c in enumerate(cuts)]) > best - 1e-5
+
+
+def test_training_is_bounded(spark):
+    many = spark.createDataFrame([(1, f"text number {i}") for i in range(300)] + [(2, "x" * 500), (3, "short"), (3, "short"), (4, None)], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 1), (4, 0), (5, 1)], "doc_id long, y int")
+    every = work.labelled_sample(many, known, 1000, 1 << 20).collect()
+    assert len(every) == 303 and Counter(r["doc_id"] for r in every) == {1: 300, 2: 1, 3: 1, 4: 1}
+    some = work.labelled_sample(many, known, 20, 1 << 20).collect()
+    assert len(some) == 20 and sorted(some) == sorted(work.labelled_sample(many.repartition(7), known, 20, 1 << 20).collect())
+    assert sum(len(r["text"]) for r in work.labelled_sample(many, known, 1000, 400).collect()) <= 400
+    assert work.labelled_sample(many.limit(0), known, 5, 100).collect() == work.labelled_sample(many, known.limit(0), 5, 100).collect() == []
+
+
+def area(good, bad):
+    both = np.sort(np.array(bad))
+    return float(np.mean([(np.searchsorted(both, x, "left") + np.searchsorted(both, x, "right")) / 2 for x in good]) / len(bad))
+
+
+def test_classifier_on_labels_held_out(spark):
+    at = "/root/testdata/sf0.1"
+    if not os.path.isdir(at):
+        pytest.skip("no tables")
+    tables = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    model = quality_classifier.train(*tables, hold_out=True)
+    held = tables[1].filter(quality_classifier.held_out(F.col("doc_id"))).join(quality_classifier.score(tables[0], model), "doc_id").collect()
+    good, bad = ([r["tail_probability"] for r in held if r["quality"] == q] for q in (1, 0))
+    kept = {q: sum(r["kept"] for r in held if r["quality"] == q) for q in (0, 1)}
+    print(f"held out: area {area(good, bad):.4f}, kept {kept[1]} of {len(good)} good and {kept[0]} of {len(bad)} low-quality documents")
+    assert area(good, bad) > 0.99 and kept[1] > 0.98 * len(good) and kept[0] < 0.1 * len(bad)
+
+
 def test_classifier_query_and_stage(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, None), (6, 0, 0), (11, 1, 0), (None, 1, 0), (7, None, 1), (99, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality_classifier.train(docs, labels)
