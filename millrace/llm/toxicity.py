@@ -161,7 +161,7 @@ class Scorer:
         above = [sum(k for g, k in saved if g >= t) for t in THRESHOLDS]
         kinds = [sum(1 for g, _ in saved if g >= t) for t in THRESHOLDS]
         rates = [math.sqrt(x / n) if n else 0.0 for x in above]
-        return [top[0], sum(top[:3]) / 3, sum(top[:8]) / 8, *map(math.log1p, above), *map(math.log1p, kinds), *rates, math.log1p(n)]
+        return [top[0], sum(top[:3]) / 3, sum(top[:8]) / 8, *map(math.log1p, above), *map(math.log1p, kinds), *rates]
 
     def scores(self, rows: list[list[float]]) -> np.ndarray:
         m = self.model
