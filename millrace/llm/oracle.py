@@ -31,22 +31,41 @@ OP3 = f"""
     kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
     SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
 
-A = "CASE pass % 4 " + " ".join(f"WHEN {i} THEN {p}" for i, p in enumerate(mixing.MULTIPLIERS)) + " END"
+TICKET = "('0x' || substr(md5({}), 1, 13))::BIGINT"
+OTHER = "((k % full_blocks - x) % full_blocks + full_blocks) % full_blocks"
+HIGHER = f"(greatest(x, {OTHER}) + k) % {mixing.PRIME}"
+SQUARED = f"(({HIGHER}) * ({HIGHER}) + k % {mixing.PRIME}) % {mixing.PRIME}"
+HASH = f"(({SQUARED}) * ({SQUARED})) % {mixing.PRIME}"
+KEY = TICKET.format(f"'{mixing.SEED}:' || coalesce(source, '') || ':' || pass || ':' || i")
 OP5 = f"""
-    WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':{mixing.SEED}') AS mix FROM documents),
+    WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':{mixing.SEED}:' || md5(coalesce(text, ''))) AS mix FROM documents),
     placed AS (SELECT *, row_number() OVER () AS row_id, coalesce(sum(size) OVER (PARTITION BY source ORDER BY mix, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
     s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
     weighted AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM s),
     levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER up, 0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS rank
         FROM weighted WINDOW up AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     plan AS (SELECT source, source_size, least(cap, (SELECT level FROM levels WHERE level * w <= cap ORDER BY rank LIMIT 1) * w) AS target FROM levels),
-    goals AS (SELECT *, round(target)::BIGINT AS goal, source_size // {mixing.BLOCK} AS full_blocks FROM plan WHERE source_size > 0 AND round(target) > 0),
-    passes AS (SELECT *, unnest(range((goal - 1) // source_size + 1)) AS pass FROM goals), takes AS (SELECT *, least(source_size, goal - pass * source_size) AS take FROM passes),
-    slots AS (SELECT *, unnest(range((take - 1) // {mixing.BLOCK} + 1)) AS slot, CASE WHEN full_blocks > 0 THEN CASE WHEN ({A}) % full_blocks = 0 THEN 1 ELSE ({A}) % full_blocks END ELSE 0 END AS a FROM takes),
-    used AS (SELECT source, CASE WHEN slot < full_blocks THEN ((a * slot) % full_blocks + ({mixing.SEED} * (pass + 1)) % full_blocks) % full_blocks ELSE full_blocks END AS block, least({mixing.BLOCK}, take - slot * {mixing.BLOCK}) AS words FROM slots),
+    aims AS (SELECT *, round(target)::BIGINT AS goal, source_size // {mixing.BLOCK} AS full_blocks, (source_size + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS blocks FROM plan WHERE source_size > 0 AND round(target) > 0),
+    wants AS (SELECT *, goal // source_size * blocks + (goal % source_size + {mixing.BLOCK - 1}) // {mixing.BLOCK} AS wanted FROM aims),
+    goals AS (SELECT *, (sum(wanted) OVER (ORDER BY source NULLS LAST) - wanted)::BIGINT AS first FROM wants),
+    tickets AS (SELECT (id % {mixing.SHARDS})::INTEGER AS shard, {TICKET.format(f"id::VARCHAR || ':{mixing.SEED}'")} % (SELECT sum(wanted) FROM goals)::BIGINT AS ticket FROM (SELECT unnest(range((SELECT sum(wanted) FROM goals)::BIGINT)) AS id)),
+    draws AS (SELECT source, shard, count(*) AS n FROM tickets JOIN goals ON ticket >= first AND ticket < first + wanted GROUP BY source, shard),
+    ranks AS (SELECT *, (sum(n) OVER (PARTITION BY source ORDER BY shard) - n)::BIGINT AS rank FROM draws),
+    drawn AS (SELECT g.*, coalesce(a, 0)::BIGINT AS every FROM goals g LEFT JOIN (SELECT source, sum(n) AS a FROM draws GROUP BY source) x ON g.source IS NOT DISTINCT FROM x.source),
+    sides AS (SELECT *, greatest(every - wanted, 0) AS over_n, greatest(wanted - every, 0) AS short_n FROM drawn),
+    ends AS (SELECT *, (sum(over_n) OVER (ORDER BY source NULLS LAST) - over_n)::BIGINT AS over_at, (sum(short_n) OVER (ORDER BY source NULLS LAST) - short_n)::BIGINT AS short_at FROM sides),
+    singles AS (SELECT source, shard, rank + j AS rank FROM (SELECT source, shard, rank, unnest(range(n)) AS j FROM ranks)),
+    spread AS (SELECT e.source, shard, rank, (rank * over_n) // every AS gone, ((rank + 1) * over_n) // every AS gone_next, over_at FROM singles r JOIN ends e ON r.source IS NOT DISTINCT FROM e.source),
+    freed AS (SELECT over_at + gone AS turn, shard FROM spread WHERE gone < gone_next),
+    filled AS (SELECT source, every + j AS number, short_at + j AS turn FROM (SELECT *, unnest(range(short_n)) AS j FROM ends)),
+    numbered AS (SELECT source, rank - gone AS number, shard FROM spread WHERE gone = gone_next UNION ALL SELECT source, number, shard FROM filled JOIN freed USING (turn)),
+    passes AS (SELECT source AS pass_source, pass, list({KEY} ORDER BY i) AS keys FROM (SELECT source, unnest(range((goal - 1) // source_size + 1)) AS pass FROM goals), range({mixing.ROUNDS}) t(i) GROUP BY source, pass),
+    slots AS (SELECT g.source, source_size, goal, full_blocks, shard, number // blocks AS pass, number % blocks AS slot FROM numbered n JOIN goals g ON n.source IS NOT DISTINCT FROM g.source),
+    used AS (SELECT source, shard, CASE WHEN slot < full_blocks THEN list_reduce(list_prepend(slot, keys), lambda x, k: CASE WHEN (({HASH}) >> 10) % 2 = 1 THEN {OTHER} ELSE x END) ELSE full_blocks END AS block, least({mixing.BLOCK}, least(source_size, goal - s.pass * source_size) - slot * {mixing.BLOCK}) AS words
+        FROM slots s JOIN passes p ON s.source IS NOT DISTINCT FROM p.pass_source AND s.pass = p.pass),
     pieces AS (SELECT row_id, source, start, size, unnest(range(start // {mixing.BLOCK}, (start + size - 1) // {mixing.BLOCK} + 1)) AS block FROM placed WHERE size > 0),
-    taken AS (SELECT row_id, sum(greatest(0, least(start + size, p.block * {mixing.BLOCK} + words) - greatest(start, p.block * {mixing.BLOCK})))::BIGINT AS taken FROM pieces p JOIN used u ON p.source IS NOT DISTINCT FROM u.source AND p.block = u.block GROUP BY row_id)
-    SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN taken USING (row_id) JOIN plan ON placed.source IS NOT DISTINCT FROM plan.source"""
+    taken AS (SELECT row_id, sum(least(start + size, p.block * {mixing.BLOCK} + words) - greatest(start, p.block * {mixing.BLOCK}))::BIGINT AS taken, count(DISTINCT shard)::INTEGER AS n_shards FROM pieces p JOIN used u ON p.source IS NOT DISTINCT FROM u.source AND p.block = u.block WHERE least(start + size, p.block * {mixing.BLOCK} + words) > greatest(start, p.block * {mixing.BLOCK}) GROUP BY row_id)
+    SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, coalesce(n_shards, 0)::INTEGER AS n_shards FROM placed LEFT JOIN taken USING (row_id) JOIN plan ON placed.source IS NOT DISTINCT FROM plan.source"""
 
 
 def _coverage(n: int) -> str:

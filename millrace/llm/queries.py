@@ -29,7 +29,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken", "n_shards")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

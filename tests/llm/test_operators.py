@@ -274,7 +274,10 @@ def test_mixed_texts_hold_what_is_taken(docs, none):
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
     found = rows(out)
-    assert {r["doc_id"]: len(raw(r["text"]).split()) for r in found} == {k: n for k, n in taken.items() if n}
+    given = Counter()
+    for r in found:
+        given[r["doc_id"]] += len(raw(r["text"]).split())
+    assert given == {k: n for k, n in taken.items() if n}
     words = {b[0]: set(raw(b[1]).split()) for b in BASE}
     assert all(set(raw(r["text"]).split()) <= words[r["doc_id"]] and r["n_chars"] == len(r["text"]) for r in found)
     assert rows(mixing.mixed(none)) == []
@@ -289,12 +292,49 @@ def test_slots_of_a_pass_are_each_block_once(spark):
     assert sum(r["words"] for r in found if r["source"] == "a") == 2500 and {r["shard"] for r in found} == set(range(5))
 
 
-def test_block_counts_that_a_prime_divides(spark):
-    for times in (1, 2, 3):
-        full = times * mixing.MULTIPLIERS[0]
-        plan = spark.createDataFrame([("a", full * mixing.BLOCK, float(full * mixing.BLOCK))], "source string, source_size long, target double")
-        found = mixing.slots(plan, 5).agg(F.count("*").alias("n"), F.count_distinct("block").alias("blocks"), F.sum("words").alias("words")).first()
-        assert (found.n, found.blocks, found.words) == (full, full, full * mixing.BLOCK)
+def test_permutations(spark):
+    """Of any size, keys 0 included: each index once; few stay or keep their neighbour."""
+    r = random.Random(6)
+    for n in (1, 2, 3, 31, 32, 1000, 4099):
+        keys = F.array(*[F.lit(r.choice([0, r.getrandbits(52)])).cast("long") for _ in range(mixing.ROUNDS)])
+        got = [x[0] for x in spark.range(0, n, 1, 3).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), keys)).collect()]
+        assert sorted(got) == list(range(n))
+    keys = F.array(*[F.lit(r.getrandbits(52)).cast("long") for _ in range(mixing.ROUNDS)])
+    got = [x[0] for x in spark.range(0, 5000, 1, 1).select(mixing.permuted(F.col("id"), F.lit(5000).cast("long"), keys)).collect()]
+    assert sum(a == i for i, a in enumerate(got)) < 50 and sum(abs(a - b) == 1 for a, b in zip(got, got[1:])) < 50
+
+
+def test_draws_are_multinomial(spark):
+    plan = spark.createDataFrame([("a", 64_000, 64_000.0), ("b", 10_000, 30_000.0), (None, 500_000, 160_000.0), ("tiny", 5, 10.0), ("none", 0, 0.0)], "source string, source_size long, target double")
+    goals = mixing._goals(plan, mixing.BLOCK)
+    wanted = {r["source"]: r["wanted"] for r in goals.collect()}
+    counts = {(r["source"], r["shard"]): r["n"] for r in mixing.draw(goals, 10, 5).collect()}
+    slots = sum(wanted.values())
+    assert sum(counts.values()) == slots and {sum(n for (_, k), n in counts.items() if k == shard) for shard in range(10)} <= {slots // 10, slots // 10 + 1}
+    for s, w in wanted.items():
+        p, each = w / slots, [counts.get((s, k), 0) for k in range(10)]
+        sd = (slots / 10 * p * (1 - p)) ** 0.5
+        assert all(abs(n - slots / 10 * p) < 5 * sd + 1 for n in each)
+        assert s == "tiny" or np.std(each) > 0.3 * sd
+    assert counts != {(r["source"], r["shard"]): r["n"] for r in mixing.draw(goals, 10, 6).collect()}
+    found = rows(mixing.slots(plan, 10, 5))
+    assert Counter(r["source"] for r in found) == wanted and len({(r["source"], r["pass"], r["slot"]) for r in found}) == len(found)
+    assert Counter(r["shard"] for r in found) == Counter({k: sum(n for (_, j), n in counts.items() if j == k) for k in range(10)})
+    words = Counter()
+    for r in found:
+        words[r["source"]] += r["words"]
+    assert words == {"a": 64_000, "b": 30_000, None: 160_000, "tiny": 10}
+    assert sum(abs(Counter((r["source"], r["shard"]) for r in found)[k] - n) for k, n in counts.items()) < 0.1 * slots
+
+
+def test_rows_repeated_often(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 16)
+    docs = spark.createDataFrame([(None, "four words in here", "a", 18)] * 200 + [(None, None, "a", 0)] * 50 + [(i, "x y z " * i, "b", 1) for i in range(40)], "doc_id long, text string, source string, n_chars long").repartition(4)
+    found = rows(mixing.mix(docs)[0])
+    assert len(found) == 290 and sum(r["taken"] for r in found if r["source"] == "a") == round(next(r["target"] for r in found if r["source"] == "a"))
+    assert all(0 <= r["taken"] <= 3 * r["size"] and (r["n_shards"] > 0) == (r["taken"] > 0) for r in found)
+    out = rows(mixing.mixed(docs))
+    assert sum(len(r["text"].split()) for r in out) == sum(r["taken"] for r in found) and len(out) == sum(r["taken"] > 0 for r in found)
 
 
 # SimHash
