@@ -86,7 +86,7 @@ def build_shards(a) -> int:
     planned = shards.plan_shards(rows.drop("payload"), plan).select("sample_id", "shard_id", "position")
     members = rows.join(planned, "sample_id").withColumn("extension", F.regexp_replace(scalars.extension(F.col("relative_path")), r"^\.|^\(none\)$", ""))
     index = tarshards.write_shards(members, a.output, plan)
-    print(render.table(index.drop("sample_ids")))
+    print(render.table(index))
     return 0 if index.agg(F.sum("samples")).first()[0] == rows.count() else 1
 
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def shuffled_key(id_col: str, seed: int) -> list[Column]:
-    """An order that is the same in every run and engine: by MD5 of id and seed, then id."""
-    return [F.md5(F.concat(F.col(id_col), F.lit(f":{seed}")).cast("binary")), F.col(id_col)]
+from . import ordering
 
 
 def round_robin(ordinal: Column, readers: int) -> Column:
@@ -17,10 +14,12 @@ def round_robin(ordinal: Column, readers: int) -> Column:
 
 
 def batches(samples: DataFrame, batch_size: int, drop_last: bool = True, per: str = "reader", order: str = "position") -> DataFrame:
-    """(per, batch, samples): consecutive rows of each reader; a short last batch goes if ``drop_last``."""
-    place = Window.partitionBy(per).orderBy(order)
-    found = samples.withColumn("batch", F.floor((F.row_number().over(place) - 1) / batch_size).cast("long"))
-    found = found.groupBy(per, "batch").agg(F.count("*").alias("samples"))
+    """(per, batch, samples): consecutive rows of each reader; a short last batch goes if ``drop_last``.
+
+    A reader's rows are ranked by ranges of ``order``, so they need not fit in one task.
+    """
+    found = ordering.ranked(samples.select(per, order), [per], ordering.range_bucket(samples, order), [order])
+    found = found.groupBy(per, F.expr(f"rank div {batch_size}").alias("batch")).agg(F.count("*").alias("samples"))
     return found.filter(F.col("samples") == batch_size) if drop_last else found
 
 
@@ -37,14 +36,18 @@ def repeat_epochs(samples: DataFrame, epochs: int) -> DataFrame:
 
 
 def shuffle_buffer(samples: DataFrame, size: int, seed: int) -> DataFrame:
-    """Each partition passed through a buffer of ``size`` rows that gives up a random row for each new one."""
+    """Each partition passed through a buffer of ``size`` rows that gives up a random row for each new one.
+
+    Partitions draw from generators of their own, which follow from ``seed`` and the partition's number.
+    """
 
     def passed(found):
         import random
 
         import pandas as pd
+        from pyspark import TaskContext
 
-        draw, held, columns = random.Random(seed), [], None
+        draw, held, columns = random.Random(seed + TaskContext.get().partitionId()), [], None
         for pdf in found:
             columns, out = list(pdf.columns), []
             for row in pdf.itertuples(index=False):

@@ -46,9 +46,10 @@ def regular(files: DataFrame) -> DataFrame:
 
 
 def directories(files: DataFrame) -> DataFrame:
-    """Every directory that holds a file, directly or below, and the root ``''``: path and depth (root 0)."""
-    parents = files.select(F.split("parent", "/").alias("p"), "parent").filter("parent <> ''").distinct()
-    above = parents.select(F.explode(F.sequence(F.lit(1), F.size("p"))).alias("depth"), "p").select(F.concat_ws("/", F.slice("p", 1, F.col("depth"))).alias("path"), "depth").distinct()
+    """Every directory: path and depth. The root ``''`` (depth 0), those that are entries themselves, empty or unreadable ones too, and those above any entry."""
+    own = files.filter("kind in ('dir', 'unreadable_dir') and path <> ''").select(F.col("path").alias("p"))
+    named = files.filter("parent <> ''").select(F.col("parent").alias("p")).union(own).distinct().select(F.split("p", "/").alias("p"))
+    above = named.select(F.explode(F.sequence(F.lit(1), F.size("p"))).alias("depth"), "p").select(F.concat_ws("/", F.slice("p", 1, F.col("depth"))).alias("path"), "depth").distinct()
     return above.union(files.sparkSession.sql("select '' as path, 0 as depth"))
 
 

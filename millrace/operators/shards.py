@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import tar_bytes, tar_member_bytes
 from ..functions.stats import coefficient_of_variation, ratio
+from . import ordering
 from .batching import round_robin
 
 #: Buckets of the seeded order: ranks are counted within a bucket and added up over them.
@@ -46,29 +47,13 @@ def ordered(samples: DataFrame, plan: ShardPlan) -> DataFrame:
     """``samples`` with their place ``rank`` in the plan's order and the number of rows ``total``.
 
     Shuffled: by MD5 of id and seed, counted by hash bucket, so that no task sorts
-    all samples. Unshuffled: by id, over ranges of ids between sampled cut points.
+    all samples. Unshuffled: by id, over ranges of ids between cut points.
     """
     if plan.shuffle:
-        rows = samples.withColumn("_key", F.md5(F.concat("sample_id", F.lit(f":{plan.seed}")).cast("binary")))
-        rows = rows.withColumn("_bucket", F.expr(f"conv(substring(_key, 1, 8), 16, 10) div {2**32 // BUCKETS}").cast("int"))
-    else:
-        rows = samples.withColumn("_key", F.col("sample_id")).withColumn("_bucket", F.lit(0))
-        rows = _by_id(rows)
-    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    every = Window.partitionBy(F.lit(0))
-    starts = sizes.select("_bucket", (F.sum("_n").over(every.orderBy("_bucket")) - F.col("_n")).alias("_start"), F.sum("_n").over(every).alias("total"))
-    inside = Window.partitionBy("_bucket").orderBy("_key", "sample_id")
-    return rows.join(starts, "_bucket").withColumn("rank", F.row_number().over(inside) - 1 + F.col("_start")).drop("_key", "_bucket", "_start")
-
-
-def _by_id(rows: DataFrame) -> DataFrame:
-    """Buckets that rise with the id: sampled cut points, one comparison a row."""
-    ids = rows.select("sample_id").filter(F.pmod(F.xxhash64("sample_id"), F.lit(16)) == 0).select("sample_id").limit(20_000)
-    cuts = sorted(r[0] for r in ids.collect())[:: max(1, 20_000 // 256)]
-    found = F.lit(0)
-    if cuts:
-        found = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("sample_id")))
-    return rows.withColumn("_bucket", found)
+        key = F.md5(F.concat("sample_id", F.lit(f":{plan.seed}")).cast("binary"))
+        bucket = F.expr(f"conv(substring(_key, 1, 8), 16, 10) div {2**32 // BUCKETS}").cast("int")
+        return ordering.ranked(samples.withColumn("_key", key), [], bucket, ["_key", "sample_id"], total="total").drop("_key")
+    return ordering.ranked(samples, [], ordering.range_bucket(samples, "sample_id"), ["sample_id"], total="total")
 
 
 def plan_shards(samples: DataFrame, plan: ShardPlan = ShardPlan()) -> DataFrame:  # noqa: B008

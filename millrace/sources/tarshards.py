@@ -5,7 +5,10 @@ from __future__ import annotations
 import io
 import json
 import os
+import random
+import sys
 import tarfile
+import textwrap
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,23 +33,33 @@ class _Shard(InputPartition):
 
 
 class TarShardReader(DataSourceReader):
-    """One task a shard: the assignment to readers prunes partitions, so a reader opens its own shards only."""
+    """One task a shard: the assignment to readers prunes partitions, so a reader opens its own shards only.
 
-    def __init__(self, directory: str, reader: int, readers: int):
-        self.directory, self.reader, self.readers = directory, reader, readers
+    With a seed the shards are dealt in a seeded order, the same in every epoch.
+    """
+
+    def __init__(self, directory: str, reader: int, readers: int, seed: int | None, skip_broken: bool):
+        self.directory, self.reader, self.readers, self.seed, self.skip_broken = directory, reader, readers, seed, skip_broken
 
     def partitions(self) -> list[InputPartition]:
         names = sorted(n for n in os.listdir(self.directory) if n.endswith(".tar"))
+        if self.seed is not None:
+            random.Random(self.seed).shuffle(names)
         return [_Shard(os.path.join(self.directory, n)) for n in names[self.reader :: self.readers]]
 
     def read(self, partition: _Shard) -> Iterator[pa.RecordBatch]:
         held, size, shard = [], 0, os.path.basename(partition.path)
-        for sample_id, payload, class_id in samples_of(partition.path):
-            held.append((sample_id, payload, class_id, shard))
-            size += len(payload)
-            if size >= BATCH_BYTES:
-                yield self._batch(held)
-                held, size = [], 0
+        try:
+            for sample_id, payload, class_id in samples_of(partition.path):
+                held.append((sample_id, payload, class_id, shard))
+                size += len(payload)
+                if size >= BATCH_BYTES:
+                    yield self._batch(held)
+                    held, size = [], 0
+        except (tarfile.TarError, OSError, ValueError) as e:
+            if not self.skip_broken:
+                raise
+            print(f"warning: the rest of {partition.path} cannot be read: {e}", file=sys.stderr)
         if held:
             yield self._batch(held)
 
@@ -76,7 +89,7 @@ def samples_of(path: str) -> Iterator[tuple[str, bytes, int]]:
 
 
 class TarShards(DataSource):
-    """Options: path (a folder of shards); reader and readers (default 0 of 1)."""
+    """Options: path (a folder of shards); reader and readers (default 0 of 1); seed (order of shards; default by name); broken (``skip`` or ``fail``)."""
 
     @classmethod
     def name(cls) -> str:
@@ -89,12 +102,17 @@ class TarShards(DataSource):
         readers = int(self.options.get("readers", "1"))
         if readers < 1:
             raise ValueError("there must be at least one reader")
-        return TarShardReader(self.options["path"], int(self.options.get("reader", "0")), readers)
+        seed, broken = self.options.get("seed"), self.options.get("broken", "skip")
+        if broken not in ("skip", "fail"):
+            raise ValueError(f"broken must be skip or fail, not {broken!r}")
+        return TarShardReader(self.options["path"], int(self.options.get("reader", "0")), readers, None if seed is None else int(seed), broken == "skip")
 
 
-def read_shards(spark: SparkSession, directory: str, reader: int = 0, readers: int = 1) -> DataFrame:
+def read_shards(spark: SparkSession, directory: str, reader: int = 0, readers: int = 1, seed: int | None = None, broken: str = "skip") -> DataFrame:
+    """Samples of a reader's shards. A shard that breaks off gives what comes before the fault and a warning, or fails the job."""
     spark.dataSource.register(TarShards)
-    return spark.read.format("tarshards").option("path", str(directory)).option("reader", str(reader)).option("readers", str(readers)).load()
+    found = spark.read.format("tarshards").option("path", str(directory)).option("reader", str(reader)).option("readers", str(readers)).option("broken", broken)
+    return (found if seed is None else found.option("seed", str(seed))).load()
 
 
 def _add(archive: tarfile.TarFile, name: str, data: bytes) -> None:
@@ -108,13 +126,16 @@ def write_shards(members: DataFrame, directory: str, plan: ShardPlan) -> DataFra
 
     A shard is one task's rows, in the plan's order, streamed into one file that is
     renamed when it is whole: a task that runs again writes the same bytes. The
-    folder must be one that all executors share. Returns the index rows.
+    folder must be one that all executors share. A task writes its shard's entry of
+    the index beside the shard, so sample ids never pass through the driver's
+    results; entries are then copied into the index one at a time. Returns the
+    index rows without their sample ids.
     """
     os.makedirs(directory, exist_ok=True)
     target = os.path.abspath(directory)
     columns = members.select("shard_id", "position", "sample_id", "payload", "class_id", "extension", "byte_size", "estimated_decode_cost")
     rows = columns.repartition("shard_id").sortWithinPartitions("shard_id", "position")
-    shape = pa.schema([("shard_id", pa.int32()), ("shard", pa.string()), ("samples", pa.int64()), ("bytes", pa.int64()), ("sample_bytes", pa.int64()), ("estimated_work", pa.int64()), ("sample_ids", pa.list_(pa.string()))])
+    shape = pa.schema([("shard_id", pa.int32()), ("shard", pa.string()), ("samples", pa.int64()), ("bytes", pa.int64()), ("sample_bytes", pa.int64()), ("estimated_work", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, archive, temporary, ids, size, cost = None, None, "", [], 0, 0
@@ -123,8 +144,11 @@ def write_shards(members: DataFrame, directory: str, plan: ShardPlan) -> DataFra
             archive.close()
             name = f"shard-{now:05d}.tar"
             os.replace(temporary, os.path.join(target, name))
-            total = os.path.getsize(os.path.join(target, name))
-            return pa.RecordBatch.from_pylist([{"shard_id": now, "shard": name, "samples": len(ids), "bytes": total, "sample_bytes": size, "estimated_work": cost, "sample_ids": ids}], schema=shape)
+            entry = {"shard": name, "samples": len(ids), "bytes": os.path.getsize(os.path.join(target, name)), "sample_bytes": size, "estimated_work": cost}
+            with open(temporary, "w") as f:
+                f.write(json.dumps(entry | {"sample_ids": ids}, indent=2, sort_keys=True))
+            os.replace(temporary, _entry_path(target, now))
+            return pa.RecordBatch.from_pylist([entry | {"shard_id": now}], schema=shape)
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -142,20 +166,28 @@ def write_shards(members: DataFrame, directory: str, plan: ShardPlan) -> DataFra
         if archive:
             yield close()
 
-    schema = "shard_id int, shard string, samples long, bytes long, sample_bytes long, estimated_work long, sample_ids array<string>"
-    found = rows.mapInArrow(write, schema).orderBy("shard_id").collect()  # one row per shard
-    shards = [{k: v for k, v in r.asDict().items() if k != "shard_id"} for r in found]
-    write_index(os.path.join(target, INDEX_NAME), shards, plan)
+    schema = "shard_id int, shard string, samples long, bytes long, sample_bytes long, estimated_work long"
+    found = rows.mapInArrow(write, schema).orderBy("shard_id").collect()  # one row per shard, of six numbers
+    write_index(os.path.join(target, INDEX_NAME), [_entry_path(target, r["shard_id"]) for r in found], sum(r["samples"] for r in found), sum(r["bytes"] for r in found), plan)
     return members.sparkSession.createDataFrame(found, schema)
 
 
-def write_index(path: str, shards: list[dict], plan: ShardPlan) -> None:
-    whole = {
-        "schema_version": INDEX_VERSION, "total_samples": sum(s["samples"] for s in shards), "total_bytes": sum(s["bytes"] for s in shards), "shards": shards,
-        "plan": {"samples_per_shard": plan.samples_per_shard, "shuffle_before_sharding": plan.shuffle, "seed": plan.seed, "balance_by": plan.balance_by, "imbalance_factor": plan.imbalance_factor},
-    }
+def _entry_path(directory: str, shard: int) -> str:
+    return os.path.join(directory, f".shard-{shard:05d}.json")
+
+
+def write_index(path: str, entries: list[str], samples: int, num_bytes: int, plan: ShardPlan) -> None:
+    """The index as sorted, indented JSON, from files with one shard's entry each, which are removed."""
+    about = {"samples_per_shard": plan.samples_per_shard, "shuffle_before_sharding": plan.shuffle, "seed": plan.seed, "balance_by": plan.balance_by, "imbalance_factor": plan.imbalance_factor}
+    head, tail = json.dumps({"plan": about, "schema_version": INDEX_VERSION, "shards": [], "total_bytes": num_bytes, "total_samples": samples}, indent=2, sort_keys=True).split("[]")
     with open(path, "w") as f:
-        f.write(json.dumps(whole, indent=2, sort_keys=True) + "\n")
+        f.write(head + "[")
+        for i, one in enumerate(entries):
+            with open(one) as e:
+                f.write(("," if i else "") + "\n" + textwrap.indent(e.read(), "    "))
+        f.write(("\n  ]" if entries else "]") + tail + "\n")
+    for one in entries:
+        os.remove(one)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Data source ``treewalk``: one row per entry of a directory tree, metadata only.
 
-Entries of the top level are dealt to tasks, each of which walks its subtrees.
+The driver lists the uppermost directories until there are entries enough to deal to
+the tasks, each of which walks the subtrees of its own.
 Symbolic links are reported and never followed. No file is opened.
 """
 
@@ -8,6 +9,7 @@ from __future__ import annotations
 
 import os
 import stat
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMA = "path string, parent string, depth int, kind string, size long, nlink int, extension string"
 ARROW = pa.schema([("path", pa.string()), ("parent", pa.string()), ("depth", pa.int32()), ("kind", pa.string()), ("size", pa.int64()), ("nlink", pa.int32()), ("extension", pa.string())])
 BATCH = 8192
+#: Entries for each task, so that tasks end at about one time, and the most directories that the driver lists for it.
+SPREAD, MOST_LISTED = 8, 256
 
 
 def extension_of(name: str) -> str:
@@ -26,8 +30,10 @@ def extension_of(name: str) -> str:
 
 
 class _Subtrees(InputPartition):
-    def __init__(self, names: list[str] | None):
-        self.names = names
+    """Entries (path, whether to go into it); None stands for the root itself."""
+
+    def __init__(self, entries: list[tuple[str, bool]] | None):
+        self.entries = entries
         super().__init__(0)
 
 
@@ -36,15 +42,28 @@ class TreeWalkReader(DataSourceReader):
         self.root, self.tasks = root, tasks
 
     def partitions(self) -> list[InputPartition]:
-        if os.path.isdir(self.root):
-            try:
-                names = sorted(os.listdir(self.root))
-            except OSError:
-                return [_Subtrees(None)]
-            return [_Subtrees(names[i :: self.tasks]) for i in range(min(self.tasks, max(1, len(names))))]
         if not os.path.lexists(self.root):
             raise FileNotFoundError(f"no such path: {self.root}")
-        return [_Subtrees(None)]
+        if not os.path.isdir(self.root):
+            return [_Subtrees(None)]
+        try:
+            waiting = deque((n, True) for n in sorted(os.listdir(self.root)))
+        except OSError:
+            return [_Subtrees(None)]
+        done: list[tuple[str, bool]] = []
+        listed = 0
+        while waiting and listed < MOST_LISTED and len(waiting) + len(done) < SPREAD * self.tasks:
+            path, _ = waiting.popleft()
+            full = os.path.join(self.root, path)
+            try:
+                inside = sorted(os.listdir(full)) if os.path.isdir(full) and not os.path.islink(full) else None
+            except OSError:
+                inside = None
+            listed += inside is not None
+            done.append((path, inside is None))
+            waiting.extend((f"{path}/{n}", True) for n in inside or ())
+        entries = [*done, *waiting]
+        return [_Subtrees(entries[i :: self.tasks]) for i in range(min(self.tasks, max(1, len(entries))))]
 
     def read(self, partition: _Subtrees) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -61,23 +80,24 @@ class TreeWalkReader(DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
 
     def _rows(self, partition: _Subtrees) -> Iterator[tuple]:
-        if partition.names is None:
+        if partition.entries is None:
             if os.path.isdir(self.root):
                 yield "", "", 0, "unreadable_dir", None, None, "(none)"
             else:
                 yield self._entry(os.path.basename(self.root), "", os.path.basename(self.root), self.root, 0)[0]
             return
-        todo = [(n, "", n, 1) for n in reversed(partition.names)]
+        todo = [(*path.rpartition("/")[::2], path.count("/") + 1, go_in) for path, go_in in reversed(partition.entries)]
         while todo:
-            path, parent, name, depth = todo.pop()
+            parent, name, depth, go_in = todo.pop()
+            path = f"{parent}/{name}" if parent else name
             row, is_dir = self._entry(path, parent, name, os.path.join(self.root, path), depth)
-            if is_dir:
+            if is_dir and go_in:
                 try:
                     inside = sorted(os.listdir(os.path.join(self.root, path)), reverse=True)
                 except OSError:
                     row = (*row[:3], "unreadable_dir", *row[4:])
                     inside = []
-                todo += [(f"{path}/{n}", path, n, depth + 1) for n in inside]
+                todo += [(path, n, depth + 1, True) for n in inside]
             yield row
 
     @staticmethod

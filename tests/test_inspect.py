@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from millrace.errors import StagingError
@@ -29,6 +31,25 @@ def test_walk_counts(spark, tmp_path):
     assert (d.max_depth, d.max_files_in_one_directory, d.max_files_directory) == (1, 2, "a")
 
 
+def test_empty_directories_count(spark, tmp_path):
+    root = tree(tmp_path, {"a/one.jpg": 10, "b/c/d/two.jpg": 20})
+    for name in ("a/empty", "b/none/none"):
+        (tmp_path / name).mkdir(parents=True)
+    t = inspect.tree_totals(treewalk.walk(spark, root)).first()
+    assert (t.total_files, t.directories, t.filesystem_objects) == (2, 8, 10)  # the root, a, a/empty, b, b/c, b/c/d, b/none, b/none/none
+    d = inspect.directory_shape(treewalk.walk(spark, root)).first()
+    assert (d.directories, d.max_depth, d.mean_files_per_directory) == (8, 3, 0.25)
+
+
+def test_one_deep_directory_is_dealt_to_tasks(spark, tmp_path):
+    root = tree(tmp_path, {f"only/way/d{i}/e{j}/f.bin": 1 for i in range(12) for j in range(3)})
+    parts = treewalk.TreeWalkReader(root, 4).partitions()
+    assert len(parts) == 4 and all(len([r for r in treewalk.TreeWalkReader(root, 4)._rows(p) if r[3] == "file"]) >= 6 for p in parts)
+    found = treewalk.walk(spark, root, 4).collect()
+    want = {os.path.relpath(os.path.join(at, n), root) for at, inner, names in os.walk(root) for n in inner + names}
+    assert sorted(r.path for r in found) == sorted(want) and {r.parent for r in found if r.kind == "file"} == {f"only/way/d{i}/e{j}" for i in range(12) for j in range(3)}
+
+
 def test_walk_of_one_file_and_of_nothing(spark, tmp_path):
     root = tree(tmp_path, {"x.tar.gz": 7, ".hidden/.bashrc": 1})
     assert [(r.kind, r["size"], r.extension) for r in treewalk.walk(spark, root + "/x.tar.gz").collect()] == [("file", 7, ".gz")]

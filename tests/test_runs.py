@@ -38,6 +38,20 @@ def test_ladder_shapes(spark, found, more, want):
     assert (r.recommended_workers, r.best_workers, r.pattern, r.limiting_factor) == want
 
 
+def test_paths_with_spaces_and_repeats(spark, tmp_path):
+    """Every given path gives its row, however it is spelled; one that gives none is an error."""
+    paths = []
+    for name in ("plain", "with space", "per%20cent", "plus+and#hash"):
+        (tmp_path / name).mkdir()
+        paths.append(runs.write_summary(str(tmp_path / name / "run one.json"), runs.new_summary(run_name=name)))
+    given = [paths[1], paths[0], paths[1], paths[2], paths[3], "file://" + paths[0]]
+    found = {r.input_ordinal: r.run_name for r in runs.read_runs(spark, given).collect()}
+    assert found == {0: "with space", 1: "plain", 2: "with space", 3: "per%20cent", 4: "plus+and#hash", 5: "plain"}
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(ValueError):
+        runs.read_runs(spark, [paths[0], str(tmp_path / "empty")])
+
+
 def test_published_ladder(spark):
     r = ladder.recommendation(ladder.ladder_rows(rungs(spark, [(0, 2454), (2, 4223), (6, 11558), (7, 11291), (13, 13062), (28, 15966)]))).first()
     assert (r.recommended_workers, r.best_workers, r.pattern) == (13, 28, "still-improving")

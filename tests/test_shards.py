@@ -1,9 +1,11 @@
 import heapq
+import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import shards
+from millrace.operators import ordering, shards
 from millrace.sources import manifest, synthetic, tarshards, tracks
 
 
@@ -124,3 +126,48 @@ def test_loose_files_and_failures(spark, tmp_path):
     back = manifest.payloads(made.drop("payload"), str(tmp_path)).collect()
     assert [r.failed for r in sorted(back, key=lambda r: r.sample_id)] == [False] * 5 + [True]
     assert sum(r.read_bytes for r in back) == sum(len(r.payload) for r in made.collect()[:5])
+
+
+def test_ranges_of_ids_are_even_in_sorted_input(spark):
+    rows = spark.range(0, 60_000, 1, 6).select(F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("sample_id"))
+    found = rows.withColumn("b", ordering.range_bucket(rows, "sample_id", 1000)).groupBy("b").agg(F.count("*").alias("n"), F.min("sample_id").alias("lo"), F.max("sample_id").alias("hi")).orderBy("b").collect()
+    assert len(found) > 50 and max(r.n for r in found) < 5000 and all(a.hi < b.lo for a, b in zip(found, found[1:]))
+    ranks = ordering.ranked(rows, [], ordering.range_bucket(rows, "sample_id", 1000), ["sample_id"], total="total")
+    assert ranks.filter("rank <> cast(substring(sample_id, 2) as long) or total <> 60000").count() == 0
+    odd = spark.createDataFrame([(None,), ("a",), ("a",), ("b",)], "sample_id string")
+    assert sorted(r["rank"] for r in ordering.ranked(odd, [], ordering.range_bucket(odd, "sample_id", 1), ["sample_id"]).collect()) == [0, 1, 2, 3]
+
+
+def test_shards_in_a_seeded_order_and_broken_ones(spark, tmp_path):
+    made = synthetic.samples(spark, synthetic.Profile("t", 40, 16, 16, classes=4)).withColumn("extension", F.lit("jpg")).cache()
+    plan = shards.ShardPlan(samples_per_shard=5)
+    members = made.join(shards.plan_shards(made.drop("payload", "extension"), plan).select("sample_id", "shard_id", "position"), "sample_id")
+    tarshards.write_shards(members, str(tmp_path), plan)
+    whole = json.load(open(tmp_path / tarshards.INDEX_NAME))
+    assert open(tmp_path / tarshards.INDEX_NAME).read() == json.dumps(whole, indent=2, sort_keys=True) + "\n" and sum(len(s["sample_ids"]) for s in whole["shards"]) == 40
+    assert not [n for n in os.listdir(tmp_path) if n.startswith(".") and not n.endswith(".crc")]
+    order = lambda seed: [os.path.basename(p.path) for p in tarshards.TarShardReader(str(tmp_path), 0, 1, seed, True).partitions()]
+    assert order(3) == order(3) and sorted(order(3)) == order(None) and len({tuple(order(i)) for i in range(5)}) > 1
+    dealt = [r.sample_id for k in range(3) for r in tarshards.read_shards(spark, str(tmp_path), k, 3, seed=7).collect()]
+    assert sorted(dealt) == sorted(r.sample_id for r in made.collect())
+    with open(tmp_path / "shard-00002.tar", "r+b") as f:
+        f.truncate(2000)
+    (tmp_path / "shard-00099.tar").write_bytes(b"no tar file at all" * 99)
+    left = {r.shard for r in tarshards.read_shards(spark, str(tmp_path)).collect()}
+    assert len(left) >= 7 and "shard-00099.tar" not in left
+    with pytest.raises(Exception):  # noqa: B017
+        tarshards.read_shards(spark, str(tmp_path), broken="fail").collect()
+
+
+def test_rows_by_position(spark, tmp_path):
+    made = synthetic.samples(spark, synthetic.Profile("t", 57, 16, 16, classes=4)).cache()
+    tracks.convert(made, "parquet", str(tmp_path), group_rows=4)
+    bounds = tracks.group_bounds(spark, str(tmp_path)).collect()
+    assert bounds[0].start == 0 and bounds[-1].end == 57 and all(a.end == b.start and a.end - a.start <= 4 for a, b in zip(bounds, bounds[1:]))
+    want = {i: r for i, r in enumerate(made.orderBy("sample_id").collect())}
+    asked = spark.createDataFrame([(i,) for i in [*range(56, -1, -2), 3, 3, 57, -1]], "position long")
+    found = tracks.read_positions(asked, str(tmp_path), 57).collect()
+    assert len(found) == 33 and {r.position for r in found if r.failed} == {57, -1}
+    assert all((r.sample_id, r.class_id, bytes(r.payload)) == (want[r.position].sample_id, want[r.position].class_id, bytes(want[r.position].payload)) for r in found if not r.failed)
+    with pytest.raises(ValueError):
+        tracks.read_positions(asked, str(tmp_path), 58)
