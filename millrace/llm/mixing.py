@@ -39,6 +39,8 @@ SHARDS = 64
 ROUNDS, PRIME = 12, 2147483647
 #: Slots that one row unfolds into at a time.
 RUN = 4096
+#: Slots that a partition is planned to hold, and the most partitions.
+PART, MOST_PARTS = 500_000, 100_000
 #: Not names that tables have: two hashes of a row, what is taken of it, and its new text.
 ONE, TWO, TIMES, PARTS, TEXT = (f"_millrace_{x}" for x in ("row_1", "row_2", "times", "parts", "text"))
 
@@ -124,7 +126,7 @@ def slots(plan: DataFrame, shards: int = SHARDS, seed: int = SEED, block: int =
     """
     goals = _goals(plan, block)
     by_shard = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = draw(goals, shards, seed).withColumn("rank", F.coalesce(F.sum("n").over(by_shard), F.lit(0)))
+    drawn = work.cut(draw(goals, shards, seed)).withColumn("rank", F.coalesce(F.sum("n").over(by_shard), F.lit(0)))
     counts = drawn.groupBy("source").agg(F.sum("n").alias("all"))
     # One row per source: what it drew over its wanted slots, or short of them, and where that starts when laid end to end.
     before = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
@@ -151,8 +153,12 @@ def slots(plan: DataFrame, shards: int = SHARDS, seed: int = SEED, block: int =
 
 def _unfolded(df: DataFrame, count: str) -> DataFrame:
     """Each row as often as column ``count`` says, with ``at`` counting from 0: first in runs, dealt out, so that no task unfolds a whole large one."""
-    runs = df.filter(f"{count} > 0").withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {RUN}"))))
-    runs = runs.repartition(F.xxhash64(*[c for c, t in runs.dtypes if t in ("string", "int", "bigint")]))
+    rows = df.filter(f"{count} > 0")
+    total = rows.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
+    # By what the rows unfold into: adaptive execution would go by the few bytes that they are before.
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, min(total // PART, MOST_PARTS))
+    runs = rows.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {RUN}"))))
+    runs = runs.repartition(parts, F.xxhash64(*[c for c, t in runs.dtypes if t in ("string", "int", "bigint")]))
     return runs.withColumn("at", F.explode(F.sequence(F.col("_run") * RUN, F.least((F.col("_run") + 1) * RUN, F.col(count)) - 1))).drop("_run")
 
 
