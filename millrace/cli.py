@@ -50,6 +50,8 @@ def inspect_dataset(a) -> int:
     print(render.key_values(row["tree"]))
     for c in row["candidates"]:
         print(f"CANDIDATE={c['experiment']}")
+    if a.details:
+        print(render.inspection_details(row))
     return 0
 
 
@@ -69,7 +71,10 @@ def generate_dataset(a) -> int:
                 f.write(r["payload"])
 
     rows.foreachPartition(store)
-    manifest.write_manifest(rows, a.manifest or os.path.join(a.output, "manifest.jsonl"))
+    listed = a.manifest or os.path.join(a.output, "manifest.jsonl")
+    manifest.write_manifest(rows, listed)
+    with open(os.path.join(a.output, "dataset_profile.json"), "w") as f:
+        f.write(json.dumps(synthetic.profile_record(profile, listed, manifest.read_manifest(spark, listed)), indent=2, sort_keys=True) + "\n")
     return 0
 
 
@@ -126,22 +131,36 @@ def compare(a) -> int:
     else:
         rows = placement.placement_rows(found)
         report, notes = placement.cost_by_horizon(rows, a.epochs or placement.HORIZONS), placement.placement_cautions(found, a.baseline or placement.DEFAULT_PLACEMENT)
-    print(render.table(report), *render.findings(notes), sep="\n")
+    if a.kind == "workers":
+        text = render.ladder_report(ladder.ladder_rows(found), report.first())
+    elif a.kind == "storage":
+        text = render.placement_report(rows, placement.break_even(rows, a.baseline or placement.DEFAULT_PLACEMENT), report)
+    else:
+        text = render.table(report)
+    print(text, *render.findings(notes), sep="\n")
     if not a.no_report:
         _save(report, a.output)
     return 0
 
 
+def _present(paths: list[str] | None) -> list[str]:
+    """The paths that exist; a warning for each other one, as a decision can do without it."""
+    for p in paths or []:
+        if not os.path.exists(p):
+            print(f"warning: {p} is not there and is left out", file=sys.stderr)
+    return [p for p in paths or [] if os.path.exists(p)]
+
+
 def render_decision(a) -> int:
     spark = _session()
-    load = lambda names: runs.read_runs(spark, names) if names else None
+    load = lambda names: runs.read_runs(spark, there) if (there := _present(names)) else None
     for kind in ("layouts", "workers", "storage", "distributed"):
         if not getattr(a, kind):
             print(f"no {kind} runs given", file=sys.stderr)
-    dist = None
-    if a.distributed:
-        dist = load(a.distributed).select("duplicate_samples", "missing_samples", F.coalesce("idle_ranks", F.array().cast("array<int>")).alias("idle_ranks"), F.coalesce("rank_elapsed_spread", F.lit(0.0)).alias("rank_elapsed_spread"), F.coalesce("max_data_wait_fraction", F.lit(0.0)).alias("max_data_wait_fraction")).limit(1)
-    tree = treewalk.walk(spark, a.inspection) if a.inspection else None
+    dist = load(a.distributed)
+    if dist is not None:
+        dist = dist.select("duplicate_samples", "missing_samples", F.coalesce("idle_ranks", F.array().cast("array<int>")).alias("idle_ranks"), F.coalesce("rank_elapsed_spread", F.lit(0.0)).alias("rank_elapsed_spread"), F.coalesce("max_data_wait_fraction", F.lit(0.0)).alias("max_data_wait_fraction")).limit(1)
+    tree = treewalk.walk(spark, a.inspection) if _present([a.inspection] if a.inspection else []) else None
     inputs = {"layouts": load(a.layouts), "workers": load(a.workers), "storage": load(a.storage), "distributed": dist, "inspection": tree}
     verdict = decide.decide(spark, **inputs, planned_epochs=a.planned_epochs)
     row = verdict.first()
@@ -149,7 +168,7 @@ def render_decision(a) -> int:
     os.makedirs(a.output_dir, exist_ok=True)
     _save(verdict, os.path.join(a.output_dir, "decision.json"))
     with open(os.path.join(a.output_dir, "decision.md"), "w") as f:
-        f.write(render.decision_markdown(row, notes))
+        f.write(render.decision_markdown(row, notes, render.dataset_sentence(inspect.inspection_report(tree).first()) if tree is not None else ""))
     print(render.key_values(row))
     return {"NOT_READY": 5, "INCONCLUSIVE": 6}.get(row["data_readiness"], 0)
 
@@ -228,6 +247,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--tmp-safety-fraction", type=float, default=inspect.TMP_SAFETY_FRACTION)
     p.add_argument("--target-shard-bytes", type=int, default=inspect.TARGET_SHARD_BYTES)
     p.add_argument("--no-report", action="store_true")
+    p.add_argument("--details", action="store_true")
     p = command(generate_dataset, "generate")
     which = p.add_mutually_exclusive_group(required=True)
     which.add_argument("--profile", choices=sorted(synthetic.PROFILES))

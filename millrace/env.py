@@ -31,12 +31,53 @@ def rank_and_world(environ: Mapping[str, str] | None = None) -> tuple[int, int]:
     return 0, 1
 
 
-def context() -> dict[str, object]:
+# Scheduler variables that a run records, empty where they are not set.
+SCHEDULER = ("SLURM_JOB_ID", "SLURM_JOB_NAME", "SLURM_JOB_NUM_NODES", "SLURM_NTASKS", "SLURM_CPUS_PER_TASK", "SLURM_GPUS_PER_NODE", "SLURM_JOB_PARTITION", "SLURM_JOB_ACCOUNT")
+
+
+def _commit() -> str:
+    try:
+        done = subprocess.run(["git", "rev-parse", "--short", "HEAD"], capture_output=True, text=True, timeout=10, check=False)
+    except (OSError, subprocess.SubprocessError):
+        return "unknown"
+    return done.stdout.strip() if done.returncode == 0 and done.stdout.strip() else "unknown"
+
+
+def children() -> int:
+    """Processes that this one started and that still run; -1 where the system does not say."""
+    own, found = str(os.getpid()), 0
     try:
-        commit = subprocess.run(["git", "rev-parse", "--short", "HEAD"], capture_output=True, text=True, timeout=10).stdout.strip()
+        pids = [n for n in os.listdir("/proc") if n.isdigit()]
     except OSError:
-        commit = ""
+        return -1
+    for pid in pids:
+        try:
+            with open(f"/proc/{pid}/status") as f:
+                found += any(line.split() == ["PPid:", own] for line in f if line.startswith("PPid:"))
+        except OSError:
+            continue  # it has ended since
+    return found
+
+
+def cores() -> tuple[int, int]:
+    """(physical cores, hardware threads of each) among the CPUs that this process may use; a CPU is a core where the system does not say."""
+    cpus, seen = os.sched_getaffinity(0), set()
+    for n in cpus:
+        try:
+            with open(f"/sys/devices/system/cpu/cpu{n}/topology/thread_siblings_list") as f:
+                seen.add(f.read().strip())
+        except OSError:
+            seen.add(str(n))
+    return len(seen), max(1, len(cpus) // max(1, len(seen)))
+
+
+def context() -> dict[str, object]:
+    own, ended = resource.getrusage(resource.RUSAGE_SELF), resource.getrusage(resource.RUSAGE_CHILDREN)
+    memory, source = allocated_memory()
+    physical, threads = cores()
     return {
-        "timestamp_utc": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "hostname": platform.node(), "git_commit": commit, "slurm_job_id": os.environ.get("SLURM_JOB_ID", ""), "cpus_available": len(os.sched_getaffinity(0)),
-        "peak_memory_bytes": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024,
+        "timestamp_utc": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "hostname": platform.node(), "git_commit": _commit(), "slurm_job_id": os.environ.get("SLURM_JOB_ID", ""), "slurm_context": {k: os.environ.get(k, "") for k in SCHEDULER},
+        "cpus_available": len(os.sched_getaffinity(0)), "allocated_cores": physical, "threads_per_core": threads, "child_processes": children(), "memory_allocated_bytes": memory, "memory_source": source,
+        "voluntary_context_switches": own.ru_nvcsw + ended.ru_nvcsw, "involuntary_context_switches": own.ru_nivcsw + ended.ru_nivcsw, "user_cpu_seconds": own.ru_utime + ended.ru_utime, "system_cpu_seconds": own.ru_stime + ended.ru_stime,
+        "peak_memory_bytes": max(own.ru_maxrss, ended.ru_maxrss) * 1024,
     }

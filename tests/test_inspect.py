@@ -2,6 +2,7 @@ import os
 
 import pytest
 
+from millrace import render
 from millrace.errors import StagingError
 from millrace.functions import scalars
 from millrace.operators import inspect, staging
@@ -109,3 +110,30 @@ def test_copies_and_memory_guard(spark):
     for args in ((10, None, 0.5), (60, 100, 0.5), (1, 100, 0.0)):
         with pytest.raises(StagingError):
             staging.check_safety(*args)
+
+
+def test_staged_copy_is_checked_and_goes(spark, tmp_path):
+    root = tree(tmp_path / "data", {"a/one.jpg": 10, "b/two.jpg": 20})
+    at = str(tmp_path / "tmp")
+    with staging.staged(spark, root, at, 1000) as copy:
+        assert (copy["staged_files"], copy["staged_bytes"], copy["dataset_fraction_of_memory"]) == (2, 30, 0.03)
+        assert os.path.getsize(os.path.join(copy["staged_path"], "b/two.jpg")) == 20
+        with pytest.raises(StagingError), staging.staged(spark, root, at, 1000):
+            pass
+        assert os.path.isdir(copy["staged_path"])
+    assert not os.path.exists(at)
+    for memory, source in ((40, root), (None, root), (1000, root + "/none")):
+        with pytest.raises(StagingError), staging.staged(spark, source, at, memory):
+            pass
+    assert not os.path.exists(at)
+    with staging.staged(spark, root + "/a/one.jpg", str(tmp_path), 1000) as copy:
+        assert copy["staged_files"] == 1
+    assert os.path.isdir(root) and not os.path.exists(tmp_path / "one.jpg")
+
+
+def test_reports_as_text(spark):
+    row = inspect.inspection_report(files(spark, [100] * 9 + [100_000])).first()
+    assert "10 files" in render.dataset_sentence(row) and render.dataset_sentence(inspect.inspection_report(files(spark, [])).first()) == ""
+    details = render.inspection_details(row)
+    assert "under 4096 bytes: 9 files, 90.0%" in details and ".jpg: 10 files" in details and "1. loose-file-baseline" in details
+    assert "not judged" in render.accounting_note(0) and render.accounting_note(2).startswith("2 whole epochs")

@@ -188,3 +188,35 @@ def test_environment_and_rendering(spark):
     assert env.rank_and_world({"SLURM_PROCID": "3", "SLURM_NTASKS": "8"}) == (3, 8) and env.rank_and_world({}) == (0, 1)
     text = render.table(spark.createDataFrame([("a", 0.123456, None)], "x string, y double, z int"))
     assert text.splitlines()[-1].split() == ["a", "0.1235", "-"]
+
+
+def test_context_names_fields_of_a_summary():
+    found = env.context()
+    assert set(found) <= set(runs.TYPES) and found["allocated_cores"] * found["threads_per_core"] <= found["cpus_available"]
+    assert found["child_processes"] >= 0 and found["voluntary_context_switches"] > 0 and set(found["slurm_context"]) == set(env.SCHEDULER)
+    runs.validate(runs.new_summary(**{k: v for k, v in found.items() if v is not None}))
+
+
+def test_reports_of_ladders_and_placements(spark, tmp_path, capsys):
+    rungs = [runs.write_summary(str(tmp_path / f"w{w}.json"), runs.new_summary(**(BASE | dict(run_name=f"w{w}", num_workers=w, samples_per_second=s)))) for w, s in ((0, 100.0), (2, 900.0), (7, 920.0))]
+    assert main(["compare", "workers", *rungs, "--no-report"]) == 0
+    out = capsys.readouterr().out
+    assert "2 *" in out and "RECOMMENDED_WORKERS=2" in out
+    places = [runs.write_summary(str(tmp_path / f"{p}.json"), runs.new_summary(**(BASE | dict(run_name=p, storage=p, samples_per_second=1.0, estimated_epoch_seconds=e, staging_seconds=s)))) for p, e, s in (("scratch", 100.0, 0.0), ("tmp", 50.0, 100.0))]
+    assert main(["compare", "storage", *places, "--no-report"]) == 0
+    assert "tmp against scratch: saves 50 s an epoch for 100 s of set-up, even after 2 epochs" in capsys.readouterr().out
+    made = main(["decide", "--layouts", rungs[0], str(tmp_path / "gone.json"), "--inspection", str(tmp_path / "nowhere"), "--output-dir", str(tmp_path / "out")])
+    assert made == 6 and "gone.json is not there" in capsys.readouterr().err
+
+
+def test_profiles(tmp_path):
+    from millrace.sources import synthetic
+
+    p = tmp_path / "p.yaml"
+    for text, fine in (("dataset: {profile: x, samples: 3, width: 4, height: 5}", True), ("dataset: {profile: x, samples: 0, width: 4, height: 5}", False), ("dataset: {profile: x}", False), ("dataset: {profile: x, samples: 3, width: 4, height: 5, more: 1}", False), ("other: {}", False), ("dataset: {profile: x, samples: 3, width: 4, height: 5, encoding: gif}", False)):
+        p.write_text(text)
+        if fine:
+            assert synthetic.load_profile(str(p)).extension == "jpg"
+        else:
+            with pytest.raises(ValueError):
+                synthetic.load_profile(str(p))
