@@ -99,13 +99,18 @@ def _by_work(rows: DataFrame, plan: ShardPlan) -> DataFrame:
     return found.withColumn("position", F.row_number().over(place) - 1).drop("rank", "total")
 
 
+def uneven_weights(plan: ShardPlan, shards: int) -> list[float]:
+    """Random weights between 1 and the imbalance factor; more shards have the same first ones."""
+    draw = random.Random(plan.seed + 1)
+    return [draw.uniform(1.0, plan.imbalance_factor) for _ in range(shards)]
+
+
 def _uneven(rows: DataFrame, plan: ShardPlan) -> DataFrame:
     """Consecutive runs whose lengths follow random weights between 1 and the factor."""
     spark = rows.sparkSession
     total = rows.count()
     shards = max(1, -(-total // plan.samples_per_shard))
-    draw = random.Random(plan.seed + 1)
-    weights = [draw.uniform(1.0, plan.imbalance_factor) for _ in range(shards)]
+    weights = uneven_weights(plan, shards)
     bounds, at = [], 0
     for i, w in enumerate(weights):
         n = total - at if i == shards - 1 else min(total - at, max(1, round(total * w / sum(weights))))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import batching, compare, coverage, decide, inspect, ladder, placement, shards, staging
+from . import roundtrips
 from . import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,16 +242,35 @@ def shard_preflight(spark: SparkSession, sf: str) -> DataFrame:
     return shards.preflight(shards.reader_loads(_index(spark, sf), READERS))
 
 
-@query()
+TAR_SUM = "((sum(512 + (byte_size + 511) // 512 * 512 + 1024) + 1024 + 10239) // 10240 * 10240)::BIGINT AS tar_bytes"
+INDEXED = f"count(*) AS samples, sum(byte_size)::BIGINT AS sample_bytes, sum(estimated_decode_cost)::BIGINT AS estimated_work, {TAR_SUM}"
+
+
+@query(f"""
+    WITH RECURSIVE o AS (SELECT *, row_number() OVER (ORDER BY estimated_decode_cost DESC, sample_id) AS n, (count(*) OVER () + 99) // 100 AS bins FROM v_samples),
+    p(n, loads, bin) AS (SELECT 0::BIGINT, list_transform(range((SELECT max(bins) FROM o)), lambda x: 0::BIGINT), 0::BIGINT
+        UNION ALL SELECT o.n, list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + estimated_decode_cost ELSE x END), list_position(loads, list_min(loads))::BIGINT FROM p JOIN o ON o.n = p.n + 1),
+    used AS (SELECT bin, (row_number() OVER (ORDER BY bin) - 1)::INTEGER AS shard_id FROM (SELECT DISTINCT bin FROM p WHERE n > 0))
+    SELECT shard_id, {INDEXED} FROM o JOIN p USING (n) JOIN used USING (bin) GROUP BY shard_id""")
 def shard_plan_work(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy packing has no set form: tested against a plain loop."""
+    """Greedy packing: the costliest sample next, to the shard with least work."""
     return shards.shard_index(shards.plan_shards(v.samples(spark, sf), shards.ShardPlan(100, balance_by="work")))
 
 
-@query()
+UNEVEN = shards.ShardPlan(100, imbalance_factor=6.0)
+#: The weights that the SQL has at hand: enough for 100,000 samples.
+WEIGHTS = shards.uneven_weights(UNEVEN, 1000)
+
+
+@query(f"""
+    WITH r AS (SELECT *, row_number() OVER (ORDER BY md5(sample_id || ':{UNEVEN.seed}'), sample_id) - 1 AS rank FROM v_samples), t AS (SELECT count(*) AS total, greatest(1, (count(*) + 99) // 100) AS n FROM r),
+    w AS (SELECT unnest(({WEIGHTS}::DOUBLE[])[1:n]) AS w, unnest(range(n)) AS i, total, n FROM t), lengths AS (SELECT *, greatest(1, round_even(total * w / (SELECT sum(w ORDER BY i) FROM w), 0))::BIGINT AS len FROM w),
+    ends AS (SELECT i, CASE WHEN i = n - 1 THEN total ELSE least(total, sum(len) OVER (ORDER BY i)) END AS hi FROM lengths), runs AS (SELECT i, coalesce(lag(hi) OVER (ORDER BY i), 0) AS lo, hi FROM ends),
+    kept AS (SELECT lo, hi, (row_number() OVER (ORDER BY i) - 1)::INTEGER AS shard_id FROM runs WHERE hi > lo)
+    SELECT shard_id, {INDEXED} FROM r JOIN kept ON rank >= lo AND rank < hi GROUP BY shard_id""")
 def shard_plan_imbalanced(spark: SparkSession, sf: str) -> DataFrame:
-    """Random weights: tested by its invariants."""
-    return shards.shard_index(shards.plan_shards(v.samples(spark, sf), shards.ShardPlan(100, imbalance_factor=6.0)))
+    """Runs of random lengths; the weights are given to the SQL."""
+    return shards.shard_index(shards.plan_shards(v.samples(spark, sf), UNEVEN))
 
 
 @query("SELECT path, 'size' AS problem FROM v_files WHERE nlink > 1 AND extension <> '.txt' UNION ALL SELECT path, 'absent' FROM v_files WHERE extension = '.txt'")
@@ -410,3 +430,9 @@ def readiness_verdict(spark: SparkSession, sf: str) -> DataFrame:
     runs = v.runs(spark, sf)
     distributed = coverage.cross_rank_verdict(v.reads(spark, sf), v.universe(spark, sf), v.WORLD_SIZE).crossJoin(F.broadcast(coverage.rank_balance(v.ranks(spark, sf))))
     return decide.decide(spark, layouts=runs, distributed=distributed, inspection=v.files(spark, sf), workers=runs, storage=runs)
+
+
+# Sources and sinks
+
+for _name, (_read, _sql) in roundtrips.QUERIES.items():
+    QUERIES[_name], ORACLE_SQL[_name] = _read, _sql

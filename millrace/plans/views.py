@@ -122,4 +122,7 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not found:
         return body
-    return f"WITH {found}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {found} {body}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(head):
+            return f"{head}{found}, {body.removeprefix(head)}"
+    return f"WITH {found} {body}"

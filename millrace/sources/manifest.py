@@ -28,7 +28,8 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     keys = F.json_object_keys("value")
     wanted = F.array(*[F.lit(k) for k in FIELDS])
     parsed = lines.select(F.from_json("value", SCHEMA).alias("r"), keys.alias("k"))
-    wrong = parsed.filter(F.col("k").isNull() | (F.size(F.array_except("k", wanted)) > 0) | (F.size(F.array_except(wanted, F.col("k"))) > 0))
+    untyped = F.exists(F.array(*[F.col(f"r.{k}").isNull() for k in FIELDS]), lambda x: x)  # a value of another type is read as null
+    wrong = parsed.filter(F.col("k").isNull() | (F.size(F.array_except("k", wanted)) > 0) | (F.size(F.array_except(wanted, F.col("k"))) > 0) | untyped)
     rows = parsed.select("r.*")
     repeated = rows.groupBy("sample_id").count().filter("count > 1")
     if wrong.take(1) or repeated.take(1):
@@ -52,16 +53,19 @@ def _explain(path: str) -> None:
                 raise ManifestError(f"{path}, line {n}: lacks {absent}")
             if other := sorted(set(found) - set(FIELDS)):
                 raise ManifestError(f"{path}, line {n}: unknown {other}")
+            if wrong := [k for k, t in FIELDS.items() if not isinstance(found[k], str if t == "string" else int) or isinstance(found[k], bool)]:
+                raise ManifestError(f"{path}, line {n}: {wrong} of another type than {[FIELDS[k] for k in wrong]}")
             if found["sample_id"] in seen:
                 raise ManifestError(f"{path}, line {n}: {found['sample_id']} occurs twice")
             seen.add(found["sample_id"])
-    raise ManifestError(f"{path}: a field has the wrong type")
+    raise ManifestError(f"{path}: a number is out of range")
 
 
 def write_manifest(samples: DataFrame, path: str) -> str:
     """Write sorted by id, with sorted keys: the same bytes whatever the order of the rows.
 
-    Rows stream to the driver partition by partition, already sorted.
+    One file of the same bytes has one writer: rows pass through the driver, partition
+    by partition, already sorted, and are not held there.
     """
     if samples.groupBy("sample_id").count().filter("count > 1").take(1):
         raise ManifestError("a sample_id occurs twice")

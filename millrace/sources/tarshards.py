@@ -47,7 +47,9 @@ class TarShardReader(DataSourceReader):
             random.Random(self.seed).shuffle(names)
         return [_Shard(os.path.join(self.directory, n)) for n in names[self.reader :: self.readers]]
 
-    def read(self, partition: _Shard) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Shard | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a reader without shards
+            return
         held, size, shard = [], 0, os.path.basename(partition.path)
         try:
             for sample_id, payload, class_id in samples_of(partition.path):

@@ -108,7 +108,7 @@ def test_manifest_round_trip_and_errors(spark, tmp_path):
     assert manifest.manifest_hash(a) == manifest.manifest_hash(b)
     assert manifest.read_manifest(spark, a).count() == 12
     lines = open(a).read().splitlines()
-    for bad, text in ((lines + [lines[0]], "line 13"), ([lines[0], "", "{"], "line 3"), ([lines[0].replace('"width"', '"wide"')], "lacks"), ([lines[0][:-1] + ', "more": 1}'], "unknown")):
+    for bad, text in ((lines + [lines[0]], "line 13"), ([lines[0], "", "{"], "line 3"), ([lines[0].replace('"width"', '"wide"')], "lacks"), ([lines[0][:-1] + ', "more": 1}'], "unknown"), ([lines[1], lines[0].replace('"width": 16', '"width": "16"')], "line 2.*width")):
         p = tmp_path / "bad.jsonl"
         p.write_text("\n".join(bad) + "\n")
         with pytest.raises(ValueError, match=text):
