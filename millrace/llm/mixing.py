@@ -37,10 +37,6 @@ WEIGHTS = (1, 2, 3)
 SHARDS = 64
 #: Rounds of the permutation of block indices, and the prime modulo which its hash squares.
 ROUNDS, PRIME = 12, 2147483647
-#: Slots that one row unfolds into at a time.
-RUN = 4096
-#: Slots that a partition is planned to hold, and the most partitions.
-PART, MOST_PARTS = 500_000, 100_000
 #: Not names that tables have: two hashes of a row, what is taken of it, and its new text.
 ONE, TWO, TIMES, PARTS, TEXT = (f"_millrace_{x}" for x in ("row_1", "row_2", "times", "parts", "text"))
 
@@ -136,11 +132,11 @@ def slots(plan: DataFrame, shards: int = SHARDS, seed: int = SEED, block: int =
     goals = work.cut(goals)
     about = ["source_size", "goal", "blocks"]
     runs = drawn.join(goals.select(F.col("source").alias("_source"), "all", "over", "over_at", *about), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    each = _unfolded(runs, "n").withColumn("rank", F.col("rank") + F.col("at"))
+    each = work.unfolded(runs, "n").withColumn("rank", F.col("rank") + F.col("at"))
     each = each.withColumns({"gone": F.expr("(rank * over) div all"), "gone_next": F.expr("((rank + 1) * over) div all")})
     kept = each.filter("gone = gone_next").select("source", *about, F.expr("rank - gone").alias("number"), "shard")
     freed = each.filter("gone < gone_next").select(F.expr("over_at + gone").alias("turn"), "shard")
-    filled = _unfolded(goals.filter("short > 0"), "short").select("source", *about, F.expr("all + at").alias("number"), F.expr("short_at + at").alias("turn"))
+    filled = work.unfolded(goals.filter("short > 0"), "short").select("source", *about, F.expr("all + at").alias("number"), F.expr("short_at + at").alias("turn"))
     used = kept.unionByName(filled.join(freed, "turn").drop("turn")).withColumns({"pass": F.expr("number div blocks"), "slot": F.expr("number % blocks")})
     # One row per source and pass.
     passes = goals.select(F.col("source").alias("_source"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(goal - 1) div source_size"))).alias("_pass"))
@@ -151,17 +147,6 @@ def slots(plan: DataFrame, shards: int = SHARDS, seed: int = SEED, block: int =
     return used.select("source", "pass", "slot", index.alias("block"), F.least(F.lit(block).cast("long"), take - F.col("slot") * block).alias("words"), "shard")
 
 
-def _unfolded(df: DataFrame, count: str) -> DataFrame:
-    """Each row as often as column ``count`` says, with ``at`` counting from 0: first in runs, dealt out, so that no task unfolds a whole large one."""
-    rows = df.filter(f"{count} > 0")
-    total = rows.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
-    # By what the rows unfold into: adaptive execution would go by the few bytes that they are before.
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, min(total // PART, MOST_PARTS))
-    runs = rows.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {RUN}"))))
-    runs = runs.repartition(parts, F.xxhash64(*[c for c, t in runs.dtypes if t in ("string", "int", "bigint")]))
-    return runs.withColumn("at", F.explode(F.sequence(F.col("_run") * RUN, F.least((F.col("_run") + 1) * RUN, F.col(count)) - 1))).drop("_run")
-
-
 def _placed(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """(distinct rows with ``copies``, every row with its first word ``_at`` in its source and a number ``_row``), written tables."""
     buckets = work.bucket_count(docs)
@@ -170,9 +155,7 @@ def _placed(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     rows = work.cut(sized(docs, seed).groupBy(*names).agg(F.count("*").alias("copies")).withColumn("_bucket", bucket))
     order = [F.col(c) for c in ("_mix", "doc_id", "size", ONE, TWO)]
     at = work.cut(work.running_before(rows, ["source"], "_bucket", order, F.col("size") * F.col("copies"), "_at", "source_size").drop("_bucket", "_mix"))
-    few = at.filter(f"copies <= {RUN}").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
-    each = few.unionByName(_unfolded(at.filter(f"copies > {RUN}"), "copies"))
-    return rows, work.cut(each.withColumn("_at", F.col("_at") + F.col("at") * F.col("size")).drop("at", "copies").withColumn("_row", F.monotonically_increasing_id()))
+    return rows, work.cut(work.each_copy(at).withColumn("_at", F.col("_at") + F.col("at") * F.col("size")).drop("at").withColumn("_row", F.monotonically_increasing_id()))
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> tuple[DataFrame, DataFrame]:

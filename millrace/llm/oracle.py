@@ -11,7 +11,7 @@ PLAIN = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 OP1 = f"""
     WITH RECURSIVE table8(i, c, k) AS (SELECT i::BIGINT, i::BIGINT, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, k + 1 FROM table8 WHERE k < 8),
     crc AS (SELECT list(c ORDER BY i) AS t FROM table8 WHERE k = 8),
-    sized AS (SELECT doc_id, source, text, (coalesce(strlen(text), 0) + 16)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':{sharding.SEED}') AS mix FROM documents),
+    sized AS (SELECT doc_id, source, text, (coalesce(strlen(text), 0) + 16)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':{sharding.SEED}:' || md5(coalesce(text, ''))) AS mix FROM documents),
     summed AS (SELECT doc_id, source, size, mix, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)::BIGINT AS text_crc32 FROM sized, crc),
     ranked AS (SELECT *, (2 * (row_number() OVER (PARTITION BY source ORDER BY mix, doc_id, size, text_crc32) - 1) + 1)::DOUBLE / (2 * count(*) OVER (PARTITION BY source))::DOUBLE AS share FROM summed),
     placed AS (SELECT *, row_number() OVER (ORDER BY share, source NULLS LAST, mix, doc_id, size, text_crc32) - 1 AS pos, count(*) OVER () AS total FROM ranked),

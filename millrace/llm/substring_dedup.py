@@ -20,13 +20,14 @@ quadratic, so windows are matched by content hash instead (see the README):
    chunk of documents, so a passage that many documents share costs a row a chunk.
 3. Texts with covered windows are joined with them and cut.
 
-Texts are shuffled only where a fixed-size filter says that they may take part.
+Texts are shuffled only where a filter, sized by the keys, says that they may take part.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +44,9 @@ CHUNK_WORDS = 1 << 20
 #: Words that one bucket of an exchange is planned to hold.
 BUCKET_WORDS = 4 << 20
 MIN_BUCKETS = 12
-#: Bits of the filter by key that comes before texts are shuffled.
-FILTER_BITS = 1 << 23
 NO_ID = (1 << 63) - 1
+#: Seed of the words' second hashes: two windows are equal by 64 bits of the first and 32 bits of these.
+SECOND = 1
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,12 +56,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """One 64-bit hash for each word of a text."""
+def word_hashes(text: bytes, seed: int = 0) -> np.ndarray:
+    """One 64-bit hash for each word of a text; those of different seeds are independent."""
     from xxhash import xxh3_64_intdigest
 
     words = text.split()
-    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.fromiter(map(xxh3_64_intdigest, words, repeat(seed)), np.uint64, len(words)) if seed else np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def _rolling(codes: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
@@ -240,7 +241,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], places: list[int]) -> Iterat
         wanted[np.array([i for i in flagged if i < len(at)], np.int64)] = True
         w = np.flatnonzero(wanted[anchor_of])
         a1.append(_rolling(codes, WINDOW, ODD)[w])
-        a2.append(_rolling(_mixed(codes + ODD), WINDOW, np.uint64(0xD1342543DE82EF95))[w].astype(np.uint32))
+        a2.append(_rolling(word_hashes(text, SECOND), WINDOW, np.uint64(0xD1342543DE82EF95))[w].astype(np.uint32))
         ids.append(np.full(len(w), NO_ID if doc_id is None else doc_id, np.int64))
         keys.append(np.full(len(w), key, np.int64))
         starts.append(w.astype(np.int32))
@@ -312,15 +313,9 @@ def _exchange(rows: DataFrame, buckets: int, then) -> DataFrame:
 
 
 def _maybe(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that may have a key among ``keys``, rows that have none), by a filter of fixed size."""
-    at = F.pmod("_key", F.lit(FILTER_BITS))
-    some = keys.select(at.alias("b")).distinct().groupBy(F.expr("cast(b div 64 as int)").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
-    every = keys.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("i"))
-    full = every.join(some, "i", "left").select(F.struct("i", F.coalesce("bits", F.lit(0)).cast("long").alias("bits")).alias("s"))
-    bits = work.cut(full.agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["bits"]).alias("_bits")))
-    word = F.element_at("_bits", (F.expr(f"pmod(_key, {FILTER_BITS}) div 64") + 1).cast("int"))
-    asked = docs.join(F.broadcast(bits)).withColumn("_in", F.getbit(word, (at % 64).cast("int")) == 1).drop("_bits")  # one row of fixed size
-    return asked.filter("_in").drop("_in"), asked.filter("not _in").drop("_in")
+    """(rows that may have a key among ``keys``, rows that have none)."""
+    passes = work.passes(keys, "_key")(F.col("_key"))
+    return docs.filter(passes), docs.filter(~passes)
 
 
 def _digest(words: list[bytes], runs: list[int] | None) -> tuple[int, int, str]:

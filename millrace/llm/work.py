@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +16,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 MIN_BUCKETS = 1024
 #: Rows that one bucket of a rank or running total is planned to hold.
 BUCKET_ROWS = 100_000
+#: Rows that one row unfolds into at a time, rows that a partition of unfolded ones is planned to hold, and the most partitions.
+RUN, PART, MOST_PARTS = 4096, 500_000, 100_000
+#: Bits of a filter for each key, and its least and greatest size: beyond that it passes more rows, none less.
+KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,6 +82,38 @@ def text_slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Itera
                 start, held = i + 1, 0
 
 
+def unfolded(df: DataFrame, count: str) -> DataFrame:
+    """Each row as often as column ``count`` says, with ``at`` counting from 0: first in runs, dealt out, so that no task unfolds a whole large one."""
+    rows = df.filter(f"{count} > 0")
+    total = rows.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).first()["n"]
+    # By what the rows unfold into: adaptive execution would go by the few bytes that they are before.
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, min(total // PART, MOST_PARTS))
+    runs = rows.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {RUN}"))))
+    runs = runs.repartition(parts, F.xxhash64(*[c for c, t in runs.dtypes if t in ("string", "int", "bigint")]))
+    return runs.withColumn("at", F.explode(F.sequence(F.col("_run") * RUN, F.least((F.col("_run") + 1) * RUN, F.col(count)) - 1))).drop("_run")
+
+
+def each_copy(rows: DataFrame) -> DataFrame:
+    """Distinct rows with ``copies``, a written table, as so many rows each, with ``at``; only rows with many copies are dealt out anew."""
+    few = rows.filter(f"copies <= {RUN}").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return few.unionByName(unfolded(rows.filter(f"copies > {RUN}"), "copies")).drop("copies")
+
+
+def passes(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test for values of ``key``: true for all that ``keys`` has (a written table) and few others.
+
+    Bits are sized by the number of keys, within bounds, and reach the plan as a
+    scalar subquery of one row.
+    """
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (KEY_BITS * keys.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
+    some = keys.select(place(F.col(key)).alias("b")).distinct().groupBy(F.expr("cast(b div 64 as int)").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
+    every = keys.sparkSession.range(size // 64).select(F.col("id").cast("int").alias("i"))
+    full = every.join(some, "i", "left").select(F.struct("i", F.coalesce("bits", F.lit(0)).cast("long").alias("bits")).alias("s"))
+    bits = cut(full.agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["bits"]).alias("bits")))
+    return lambda c: F.getbit(F.element_at(bits.scalar(), (F.floor(place(c) / 64) + 1).cast("int")), (place(c) % 64).cast("int")) == 1
+
+
 def labelled_sample(docs: DataFrame, known: DataFrame, rows: int, most_bytes: int) -> DataFrame:
     """The columns of ``known`` (doc_id and labels) with ``text``: at most ``rows`` rows of at most ``most_bytes`` bytes together.
 

@@ -41,6 +41,23 @@ def test_sharding_laws(spark, docs, none):
     assert rows(sharding.shard_documents(none, 4)) == []
 
 
+def test_rows_that_repeat_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(work, "RUN", 16)
+    given = [(None, None, "a")] * 150 + [(None, f"t{i}", "a") for i in range(50)] + [(7, "same", None)] * 40 + [(i, "x" * i, "b") for i in range(30)]
+    found = rows(sharding.interleave(spark.createDataFrame(given, "doc_id long, text string, source string").repartition(3), 10))
+    assert sorted(r["position"] for r in found) == list(range(270)) and {(r["shard"], r["slot"]) for r in found} == {(k, i) for k in range(10) for i in range(27)}
+    assert Counter((r["doc_id"], r["size"], r["source"]) for r in found) == Counter((i, len(raw(t)) + 16, s) for i, t, s in given)
+    assert all(abs(n - 20) <= 1 for n in Counter(r["shard"] for r in found if r["source"] == "a").values())
+
+
+def test_filters_pass_every_key(spark):
+    keys = work.cut(spark.createDataFrame([(f"k{i}",) for i in range(500)] + [(None,)], "k string"))
+    asked = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"))
+    got = {r["k"] for r in asked.filter(work.passes(keys, "k")(F.col("k"))).collect()}
+    assert {f"k{i}" for i in range(500)} <= got and len(got) < 1000
+    assert asked.filter(work.passes(work.cut(keys.limit(0)), "k")(F.col("k"))).count() == 0
+
+
 def test_shards_hold_the_mixture(spark):
     many = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, "mid").alias("source"))
     counts = sharding.interleave(many, 10).groupBy("shard").pivot("source", ["hot", "mid"]).count().collect()
@@ -328,7 +345,7 @@ def test_draws_are_multinomial(spark):
 
 
 def test_rows_repeated_often(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "RUN", 16)
+    monkeypatch.setattr(work, "RUN", 16)
     docs = spark.createDataFrame([(None, "four words in here", "a", 18)] * 200 + [(None, None, "a", 0)] * 50 + [(i, "x y z " * i, "b", 1) for i in range(40)], "doc_id long, text string, source string, n_chars long").repartition(4)
     found = rows(mixing.mix(docs)[0])
     assert len(found) == 290 and sum(r["taken"] for r in found if r["source"] == "a") == round(next(r["target"] for r in found if r["source"] == "a"))
