@@ -8,10 +8,11 @@ equal, so two fingerprints that link share a grid cell of some choice of
 ``GROUPS - d`` groups. Cells are joined by equality, the bound is tested over all
 coordinates, and what passes is verified bit by bit.
 
-Only distinct fingerprints are joined, so a group of copies is one point. Within
-a cell, points are taken up breadth first and leave the cell when reached: a
-dense cell of ``n`` points gives ``n - 1`` links, never all pairs, and the same
-components. Components are the fixed point of alternating large-star and
+Only distinct fingerprints are joined, so a group of copies is one point. A large
+cell is split again, by bits this time (``_split``), so that the work on it is a few
+sorts and not all pairs. Within a part, points are taken up breadth first and leave
+it when reached: a dense part of ``n`` points gives ``n - 1`` links, never all pairs,
+and the same components. Components are the fixed point of alternating large-star and
 small-star rounds over written tables; no link reaches the driver.
 
 ``alike``, for stages that ask for a similarity of shingle sets, draws its grid
@@ -20,6 +21,7 @@ from several such fingerprints, bit by bit, and counts the similarity itself.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -41,13 +43,17 @@ GROUPS = 8
 STAGE_WORDS = 5
 #: Independent 64-bit fingerprints of a set of shingles.
 PRINTS = 4
-#: Grid cells of a set, and the bits of each, drawn from all fingerprints. Bits of a pair at 0.8 agree with probability 0.85, so some 98 % of such pairs share a cell.
-CELLS, CELL_BITS = 100, 17
+#: Least bits of a grid cell, drawn from all fingerprints, and sets that a cell of more bits is planned to hold.
+CELL_BITS, CELL_SETS = 17, 128
+#: Bits of a pair at 0.8 agree with this probability, and such a pair is to share no cell with this one at most.
+AGREE, MISSED = 0.85, 0.0015
 #: Pairs at 0.8 differ in some 39 of the 256 bits, with a deviation of 6; pairs up to this many are verified. Sets of fewer than ``FEW`` shingles vary more.
 NEAR_BITS, FEW, FEW_NEAR_BITS = 54, 32, 80
 #: Points of a cell up to this many are compared by sorted neighbourhoods, all cells at once; larger cells one by one.
 SMALL_CELL = 8
-#: The same, for cells of sets.
+#: Cells of more points are split by bits.
+SPLIT_CELL = 256
+#: The same as ``SMALL_CELL``, for cells of sets.
 SMALL_SET_CELL = 256
 ROUNDS = 60
 #: Not names that tables have.
@@ -123,7 +129,52 @@ def _near(one: np.ndarray, many: np.ndarray, distance: int) -> np.ndarray:
     return found
 
 
-def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+def _parts(mask: np.uint64, n: int) -> list[np.uint64]:
+    """The two-bit segments that are set in ``mask``, dealt into ``n`` masks."""
+    own = [i for i in range(SEGMENTS) if int(mask) >> (2 * i) & 3]
+    return [np.uint64(sum(3 << (2 * i) for i in own[k::n])) for k in range(n)]
+
+
+def _split(bits: np.ndarray, distance: int) -> Iterator[np.ndarray]:
+    """Sets of places in ``bits``, the points of one cell, that hold each pair within ``distance`` together in one of them.
+
+    Where all points have the same count, a pair can differ only by a swap within a
+    segment: two bits. So if ``e`` of these segments differ, the rest differs in
+    ``distance - 2 e`` bits at most. Cut the former into ``e + 1`` parts and the rest
+    into one more than it can differ in: the pair agrees in one part of each.
+    """
+    counts = popcounts(bits)
+    same = (counts == counts[0]).all(axis=0)
+    equal = np.uint64(sum(3 << (2 * i) for i in np.flatnonzero(same).tolist()))
+    rest = ~equal
+    for e in range(distance // 2 + 1):
+        left = distance - 2 * e
+        for one in _parts(equal, e + 1) if left else [np.uint64(0)]:
+            for two in _parts(rest, left + 1) if e else [np.uint64(0)]:
+                key = bits & (one | two)
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+                sizes = np.diff(edges)
+                yield from (order[edges[i] : edges[i + 1]] for i in np.flatnonzero(sizes > 1).tolist())
+
+
+def _reached(bits: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what ``bits`` connect, found breadth first from any point."""
+    rest, ready = bits, []
+    while len(rest):
+        if not ready:
+            ready, rest = [rest[:1]], rest[1:]
+        point = ready.pop()
+        near = _near(point, rest, distance)
+        if near.any():
+            got = rest[near]
+            yield np.repeat(point, len(got)), got
+            ready += [got[i : i + 1] for i in range(len(got))]
+            rest = rest[~near]
+
+
+def _links(batches: Iterator[pa.RecordBatch], distance: int, split: bool) -> Iterator[pa.RecordBatch]:
     """Links of a partition that holds whole cells: enough to connect what each cell connects."""
     parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
     if not parts:
@@ -143,18 +194,11 @@ def _links(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
             left.append(bits[i])
             right.append(bits[i + lag])
     for start, n in zip(edges[sizes > SMALL_CELL].tolist(), sizes[sizes > SMALL_CELL].tolist(), strict=True):
-        rest, ready = bits[start : start + n], []
-        while len(rest):
-            if not ready:
-                ready, rest = [rest[:1]], rest[1:]
-            point = ready.pop()
-            reached = _near(point, rest, distance)
-            if reached.any():
-                got = rest[reached]
-                left.append(np.repeat(point, len(got)))
-                right.append(got)
-                ready += [got[i : i + 1] for i in range(len(got))]
-                rest = rest[~reached]
+        points = bits[start : start + n]
+        for some in _split(points.view(np.uint64), distance) if split and n > SPLIT_CELL else [np.arange(n)]:
+            for a, b in _reached(points[some], distance):
+                left.append(a)
+                right.append(b)
     if left:
         yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(left)), "b": pa.array(np.concatenate(right))})
 
@@ -163,7 +207,7 @@ def links(points: DataFrame, distance: int = DISTANCE, groups: int = GROUPS, seg
     """Pairs (a, b) of distinct ``bits`` that link, and enough of them that components are whole."""
     cells = points.select("bits").mapInArrow(lambda it: _cells(it, groups, distance, segments), "cell long, bits long")
     # By hash of the cell, with the rows of a cell together and unordered; a cell is then 8 bytes a point.
-    return cells.repartition(F.col("cell")).mapInArrow(lambda it: _links(it, distance), "a long, b long").distinct()
+    return cells.repartition(F.col("cell")).mapInArrow(lambda it: _links(it, distance, segments == SEGMENTS), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,23 +295,30 @@ def _shingles(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_pydict({"id": part.column(0), "hashes": pa.array([shingle_set(x, seed=seed).view(np.int64) for x in texts], pa.list_(pa.int64()))})
 
 
-def cell_keys(words: np.ndarray) -> np.ndarray:
-    """The cells of sets with fingerprints ``words``, a row each: ``CELLS`` columns, each its own ``CELL_BITS`` bits."""
+def grid(sets: int) -> tuple[int, int]:
+    """(cells of a set, bits of a cell) for so many sets: cells keep their size, and a pair at 0.8 its chance to share one."""
+    bits = max(CELL_BITS, math.ceil(math.log2(max(1, sets) / CELL_SETS)))
+    return math.ceil(math.log(MISSED) / math.log(1 - AGREE**bits)), bits
+
+
+def cell_keys(words: np.ndarray, cells: int, cell_bits: int) -> np.ndarray:
+    """The cells of sets with fingerprints ``words``, a row each: ``cells`` columns, each its own ``cell_bits`` bits."""
     rng = np.random.default_rng(7)
-    pick = np.zeros((64 * PRINTS, CELLS), np.float32)  # exact: sums stay below 2**24
-    for i in range(CELLS):
-        pick[rng.choice(64 * PRINTS, CELL_BITS, replace=False), i] = 2.0 ** np.arange(CELL_BITS)
+    kind = np.float32 if cell_bits < 24 else np.float64  # sums are exact
+    pick = np.zeros((64 * PRINTS, cells), kind)
+    for i in range(cells):
+        pick[rng.choice(64 * PRINTS, cell_bits, replace=False), i] = 2.0 ** np.arange(cell_bits)
     bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
-    return (bits.astype(np.float32) @ pick).astype(np.int64) + (np.arange(CELLS, dtype=np.int64) << CELL_BITS)
+    return (bits.astype(kind) @ pick).astype(np.int64) + (np.arange(cells, dtype=np.int64) << cell_bits)
 
 
-def _set_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_cells(batches: Iterator[pa.RecordBatch], cells: int, cell_bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 2048):
             part = batch.slice(at, 2048)
             columns = {c: part.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(part.schema.names)}
-            keys = cell_keys(np.stack([columns[c] for c in PRINT_COLUMNS], axis=1))
-            yield pa.RecordBatch.from_pydict({"cell": pa.array(keys.T.reshape(-1)), **{c: pa.array(np.tile(x, CELLS)) for c, x in columns.items()}})
+            keys = cell_keys(np.stack([columns[c] for c in PRINT_COLUMNS], axis=1), cells, cell_bits)
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(keys.T.reshape(-1)), **{c: pa.array(np.tile(x, cells)) for c, x in columns.items()}})
 
 
 def _apart(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -350,8 +401,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(points: DataFrame) -> DataFrame:
     """(a, b): pairs of ``points`` (id, n, fingerprints) that share a cell and may be alike, each once."""
-    columns = ["id", "n", *PRINT_COLUMNS]
-    cells = points.select(*columns).mapInArrow(_set_cells, "cell long, id long, n int, " + ", ".join(f"{c} long" for c in PRINT_COLUMNS))
+    columns, (each, bits) = ["id", "n", *PRINT_COLUMNS], grid(points.count())
+    cells = points.select(*columns).mapInArrow(lambda it: _set_cells(it, each, bits), "cell long, id long, n int, " + ", ".join(f"{c} long" for c in PRINT_COLUMNS))
     return cells.repartition(F.col("cell")).mapInArrow(_candidates, "a long, b long").distinct()
 
 

@@ -420,6 +420,41 @@ def test_links_of_dense_and_sparse_points(spark, distance, groups, segments):
     assert edges.count() < 40 * len(points)
 
 
+@pytest.mark.parametrize("distance", [2, 3, 4, 5])
+def test_split_cells_keep_each_link(monkeypatch, distance):
+    """Points of one cell by brute force: each pair within the distance is in a part, and far fewer pairs than all are."""
+    r = random.Random(distance)
+    points = set()
+    for _ in range(700):  # half of the segments have one count in all points: one bit of two
+        p = sum((r.choice([1, 2]) if i % 2 else r.randrange(4)) << (2 * i) for i in range(32))
+        points.add(p)
+        for _ in range(r.choice([0, 0, 1, 2])):
+            q, budget = p, distance
+            while budget > 0:
+                i = r.randrange(32)
+                q, budget = (q ^ 3 << (2 * i), budget - 2) if i % 2 else (q ^ r.choice([1, 2]) << (2 * i), budget - 1)
+                if budget >= 0 and (q ^ p).bit_count() <= distance:
+                    points.add(q)
+    bits = np.array(sorted(points), np.uint64)
+    parts = list(simhash._split(bits, distance))
+    together = {(min(a, b), max(a, b)) for x in parts for a in x.tolist() for b in x.tolist() if a != b}
+    gap = np.bitwise_count(bits[:, None] ^ bits[None, :])
+    want = {(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(gap <= distance))) if a < b}
+    assert len(want) > 300 and want <= together and len(together) < 0.2 * len(bits) ** 2 / 2
+
+
+def test_large_cells_are_split_the_same(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SPLIT_CELL", 8)
+    test_links_of_dense_and_sparse_points.__wrapped__(spark, 4, 8, 32) if hasattr(test_links_of_dense_and_sparse_points, "__wrapped__") else test_links_of_dense_and_sparse_points(spark, 4, 8, 32)
+
+
+def test_grids_grow_with_the_sets():
+    assert simhash.grid(0) == simhash.grid(200_000) == (100, 17)
+    for n in (10**8, 10**10):
+        cells, bits = simhash.grid(n)
+        assert n / 2**bits <= simhash.CELL_SETS and (1 - simhash.AGREE**bits) ** cells <= simhash.MISSED
+
+
 def changed(r, words, similarity):
     """(similarity, text): ``words`` with some replaced, as near above ``similarity`` of five-word shingles as single words allow."""
     shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
