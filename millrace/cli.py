@@ -204,6 +204,9 @@ def benchmark(a) -> int:
     timed = measure.measure(spark, {c.dataset.layout: source}, repeats=3)
     row = sorted(timed.collect(), key=lambda r: r["samples_per_second"])[1]
     known = {k: x for k, x in context().items() if k in runs.TYPES}
+    if c.dataset.layout == "adapter":
+        about = tracks.load_adapter(c.dataset.adapter)(root=c.dataset.root)
+        known |= {k: x for k, x in (about.describe() if hasattr(about, "describe") else {}).items() if k in runs.OPTIONAL}
     summary = runs.new_summary(
         **known, run_name=c.run.name, config_path=a.config, config_hash=c.config_hash(), layout=c.dataset.layout, storage=c.storage.location, num_workers=c.loader.num_workers, samples_measured=row["samples_measured"], bytes_read=row["bytes_read"], measured_seconds=row["measured_seconds"],
         samples_per_second=row["samples_per_second"], mib_per_second=row["mib_per_second"], failed_samples=row["failed_samples"], manifest_hash=manifest.manifest_hash(c.dataset.manifest), seed=c.run.seed, batch_size=c.loader.batch_size,

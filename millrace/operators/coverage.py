@@ -34,6 +34,11 @@ def distinct_samples(reads: DataFrame) -> DataFrame:
     return reads.select("sample_index").distinct().agg(F.count("*").alias("distinct_samples"))
 
 
+def unique_samples(reads: DataFrame) -> DataFrame:
+    """(rank, sample_index): which samples each rank saw, each once, as rows and not as lists that grow with the epoch."""
+    return reads.select("rank", "sample_index").distinct()
+
+
 def idle_ranks(reads: DataFrame, world_size: int) -> DataFrame:
     """Ranks that read nothing."""
     ranks = reads.sparkSession.range(world_size).select(F.col("id").cast("int").alias("rank"))

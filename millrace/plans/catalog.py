@@ -99,6 +99,11 @@ def distinct_samples(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.distinct_samples(v.reads(spark, sf))
 
 
+@query("SELECT DISTINCT rank, sample_index FROM v_reads")
+def unique_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return coverage.unique_samples(v.reads(spark, sf))
+
+
 @query("SELECT doc_id, sample_id FROM v_samples WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def missing_samples(spark: SparkSession, sf: str) -> DataFrame:
     return staging.absent_samples(v.samples(spark, sf), v.table(spark, sf, "labels"), "doc_id").select("doc_id", "sample_id")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ManifestError
+from ..functions.scalars import checksum
 
 FIELDS = {"sample_id": "string", "relative_path": "string", "class_id": "int", "byte_size": "long", "width": "int", "height": "int", "checksum": "string", "estimated_decode_cost": "long"}
 SCHEMA = ", ".join(f"{k} {t}" for k, t in FIELDS.items())
@@ -91,14 +92,19 @@ def content_hash(samples: DataFrame) -> DataFrame:
     return samples.agg(F.lower(F.hex(F.bit_xor(F.xxhash64(*columns)))).alias("content_hash"), F.count("*").alias("samples"), F.sum("byte_size").alias("total_bytes"))
 
 
-def payloads(samples: DataFrame, root: str) -> DataFrame:
-    """``samples`` and their files' bytes under ``root``; an absent file is a failed sample with size 0."""
+def payloads(samples: DataFrame, root: str, verify: bool = False) -> DataFrame:
+    """``samples`` and their files' bytes under ``root``; an absent or empty file is a failed sample with size 0.
+
+    With ``verify`` a file whose checksum is not the manifest's has failed, too.
+    """
     spark = samples.sparkSession
     base = os.path.abspath(root)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     found = found.select(F.regexp_replace("path", "^file:/+", "/").alias("_full"), F.col("content").alias("payload"))
     joined = samples.withColumn("_full", F.concat(F.lit(base + "/"), "relative_path")).join(found, "_full", "left").drop("_full")
     failed = F.col("payload").isNull() | (F.octet_length("payload") == 0)
+    if verify:
+        failed = failed | ~checksum(F.col("payload")).eqNullSafe(F.col("checksum"))
     return joined.withColumn("failed", failed).withColumn("read_bytes", F.when(failed, 0).otherwise(F.octet_length("payload")).cast("long"))
 
 

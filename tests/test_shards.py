@@ -126,6 +126,9 @@ def test_loose_files_and_failures(spark, tmp_path):
     back = manifest.payloads(made.drop("payload"), str(tmp_path)).collect()
     assert [r.failed for r in sorted(back, key=lambda r: r.sample_id)] == [False] * 5 + [True]
     assert sum(r.read_bytes for r in back) == sum(len(r.payload) for r in made.collect()[:5])
+    changed = made.orderBy("sample_id").first()
+    (tmp_path / changed.relative_path).write_bytes(b"\0" + bytes(changed.payload)[1:])
+    assert [r.failed for r in manifest.payloads(made.drop("payload"), str(tmp_path), verify=True).orderBy("sample_id").collect()] == [True, False, False, False, False, True]
 
 
 def test_ranges_of_ids_are_even_in_sorted_input(spark):
