@@ -44,6 +44,8 @@ CHUNK_WORDS = 1 << 20
 #: Words that one bucket of an exchange is planned to hold.
 BUCKET_WORDS = 4 << 20
 MIN_BUCKETS = 12
+#: Repeated anchors or windows that a task keeps in mind, so that it sends each once and not once a chunk; beyond that it sends more.
+KNOWN = 1 << 19
 NO_ID = (1 << 63) - 1
 #: Seed of the words' second hashes: two windows are equal by 64 bits of the first and 32 bits of these.
 SECOND = 1
@@ -171,10 +173,18 @@ def _by_key(keys: np.ndarray, values: np.ndarray) -> list[tuple[int, list[int]]]
     return [(int(keys[a]), v.tolist()) for a, v in zip(cuts, np.split(values, cuts[1:]) if len(keys) else [], strict=True)]
 
 
+def _place(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where each value is in a sorted array, -1 where it is not."""
+    if not len(known):
+        return np.full(len(asked), -1)
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return np.where(known[at] == asked, at, -1)
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch], places: list[int]) -> Iterator[pa.RecordBatch]:
-    """Anchors of a chunk, each once; those that the chunk itself repeats are known to be shared."""
+    """Anchors of a chunk, each once; those that the chunk itself repeats, or that an earlier one did, are known to be shared."""
     hashes, keys, ordinals = [], [], []
-    buckets = len(places)
+    buckets, seen = len(places), np.zeros(0, np.uint64)
 
     def take(row) -> int:
         _, key, text = row
@@ -187,6 +197,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], places: list[int]) -> Iterat
         return len(codes)
 
     def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal seen
         if not hashes:
             return
         h, k, o = np.concatenate(hashes), np.concatenate(keys), np.concatenate(ordinals)
@@ -194,14 +205,17 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], places: list[int]) -> Iterat
         order = np.argsort(h, kind="stable")
         h, k, o = h[order], k[order], o[order]
         new = np.r_[True, h[1:] != h[:-1]]
+        each = h[new]
         count = np.diff(np.r_[np.flatnonzero(new), len(h)])
-        several = np.repeat(count > 1, count)
-        alone = ~several
-        heads = new & several  # the bucket must know that these occur, too: for other chunks' sake
-        keep = alone | heads
+        known = _place(seen, each) >= 0
+        shared = np.repeat((count > 1) | known, count)
+        # The bucket must know that the repeated ones occur, too: for other tasks' sake.
+        keep = new & ~np.repeat(known, count)
         b = (h[keep] % np.uint64(buckets)).astype(np.int64)
         rows = [(i, blob) for i, blob in _split(b, buckets, {"h": h[keep], "k": k[keep], "o": o[keep]})]
-        yield from _packed(rows, _by_key(k[several], o[several]), places)
+        yield from _packed(rows, _by_key(k[shared], o[shared]), places)
+        if len(seen) < KNOWN:
+            seen = np.union1d(seen, each[(count > 1) & ~known])
 
     yield from _bucket_rows(batches, take, flush)
 
@@ -227,9 +241,10 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], places: list[int]) -> Iterator[pa.RecordBatch]:
-    """Candidate windows of a chunk: of equal ones only the first, the others are known to be covered."""
+    """Candidate windows of a chunk: of equal ones only the first, unless an earlier chunk had one before it; the others are known to be covered."""
     a1, a2, ids, keys, starts, homes = [], [], [], [], [], []
     buckets = len(places)
+    seen = [np.zeros(0, t) for t in (np.uint64, np.uint32, np.int64, np.int32)]  # hashes, id and start of repeated windows
 
     def take(row) -> int:
         doc_id, key, flagged, text = row
@@ -249,12 +264,27 @@ def _window_rows(batches: Iterator[pa.RecordBatch], places: list[int]) -> Iterat
         return len(codes)
 
     def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal seen
         if not a1:
             return
         h1, h2, i, k, s, b = (np.concatenate(x) for x in (a1, a2, ids, keys, starts, homes))
         for x in (a1, a2, ids, keys, starts, homes):
             x.clear()
         first, later, order = _first_of_equal(h1, h2, i, s)
+        own = [x[order] for x in (h1, h2, i, s)]
+        heads = np.flatnonzero(np.r_[True, (own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1])])
+        count = np.diff(np.r_[heads, len(order)])
+        mine = [x[heads] for x in own]
+        at = _place(seen[0], mine[0])
+        had = [x[at] if len(x) else np.zeros(len(at), x.dtype) for x in seen]
+        before = (at >= 0) & (had[1] == mine[1]) & ((had[2] < mine[2]) | ((had[2] == mine[2]) & (had[3] < mine[3])))
+        gone = np.repeat(before, count)
+        first, later = first & ~gone, later | gone
+        if len(seen[0]) < KNOWN:
+            more = [np.concatenate([x, y[(count > 1) & ~before]]) for x, y in zip(seen, mine, strict=True)]
+            best = np.lexsort((more[3], more[2], more[1], more[0]))
+            best = best[np.r_[True, more[0][best][1:] != more[0][best][:-1]]] if len(best) else best
+            seen = [x[best] for x in more]
         rows = [(n, blob) for n, blob in _split(b[order][first], buckets, {"h1": h1[order][first], "h2": h2[order][first], "i": i[order][first], "k": k[order][first], "s": s[order][first]})]
         yield from _packed(rows, _runs(k[order][later], s[order][later]), places)
 

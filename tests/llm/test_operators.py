@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -146,6 +147,28 @@ def test_repeats_of_random_passages(spark, monkeypatch, chunk):
     assert all(want[x["doc_id"]] == (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in found) and sum(x["n_removed"] for x in found) > 0
 
 
+def test_chunks_of_a_task_send_a_passage_once(monkeypatch):
+    """A passage in every document: chunks after the first send nothing of it, whatever the order of ids."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_WORDS", 200)
+    passage = [f"p{i}" for i in range(60)]
+    for ids in (range(40), range(39, -1, -1)):
+        texts = [" ".join([f"own{i}", *passage, f"end{i}"]) for i in ids]
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(list(ids), pa.int64()), "_key": pa.array(list(ids), pa.int64()), "text": pa.array(texts)})
+        sent = [b for b in substring_dedup._anchor_rows(iter([batch]), list(range(7)))]
+        blobs = [substring_dedup.unpack(x.as_py(), np.uint64, np.int64, np.int32)[0] for b in sent for x in b.column(1) if x.is_valid]
+        counts = Counter(np.concatenate(blobs).tolist())
+        assert max(counts.values()) <= 1 and sum(counts.values()) < 200
+        flags = pa.array([list(range(60))] * 40, pa.list_(pa.int32()))
+        wide = pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "_key": batch.column(1), "ordinals": flags, "text": batch.column(2)})
+        windows = [substring_dedup.unpack(x.as_py(), np.uint64, np.uint32, np.int64, np.int64, np.int32) for b in substring_dedup._window_rows(iter([wide]), list(range(7))) for x in b.column(1) if x.is_valid]
+        least = defaultdict(list)
+        for h, _, i, _, _ in windows:
+            for a, c in zip(h.tolist(), i.tolist()):
+                least[a].append(c)
+        shared = [x for x in least.values() if len(x) > 1 or x[0] == 0]
+        assert len(shared) >= 41 and all(min(x) == 0 for x in shared) and (ids[0] or max(map(len, shared)) == 1)
+
+
 def test_known_passages_by_automaton(spark, docs, none):
     passage = " ".join(f"z{i}" for i in range(5, 45))
     for shard_words in (10, 1000):
