@@ -34,7 +34,9 @@ END = "\n"
 #: Words kept encoded, none longer than this; beyond that the cache starts anew.
 CACHE_WORDS, CACHE_LENGTH = 250_000, 256
 #: Outside the scripts whose letters all Unicode versions in use agree on.
-UNUSUAL = re.compile("[^\x00-\u0233\u0300-\u036f\u0391-\u03a1\u03a3-\u03ce\u0400-\u052f\u1e00-\u1eff\u2000-\u2064\u20a0-\u20b9\u2190-\u23f3\u2500-\u27bf\u3000-\u303f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fcc\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f5ff\U0001f600-\U0001f64f]")
+UNUSUAL = re.compile(
+    "[^\x00-\u0233\u0300-\u036f\u0391-\u03a1\u03a3-\u03ce\u0400-\u052f\u1e00-\u1eff\u2000-\u2064\u20a0-\u20b9\u2190-\u23f3\u2500-\u27bf\u3000-\u303f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fcc\uac00-\ud7a3\uff01-\uff5e\U0001f300-\U0001f5ff\U0001f600-\U0001f64f]"
+)
 NOT_LATIN = re.compile("[^\x00-\xff]")
 
 
@@ -57,7 +59,10 @@ class Vocabulary:
         model = found["model"]
         split = next(x for x in found["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
-        return cls(model["vocab"], merges, split["pattern"]["Regex"], model["end_of_word_suffix"] or "", {x["content"]: x["id"] for x in found["added_tokens"]}, source)
+        return cls(
+            model["vocab"], merges, split["pattern"]["Regex"], model["end_of_word_suffix"] or "",
+            {x["content"]: x["id"] for x in found["added_tokens"]}, source
+        )
 
     @property
     def key(self) -> str:
@@ -149,7 +154,10 @@ class Encoder:
         self.vocabulary = vocabulary
         ids, suffix = vocabulary.ids, vocabulary.suffix
         self.token_of = {i: t for t, i in ids.items()} | {i: t for t, i in vocabulary.special.items()}
-        self.pair = {(ids[a], ids[b]): ids[a + b if not (suffix and a.endswith(suffix) and len(a) > len(suffix)) else a[: -len(suffix)] + b] for a, b in vocabulary.merges}
+        self.pair = {
+            (ids[a], ids[b]): ids[a + b if not (suffix and a.endswith(suffix) and len(a) > len(suffix)) else a[: -len(suffix)] + b] for a,
+            b in vocabulary.merges
+        }
         self.rank = {pair: n for n, pair in enumerate(self.pair)}
         self.made_at = {t: self.rank[pair] for pair, t in self.pair.items()}
         self.halves = {t: pair for pair, t in self.pair.items()}
@@ -171,11 +179,15 @@ class Encoder:
         self.together: dict[int, bool] = {}
         self.words = regex.compile(vocabulary.pattern)
         self.narrow_words = re.compile(self._for_latin(vocabulary.pattern))
-        self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) + ")") if vocabulary.special else None
+        self.specials = regex.compile(
+            "(" + "|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) + ")"
+        ) if vocabulary.special else None
         self.special_starts = {x[0] for x in vocabulary.special}
         self.library = Tokenizer.from_str(vocabulary.source)
         # Each token as decoding writes it, with the space that parts it from the next; null where there is no such id.
-        self.pieces = pa.array([None if (t := self.token_of.get(i)) is None else t.encode() + b" " for i in range(max(self.token_of) + 1)], pa.large_binary())
+        self.pieces = pa.array(
+            [None if (t := self.token_of.get(i)) is None else t.encode() + b" " for i in range(max(self.token_of) + 1)], pa.large_binary()
+        )
         self.ids = _Words(self)
 
     def _for_latin(self, pattern: str) -> str:
@@ -308,7 +320,9 @@ class Encoder:
         if not any(c in text for c in self.special_starts) or self.specials.search(text) is None:
             return b"".join(map(found, self._split(text)))
         parts = enumerate(self.specials.split(text))
-        return b"".join(self.vocabulary.special[part].to_bytes(4, "little") if i % 2 else b"".join(map(found, self._split(part))) for i, part in parts)
+        return b"".join(
+            self.vocabulary.special[part].to_bytes(4, "little") if i % 2 else b"".join(map(found, self._split(part))) for i, part in parts
+        )
 
     def decode_all(self, ids: list[bytes]) -> list[bytes]:
         """What each of several id sequences decodes to, in UTF-8: the ids' tokens gathered at once, then cut where a sequence ends."""
@@ -353,7 +367,9 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             ids = [np.frombuffer(one.encode(x), "<u4").astype(np.int32) for x in _texts(part)]
             yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -381,11 +397,15 @@ def encode_and_check(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             ids = [one.encode(x) for x in _texts(part)]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32))
             yield pa.RecordBatch.from_pydict({
-                "doc_id": part.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4"))),
+                "doc_id": part.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.ListArray.from_arrays(
+                    offsets, pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                ),
                 "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in one.decode_all(ids)], pa.string()),
             })
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def digest(one: Encoder, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
@@ -402,6 +422,10 @@ def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         one = encoder(shared.value)
         for part, _ in work.text_slices(batches):
             counts, ids, decoded = digest(one, _texts(part))
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(decoded)})
+            yield pa.RecordBatch.from_pydict(
+                {"doc_id": part.column(0), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(decoded)}
+            )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

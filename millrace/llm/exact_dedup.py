@@ -45,7 +45,9 @@ def hashed(docs: DataFrame, with_text: bool = False) -> DataFrame:
     rows = [c for c in (ONE, TWO) if c in docs.columns and not with_text]
     schema = "doc_id long, " + "".join(f"{c} long, " for c in rows) + "h1 long, h2 long, " + "plain binary, " * with_text + "text_sha256 string"
     names = tuple(x.split()[0] for x in schema.split(", "))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rows).mapInArrow(lambda it: _hashed(it, names), schema)
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rows
+    ).mapInArrow(lambda it: _hashed(it, names), schema)
 
 
 def _classed(docs: DataFrame, best: Column) -> DataFrame:
@@ -80,7 +82,10 @@ def classes(docs: DataFrame, keep: str = "largest") -> DataFrame:
     final = work.cut(marked.groupBy("h1", "h2", "other").agg(F.count("*").alias("group_size"), best.alias("keep_id")).filter("group_size > 1"))
     found = marked.join(final, ["h1", "h2", "other"], "left")
     staying = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return found.select("doc_id", staying.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(staying).alias("kept"), "text_sha256")
+    return found.select(
+        "doc_id", staying.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.col("doc_id").eqNullSafe(staying).alias("kept"), "text_sha256"
+    )
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -66,7 +66,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = C
     it. One row per source: the windows hold no documents.
     """
     ranked = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(ranked) - 1, F.lit(len(weights))) + 1).cast("int"))
+    weight = F.element_at(
+        F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(ranked) - 1, F.lit(len(weights))) + 1).cast("int")
+    )
     found = sizes.withColumn("_w", weight).withColumn("_cap", F.col("source_size") * float(cap))
     up = Window.partitionBy(F.lit(0)).orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last())
     before, rest, every = up.rowsBetween(Window.unboundedPreceding, -1), up.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy(F.lit(0))
@@ -93,10 +95,15 @@ def draw(goals: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     slots, cells = known["slots"], max(1024, 4 * known["sources"])
     if not slots:
         return spark.createDataFrame([], "source string, shard int, n long")
-    slot = spark.range(slots).select(F.pmod("id", F.lit(shards)).cast("int").alias("shard"), F.pmod(_hashed(F.col("id").cast("string"), F.lit(str(seed))), F.lit(slots)).alias("ticket"))
+    slot = spark.range(slots).select(
+        F.pmod("id", F.lit(shards)).cast("int").alias("shard"),
+        F.pmod(_hashed(F.col("id").cast("string"), F.lit(str(seed))), F.lit(slots)).alias("ticket")
+    )
     # A ticket finds its source among those that overlap its cell: an equality join, broadcast or not by size.
     cell = lambda x: F.floor(x.cast("double") * cells / slots).cast("long")
-    owners = goals.select("source", "first", (F.col("first") + F.col("wanted")).alias("end")).withColumn("cell", F.explode(F.sequence(cell(F.col("first")), cell(F.col("end") - 1))))
+    owners = goals.select("source", "first", (F.col("first") + F.col("wanted")).alias("end")).withColumn(
+        "cell", F.explode(F.sequence(cell(F.col("first")), cell(F.col("end") - 1)))
+    )
     met = slot.withColumn("cell", cell(F.col("ticket"))).join(owners, "cell").filter("ticket >= first and ticket < end")
     return met.groupBy("source", "shard").agg(F.count("*").alias("n"))
 
@@ -126,25 +133,46 @@ def slots(plan: DataFrame, shards: int = SHARDS, seed: int = SEED, block: int =
     counts = drawn.groupBy("source").agg(F.sum("n").alias("all"))
     # One row per source: what it drew over its wanted slots, or short of them, and where that starts when laid end to end.
     before = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    goals = goals.join(counts.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("all", F.coalesce("all", F.lit(0))).drop("_source")
-    goals = goals.withColumns({"over": F.greatest(F.col("all") - F.col("wanted"), F.lit(0)), "short": F.greatest(F.col("wanted") - F.col("all"), F.lit(0))})
-    goals = goals.withColumns({"over_at": F.coalesce(F.sum("over").over(before), F.lit(0)), "short_at": F.coalesce(F.sum("short").over(before), F.lit(0))})
+    goals = goals.join(
+        counts.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left"
+    ).withColumn("all", F.coalesce("all", F.lit(0))).drop("_source")
+    goals = goals.withColumns(
+        {"over": F.greatest(F.col("all") - F.col("wanted"), F.lit(0)), "short": F.greatest(F.col("wanted") - F.col("all"), F.lit(0))}
+    )
+    goals = goals.withColumns(
+        {"over_at": F.coalesce(F.sum("over").over(before), F.lit(0)), "short_at": F.coalesce(F.sum("short").over(before), F.lit(0))}
+    )
     goals = work.cut(goals)
     about = ["source_size", "goal", "blocks"]
-    runs = drawn.join(goals.select(F.col("source").alias("_source"), "all", "over", "over_at", *about), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    runs = drawn.join(
+        goals.select(F.col("source").alias("_source"), "all", "over", "over_at", *about), F.col("source").eqNullSafe(F.col("_source"))
+    ).drop("_source")
     each = work.unfolded(runs, "n").withColumn("rank", F.col("rank") + F.col("at"))
     each = each.withColumns({"gone": F.expr("(rank * over) div all"), "gone_next": F.expr("((rank + 1) * over) div all")})
     kept = each.filter("gone = gone_next").select("source", *about, F.expr("rank - gone").alias("number"), "shard")
     freed = each.filter("gone < gone_next").select(F.expr("over_at + gone").alias("turn"), "shard")
-    filled = work.unfolded(goals.filter("short > 0"), "short").select("source", *about, F.expr("all + at").alias("number"), F.expr("short_at + at").alias("turn"))
-    used = kept.unionByName(filled.join(freed, "turn").drop("turn")).withColumns({"pass": F.expr("number div blocks"), "slot": F.expr("number % blocks")})
+    filled = work.unfolded(goals.filter("short > 0"), "short").select(
+        "source", *about, F.expr("all + at").alias("number"), F.expr("short_at + at").alias("turn")
+    )
+    used = kept.unionByName(filled.join(freed, "turn").drop("turn")).withColumns(
+        {"pass": F.expr("number div blocks"), "slot": F.expr("number % blocks")}
+    )
     # One row per source and pass.
-    passes = goals.select(F.col("source").alias("_source"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(goal - 1) div source_size"))).alias("_pass"))
-    passes = passes.withColumn("keys", F.array(*[_hashed(F.lit(str(seed)), F.coalesce("_source", F.lit("")), F.col("_pass").cast("string"), F.lit(str(i))) for i in range(ROUNDS)]))
-    used = used.join(passes, F.col("source").eqNullSafe(F.col("_source")) & (F.col("pass") == F.col("_pass"))).withColumn("full", F.expr(f"source_size div {block}"))
+    passes = goals.select(
+        F.col("source").alias("_source"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(goal - 1) div source_size"))).alias("_pass")
+    )
+    passes = passes.withColumn(
+        "keys",
+        F.array(*[_hashed(F.lit(str(seed)), F.coalesce("_source", F.lit("")), F.col("_pass").cast("string"), F.lit(str(i))) for i in range(ROUNDS)])
+    )
+    used = used.join(
+        passes, F.col("source").eqNullSafe(F.col("_source")) & (F.col("pass") == F.col("_pass"))
+    ).withColumn("full", F.expr(f"source_size div {block}"))
     take = F.least(F.col("source_size"), F.col("goal") - F.col("pass") * F.col("source_size"))
     index = F.when(F.col("slot") < F.col("full"), permuted(F.col("slot"), F.col("full"), F.col("keys"))).otherwise(F.col("full"))
-    return used.select("source", "pass", "slot", index.alias("block"), F.least(F.lit(block).cast("long"), take - F.col("slot") * block).alias("words"), "shard")
+    return used.select(
+        "source", "pass", "slot", index.alias("block"), F.least(F.lit(block).cast("long"), take - F.col("slot") * block).alias("words"), "shard"
+    )
 
 
 def _placed(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -154,11 +182,19 @@ def _placed(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     names = ["doc_id", "source", ONE, TWO, "size", "_mix"]
     rows = work.cut(sized(docs, seed).groupBy(*names).agg(F.count("*").alias("copies")).withColumn("_bucket", bucket))
     order = [F.col(c) for c in ("_mix", "doc_id", "size", ONE, TWO)]
-    at = work.cut(work.running_before(rows, ["source"], "_bucket", order, F.col("size") * F.col("copies"), "_at", "source_size").drop("_bucket", "_mix"))
-    return rows, work.cut(work.each_copy(at).withColumn("_at", F.col("_at") + F.col("at") * F.col("size")).drop("at").withColumn("_row", F.monotonically_increasing_id()))
-
-
-def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> tuple[DataFrame, DataFrame]:
+    at = work.cut(
+        work.running_before(rows, ["source"], "_bucket", order, F.col("size") * F.col("copies"), "_at", "source_size").drop("_bucket", "_mix")
+    )
+    return rows, work.cut(
+        work.each_copy(at).withColumn(
+            "_at", F.col("_at") + F.col("at") * F.col("size")
+        ).drop("at").withColumn("_row", F.monotonically_increasing_id())
+    )
+
+
+def mix(
+        docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block: int = BLOCK, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP
+) -> tuple[DataFrame, DataFrame]:
     """(documents, uses): the words that the mix takes of each document, and which slots take them.
 
     documents: doc_id, size, source, source_size, target, taken, n_shards (the output
@@ -173,8 +209,13 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block: int = BL
     """
     rows, placed = _placed(docs, seed)
     plan = work.cut(targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size")), weights, cap))
-    pieces = placed.filter("size > 0").select("_row", ONE, TWO, F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"), "_at", "size", F.explode(F.sequence(F.expr(f"_at div {block}"), F.expr(f"(_at + size - 1) div {block}"))).alias("block"))
-    used = slots(plan, shards, seed, block).select(F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"), "pass", "slot", "block", "words", "shard")
+    pieces = placed.filter("size > 0").select(
+        "_row", ONE, TWO, F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"), "_at", "size",
+        F.explode(F.sequence(F.expr(f"_at div {block}"), F.expr(f"(_at + size - 1) div {block}"))).alias("block")
+    )
+    used = slots(plan, shards, seed, block).select(
+        F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"), "pass", "slot", "block", "words", "shard"
+    )
     # Sizes of exploded rows are underestimated: never broadcast either side.
     met = pieces.join(used.hint("merge"), ["_s", "_n", "block"])
     overlap = F.least(F.col("_at") + F.col("size"), F.col("block") * block + F.col("words")) - F.greatest(F.col("_at"), F.col("block") * block)
@@ -184,7 +225,10 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block: int = BL
     taken = uses.groupBy("_row").agg(F.sum("taken").alias("taken"), *bits)
     n_shards = sum((F.bit_count(f"_b{i}") for i in range(len(bits))), F.lit(0))
     known = placed.join(plan.select(F.col("source").alias("_source"), "target"), F.col("source").eqNullSafe(F.col("_source")), "left")
-    documents = known.join(taken, "_row", "left").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce(n_shards, F.lit(0)).cast("int").alias("n_shards"), "_row")
+    documents = known.join(taken, "_row", "left").select(
+        "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.coalesce(n_shards, F.lit(0)).cast("int").alias("n_shards"), "_row"
+    )
     return documents, uses
 
 
@@ -199,9 +243,17 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     block = settings.get("block", BLOCK)
     _, uses = mix(docs, **settings)
     part = F.struct(F.greatest(F.col("block") * block - F.col("_at"), F.lit(0).cast("long")).alias("at"), F.col("taken").alias("n"))
-    by_pass = uses.groupBy("_row", ONE, TWO, "pass").agg((F.sum("taken") == F.max("size")).alias("whole"), F.array_sort(F.collect_list(part)).alias("parts"))
-    plan = by_pass.groupBy("_row", ONE, TWO).agg(F.count_if("whole").cast("int").alias(TIMES), F.collect_list(F.when(~F.col("whole"), F.struct("pass", "parts"))).alias(PARTS))
-    plan = work.cut(plan.select(F.col(ONE).alias("_one"), F.col(TWO).alias("_two"), TIMES, F.flatten(F.transform(F.array_sort(PARTS), lambda p: p["parts"])).alias(PARTS)))
+    by_pass = uses.groupBy("_row", ONE, TWO, "pass").agg(
+        (F.sum("taken") == F.max("size")).alias("whole"), F.array_sort(F.collect_list(part)).alias("parts")
+    )
+    plan = by_pass.groupBy("_row", ONE, TWO).agg(
+        F.count_if("whole").cast("int").alias(TIMES), F.collect_list(F.when(~F.col("whole"), F.struct("pass", "parts"))).alias(PARTS)
+    )
+    plan = work.cut(
+        plan.select(
+            F.col(ONE).alias("_one"), F.col(TWO).alias("_two"), TIMES, F.flatten(F.transform(F.array_sort(PARTS), lambda p: p["parts"])).alias(PARTS)
+        )
+    )
     keyed = docs.select("*", *_keys())
     often = work.cut(plan.groupBy("_one", "_two").count().filter("count > 1"))
     same = (F.col(ONE) == F.col("_one")) & (F.col(TWO) == F.col("_two"))
@@ -210,7 +262,20 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     joined = keyed.join(plan, same)
     words = F.regexp_extract_all("text", F.lit(f"({work.WORD})"), F.lit(1))
     # The words are bound to a lambda's variable: as a column they would be found anew for each part.
-    some = F.transform(F.array(words), lambda ws: F.array_join(F.flatten(F.transform(PARTS, lambda p: F.slice(ws, (p["at"] + 1).cast("int"), p["n"].cast("int")))), " "))
+    some = F.transform(
+        F.array(words),
+        lambda ws: F.array_join(F.flatten(F.transform(PARTS, lambda p: F.slice(ws, (p["at"] + 1).cast("int"), p["n"].cast("int")))), " ")
+    )
     rest = F.element_at(some, 1)
-    joined = joined.withColumn(TEXT, F.array_join(F.concat(F.array_repeat(F.col("text"), F.col(TIMES)), F.when(F.size(PARTS) > 0, F.array(rest)).otherwise(F.array().cast("array<string>"))), "\n"))
-    return joined.select(*[F.col(TEXT).alias("text") if c == "text" else F.length(TEXT).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    joined = joined.withColumn(
+        TEXT,
+        F.array_join(
+            F.concat(
+                F.array_repeat(F.col("text"), F.col(TIMES)), F.when(F.size(PARTS) > 0, F.array(rest)).otherwise(F.array().cast("array<string>"))
+            ),
+            "\n"
+        )
+    )
+    return joined.select(
+        *[F.col(TEXT).alias("text") if c == "text" else F.length(TEXT).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
+    )

@@ -134,13 +134,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes
 
     With ``hold_out`` nothing is learned from the fold of ``held_out`` ids.
     """
-    known = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.coalesce(F.col("toxic").cast("int"), F.lit(0)).alias("toxic"))
+    known = labels.filter("quality is not null and doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"),
+        F.coalesce(F.col("toxic").cast("int"), F.lit(0)).alias("toxic")
+    )
     known = known.filter(~held_out(F.col("doc_id"))) if hold_out else known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in work.text_slices(batches):
             got = [features(x) for x in texts]
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "quality": part.column(2), "toxic": part.column(3), "index": pa.array([i for i, _ in got], pa.list_(pa.int32())), "value": pa.array([v for _, v in got], pa.list_(pa.float32()))})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": part.column(0), "quality": part.column(2), "toxic": part.column(3),
+                    "index": pa.array([i for i, _ in got], pa.list_(pa.int32())), "value": pa.array([v for _, v in got], pa.list_(pa.float32()))
+                }
+            )
 
     sample = work.labelled_sample(docs, known, rows, most_bytes).select("doc_id", "text", "quality", "toxic")
     table = sample.mapInArrow(run, "doc_id long, quality int, toxic int, index array<int>, value array<float>").toArrow()
@@ -174,9 +182,16 @@ def score(docs: DataFrame, model: Model, keep_grade: int = KEEP_GRADE, keep: flo
             s = np.array([float(weights[i] @ v) for i, v in got])
             tails = probabilities(shared.value, s)
             some = np.array([len(i) > 0 for i, _ in got])
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "expected_grade": pa.array(tails.sum(axis=1)), "tail_probability": pa.array(tails[:, keep_grade - 1]), "kept": pa.array((tails[:, keep_grade - 1] >= keep) & some)})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": part.column(0), "expected_grade": pa.array(tails.sum(axis=1)), "tail_probability": pa.array(tails[:, keep_grade - 1]),
+                    "kept": pa.array((tails[:, keep_grade - 1] >= keep) & some)
+                }
+            )
+
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

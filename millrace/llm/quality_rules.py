@@ -80,9 +80,14 @@ def _rules(batches: Iterator[pa.RecordBatch], limits: dict[int, float], line_lim
         rows = [measures(x, lengths) for x in texts]
         counts = {k: [r[i] for r in rows] for i, k in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}
         failed = [r[0] < MIN_WORDS or 100 * r[4] > BASE_PERCENT * r[0] for r in rows]
-        kept = [not f and r[5] <= line_limit and all(c <= limits[n] for n, c in zip(lengths, r[6], strict=True)) for f, r in zip(failed, rows, strict=True)]
+        kept = [
+            not f and r[5] <= line_limit and all(c <= limits[n] for n, c in zip(lengths, r[6], strict=True)) for f,
+            r in zip(failed, rows, strict=True)
+        ]
         yield pa.RecordBatch.from_pydict({
-            "doc_id": part.column(0), **{k: pa.array(v, pa.int64()) for k, v in counts.items()}, "base_failed": pa.array(failed), "kept": pa.array(kept),
+            "doc_id": part.column(0), **{
+                k: pa.array(v, pa.int64()) for k, v in counts.items()
+            }, "base_failed": pa.array(failed), "kept": pa.array(kept),
             "line_coverage": pa.array([r[5] for r in rows], pa.float64()), "coverage": pa.array([r[6] for r in rows], pa.list_(pa.float64())),
         })
 
@@ -95,4 +100,6 @@ def quality_rules(docs: DataFrame, limits: dict[int, float] = COVERAGE, line_lim
     table gives no rows. Other columns are not read.
     """
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, line_coverage double, coverage array<double>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _rules(it, limits, line_limit), schema)
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).mapInArrow(lambda it: _rules(it, limits, line_limit), schema)

@@ -65,4 +65,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_exact_dedup, op3_substring_dedup, op4_quality_classifier, op5_mixing, op6_simhash, op7_bpe, op8_quality_rules, op9_toxicity, op10_pii, pipeline)}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_sharding, op2_exact_dedup, op3_substring_dedup, op4_quality_classifier, op5_mixing, op6_simhash, op7_bpe, op8_quality_rules, op9_toxicity,
+        op10_pii, pipeline
+    )
+}

@@ -21,7 +21,9 @@ from . import work
 SEED = 20240229
 
 
-def interleave(docs: DataFrame, shards: int, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def interleave(
+        docs: DataFrame, shards: int, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, text_crc32, position, shard, slot.
 
     ``size`` is the UTF-8 bytes of the text plus 16. Row counts of shards differ by
@@ -33,8 +35,14 @@ def interleave(docs: DataFrame, shards: int, seed: int = SEED, id_col: str = "do
     """
     raw = F.encode(F.col(text_col), "UTF-8")
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 16).cast("long").alias("size"), F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"),
-        F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}:"), F.md5(F.coalesce(raw, F.lit("").cast("binary")))).cast("binary")).alias("_mix"),
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), (
+            F.coalesce(F.octet_length(text_col), F.lit(0)) + 16
+        ).cast("long").alias("size"), F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"),
+        F.md5(
+            F.concat(
+                F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}:"), F.md5(F.coalesce(raw, F.lit("").cast("binary")))
+            ).cast("binary")
+        ).alias("_mix"),
     ).groupBy("doc_id", "source", "size", "text_crc32", "_mix").agg(F.count("*").alias("copies"))
     buckets = work.bucket_count(docs)
     rows = work.cut(rows.withColumn("_bucket", F.floor(F.conv(F.substring("_mix", 1, 8), 16, 10).cast("double") * buckets / 2**32).cast("long")))
@@ -45,7 +53,10 @@ def interleave(docs: DataFrame, shards: int, seed: int = SEED, id_col: str = "do
     ranked = work.cut(ranked.withColumn("_bucket", F.floor(F.col("_share") * buckets).cast("long")))
     placed = work.running_before(ranked, [], "_bucket", [F.col("_share"), F.col("source").asc_nulls_last(), *order], F.lit(1), "position", "_total")
     placed = placed.withColumn("shard", F.expr(f"position * {shards} div _total").cast("int"))
-    return placed.select("doc_id", "source", "size", "text_crc32", "position", "shard", F.expr(f"position - (shard * _total + {shards - 1}) div {shards}").cast("long").alias("slot"))
+    return placed.select(
+        "doc_id", "source", "size", "text_crc32", "position", "shard",
+        F.expr(f"position - (shard * _total + {shards - 1}) div {shards}").cast("long").alias("slot")
+    )
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, seed: int = SEED) -> DataFrame:

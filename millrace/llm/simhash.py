@@ -73,7 +73,10 @@ def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
     one = xxhash.xxh64_intdigest
     counts = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):  # memory stays small for the longest texts
-        h = np.fromiter((one(whole[a:b], seed) for a, b in zip(starts[i : i + (1 << 16)], stops[i : i + (1 << 16)], strict=True)), np.uint64, len(starts[i : i + (1 << 16)]))
+        h = np.fromiter(
+            (one(whole[a:b], seed) for a, b in zip(starts[i : i + (1 << 16)], stops[i : i + (1 << 16)], strict=True)), np.uint64,
+            len(starts[i : i + (1 << 16)])
+        )
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
@@ -86,7 +89,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, seed: int) -> I
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id and ``bits``, the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _fingerprints(it, words, seed), "doc_id long, bits long")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).mapInArrow(lambda it: _fingerprints(it, words, seed), "doc_id long, bits long")
 
 
 def popcounts(bits: np.ndarray, segments: int = SEGMENTS) -> np.ndarray:
@@ -220,7 +225,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = work.cut(every.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = work.cut(every.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         least = work.cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        small = large.join(least, "u").select(
+            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
+        ).filter("u <> v").distinct()
         after = work.cut(small)
         if not after.select("u", "v").exceptAll(now.select("u", "v")).take(1) and after.count() == now.count():
             break
@@ -230,7 +237,9 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED, groups: int = GROUPS, segments: int = SEGMENTS) -> DataFrame:
+def near_duplicates(
+        docs: DataFrame, words: int = SHINGLE, distance: int = DISTANCE, seed: int = SEED, groups: int = GROUPS, segments: int = SEGMENTS
+) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id that the row reaches over links. Nulls: a
@@ -287,12 +296,19 @@ def _sets(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBat
             sizes.append(len(hashes))
             prints.append(set_prints(hashes))
         words = np.array(prints, np.uint64).reshape(-1, PRINTS).view(np.int64)
-        yield pa.RecordBatch.from_pydict({"row": part.column(0), "doc_id": part.column(1), "id": pa.array(np.array(ids, np.uint64).view(np.int64)), "n": pa.array(np.array(sizes, np.int32)), **{c: pa.array(words[:, k].copy()) for k, c in enumerate(PRINT_COLUMNS)}})
+        yield pa.RecordBatch.from_pydict(
+            {
+                "row": part.column(0), "doc_id": part.column(1), "id": pa.array(np.array(ids, np.uint64).view(np.int64)),
+                "n": pa.array(np.array(sizes, np.int32)), **{c: pa.array(words[:, k].copy()) for k, c in enumerate(PRINT_COLUMNS)}
+            }
+        )
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
     for part, texts in work.text_slices(batches):
-        yield pa.RecordBatch.from_pydict({"id": part.column(0), "hashes": pa.array([shingle_set(x, seed=seed).view(np.int64) for x in texts], pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_pydict(
+            {"id": part.column(0), "hashes": pa.array([shingle_set(x, seed=seed).view(np.int64) for x in texts], pa.list_(pa.int64()))}
+        )
 
 
 def grid(sets: int) -> tuple[int, int]:
@@ -327,7 +343,9 @@ def _apart(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     most = np.maximum(n, m)
     found = np.full(len(many), -1, np.int64)
     at = np.flatnonzero(5 * np.minimum(n, m) >= 4 * most)
-    bits = np.bitwise_count((one[at] if one.ndim == 2 else one)[..., 1:].view(np.uint64) ^ many[at][:, 1:].view(np.uint64)).sum(axis=1, dtype=np.int64)
+    bits = np.bitwise_count(
+        (one[at] if one.ndim == 2 else one)[..., 1:].view(np.uint64) ^ many[at][:, 1:].view(np.uint64)
+    ).sum(axis=1, dtype=np.int64)
     found[at] = np.where(bits <= np.where(most[at] < FEW, FEW_NEAR_BITS, NEAR_BITS), bits, -1)
     return found
 
@@ -402,7 +420,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(points: DataFrame) -> DataFrame:
     """(a, b): pairs of ``points`` (id, n, fingerprints) that share a cell and may be alike, each once."""
     columns, (each, bits) = ["id", "n", *PRINT_COLUMNS], grid(points.count())
-    cells = points.select(*columns).mapInArrow(lambda it: _set_cells(it, each, bits), "cell long, id long, n int, " + ", ".join(f"{c} long" for c in PRINT_COLUMNS))
+    cells = points.select(*columns).mapInArrow(
+        lambda it: _set_cells(it, each, bits), "cell long, id long, n int, " + ", ".join(f"{c} long" for c in PRINT_COLUMNS)
+    )
     return cells.repartition(F.col("cell")).mapInArrow(_candidates, "a long, b long").distinct()
 
 
@@ -425,7 +445,9 @@ def alike(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """
     row = F.xxhash64("doc_id", "text").alias("row")
     texts = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = work.cut(texts.mapInArrow(lambda it: _sets(it, seed), "row long, doc_id long, id long, n int, " + ", ".join(f"{c} long" for c in PRINT_COLUMNS)))
+    base = work.cut(
+        texts.mapInArrow(lambda it: _sets(it, seed), "row long, doc_id long, id long, n int, " + ", ".join(f"{c} long" for c in PRINT_COLUMNS))
+    )
     points = work.cut(base.groupBy("id").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", *PRINT_COLUMNS)]))
     pairs = work.cut(candidates(points))
     met = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()

@@ -63,7 +63,9 @@ def word_hashes(text: bytes, seed: int = 0) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
     words = text.split()
-    return np.fromiter(map(xxh3_64_intdigest, words, repeat(seed)), np.uint64, len(words)) if seed else np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.fromiter(
+        map(xxh3_64_intdigest, words, repeat(seed)), np.uint64, len(words)
+    ) if seed else np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def _rolling(codes: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
@@ -160,10 +162,22 @@ def _packed(rows: list[tuple[int, bytes]], direct: list[tuple[int, list[int]]],
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("_key", pa.int64()), ("ordinals", pa.list_(pa.int32()))])
     for i in range(0, len(rows), 256):
         some = rows[i : i + 256]
-        yield pa.RecordBatch.from_arrays([pa.array([places[b] for b, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.list_(pa.int32()))], schema=schema)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([places[b] for b, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary()), pa.nulls(len(some), pa.int64()),
+                pa.nulls(len(some), pa.list_(pa.int32()))
+            ],
+            schema=schema
+        )
     for i in range(0, len(direct), 4096):
         some = direct[i : i + 4096]
-        yield pa.RecordBatch.from_arrays([pa.array([places[k % len(places)] for k, _ in some], pa.int32()), pa.nulls(len(some), pa.binary()), pa.array([k for k, _ in some], pa.int64()), pa.array([x for _, x in some], pa.list_(pa.int32()))], schema=schema)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([places[k % len(places)] for k, _ in some], pa.int32()), pa.nulls(len(some), pa.binary()),
+                pa.array([k for k, _ in some], pa.int64()), pa.array([x for _, x in some], pa.list_(pa.int32()))
+            ],
+            schema=schema
+        )
 
 
 def _by_key(keys: np.ndarray, values: np.ndarray) -> list[tuple[int, list[int]]]:
@@ -237,7 +251,12 @@ def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         twice = np.r_[False, same] | np.r_[same, False]
         found = _by_key(k[twice], o[twice])
         for i in range(0, len(found), 8192):
-            yield pa.RecordBatch.from_pydict({"_key": pa.array([x for x, _ in found[i : i + 8192]], pa.int64()), "ordinals": pa.array([x for _, x in found[i : i + 8192]], pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "_key": pa.array([x for x, _ in found[i : i + 8192]], pa.int64()),
+                    "ordinals": pa.array([x for _, x in found[i : i + 8192]], pa.list_(pa.int32()))
+                }
+            )
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], places: list[int]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +304,13 @@ def _window_rows(batches: Iterator[pa.RecordBatch], places: list[int]) -> Iterat
             best = np.lexsort((more[3], more[2], more[1], more[0]))
             best = best[np.r_[True, more[0][best][1:] != more[0][best][:-1]]] if len(best) else best
             seen = [x[best] for x in more]
-        rows = [(n, blob) for n, blob in _split(b[order][first], buckets, {"h1": h1[order][first], "h2": h2[order][first], "i": i[order][first], "k": k[order][first], "s": s[order][first]})]
+        rows = [
+            (n, blob) for n,
+            blob in _split(
+                b[order][first], buckets,
+                {"h1": h1[order][first], "h2": h2[order][first], "i": i[order][first], "k": k[order][first], "s": s[order][first]}
+            )
+        ]
         yield from _packed(rows, _runs(k[order][later], s[order][later]), places)
 
     yield from _bucket_rows(batches, take, flush)
@@ -326,7 +351,12 @@ def _covered_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         _, later, order = _first_of_equal(h1, h2, i, s)
         found = _runs(k[order][later], s[order][later])
         for n in range(0, len(found), 8192):
-            yield pa.RecordBatch.from_pydict({"_key": pa.array([x for x, _ in found[n : n + 8192]], pa.int64()), "ordinals": pa.array([x for _, x in found[n : n + 8192]], pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "_key": pa.array([x for x, _ in found[n : n + 8192]], pa.int64()),
+                    "ordinals": pa.array([x for _, x in found[n : n + 8192]], pa.list_(pa.int32()))
+                }
+            )
 
 
 def _places(docs: DataFrame, buckets: int) -> list[int]:
@@ -369,7 +399,10 @@ def _digests(batches: Iterator[pa.RecordBatch], cut: bool) -> Iterator[pa.Record
     for part, texts in work.text_slices(batches):
         runs = part.column(2).to_pylist() if cut else [None] * len(texts)
         got = [_digest(x.split(), r) for x, r in zip(texts, runs, strict=True)]
-        columns = {"doc_id": part.column(0), "n_words": pa.array([g[0] for g in got], pa.int64()), "n_removed": pa.array([g[1] for g in got], pa.int64()), "kept_sha256": pa.array([g[2] for g in got], pa.string())}
+        columns = {
+            "doc_id": part.column(0), "n_words": pa.array([g[0] for g in got], pa.int64()), "n_removed": pa.array([g[1] for g in got], pa.int64()),
+            "kept_sha256": pa.array([g[2] for g in got], pa.string())
+        }
         yield pa.RecordBatch.from_pydict(columns)
 
 
@@ -378,7 +411,9 @@ def covered_runs(docs: DataFrame) -> DataFrame:
     words = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] // 6
     places = _places(docs, max(MIN_BUCKETS, -(-words // BUCKET_WORDS)))
     buckets = len(places)
-    shared = work.cut(_exchange(docs.select("doc_id", "text", "_key").mapInArrow(lambda it: _anchor_rows(it, places), PACKED), buckets, _shared_anchors))
+    shared = work.cut(
+        _exchange(docs.select("doc_id", "text", "_key").mapInArrow(lambda it: _anchor_rows(it, places), PACKED), buckets, _shared_anchors)
+    )
     may, _ = _maybe(docs, shared)
     candidates = may.join(shared, "_key").select("doc_id", "text", "_key", "ordinals").mapInArrow(lambda it: _window_rows(it, places), PACKED)
     return work.cut(_exchange(candidates, buckets, _covered_windows))
@@ -497,6 +532,14 @@ def remove_known(docs: DataFrame, reference: list[str], window: int = WINDOW, sh
                     np.add.at(depth, ends + 1, -1)
                 gone = np.cumsum(depth[:-1]) > 0
                 rows.append((len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)))
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "n_words": pa.array([r[0] for r in rows], pa.int64()), "n_removed": pa.array([r[1] for r in rows], pa.int64()), "kept_text": pa.array([r[2].decode("utf-8", "replace") for r in rows], pa.string())})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": part.column(0), "n_words": pa.array([r[0] for r in rows], pa.int64()),
+                    "n_removed": pa.array([r[1] for r in rows], pa.int64()),
+                    "kept_text": pa.array([r[2].decode("utf-8", "replace") for r in rows], pa.string())
+                }
+            )
+
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")

@@ -195,7 +195,9 @@ def fit(texts: list[bytes], toxic: list[int], ridge: float = 1.0) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
     """Fitted to labelled rows outside the held-out fold: at most ``rows`` of each class, of ``most_bytes`` together."""
-    known = labels.filter("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).alias("toxic")).filter(~_held_out(F.col("doc_id")))
+    known = labels.filter("toxic is not null and doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") == 1).alias("toxic")
+    ).filter(~_held_out(F.col("doc_id")))
     got = [r for c in ("toxic", "not toxic") for r in work.labelled_sample(docs, known.filter(c), rows, most_bytes).toLocalIterator()]
     got = sorted((r.doc_id, r.toxic, r.text) for r in got)
     return fit([t.encode() for _, _, t in got], [int(y) for _, y, _ in got])
@@ -210,7 +212,9 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
     key = ("toxicity", zlib.crc32(repr(model).encode()))
     one = cache.get(key) or cache.setdefault(key, Scorer(model))
     for part, texts in work.text_slices(batches):
-        yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "held_out": part.column(2), "score": pa.array(one.scores([one.features(x) for x in texts]))})
+        yield pa.RecordBatch.from_pydict(
+            {"doc_id": part.column(0), "held_out": part.column(2), "score": pa.array(one.scores([one.features(x) for x in texts]))}
+        )
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -220,6 +224,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     windows; a null doc_id counts as the empty text in the fold's checksum. Repeated
     rows get equal scores. An empty table gives no rows. Other columns are not read.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _held_out(F.col("doc_id")).alias("held_out"))
+    plain = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _held_out(F.col("doc_id")).alias("held_out")
+    )
     found = plain.mapInArrow(lambda it: _score(it, model), "doc_id long, held_out boolean, score double")
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

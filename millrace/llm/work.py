@@ -60,13 +60,18 @@ def running_before(df: DataFrame, group: list[str], bucket: str, order: list[Col
     keys = [*group, bucket]
     part = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     totals = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
-    starts = totals.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], (F.sum("_total").over(part.orderBy(bucket)) - F.col("_total")).alias("_start"), F.sum("_total").over(part).cast("long").alias(whole))
+    starts = totals.select(
+        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], (F.sum("_total").over(part.orderBy(bucket)) - F.col("_total")).alias("_start"),
+        F.sum("_total").over(part).cast("long").alias(whole)
+    )
     same = [df[c].eqNullSafe(starts[f"_k{i}"]) for i, c in enumerate(keys)]
     on = same[0]
     for x in same[1:]:
         on = on & x
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.join(starts, on).withColumn(name, (F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long")).drop("_start", *[f"_k{i}" for i in range(len(keys))])
+    return df.join(starts, on).withColumn(
+        name, (F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long")
+    ).drop("_start", *[f"_k{i}" for i in range(len(keys))])
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -107,7 +112,9 @@ def passes(keys: DataFrame, key: str) -> Callable[[Column], Column]:
     """
     size = min(MOST_BITS, max(LEAST_BITS, 1 << (KEY_BITS * keys.count()).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
-    some = keys.select(place(F.col(key)).alias("b")).distinct().groupBy(F.expr("cast(b div 64 as int)").alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
+    some = keys.select(place(F.col(key)).alias("b")).distinct().groupBy(F.expr("cast(b div 64 as int)").alias("i")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")
+    )
     every = keys.sparkSession.range(size // 64).select(F.col("id").cast("int").alias("i"))
     full = every.join(some, "i", "left").select(F.struct("i", F.coalesce("bits", F.lit(0)).cast("long").alias("bits")).alias("s"))
     bits = cut(full.agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["bits"]).alias("bits")))
