@@ -89,7 +89,9 @@ def build_shards(a) -> int:
         raise ConfigError(f"{a.output} is not empty")
     rows = _with_payloads(spark, a)
     planned = shards.plan_shards(rows.drop("payload"), plan).select("sample_id", "shard_id", "position")
-    members = rows.join(planned, "sample_id").withColumn("extension", F.regexp_replace(scalars.extension(F.col("relative_path")), r"^\.|^\(none\)$", ""))
+    members = rows.join(planned, "sample_id").withColumn(
+        "extension", F.regexp_replace(scalars.extension(F.col("relative_path")), r"^\.|^\(none\)$", "")
+    )
     index = tarshards.write_shards(members, a.output, plan)
     print(render.table(index))
     return 0 if index.agg(F.sum("samples")).first()[0] == rows.count() else 1
@@ -130,7 +132,9 @@ def compare(a) -> int:
         report, notes = ladder.recommendation(ladder.ladder_rows(found)), ladder.ladder_cautions(found)
     else:
         rows = placement.placement_rows(found)
-        report, notes = placement.cost_by_horizon(rows, a.epochs or placement.HORIZONS), placement.placement_cautions(found, a.baseline or placement.DEFAULT_PLACEMENT)
+        report, notes = placement.cost_by_horizon(rows, a.epochs or placement.HORIZONS), placement.placement_cautions(
+            found, a.baseline or placement.DEFAULT_PLACEMENT
+        )
     if a.kind == "workers":
         text = render.ladder_report(ladder.ladder_rows(found), report.first())
     elif a.kind == "storage":
@@ -159,7 +163,11 @@ def render_decision(a) -> int:
             print(f"no {kind} runs given", file=sys.stderr)
     dist = load(a.distributed)
     if dist is not None:
-        dist = dist.select("duplicate_samples", "missing_samples", F.coalesce("idle_ranks", F.array().cast("array<int>")).alias("idle_ranks"), F.coalesce("rank_elapsed_spread", F.lit(0.0)).alias("rank_elapsed_spread"), F.coalesce("max_data_wait_fraction", F.lit(0.0)).alias("max_data_wait_fraction")).limit(1)
+        dist = dist.select(
+            "duplicate_samples", "missing_samples", F.coalesce("idle_ranks", F.array().cast("array<int>")).alias("idle_ranks"),
+            F.coalesce("rank_elapsed_spread", F.lit(0.0)).alias("rank_elapsed_spread"),
+            F.coalesce("max_data_wait_fraction", F.lit(0.0)).alias("max_data_wait_fraction")
+        ).limit(1)
     tree = treewalk.walk(spark, a.inspection) if _present([a.inspection] if a.inspection else []) else None
     inputs = {"layouts": load(a.layouts), "workers": load(a.workers), "storage": load(a.storage), "distributed": dist, "inspection": tree}
     verdict = decide.decide(spark, **inputs, planned_epochs=a.planned_epochs)
@@ -223,7 +231,11 @@ def distributed(a) -> int:
     index = shards.assign_shards(tarshards.read_index(spark, os.path.join(c.dataset.root, tarshards.INDEX_NAME)), a.ranks)
     each = index.select("reader", F.explode("sample_ids").alias("sample_id"))
     every = spark.range(a.ranks).select(F.col("id").cast("int").alias("rank"))
-    reads = each.select(F.col("reader").alias("rank"), F.lit(0).alias("epoch"), F.xxhash64("sample_id").alias("sample_index")) if c.distributed.partition_by_rank else each.select("sample_id").crossJoin(F.broadcast(every)).select("rank", F.lit(0).alias("epoch"), F.xxhash64("sample_id").alias("sample_index"))
+    reads = each.select(
+        F.col("reader").alias("rank"), F.lit(0).alias("epoch"), F.xxhash64("sample_id").alias("sample_index")
+    ) if c.distributed.partition_by_rank else each.select("sample_id").crossJoin(F.broadcast(every)).select(
+        "rank", F.lit(0).alias("epoch"), F.xxhash64("sample_id").alias("sample_index")
+    )
     total = manifest.read_manifest(spark, c.dataset.manifest).agg(F.count("*").alias("total"))
     verdict = coverage.cross_rank_verdict(reads, total, a.ranks)
     row = verdict.first()

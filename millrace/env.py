@@ -32,7 +32,10 @@ def rank_and_world(environ: Mapping[str, str] | None = None) -> tuple[int, int]:
 
 
 # Scheduler variables that a run records, empty where they are not set.
-SCHEDULER = ("SLURM_JOB_ID", "SLURM_JOB_NAME", "SLURM_JOB_NUM_NODES", "SLURM_NTASKS", "SLURM_CPUS_PER_TASK", "SLURM_GPUS_PER_NODE", "SLURM_JOB_PARTITION", "SLURM_JOB_ACCOUNT")
+SCHEDULER = (
+    "SLURM_JOB_ID", "SLURM_JOB_NAME", "SLURM_JOB_NUM_NODES", "SLURM_NTASKS", "SLURM_CPUS_PER_TASK", "SLURM_GPUS_PER_NODE", "SLURM_JOB_PARTITION",
+    "SLURM_JOB_ACCOUNT"
+)
 
 
 def _commit() -> str:
@@ -76,7 +79,9 @@ def context() -> dict[str, object]:
     memory, source = allocated_memory()
     physical, threads = cores()
     return {
-        "timestamp_utc": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "hostname": platform.node(), "git_commit": _commit(), "slurm_job_id": os.environ.get("SLURM_JOB_ID", ""), "slurm_context": {k: os.environ.get(k, "") for k in SCHEDULER},
+        "timestamp_utc": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "hostname": platform.node(), "git_commit": _commit(), "slurm_job_id": os.environ.get("SLURM_JOB_ID", ""), "slurm_context": {
+            k: os.environ.get(k, "") for k in SCHEDULER
+        },
         "cpus_available": len(os.sched_getaffinity(0)), "allocated_cores": physical, "threads_per_core": threads, "child_processes": children(), "memory_allocated_bytes": memory, "memory_source": source,
         "voluntary_context_switches": own.ru_nvcsw + ended.ru_nvcsw, "involuntary_context_switches": own.ru_nivcsw + ended.ru_nivcsw, "user_cpu_seconds": own.ru_utime + ended.ru_utime, "system_cpu_seconds": own.ru_stime + ended.ru_stime,
         "peak_memory_bytes": max(own.ru_maxrss, ended.ru_maxrss) * 1024,

@@ -21,7 +21,9 @@ def class_of(index: Column, classes: int) -> Column:
 
 def sample_path(index: Column, classes: int, extension: str) -> Column:
     """Where the synthetic source stores a sample."""
-    return F.concat(F.lit("images/class_"), F.lpad(class_of(index, classes).cast("string"), 4, "0"), F.lit("/"), sample_id(index), F.lit("." + extension))
+    return F.concat(
+        F.lit("images/class_"), F.lpad(class_of(index, classes).cast("string"), 4, "0"), F.lit("/"), sample_id(index), F.lit("." + extension)
+    )
 
 
 def checksum(payload: Column) -> Column:

@@ -32,7 +32,9 @@ def measured_window(rows: DataFrame, warmup: int, measured: int, ordinal: str =
 
 def repeat_epochs(samples: DataFrame, epochs: int) -> DataFrame:
     """Each sample once per epoch, with column ``epoch``."""
-    return samples.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))) if epochs else samples.withColumn("epoch", F.lit(0)).limit(0)
+    return samples.withColumn(
+        "epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
+    ) if epochs else samples.withColumn("epoch", F.lit(0)).limit(0)
 
 
 def shuffle_buffer(samples: DataFrame, size: int, seed: int) -> DataFrame:

@@ -18,7 +18,10 @@ from ..functions.stats import coefficient_of_variation, median, number, percent_
 BLOCKING_FIELDS = ("manifest_hash", "schema_version")
 CONTROLLED_FIELDS = ("batch_size", "num_workers", "measured_batches", "world_size", "seed", "compute_steps")
 WITHIN_GROUP_FIELDS = ("shuffle", "shuffle_buffer")
-METRICS = ("samples_per_second", "mib_per_second", "mean_batch_wait_seconds", "p95_batch_wait_seconds", "mean_data_wait_fraction", "startup_seconds", "files_opened", "filesystem_objects")
+METRICS = (
+    "samples_per_second", "mib_per_second", "mean_batch_wait_seconds", "p95_batch_wait_seconds", "mean_data_wait_fraction", "startup_seconds",
+    "files_opened", "filesystem_objects"
+)
 CORRECTNESS = ("failed_samples", "duplicate_samples", "missing_samples")
 NOISY_CV = 0.1
 
@@ -34,9 +37,14 @@ def group_key(runs: DataFrame, key: str) -> Column:
 
 def group_summaries(runs: DataFrame, key: str = "layout", metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """Per group: runs, median, min, max and cv of each metric, correctness totals, first_seen. One shuffle."""
-    values = [f(number(_has(runs, m))).alias(f"{m}_{name}") for m in metrics for name, f in (("median", median), ("min", F.min), ("max", F.max), ("cv", coefficient_of_variation))]
+    values = [
+        f(number(_has(runs, m))).alias(f"{m}_{name}") for m in metrics for name,
+        f in (("median", median), ("min", F.min), ("max", F.max), ("cv", coefficient_of_variation))
+    ]
     totals = [F.sum(F.coalesce(_has(runs, c).cast("long"), F.lit(0))).alias(c) for c in CORRECTNESS]
-    return runs.groupBy(group_key(runs, key).alias("group")).agg(F.count("*").alias("runs"), *values, *totals, F.min("input_ordinal").alias("first_seen"))
+    return runs.groupBy(group_key(runs, key).alias("group")).agg(
+        F.count("*").alias("runs"), *values, *totals, F.min("input_ordinal").alias("first_seen")
+    )
 
 
 def with_baseline(groups: DataFrame, baseline: str | None = None) -> DataFrame:
@@ -77,7 +85,9 @@ def mismatches(runs: DataFrame, blocking: tuple[str, ...] = BLOCKING_FIELDS, con
 
 def within_group_mismatches(runs: DataFrame, key: str = "layout", fields: tuple[str, ...] = WITHIN_GROUP_FIELDS) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(f).alias("field"), _has(runs, f).cast("string").alias("v")) for f in fields])
-    each = runs.select(group_key(runs, key).alias("group"), F.explode(rows).alias("r")).groupBy("group", "r.field", "r.v").agg(F.count("*").alias("n"))
+    each = runs.select(
+        group_key(runs, key).alias("group"), F.explode(rows).alias("r")
+    ).groupBy("group", "r.field", "r.v").agg(F.count("*").alias("n"))
     return each.groupBy("group", "field").agg(F.count("*").alias("distinct_values")).filter("distinct_values > 1")
 
 
@@ -95,7 +105,16 @@ def verdict(runs: DataFrame) -> DataFrame:
 
 def rule_rows(df: DataFrame, rules: list[tuple[int, str, str, Column, Column]], subject: Column) -> DataFrame:
     """(ordinal, rule_id, severity, subject, value) for each row of ``df`` and each rule whose condition holds."""
-    each = [F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(n).alias("ordinal"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), subject.cast("string").alias("subject"), F.round(value.cast("double"), 6).alias("value"))) for n, rule, severity, cond, value in rules]
+    each = [
+        F.when(
+            F.coalesce(cond, F.lit(False)),
+            F.struct(
+                F.lit(n).alias("ordinal"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), subject.cast("string").alias("subject"),
+                F.round(value.cast("double"), 6).alias("value")
+            )
+        ) for n,
+        rule, severity, cond, value in rules
+    ]
     return df.select(F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("r")).select("r.*")
 
 
@@ -108,10 +127,23 @@ def comparison_cautions(runs: DataFrame, key: str = "layout") -> DataFrame:
     groups = group_summaries(runs, key, ("samples_per_second",))
     single = F.count_if(F.col("runs") < 2).over(Window.partitionBy(F.lit(0))) > 0  # one row per group
     groups = groups.withColumn("_single", single)
-    rules = [*correctness_rules(1), (4, "single-run", "caution", F.col("runs") < 2, F.col("runs")), (5, "noisy", "caution", ~F.col("_single") & (F.col("samples_per_second_cv") > NOISY_CV), F.col("samples_per_second_cv"))]
+    rules = [
+        *correctness_rules(1), (4, "single-run", "caution", F.col("runs") < 2, F.col("runs")),
+        (5, "noisy", "caution", ~F.col("_single") & (F.col("samples_per_second_cv") > NOISY_CV), F.col("samples_per_second_cv"))
+    ]
     parts = [
         rule_rows(groups, rules, F.col("group")),
-        rule_rows(mismatches(runs), [(6, "mismatch", "blocking", F.col("blocking"), F.col("distinct_values")), (6, "mismatch", "uncontrolled", ~F.col("blocking"), F.col("distinct_values"))], F.col("field")),
-        rule_rows(within_group_mismatches(runs, key), [(7, "within-group", "uncontrolled", F.lit(True), F.col("distinct_values"))], F.concat_ws(":", "group", "field")),
+        rule_rows(
+            mismatches(runs),
+            [
+                (6, "mismatch", "blocking", F.col("blocking"), F.col("distinct_values")),
+                (6, "mismatch", "uncontrolled", ~F.col("blocking"), F.col("distinct_values"))
+            ],
+            F.col("field")
+        ),
+        rule_rows(
+            within_group_mismatches(runs, key), [(7, "within-group", "uncontrolled", F.lit(True), F.col("distinct_values"))],
+            F.concat_ws(":", "group", "field")
+        ),
     ]
     return reduce(DataFrame.unionByName, parts)

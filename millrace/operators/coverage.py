@@ -54,7 +54,9 @@ def cross_rank_verdict(reads: DataFrame, total: DataFrame, world_size: int) -> D
     found = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("samples_measured"), F.count("*").alias("unique_samples"))
     idle = idle_ranks(reads, world_size).agg(F.sort_array(F.collect_list("rank")).alias("idle_ranks"))
     found = found.crossJoin(total.select(F.col("total").alias("total_samples"))).crossJoin(idle)
-    missing = F.when(F.col("samples_measured") >= F.col("total_samples"), F.greatest(F.lit(0).cast("long"), F.col("total_samples") - F.col("unique_samples"))).otherwise(F.lit(0)).cast("long")
+    missing = F.when(
+        F.col("samples_measured") >= F.col("total_samples"), F.greatest(F.lit(0).cast("long"), F.col("total_samples") - F.col("unique_samples"))
+    ).otherwise(F.lit(0)).cast("long")
     found = found.withColumn("duplicate_samples", F.col("samples_measured") - F.col("unique_samples")).withColumn("missing_samples", missing)
     valid = (F.col("duplicate_samples") == 0) & (F.col("missing_samples") == 0) & (F.size("idle_ranks") == 0)
     return found.select(
@@ -78,10 +80,24 @@ def distributed_findings(verdict: DataFrame, balance: DataFrame) -> DataFrame:
     both = verdict.crossJoin(balance)
     idle, dup, missing, uneven = F.size("idle_ranks") > 0, F.col("duplicate_samples") > 0, F.col("missing_samples") > 0, F.col("rank_elapsed_spread") > SPREAD_CAUTION
     rules = [
-        (1, "idle-ranks", "blocking", idle, F.size("idle_ranks")), (2, "duplicate-samples", "blocking", dup, F.col("duplicate_samples")), (3, "missing-samples", "blocking", missing, F.col("missing_samples")),
-        (4, "rank-imbalance", "caution", uneven, F.col("rank_elapsed_spread")), (5, "healthy", "info", ~(idle | dup | missing | uneven), F.lit(0)), (6, "data-wait", "limitation", F.col("max_data_wait_fraction") > WAIT_CAUTION, F.col("max_data_wait_fraction")),
+        (1, "idle-ranks", "blocking", idle, F.size("idle_ranks")), (
+            2, "duplicate-samples", "blocking", dup, F.col("duplicate_samples")
+        ), (3, "missing-samples", "blocking", missing, F.col("missing_samples")),
+        (4, "rank-imbalance", "caution", uneven, F.col("rank_elapsed_spread")), (5, "healthy", "info", ~(idle | dup | missing | uneven), F.lit(0)), (
+            6, "data-wait", "limitation", F.col("max_data_wait_fraction") > WAIT_CAUTION, F.col("max_data_wait_fraction")
+        ),
     ]
-    rows = F.array(*[F.when(c, F.struct(F.lit(n).alias("ordinal"), F.lit(r).alias("rule_id"), F.lit(s).alias("severity"), F.round(m.cast("double"), 6).alias("value"))) for n, r, s, c, m in rules])
+    rows = F.array(
+        *[
+            F.when(
+                c,
+                F.struct(
+                    F.lit(n).alias("ordinal"), F.lit(r).alias("rule_id"), F.lit(s).alias("severity"), F.round(m.cast("double"), 6).alias("value")
+                )
+            ) for n,
+            r, s, c, m in rules
+        ]
+    )
     return both.select(F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select("r.*")
 
 
@@ -103,4 +119,8 @@ def wait_profile(batches: DataFrame, measured_seconds: Column | None = None) ->
     from ..functions.stats import mean, median, percentile
 
     seconds = F.sum("seconds") if measured_seconds is None else measured_seconds
-    return batches.agg(F.count("*").alias("batches"), mean("wait").alias("mean_batch_wait_seconds"), median("wait").alias("median_batch_wait_seconds"), percentile("wait", 95.0).alias("p95_batch_wait_seconds"), F.coalesce(F.max("wait"), F.lit(0.0)).alias("max_batch_wait_seconds"), ratio(F.sum("wait"), seconds).alias("mean_data_wait_fraction"))
+    return batches.agg(
+        F.count("*").alias("batches"), mean("wait").alias("mean_batch_wait_seconds"), median("wait").alias("median_batch_wait_seconds"),
+        percentile("wait", 95.0).alias("p95_batch_wait_seconds"), F.coalesce(F.max("wait"), F.lit(0.0)).alias("max_batch_wait_seconds"),
+        ratio(F.sum("wait"), seconds).alias("mean_data_wait_fraction")
+    )

@@ -19,10 +19,15 @@ PLANNED_EPOCHS = 3
 
 def layout_choice(groups: DataFrame) -> DataFrame:
     """The sound group with the best median throughput; a tie goes to the one seen first. No row where none is sound."""
-    return groups.filter(" and ".join(f"{c} = 0" for c in compare.CORRECTNESS)).orderBy(F.desc("samples_per_second_median"), "first_seen").limit(1).select(F.col("group").alias("recommended_layout"))
+    return groups.filter(
+        " and ".join(f"{c} = 0" for c in compare.CORRECTNESS)
+    ).orderBy(F.desc("samples_per_second_median"), "first_seen").limit(1).select(F.col("group").alias("recommended_layout"))
 
 
-def findings(spark: SparkSession, layouts: DataFrame | None, distributed: DataFrame | None, inspection: DataFrame | None, workers: DataFrame | None, storage: DataFrame | None) -> DataFrame:
+def findings(
+        spark: SparkSession, layouts: DataFrame | None, distributed: DataFrame | None, inspection: DataFrame | None, workers: DataFrame | None,
+        storage: DataFrame | None
+) -> DataFrame:
     """Rule rows over all reports. ``layouts``, ``workers`` and ``storage`` are runs; ``distributed`` is a verdict with its balance."""
     parts = [spark.createDataFrame([], "ordinal int, rule_id string, severity string, subject string, value double")]
     inputs = {"layouts": layouts, "distributed": distributed, "inspection": inspection, "workers": workers, "storage": storage}
@@ -34,25 +39,53 @@ def findings(spark: SparkSession, layouts: DataFrame | None, distributed: DataFr
         state = compare.verdict(layouts)
         able = groups.crossJoin(F.broadcast(state))  # one row
         parts.append(compare.rule_rows(able.filter("comparable"), [*compare.correctness_rules(1, "blocking")], F.col("group")))
-        parts.append(compare.rule_rows(state, [(4, "not-comparable", "caution", ~F.col("comparable"), F.lit(0)), (5, "not-controlled", "caution", F.col("comparable") & ~F.col("controlled"), F.lit(0))], F.lit("layouts")))
+        parts.append(
+            compare.rule_rows(
+                state,
+                [
+                    (4, "not-comparable", "caution", ~F.col("comparable"), F.lit(0)),
+                    (5, "not-controlled", "caution", F.col("comparable") & ~F.col("controlled"), F.lit(0))
+                ],
+                F.lit("layouts")
+            )
+        )
         sound = able.filter("comparable").filter(" and ".join(f"{c} = 0" for c in compare.CORRECTNESS)).agg(F.min("runs").alias("least"))
         parts.append(compare.rule_rows(sound, [(6, "single-run", "caution", F.col("least") < 2, F.col("least"))], F.lit("layouts")))
     if workers is not None:
         one = ladder.recommendation(ladder.ladder_rows(workers))
-        parts.append(compare.rule_rows(one, [(7, "still-improving", "caution", F.col("pattern") == "still-improving", F.lit(0)), (8, "inconclusive-ladder", "caution", F.col("pattern") == "inconclusive", F.lit(0)), (9, "limited-input", "limitation", F.col("limiting_factor").isin("storage-or-synchronisation", "cpu-decode"), F.lit(0))], F.lit("workers")))
+        parts.append(
+            compare.rule_rows(
+                one,
+                [
+                    (7, "still-improving", "caution", F.col("pattern") == "still-improving", F.lit(0)),
+                    (8, "inconclusive-ladder", "caution", F.col("pattern") == "inconclusive", F.lit(0)),
+                    (9, "limited-input", "limitation", F.col("limiting_factor").isin("storage-or-synchronisation", "cpu-decode"), F.lit(0))
+                ],
+                F.lit("workers")
+            )
+        )
     if storage is not None:
         even = placement.break_even(placement.placement_rows(storage)).agg(F.count_if("indistinguishable").alias("n"))
         parts.append(compare.rule_rows(even, [(10, "indistinguishable", "caution", F.col("n") > 0, F.col("n"))], F.lit("storage")))
     if distributed is not None:
         rules = [
-            (11, "duplicate-samples", "blocking", F.col("duplicate_samples") > 0, F.col("duplicate_samples")), (12, "missing-samples", "blocking", F.col("missing_samples") > 0, F.col("missing_samples")), (13, "idle-ranks", "blocking", F.size("idle_ranks") > 0, F.size("idle_ranks")),
-            (14, "rank-imbalance", "caution", F.col("rank_elapsed_spread") > coverage.SPREAD_CAUTION, F.col("rank_elapsed_spread")), (15, "data-wait", "limitation", F.col("max_data_wait_fraction") > coverage.WAIT_CAUTION, F.col("max_data_wait_fraction")),
+            (
+                11, "duplicate-samples", "blocking", F.col("duplicate_samples") > 0, F.col("duplicate_samples")
+            ), (
+                12, "missing-samples", "blocking", F.col("missing_samples") > 0, F.col("missing_samples")
+            ), (13, "idle-ranks", "blocking", F.size("idle_ranks") > 0, F.size("idle_ranks")),
+            (14, "rank-imbalance", "caution", F.col("rank_elapsed_spread") > coverage.SPREAD_CAUTION, F.col("rank_elapsed_spread")), (
+                15, "data-wait", "limitation", F.col("max_data_wait_fraction") > coverage.WAIT_CAUTION, F.col("max_data_wait_fraction")
+            ),
         ]
         parts.append(compare.rule_rows(distributed, rules, F.lit("distributed")))
     return reduce(DataFrame.unionByName, parts)
 
 
-def decide(spark: SparkSession, layouts: DataFrame | None = None, distributed: DataFrame | None = None, inspection: DataFrame | None = None, workers: DataFrame | None = None, storage: DataFrame | None = None, planned_epochs: int = PLANNED_EPOCHS) -> DataFrame:
+def decide(
+        spark: SparkSession, layouts: DataFrame | None = None, distributed: DataFrame | None = None, inspection: DataFrame | None = None,
+        workers: DataFrame | None = None, storage: DataFrame | None = None, planned_epochs: int = PLANNED_EPOCHS
+) -> DataFrame:
     """One row with the verdict and the recommendations.
 
     A correctness failure outranks missing inputs, and those outrank cautions.
@@ -61,21 +94,44 @@ def decide(spark: SparkSession, layouts: DataFrame | None = None, distributed: D
         raise ValueError("planned_epochs must be at least 1")
     rules = findings(spark, layouts, distributed, inspection, workers, storage)
     count = lambda s: F.count_if(F.col("severity") == s)
-    one = rules.agg(count("blocking").alias("blocking_count"), count("caution").alias("caution_count"), count("limitation").alias("limitation_count"), count("incomplete").alias("_incomplete"))
-    ready = F.when(F.col("blocking_count") > 0, "NOT_READY").when(F.col("_incomplete") > 0, "INCONCLUSIVE").when(F.col("caution_count") > 0, "READY_WITH_CAUTION").otherwise("READY")
+    one = rules.agg(
+        count("blocking").alias("blocking_count"), count("caution").alias("caution_count"), count("limitation").alias("limitation_count"),
+        count("incomplete").alias("_incomplete")
+    )
+    ready = F.when(F.col("blocking_count") > 0, "NOT_READY").when(F.col("_incomplete") > 0, "INCONCLUSIVE").when(
+        F.col("caution_count") > 0, "READY_WITH_CAUTION"
+    ).otherwise("READY")
     one = one.withColumn("data_readiness", ready)
-    step = F.when(F.col("data_readiness") == "NOT_READY", "fix-blocking-issues-then-revalidate").when(F.col("data_readiness") == "INCONCLUSIVE", "complete-the-missing-experiments").otherwise("scaling-baseline")
+    step = F.when(
+        F.col("data_readiness") == "NOT_READY", "fix-blocking-issues-then-revalidate"
+    ).when(F.col("data_readiness") == "INCONCLUSIVE", "complete-the-missing-experiments").otherwise("scaling-baseline")
     one = one.withColumn("next_experiment", step)
-    add = lambda df, name, missing, c: one.join(F.broadcast(df.select(F.col(c).alias(name))), F.lit(True), "left").withColumn(name, F.coalesce(F.col(name), F.lit(missing))) if df is not None else one.withColumn(name, F.lit(missing))
-    choice = layout_choice(compare.group_summaries(layouts).crossJoin(F.broadcast(compare.verdict(layouts))).filter("comparable")) if layouts is not None else None
+    add = lambda df, name, missing, c: one.join(
+        F.broadcast(df.select(F.col(c).alias(name))), F.lit(True), "left"
+    ).withColumn(name, F.coalesce(F.col(name), F.lit(missing))) if df is not None else one.withColumn(name, F.lit(missing))
+    choice = layout_choice(
+        compare.group_summaries(layouts).crossJoin(F.broadcast(compare.verdict(layouts))).filter("comparable")
+    ) if layouts is not None else None
     one = add(choice, "recommended_layout", "unknown", "recommended_layout")
     ranked = ladder.recommendation(ladder.ladder_rows(workers)) if workers is not None else None
     one = add(ranked, "recommended_workers_per_rank", 0, "recommended_workers")
     one = add(ranked, "main_limiting_factor", "unknown", "limiting_factor")
     rows = placement.placement_rows(storage) if storage is not None else None
-    one = add(placement.near_tie_choice(rows, planned_epochs) if rows is not None else None, "recommended_storage", placement.DEFAULT_PLACEMENT, "recommended_storage")
+    one = add(
+        placement.near_tie_choice(rows, planned_epochs) if rows is not None else None, "recommended_storage", placement.DEFAULT_PLACEMENT,
+        "recommended_storage"
+    )
     one = add(placement.staging_decision(rows, planned_epochs) if rows is not None else None, "node_local_staging", "unknown", "node_local_staging")
-    state = distributed.select(F.when((F.col("duplicate_samples") == 0) & (F.col("missing_samples") == 0) & (F.size("idle_ranks") == 0), "valid").otherwise("invalid").alias("state")) if distributed is not None else None
+    state = distributed.select(
+        F.when(
+            (F.col("duplicate_samples") == 0) & (F.col("missing_samples") == 0) & (F.size("idle_ranks") == 0), "valid"
+        ).otherwise("invalid").alias("state")
+    ) if distributed is not None else None
     one = add(state, "distributed_partitioning", "unverified", "state")
-    given = sorted(n for n, df in (("layouts", layouts), ("distributed", distributed), ("inspection", inspection), ("workers", workers), ("storage", storage)) if df is not None)
+    given = sorted(
+        n for n,
+        df in (
+            ("layouts", layouts), ("distributed", distributed), ("inspection", inspection), ("workers", workers), ("storage", storage)
+        ) if df is not None
+    )
     return one.withColumn("planned_epochs", F.lit(planned_epochs)).withColumn("inputs_provided", F.lit(",".join(given))).drop("_incomplete")

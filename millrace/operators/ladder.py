@@ -26,7 +26,10 @@ RUNG_METRICS = (
 def ladder_rows(runs: DataFrame) -> DataFrame:
     """One row per worker count: runs, medians, and the throughput's cv."""
     workers = F.coalesce(_has(runs, "num_workers").cast("int"), F.lit(0))
-    return runs.groupBy(workers.alias("num_workers")).agg(F.count("*").alias("runs"), coefficient_of_variation(number(_has(runs, "samples_per_second"))).alias("samples_per_second_cv"), *[median(number(_has(runs, m))).alias(m) for m in RUNG_METRICS])
+    return runs.groupBy(workers.alias("num_workers")).agg(
+        F.count("*").alias("runs"), coefficient_of_variation(number(_has(runs, "samples_per_second"))).alias("samples_per_second_cv"),
+        *[median(number(_has(runs, m))).alias(m) for m in RUNG_METRICS]
+    )
 
 
 def recommendation(rows: DataFrame) -> DataFrame:
@@ -40,16 +43,26 @@ def recommendation(rows: DataFrame) -> DataFrame:
     sps, w = F.col("samples_per_second"), F.col("num_workers")
     first_max = lambda cond: F.max(F.when(cond, F.struct(sps.alias("v"), (-w).alias("k")))).over(every)
     fits = F.col("oversubscription_ratio") <= 1.0
-    r = rows.withColumn("_n", F.count("*").over(every)).withColumn("_prev", F.lag("samples_per_second").over(up)).withColumn("_at", F.row_number().over(up))
+    r = rows.withColumn("_n", F.count("*").over(every)).withColumn(
+        "_prev", F.lag("samples_per_second").over(up)
+    ).withColumn("_at", F.row_number().over(up))
     r = r.withColumn("_ok", fits | (F.count_if(fits).over(every) == 0))
     r = r.withColumn("_best", first_max(F.lit(True))).withColumn("_aff", first_max(F.col("_ok")))
     adequate = F.col("_ok") & (F.col("_aff.v") > 0) & (sps >= F.col("_aff.v") * (1.0 - PLATEAU_GAIN))
     r = r.withColumn("_rec", F.coalesce(F.min(F.when(adequate, w)).over(every), -F.col("_aff.k")))
     one = r.agg(
         F.max("_n").alias("n"), F.max(-F.col("_best.k")).alias("best_workers"), F.max("_best.v").alias("best"), F.max(-F.col("_aff.k")).alias("best_affordable_workers"), F.max("_rec").alias("recommended_workers"),
-        F.max(F.when(F.col("_at") == 1, sps)).alias("first"), F.min_by("num_workers", "_at").alias("first_workers"), F.max_by("_prev", "_at").alias("previous"), F.max_by("samples_per_second", "_at").alias("last"), F.max("num_workers").alias("last_workers"),
-        F.min(F.when(w > -F.col("_best.k"), sps)).alias("worst_after"), F.max(F.when(w == F.col("_rec"), F.col("cpu_utilization"))).alias("cpu"), F.max(F.when(w == F.col("_rec"), F.col("mean_data_wait_fraction"))).alias("waiting"),
-        F.max(F.when(w == F.col("_rec"), F.col("involuntary_switches_per_second"))).alias("switches"), F.max("involuntary_switches_per_second").alias("worst_switches"),
+        F.max(
+            F.when(F.col("_at") == 1, sps)
+        ).alias("first"), F.min_by("num_workers", "_at").alias("first_workers"), F.max_by("_prev", "_at").alias("previous"), F.max_by("samples_per_second", "_at").alias("last"), F.max("num_workers").alias("last_workers"),
+        F.min(F.when(w > -F.col("_best.k"), sps)).alias("worst_after"), F.max(
+            F.when(w == F.col("_rec"), F.col("cpu_utilization"))
+        ).alias("cpu"), F.max(
+            F.when(w == F.col("_rec"), F.col("mean_data_wait_fraction"))
+        ).alias("waiting"),
+        F.max(
+            F.when(w == F.col("_rec"), F.col("involuntary_switches_per_second"))
+        ).alias("switches"), F.max("involuntary_switches_per_second").alias("worst_switches"),
     )
     best = F.col("best")
     pattern = (
@@ -61,12 +74,17 @@ def recommendation(rows: DataFrame) -> DataFrame:
     )
     one = one.withColumn("pattern", pattern)
     factor = (
-        F.when(F.col("n") < 2, "unknown").when(F.col("pattern") == "still-improving", "not-yet-saturated").when(F.col("pattern") == "regression", "oversubscribed").when(F.col("pattern") == "flat", "not-worker-bound")
+        F.when(F.col("n") < 2, "unknown").when(
+            F.col("pattern") == "still-improving", "not-yet-saturated"
+        ).when(F.col("pattern") == "regression", "oversubscribed").when(F.col("pattern") == "flat", "not-worker-bound")
         .when(F.col("cpu") >= CPU_SATURATED, "cpu-decode").when(F.col("waiting") >= STILL_WAITING, "storage-or-synchronisation").otherwise("balanced")
     )
     single = lambda c: F.when(F.col("n") < 2, F.col("first_workers")).otherwise(F.col(c)).alias(c)
     note = (F.col("n") > 1) & (F.col("switches") > 0) & (F.col("worst_switches") >= F.col("switches") * SWITCH_FACTOR)
-    return one.filter("n > 0").select(single("recommended_workers"), single("best_workers"), single("best_affordable_workers"), "pattern", factor.alias("limiting_factor"), note.alias("scheduling_note"))
+    return one.filter("n > 0").select(
+        single("recommended_workers"), single("best_workers"), single("best_affordable_workers"), "pattern", factor.alias("limiting_factor"),
+        note.alias("scheduling_note")
+    )
 
 
 def ladder_cautions(runs: DataFrame) -> DataFrame:
@@ -77,8 +95,12 @@ def ladder_cautions(runs: DataFrame) -> DataFrame:
     every = Window.partitionBy(F.lit(0))  # one row per rung
     rows = rows.withColumn("_cpus", F.max("cpus_available").over(every)).withColumn("_cores", F.max("allocated_cores").over(every))
     rules = [
-        (4, "single-run", "caution", F.col("runs") < 2, F.col("runs")), (5, "noisy", "caution", F.col("samples_per_second_cv") > NOISY_CV, F.col("samples_per_second_cv")), (6, "workers-not-started", "caution", (children > 0) & (children < w), children),
-        (7, "oversubscribed", "caution", (F.col("_cpus") > 0) & (F.col("oversubscription_ratio") > 1.0), F.col("oversubscription_ratio")), (8, "smt-saturated", "caution", (F.col("_cores") > 0) & (per_core > 1.0) & (per_core <= 2.0), per_core),
+        (4, "single-run", "caution", F.col("runs") < 2, F.col("runs")), (
+            5, "noisy", "caution", F.col("samples_per_second_cv") > NOISY_CV, F.col("samples_per_second_cv")
+        ), (6, "workers-not-started", "caution", (children > 0) & (children < w), children),
+        (
+            7, "oversubscribed", "caution", (F.col("_cpus") > 0) & (F.col("oversubscription_ratio") > 1.0), F.col("oversubscription_ratio")
+        ), (8, "smt-saturated", "caution", (F.col("_cores") > 0) & (per_core > 1.0) & (per_core <= 2.0), per_core),
     ]
     wrong = [(1 + i, c.replace("_", "-"), "caution", F.col(c) > 0, F.col(c)) for i, c in enumerate(CORRECTNESS)]
     return reduce(DataFrame.unionByName, [rule_rows(totals, wrong, F.lit("ladder")), rule_rows(rows, rules, w)])

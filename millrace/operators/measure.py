@@ -22,10 +22,21 @@ def measure(spark: SparkSession, layouts: dict[str, Callable[[], DataFrame]], re
             from pyspark.sql import Observation
 
             seen = Observation(f"{name}-{n}")
-            df = layouts[name]().observe(seen, F.count("*").alias("samples"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("bytes"), F.count_if(F.col("payload").isNull()).alias("failed"))
+            df = layouts[name]().observe(
+                seen, F.count("*").alias("samples"), F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("bytes"),
+                F.count_if(F.col("payload").isNull()).alias("failed")
+            )
             began = time.perf_counter()
             df.write.format("noop").mode("overwrite").save()
             took = time.perf_counter() - began
             got = seen.get
-            rows.append((len(rows), name, int(got["samples"]), int(got["bytes"]), int(got["failed"]), took, got["samples"] / took if took else 0.0, got["bytes"] / 1048576 / took if took else 0.0))
-    return spark.createDataFrame(rows, "input_ordinal long, layout string, samples_measured long, bytes_read long, failed_samples long, measured_seconds double, samples_per_second double, mib_per_second double")
+            rows.append(
+                (
+                    len(rows), name, int(got["samples"]), int(got["bytes"]), int(got["failed"]), took, got["samples"] / took if took else 0.0,
+                    got["bytes"] / 1048576 / took if took else 0.0
+                )
+            )
+    return spark.createDataFrame(
+        rows,
+        "input_ordinal long, layout string, samples_measured long, bytes_read long, failed_samples long, measured_seconds double, samples_per_second double, mib_per_second double"
+    )

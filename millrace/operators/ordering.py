@@ -45,7 +45,9 @@ def ranked(rows: DataFrame, group: list[str], bucket: Column, order: list[Column
     every = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))  # one row per bucket
     more = [F.sum("_n").over(every).alias(total)] if total else []
     keys = [*group, "_bucket"]
-    starts = sizes.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.sum("_n").over(every.orderBy("_bucket")) - F.col("_n")).alias("_start"), *more)
+    starts = sizes.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.sum("_n").over(every.orderBy("_bucket")) - F.col("_n")).alias("_start"), *more
+    )
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))

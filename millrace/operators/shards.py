@@ -65,7 +65,9 @@ def plan_shards(samples: DataFrame, plan: ShardPlan = ShardPlan()) -> DataFrame:
     if plan.balance_by == "work":
         return _by_work(rows, plan)
     per = plan.samples_per_shard
-    return rows.withColumn("shard_id", F.expr(f"rank div {per}").cast("int")).withColumn("position", (F.col("rank") % per).cast("int")).drop("rank", "total")
+    return rows.withColumn(
+        "shard_id", F.expr(f"rank div {per}").cast("int")
+    ).withColumn("position", (F.col("rank") % per).cast("int")).drop("rank", "total")
 
 
 def _by_work(rows: DataFrame, plan: ShardPlan) -> DataFrame:
@@ -74,7 +76,9 @@ def _by_work(rows: DataFrame, plan: ShardPlan) -> DataFrame:
     Sequential by definition, so one task runs it over (id, cost) alone; it holds a
     heap of shards and one Arrow batch of samples. Payload columns join afterwards.
     """
-    lean = rows.select("sample_id", "estimated_decode_cost", "total").repartition(1).sortWithinPartitions(F.desc("estimated_decode_cost"), "sample_id")
+    lean = rows.select(
+        "sample_id", "estimated_decode_cost", "total"
+    ).repartition(1).sortWithinPartitions(F.desc("estimated_decode_cost"), "sample_id")
     per = plan.samples_per_shard
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,12 +128,17 @@ def _uneven(rows: DataFrame, plan: ShardPlan) -> DataFrame:
 
 def shard_index(members: DataFrame) -> DataFrame:
     """Per shard: samples, sample_bytes, estimated_work, and the size of its tar file."""
-    return members.groupBy("shard_id").agg(F.count("*").alias("samples"), F.sum("byte_size").alias("sample_bytes"), F.sum("estimated_decode_cost").alias("estimated_work"), tar_bytes(F.sum(tar_member_bytes(F.col("byte_size")))).alias("tar_bytes"))
+    return members.groupBy("shard_id").agg(
+        F.count("*").alias("samples"), F.sum("byte_size").alias("sample_bytes"), F.sum("estimated_decode_cost").alias("estimated_work"),
+        tar_bytes(F.sum(tar_member_bytes(F.col("byte_size")))).alias("tar_bytes")
+    )
 
 
 def shard_statistics(index: DataFrame) -> DataFrame:
     return index.agg(
-        F.count("*").alias("shards"), F.coalesce(F.avg("tar_bytes"), F.lit(0.0)).alias("mean_bytes"), F.coalesce(F.min("tar_bytes"), F.lit(0)).alias("min_bytes"), F.coalesce(F.max("tar_bytes"), F.lit(0)).alias("max_bytes"),
+        F.count("*").alias("shards"), F.coalesce(
+            F.avg("tar_bytes"), F.lit(0.0)
+        ).alias("mean_bytes"), F.coalesce(F.min("tar_bytes"), F.lit(0)).alias("min_bytes"), F.coalesce(F.max("tar_bytes"), F.lit(0)).alias("max_bytes"),
         coefficient_of_variation("tar_bytes").alias("bytes_cv"), coefficient_of_variation("estimated_work").alias("work_cv"), F.coalesce(F.min("samples"), F.lit(0)).alias("min_samples"), F.coalesce(F.max("samples"), F.lit(0)).alias("max_samples"),
     )
 
@@ -144,10 +153,14 @@ def assign_shards(index: DataFrame, readers: int) -> DataFrame:
 
 def reader_loads(index: DataFrame, readers: int) -> DataFrame:
     """Per reader, idle ones too: shards, samples, bytes, work."""
-    loads = assign_shards(index, readers).groupBy("reader").agg(F.count("*").alias("shards"), F.sum("samples").alias("samples"), F.sum("sample_bytes").alias("sample_bytes"))
+    loads = assign_shards(index, readers).groupBy("reader").agg(
+        F.count("*").alias("shards"), F.sum("samples").alias("samples"), F.sum("sample_bytes").alias("sample_bytes")
+    )
     every = _readers(index.sparkSession, readers)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return every.join(loads, "reader", "left").select("reader", zero("shards"), zero("samples"), zero("sample_bytes"), F.col("shards").isNull().alias("is_idle"))
+    return every.join(loads, "reader", "left").select(
+        "reader", zero("shards"), zero("samples"), zero("sample_bytes"), F.col("shards").isNull().alias("is_idle")
+    )
 
 
 def _readers(spark: SparkSession, n: int) -> DataFrame:
@@ -160,5 +173,7 @@ def preflight(loads: DataFrame) -> DataFrame:
         F.count("*").alias("readers"), F.sum("shards").alias("shards"), F.min("samples").alias("min_samples"), F.max("samples").alias("max_samples"), F.count_if("is_idle").alias("idle_readers"),
         ratio(F.max("samples") - F.min("samples"), F.max("samples")).alias("load_spread"), F.min("shards").alias("_lo"), F.max("shards").alias("_hi"),
     )
-    finding = F.when(F.col("idle_readers") > 0, "idle-readers").when(F.col("_lo") != F.col("_hi"), "unequal-shard-counts").when(F.col("load_spread") > SPREAD_CAUTION, "uneven-load").otherwise("balanced")
+    finding = F.when(F.col("idle_readers") > 0, "idle-readers").when(
+        F.col("_lo") != F.col("_hi"), "unequal-shard-counts"
+    ).when(F.col("load_spread") > SPREAD_CAUTION, "uneven-load").otherwise("balanced")
     return one.withColumn("finding", finding).drop("_lo", "_hi")

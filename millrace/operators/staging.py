@@ -33,7 +33,9 @@ def copy_differences(source: DataFrame, copy: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def staged(spark: SparkSession, source: str, directory: str, memory_bytes: int | None, fraction: float = 0.5, validate: bool = True) -> Iterator[dict[str, object]]:
+def staged(
+        spark: SparkSession, source: str, directory: str, memory_bytes: int | None, fraction: float = 0.5, validate: bool = True
+) -> Iterator[dict[str, object]]:
     """A copy of a file or tree under ``directory``, gone again at the end: its path, sizes and what making it cost.
 
     Nothing is copied that the memory does not hold safely, nor over what is there

@@ -49,7 +49,9 @@ FAILURES = "sum(failed_samples)::BIGINT AS failed_samples, sum(duplicate_samples
 # Coverage
 
 
-@query("SELECT epoch, count(*) AS observed, count(DISTINCT sample_index) AS unique_samples, count(*) - count(DISTINCT sample_index) AS duplicate_samples, greatest(0, (SELECT count(*) FROM part) - count(DISTINCT sample_index))::BIGINT AS missing_samples FROM v_reads GROUP BY epoch")
+@query(
+    "SELECT epoch, count(*) AS observed, count(DISTINCT sample_index) AS unique_samples, count(*) - count(DISTINCT sample_index) AS duplicate_samples, greatest(0, (SELECT count(*) FROM part) - count(DISTINCT sample_index))::BIGINT AS missing_samples FROM v_reads GROUP BY epoch"
+)
 def epoch_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.epoch_coverage(v.reads(spark, sf), v.universe(spark, sf))
 
@@ -91,7 +93,9 @@ def rank_balance(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT 2, 'duplicate-samples', 'blocking', round(dup::DOUBLE, 6) FROM x WHERE dup > 0 UNION ALL SELECT 3, 'missing-samples', 'blocking', round(miss::DOUBLE, 6) FROM x WHERE miss > 0
     UNION ALL SELECT 4, 'rank-imbalance', 'caution', round(spread, 6) FROM x WHERE spread > 0.2 UNION ALL SELECT 5, 'healthy', 'info', 0.0::DOUBLE FROM x WHERE idle = 0 AND dup = 0 AND miss = 0 AND spread <= 0.2 UNION ALL SELECT 6, 'data-wait', 'limitation', round(wait, 6) FROM x WHERE wait > 0.5""")
 def distributed_findings(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage.distributed_findings(coverage.cross_rank_verdict(v.reads(spark, sf), v.universe(spark, sf), 10), coverage.rank_balance(v.ranks(spark, sf)))
+    return coverage.distributed_findings(
+        coverage.cross_rank_verdict(v.reads(spark, sf), v.universe(spark, sf), 10), coverage.rank_balance(v.ranks(spark, sf))
+    )
 
 
 @query("SELECT count(DISTINCT sample_index) AS distinct_samples FROM v_reads")
@@ -109,12 +113,16 @@ def missing_samples(spark: SparkSession, sf: str) -> DataFrame:
     return staging.absent_samples(v.samples(spark, sf), v.table(spark, sf, "labels"), "doc_id").select("doc_id", "sample_id")
 
 
-@query("SELECT epoch, count(*) AS batches, lag(epoch) OVER (ORDER BY min(ordinal)) IS NOT NULL AND lead(epoch) OVER (ORDER BY min(ordinal)) IS NOT NULL AS complete FROM v_batches GROUP BY epoch")
+@query(
+    "SELECT epoch, count(*) AS batches, lag(epoch) OVER (ORDER BY min(ordinal)) IS NOT NULL AND lead(epoch) OVER (ORDER BY min(ordinal)) IS NOT NULL AS complete FROM v_batches GROUP BY epoch"
+)
 def complete_epochs(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.complete_epochs(v.batches(spark, sf))
 
 
-@query("SELECT count(*) AS batches, round(avg(wait), 6) AS mean_batch_wait_seconds, round(quantile_cont(wait, 0.5), 6) AS median_batch_wait_seconds, round(quantile_cont(wait, 0.95), 6) AS p95_batch_wait_seconds, round(max(wait), 6) AS max_batch_wait_seconds, round(sum(wait) / sum(seconds), 6) AS mean_data_wait_fraction FROM v_batches WHERE ordinal > 20 AND ordinal <= 1020")
+@query(
+    "SELECT count(*) AS batches, round(avg(wait), 6) AS mean_batch_wait_seconds, round(quantile_cont(wait, 0.5), 6) AS median_batch_wait_seconds, round(quantile_cont(wait, 0.95), 6) AS p95_batch_wait_seconds, round(max(wait), 6) AS max_batch_wait_seconds, round(sum(wait) / sum(seconds), 6) AS mean_data_wait_fraction FROM v_batches WHERE ordinal > 20 AND ordinal <= 1020"
+)
 def batch_wait_profile(spark: SparkSession, sf: str) -> DataFrame:
     measured = batching.measured_window(v.batches(spark, sf), 20, 1000).filter(F.col("window") == "measured")
     return coverage.wait_profile(measured)
@@ -123,12 +131,20 @@ def batch_wait_profile(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT t AS total, b AS batch, w AS workers, d AS drop_last, s AS streaming, CASE WHEN NOT d OR s THEN t ELSE t // b * b END::BIGINT AS expected, CASE WHEN d AND s THEN (b - 1) * greatest(1, w) ELSE 0 END::BIGINT AS allowance
     FROM (VALUES (10, 4, 2, true, false), (100, 8, 4, true, true), (10, 4, 0, false, false), (50000, 64, 0, true, true)) x(t, b, w, d, s)""")
 def coverage_expectation(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(10, 4, 2, True, False), (100, 8, 4, True, True), (10, 4, 0, False, False), (50000, 64, 0, True, True)], "total int, batch int, workers int, drop_last boolean, streaming boolean")
+    rows = spark.createDataFrame(
+        [(10, 4, 2, True, False), (100, 8, 4, True, True), (10, 4, 0, False, False), (50000, 64, 0, True, True)],
+        "total int, batch int, workers int, drop_last boolean, streaming boolean"
+    )
     c = F.col
-    return rows.select("*", scalars.expected_samples(c("total"), c("batch"), c("drop_last"), c("streaming")).alias("expected"), scalars.missing_allowance(c("batch"), c("workers"), c("drop_last"), c("streaming")).alias("allowance"))
+    return rows.select(
+        "*", scalars.expected_samples(c("total"), c("batch"), c("drop_last"), c("streaming")).alias("expected"),
+        scalars.missing_allowance(c("batch"), c("workers"), c("drop_last"), c("streaming")).alias("allowance")
+    )
 
 
-@query("SELECT class_id AS reader, (rn - 1) // 4 AS batch, count(*) AS samples FROM (SELECT class_id, row_number() OVER (PARTITION BY class_id ORDER BY sample_id) AS rn FROM v_samples) GROUP BY 1, 2 HAVING count(*) = 4")
+@query(
+    "SELECT class_id AS reader, (rn - 1) // 4 AS batch, count(*) AS samples FROM (SELECT class_id, row_number() OVER (PARTITION BY class_id ORDER BY sample_id) AS rn FROM v_samples) GROUP BY 1, 2 HAVING count(*) = 4"
+)
 def reader_batches(spark: SparkSession, sf: str) -> DataFrame:
     return batching.batches(v.samples(spark, sf).withColumnRenamed("class_id", "reader"), 4, True, "reader", "sample_id")
 
@@ -136,22 +152,32 @@ def reader_batches(spark: SparkSession, sf: str) -> DataFrame:
 # Inspection
 
 
-@query("SELECT count(*) AS total_files, sum(size)::BIGINT AS total_bytes, 0::BIGINT AS symlinks, 0::BIGINT AS other_entries, count(*) FILTER (nlink > 1) AS hardlinked_files, 0::BIGINT AS unreadable_directories, 0::BIGINT AS unreadable_files, (SELECT count(*) FROM v_dirs) AS directories, count(*) + (SELECT count(*) FROM v_dirs) AS filesystem_objects FROM v_files")
+@query(
+    "SELECT count(*) AS total_files, sum(size)::BIGINT AS total_bytes, 0::BIGINT AS symlinks, 0::BIGINT AS other_entries, count(*) FILTER (nlink > 1) AS hardlinked_files, 0::BIGINT AS unreadable_directories, 0::BIGINT AS unreadable_files, (SELECT count(*) FROM v_dirs) AS directories, count(*) + (SELECT count(*) FROM v_dirs) AS filesystem_objects FROM v_files"
+)
 def tree_totals(spark: SparkSession, sf: str) -> DataFrame:
     return inspect.tree_totals(v.files(spark, sf))
 
 
-@query("""SELECT *, round(p95 / nullif(med, 0), 6) AS p95_to_median_ratio FROM (SELECT min(size) AS min_bytes, round(quantile_cont(size, 0.05), 6) AS p5_bytes, round(quantile_cont(size, 0.5), 6) AS median_bytes, round(avg(size), 6) AS mean_bytes, round(quantile_cont(size, 0.95), 6) AS p95_bytes, max(size) AS max_bytes, round(stddev_samp(size) / avg(size), 6) AS coefficient_of_variation, quantile_cont(size, 0.95) AS p95, quantile_cont(size, 0.5) AS med FROM v_files)""".replace("SELECT *,", "SELECT * EXCLUDE (p95, med),"))
+@query(
+    """SELECT *, round(p95 / nullif(med, 0), 6) AS p95_to_median_ratio FROM (SELECT min(size) AS min_bytes, round(quantile_cont(size, 0.05), 6) AS p5_bytes, round(quantile_cont(size, 0.5), 6) AS median_bytes, round(avg(size), 6) AS mean_bytes, round(quantile_cont(size, 0.95), 6) AS p95_bytes, max(size) AS max_bytes, round(stddev_samp(size) / avg(size), 6) AS coefficient_of_variation, quantile_cont(size, 0.95) AS p95, quantile_cont(size, 0.5) AS med FROM v_files)""".replace(
+        "SELECT *,", "SELECT * EXCLUDE (p95, med),"
+    )
+)
 def size_profile(spark: SparkSession, sf: str) -> DataFrame:
     return inspect.size_profile(v.files(spark, sf))
 
 
-@query("SELECT t AS bytes, count(*) FILTER (size < t) AS files, round(count(*) FILTER (size < t) / count(*)::DOUBLE, 6) AS fraction FROM v_files, (SELECT unnest([4096, 65536, 1048576])::BIGINT AS t) GROUP BY t")
+@query(
+    "SELECT t AS bytes, count(*) FILTER (size < t) AS files, round(count(*) FILTER (size < t) / count(*)::DOUBLE, 6) AS fraction FROM v_files, (SELECT unnest([4096, 65536, 1048576])::BIGINT AS t) GROUP BY t"
+)
 def size_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return inspect.size_thresholds(v.files(spark, sf))
 
 
-@query("SELECT 2048::BIGINT AS threshold_bytes, count(*) FILTER (size < 2048) AS files, round(count(*) FILTER (size < 2048) / count(*)::DOUBLE, 6) AS fraction FROM v_files")
+@query(
+    "SELECT 2048::BIGINT AS threshold_bytes, count(*) FILTER (size < 2048) AS files, round(count(*) FILTER (size < 2048) / count(*)::DOUBLE, 6) AS fraction FROM v_files"
+)
 def small_files(spark: SparkSession, sf: str) -> DataFrame:
     return inspect.small_files(v.files(spark, sf), 2048)
 
@@ -182,12 +208,16 @@ def packaging_plan(spark: SparkSession, sf: str) -> DataFrame:
     return inspect.packaging_plan(v.files(spark, sf), TARGET)
 
 
-@query(f"SELECT sum(size)::BIGINT AS total_bytes, {MEMORY}::BIGINT AS allocated_bytes, round(sum(size) / {MEMORY}::DOUBLE, 6) AS dataset_fraction_of_memory, sum(size) / {MEMORY}::DOUBLE <= 0.5 AS tmp_staging_within_safety_margin FROM v_files")
+@query(
+    f"SELECT sum(size)::BIGINT AS total_bytes, {MEMORY}::BIGINT AS allocated_bytes, round(sum(size) / {MEMORY}::DOUBLE, 6) AS dataset_fraction_of_memory, sum(size) / {MEMORY}::DOUBLE <= 0.5 AS tmp_staging_within_safety_margin FROM v_files"
+)
 def memory_fit(spark: SparkSession, sf: str) -> DataFrame:
     return inspect.memory_fit(v.files(spark, sf), MEMORY)
 
 
-@query(f"SELECT DISTINCT extension, topic FROM v_files JOIN (VALUES {', '.join(f'({e!r}, {t!r})' for e, t in inspect.FORMAT_TOPICS.items())}) h(e, topic) ON extension = e")
+@query(
+    f"SELECT DISTINCT extension, topic FROM v_files JOIN (VALUES {', '.join(f'({e!r}, {t!r})' for e, t in inspect.FORMAT_TOPICS.items())}) h(e, topic) ON extension = e"
+)
 def format_hints(spark: SparkSession, sf: str) -> DataFrame:
     return inspect.format_hints(v.files(spark, sf))
 
@@ -208,9 +238,13 @@ def sample_checksums(spark: SparkSession, sf: str) -> DataFrame:
     return v.samples(spark, sf).select("sample_id", "checksum")
 
 
-@query("SELECT checksum, count(*) AS copies, sum(byte_size)::BIGINT AS bytes, min(sample_id) AS first_sample FROM v_samples GROUP BY checksum HAVING count(*) > 1")
+@query(
+    "SELECT checksum, count(*) AS copies, sum(byte_size)::BIGINT AS bytes, min(sample_id) AS first_sample FROM v_samples GROUP BY checksum HAVING count(*) > 1"
+)
 def duplicate_payloads(spark: SparkSession, sf: str) -> DataFrame:
-    return v.samples(spark, sf).groupBy("checksum").agg(F.count("*").alias("copies"), F.sum("byte_size").alias("bytes"), F.min("sample_id").alias("first_sample")).filter("copies > 1")
+    return v.samples(spark, sf).groupBy("checksum").agg(
+        F.count("*").alias("copies"), F.sum("byte_size").alias("bytes"), F.min("sample_id").alias("first_sample")
+    ).filter("copies > 1")
 
 
 SHARDS = f"""
@@ -227,7 +261,9 @@ def shard_plan_count(spark: SparkSession, sf: str) -> DataFrame:
     return _index(spark, sf)
 
 
-@query(SHARDS + " SELECT count(*) AS shards, round(avg(tar_bytes), 6) AS mean_bytes, min(tar_bytes) AS min_bytes, max(tar_bytes) AS max_bytes, round(coalesce(stddev_samp(tar_bytes) / nullif(avg(tar_bytes), 0), 0), 6) AS bytes_cv, round(coalesce(stddev_samp(estimated_work) / nullif(avg(estimated_work), 0), 0), 6) AS work_cv, min(samples) AS min_samples, max(samples) AS max_samples FROM i")
+@query(
+    SHARDS + " SELECT count(*) AS shards, round(avg(tar_bytes), 6) AS mean_bytes, min(tar_bytes) AS min_bytes, max(tar_bytes) AS max_bytes, round(coalesce(stddev_samp(tar_bytes) / nullif(avg(tar_bytes), 0), 0), 6) AS bytes_cv, round(coalesce(stddev_samp(estimated_work) / nullif(avg(estimated_work), 0), 0), 6) AS work_cv, min(samples) AS min_samples, max(samples) AS max_samples FROM i"
+)
 def shard_balance_stats(spark: SparkSession, sf: str) -> DataFrame:
     return shards.shard_statistics(_index(spark, sf))
 
@@ -242,7 +278,9 @@ def shard_reader_loads(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(LOADS + """ SELECT *, CASE WHEN idle_readers > 0 THEN 'idle-readers' WHEN lo <> hi THEN 'unequal-shard-counts' WHEN load_spread > 0.2 THEN 'uneven-load' ELSE 'balanced' END AS finding FROM
-    (SELECT count(*) AS readers, sum(shards)::BIGINT AS shards, min(samples) AS min_samples, max(samples) AS max_samples, count(*) FILTER (is_idle) AS idle_readers, round(coalesce((max(samples) - min(samples)) / nullif(max(samples), 0)::DOUBLE, 0), 6) AS load_spread, min(shards) AS lo, max(shards) AS hi FROM l)""".replace("SELECT *, CASE", "SELECT * EXCLUDE (lo, hi), CASE"))
+    (SELECT count(*) AS readers, sum(shards)::BIGINT AS shards, min(samples) AS min_samples, max(samples) AS max_samples, count(*) FILTER (is_idle) AS idle_readers, round(coalesce((max(samples) - min(samples)) / nullif(max(samples), 0)::DOUBLE, 0), 6) AS load_spread, min(shards) AS lo, max(shards) AS hi FROM l)""".replace(
+        "SELECT *, CASE", "SELECT * EXCLUDE (lo, hi), CASE"
+    ))
 def shard_preflight(spark: SparkSession, sf: str) -> DataFrame:
     return shards.preflight(shards.reader_loads(_index(spark, sf), READERS))
 
@@ -278,7 +316,9 @@ def shard_plan_imbalanced(spark: SparkSession, sf: str) -> DataFrame:
     return shards.shard_index(shards.plan_shards(v.samples(spark, sf), UNEVEN))
 
 
-@query("SELECT path, 'size' AS problem FROM v_files WHERE nlink > 1 AND extension <> '.txt' UNION ALL SELECT path, 'absent' FROM v_files WHERE extension = '.txt'")
+@query(
+    "SELECT path, 'size' AS problem FROM v_files WHERE nlink > 1 AND extension <> '.txt' UNION ALL SELECT path, 'absent' FROM v_files WHERE extension = '.txt'"
+)
 def copy_differences(spark: SparkSession, sf: str) -> DataFrame:
     files = v.files(spark, sf)
     copy = files.filter("extension <> '.txt'").withColumn("size", F.when(F.col("nlink") > 1, F.col("size") + 1).otherwise(F.col("size")))
@@ -298,7 +338,9 @@ def layout_comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 FIELDS = " UNION ALL ".join(f"SELECT '{f}' AS field, {f}::VARCHAR AS v FROM v_runs" for f in (*compare.BLOCKING_FIELDS, *compare.CONTROLLED_FIELDS))
 MISMATCHES = f"SELECT field, (count(DISTINCT v) + max(CASE WHEN v IS NULL THEN 1 ELSE 0 END))::BIGINT AS distinct_values, field IN ('manifest_hash', 'schema_version') AS blocking FROM ({FIELDS}) GROUP BY field HAVING count(DISTINCT v) + max(CASE WHEN v IS NULL THEN 1 ELSE 0 END) > 1"
-WITHIN = " UNION ALL ".join(f"""SELECT layout AS "group", '{f}' AS field, (count(DISTINCT {f}) + max(CASE WHEN {f} IS NULL THEN 1 ELSE 0 END))::BIGINT AS distinct_values FROM v_runs GROUP BY layout HAVING count(DISTINCT {f}) + max(CASE WHEN {f} IS NULL THEN 1 ELSE 0 END) > 1""" for f in compare.WITHIN_GROUP_FIELDS)
+WITHIN = " UNION ALL ".join(
+    f"""SELECT layout AS "group", '{f}' AS field, (count(DISTINCT {f}) + max(CASE WHEN {f} IS NULL THEN 1 ELSE 0 END))::BIGINT AS distinct_values FROM v_runs GROUP BY layout HAVING count(DISTINCT {f}) + max(CASE WHEN {f} IS NULL THEN 1 ELSE 0 END) > 1""" for f in compare.WITHIN_GROUP_FIELDS
+)
 
 
 @query(MISMATCHES)
@@ -311,7 +353,9 @@ def within_group_mismatches(spark: SparkSession, sf: str) -> DataFrame:
     return compare.within_group_mismatches(v.runs(spark, sf))
 
 
-@query("SELECT count(DISTINCT s) > 1 AS shuffle_differs FROM (SELECT layout, list(DISTINCT shuffle ORDER BY shuffle) AS s FROM v_runs GROUP BY layout)")
+@query(
+    "SELECT count(DISTINCT s) > 1 AS shuffle_differs FROM (SELECT layout, list(DISTINCT shuffle ORDER BY shuffle) AS s FROM v_runs GROUP BY layout)"
+)
 def shuffle_differs(spark: SparkSession, sf: str) -> DataFrame:
     return compare.shuffle_differs(v.runs(spark, sf))
 
@@ -329,9 +373,19 @@ def _ladder(spark: SparkSession, sf: str) -> DataFrame:
     return ladder.ladder_rows(v.runs(spark, sf))
 
 
-@query("""SELECT num_workers, count(*) AS runs, round(coalesce(stddev_samp(samples_per_second) / avg(samples_per_second), 0), 6) AS samples_per_second_cv, """ + ", ".join(f"round(quantile_cont({m}, 0.5), 6) AS {m}" for m in ("samples_per_second", "mean_batch_wait_seconds", "mean_data_wait_fraction", "cpu_utilization", "involuntary_switches_per_second", "oversubscription_ratio", "startup_seconds")) + " FROM v_runs GROUP BY num_workers")
+@query(
+    """SELECT num_workers, count(*) AS runs, round(coalesce(stddev_samp(samples_per_second) / avg(samples_per_second), 0), 6) AS samples_per_second_cv, """ + ", ".join(
+        f"round(quantile_cont({m}, 0.5), 6) AS {m}" for m in (
+            "samples_per_second", "mean_batch_wait_seconds", "mean_data_wait_fraction", "cpu_utilization", "involuntary_switches_per_second",
+            "oversubscription_ratio", "startup_seconds"
+        )
+    ) + " FROM v_runs GROUP BY num_workers"
+)
 def worker_ladder_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return _ladder(spark, sf).select("num_workers", "runs", "samples_per_second_cv", "samples_per_second", "mean_batch_wait_seconds", "mean_data_wait_fraction", "cpu_utilization", "involuntary_switches_per_second", "oversubscription_ratio", "startup_seconds")
+    return _ladder(spark, sf).select(
+        "num_workers", "runs", "samples_per_second_cv", "samples_per_second", "mean_batch_wait_seconds", "mean_data_wait_fraction", "cpu_utilization",
+        "involuntary_switches_per_second", "oversubscription_ratio", "startup_seconds"
+    )
 
 
 RUNGS = """
@@ -346,7 +400,9 @@ def worker_recommendation(spark: SparkSession, sf: str) -> DataFrame:
     return ladder.recommendation(_ladder(spark, sf)).select("recommended_workers", "best_workers", "best_affordable_workers", "pattern")
 
 
-@query(RUNGS + " SELECT CASE pattern WHEN 'still-improving' THEN 'not-yet-saturated' WHEN 'regression' THEN 'oversubscribed' WHEN 'flat' THEN 'not-worker-bound' ELSE CASE WHEN cpu >= 0.85 THEN 'cpu-decode' WHEN wait >= 0.5 THEN 'storage-or-synchronisation' ELSE 'balanced' END END AS limiting_factor, sw > 0 AND (SELECT max(sw) FROM r) >= sw * 10 AS scheduling_note FROM pat, rec JOIN r USING (w)")
+@query(
+    RUNGS + " SELECT CASE pattern WHEN 'still-improving' THEN 'not-yet-saturated' WHEN 'regression' THEN 'oversubscribed' WHEN 'flat' THEN 'not-worker-bound' ELSE CASE WHEN cpu >= 0.85 THEN 'cpu-decode' WHEN wait >= 0.5 THEN 'storage-or-synchronisation' ELSE 'balanced' END END AS limiting_factor, sw > 0 AND (SELECT max(sw) FROM r) >= sw * 10 AS scheduling_note FROM pat, rec JOIN r USING (w)"
+)
 def limiting_factor(spark: SparkSession, sf: str) -> DataFrame:
     return ladder.recommendation(_ladder(spark, sf)).select("limiting_factor", "scheduling_note")
 
@@ -370,12 +426,19 @@ PLACE = f"""
     t AS (SELECT storage, c + e * 3 AS cost, cv, o FROM g), ch AS (SELECT * FROM t ORDER BY cost, o LIMIT 1), pr AS (SELECT * FROM t WHERE storage = 'scratch')"""
 
 
-@query(PLACE.split("b AS")[0].rstrip().rstrip(",") + " SELECT storage, runs, round(cv, 6) AS samples_per_second_cv, round(s, 6) AS samples_per_second, round(e, 6) AS estimated_epoch_seconds, round(c, 6) AS setup_seconds, round(m, 6) AS dataset_fraction_of_memory, f::BIGINT AS failed_samples, o AS first_seen FROM g")
+@query(
+    PLACE.split("b AS")[0].rstrip().rstrip(",") + " SELECT storage, runs, round(cv, 6) AS samples_per_second_cv, round(s, 6) AS samples_per_second, round(e, 6) AS estimated_epoch_seconds, round(c, 6) AS setup_seconds, round(m, 6) AS dataset_fraction_of_memory, f::BIGINT AS failed_samples, o AS first_seen FROM g"
+)
 def placement_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return _places(spark, sf).select("storage", "runs", "samples_per_second_cv", "samples_per_second", "estimated_epoch_seconds", placement.setup_cost().alias("setup_seconds"), "dataset_fraction_of_memory", "failed_samples", "first_seen")
+    return _places(spark, sf).select(
+        "storage", "runs", "samples_per_second_cv", "samples_per_second", "estimated_epoch_seconds", placement.setup_cost().alias("setup_seconds"),
+        "dataset_fraction_of_memory", "failed_samples", "first_seen"
+    )
 
 
-@query(PLACE + " SELECT storage, baseline, round(saved, 6) AS per_epoch_time_saved, round(cost, 6) AS setup_cost_seconds, round(CASE WHEN saved > 0 THEN CASE WHEN cost > 0 THEN cost / saved ELSE 0 END END, 6) AS break_even_epochs, round(change, 6) AS throughput_change_percent FROM x")
+@query(
+    PLACE + " SELECT storage, baseline, round(saved, 6) AS per_epoch_time_saved, round(cost, 6) AS setup_cost_seconds, round(CASE WHEN saved > 0 THEN CASE WHEN cost > 0 THEN cost / saved ELSE 0 END END, 6) AS break_even_epochs, round(change, 6) AS throughput_change_percent FROM x"
+)
 def break_even(spark: SparkSession, sf: str) -> DataFrame:
     return placement.break_even(_places(spark, sf)).drop("noise_percent", "indistinguishable")
 
@@ -385,7 +448,9 @@ def placement_noise(spark: SparkSession, sf: str) -> DataFrame:
     return placement.break_even(_places(spark, sf)).select("storage", "noise_percent", "indistinguishable")
 
 
-@query(PLACE + " SELECT epochs, storage, round(c + e * epochs, 6) AS total_cost_seconds, row_number() OVER (PARTITION BY epochs ORDER BY c + e * epochs, o) = 1 AS is_cheapest FROM g, (SELECT unnest([1, 3, 10, 50])::INTEGER AS epochs)")
+@query(
+    PLACE + " SELECT epochs, storage, round(c + e * epochs, 6) AS total_cost_seconds, row_number() OVER (PARTITION BY epochs ORDER BY c + e * epochs, o) = 1 AS is_cheapest FROM g, (SELECT unnest([1, 3, 10, 50])::INTEGER AS epochs)"
+)
 def cost_by_horizon(spark: SparkSession, sf: str) -> DataFrame:
     return placement.cost_by_horizon(_places(spark, sf))
 
@@ -393,7 +458,9 @@ def cost_by_horizon(spark: SparkSession, sf: str) -> DataFrame:
 TIE = PLACE + ", tie AS (SELECT ch.storage AS cheapest, ch.cost AS cost, (pr.cost - ch.cost) / greatest(ch.cost, 1e-9) AS margin, sqrt(ch.cv * ch.cv + pr.cv * pr.cv) AS band FROM ch, pr), pick AS (SELECT *, cheapest <> 'scratch' AND margin <= band AS broken FROM tie), fin AS (SELECT *, CASE WHEN broken THEN 'scratch' ELSE cheapest END AS rec FROM pick)"
 
 
-@query(TIE + " SELECT rec AS recommended_storage, cheapest, round(cost, 6) AS cheapest_cost, round(margin, 6) AS margin, round(band, 6) AS noise_band, broken AS tie_broken FROM fin")
+@query(
+    TIE + " SELECT rec AS recommended_storage, cheapest, round(cost, 6) AS cheapest_cost, round(margin, 6) AS margin, round(band, 6) AS noise_band, broken AS tie_broken FROM fin"
+)
 def near_tie_choice(spark: SparkSession, sf: str) -> DataFrame:
     return placement.near_tie_choice(_places(spark, sf), 3)
 
@@ -406,14 +473,18 @@ def staging_decision(spark: SparkSession, sf: str) -> DataFrame:
     return placement.staging_decision(_places(spark, sf), 3)
 
 
-@query(PLACE + " SELECT 1 AS ordinal, 'failed-samples' AS rule_id, 'caution' AS severity, storage AS subject, f::DOUBLE AS value FROM g WHERE f > 0 UNION ALL SELECT 4, 'noisy', 'caution', storage, round(cv, 6) FROM g WHERE cv > 0.1 UNION ALL SELECT 6, 'staged-memory', 'caution', storage, round(m, 6) FROM g WHERE m > 0 UNION ALL SELECT 7, 'indistinguishable', 'caution', storage, round(noise, 6) FROM x WHERE noise > 0 AND abs(change) < noise")
+@query(
+    PLACE + " SELECT 1 AS ordinal, 'failed-samples' AS rule_id, 'caution' AS severity, storage AS subject, f::DOUBLE AS value FROM g WHERE f > 0 UNION ALL SELECT 4, 'noisy', 'caution', storage, round(cv, 6) FROM g WHERE cv > 0.1 UNION ALL SELECT 6, 'staged-memory', 'caution', storage, round(m, 6) FROM g WHERE m > 0 UNION ALL SELECT 7, 'indistinguishable', 'caution', storage, round(noise, 6) FROM x WHERE noise > 0 AND abs(change) < noise"
+)
 def placement_cautions(spark: SparkSession, sf: str) -> DataFrame:
     return placement.placement_cautions(v.runs(spark, sf))
 
 
 def _sound(spark: SparkSession, sf: str) -> DataFrame:
     """Runs of layouts that all read their data."""
-    return v.runs(spark, sf).withColumn("failed_samples", F.when(F.col("layout") == "error", F.col("failed_samples")).otherwise(F.lit(0)).cast("long"))
+    return v.runs(spark, sf).withColumn(
+        "failed_samples", F.when(F.col("layout") == "error", F.col("failed_samples")).otherwise(F.lit(0)).cast("long")
+    )
 
 
 @query(f"""
@@ -433,7 +504,9 @@ def layout_choice(spark: SparkSession, sf: str) -> DataFrame:
     FROM cnt, lf, fin, st, d, mi""")
 def readiness_verdict(spark: SparkSession, sf: str) -> DataFrame:
     runs = v.runs(spark, sf)
-    distributed = coverage.cross_rank_verdict(v.reads(spark, sf), v.universe(spark, sf), v.WORLD_SIZE).crossJoin(F.broadcast(coverage.rank_balance(v.ranks(spark, sf))))
+    distributed = coverage.cross_rank_verdict(
+        v.reads(spark, sf), v.universe(spark, sf), v.WORLD_SIZE
+    ).crossJoin(F.broadcast(coverage.rank_balance(v.ranks(spark, sf))))
     return decide.decide(spark, layouts=runs, distributed=distributed, inspection=v.files(spark, sf), workers=runs, storage=runs)
 
 

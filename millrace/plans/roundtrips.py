@@ -36,7 +36,9 @@ def listed(spark: SparkSession, sf: str) -> DataFrame:
     d = v.table(spark, sf, "documents").filter("text is not null and doc_id is not null")
     payload = F.encode("text", "UTF-8")
     return d.select(
-        scalars.sample_id(F.col("doc_id")).alias("sample_id"), F.concat(F.lit("docs/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("relative_path"), scalars.class_of(F.col("doc_id"), 100).alias("class_id"),
+        scalars.sample_id(F.col("doc_id")).alias("sample_id"), F.concat(
+            F.lit("docs/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")
+        ).alias("relative_path"), scalars.class_of(F.col("doc_id"), 100).alias("class_id"),
         F.octet_length("text").cast("long").alias("byte_size"), F.lit(1).alias("width"), F.col("n_chars").cast("int").alias("height"), scalars.checksum(payload).alias("checksum"), F.col("n_chars").cast("long").alias("estimated_decode_cost"), payload.alias("payload"),
     )
 
@@ -76,7 +78,9 @@ def loose_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """Files whose id is a multiple of nine are not there: failed samples."""
     root, rows = folder(spark, "loose"), listed(spark, sf)
     stored(rows.filter("cast(substring(sample_id, 2) as long) % 9 <> 0"), root)
-    return manifest.payloads(rows.drop("payload"), root).select("sample_id", "failed", "read_bytes", F.when(~F.col("failed"), scalars.checksum(F.col("payload"))).alias("read_checksum"))
+    return manifest.payloads(rows.drop("payload"), root).select(
+        "sample_id", "failed", "read_bytes", F.when(~F.col("failed"), scalars.checksum(F.col("payload"))).alias("read_checksum")
+    )
 
 
 PLAN = shards.ShardPlan(samples_per_shard=100)
@@ -98,7 +102,10 @@ def tar_samples(spark: SparkSession, sf: str) -> DataFrame:
 def shard_index_rows(spark: SparkSession, sf: str) -> DataFrame:
     root, _ = _tar(spark, sf)
     found = tarshards.read_index(spark, os.path.join(root, tarshards.INDEX_NAME))
-    return found.select("shard_id", "shard", "samples", "sample_bytes", "estimated_work", "tar_bytes", F.array_min("sample_ids").alias("least_id"), F.size("sample_ids").cast("long").alias("ids"))
+    return found.select(
+        "shard_id", "shard", "samples", "sample_bytes", "estimated_work", "tar_bytes", F.array_min("sample_ids").alias("least_id"),
+        F.size("sample_ids").cast("long").alias("ids")
+    )
 
 
 def _track(fmt: str):
@@ -140,7 +147,12 @@ def summaries_read(spark: SparkSession, sf: str) -> DataFrame:
     each = v.table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy("event_type").collect()  # one row per type
     paths = []
     for r in each:
-        paths.append(runs.write_summary(os.path.join(root, f"run {r['event_type']}.json"), runs.new_summary(run_name=r["event_type"], layout=r["event_type"], samples_measured=r["n"], seed=7)))
+        paths.append(
+            runs.write_summary(
+                os.path.join(root, f"run {r['event_type']}.json"),
+                runs.new_summary(run_name=r["event_type"], layout=r["event_type"], samples_measured=r["n"], seed=7)
+            )
+        )
     return runs.read_runs(spark, [*paths, paths[0]]).select("input_ordinal", "run_name", "samples_measured", "seed")
 
 
@@ -156,9 +168,17 @@ QUERIES = {
         f"""SELECT count(*) AS total_files, sum(byte_size)::BIGINT AS total_bytes, 0::BIGINT AS symlinks, 0::BIGINT AS other_entries, 0::BIGINT AS hardlinked_files, 0::BIGINT AS unreadable_directories, 0::BIGINT AS unreadable_files,
             count(DISTINCT parent) + count(DISTINCT split_part(parent, '/', 2)) + 4 AS directories, count(*) + count(DISTINCT parent) + count(DISTINCT split_part(parent, '/', 2)) + 4 AS filesystem_objects FROM {LISTED}""",
     ),
-    "walked_files": (walked_files, f"SELECT parent || '/' || doc_id || '.txt' AS path, parent, 3 AS depth, byte_size AS size, '.txt' AS extension FROM {LISTED}"),
-    "manifest_rows": (manifest_rows, f"SELECT sample_id, parent || '/' || doc_id || '.txt' AS relative_path, class_id, byte_size, 1 AS width, n_chars::INTEGER AS height, checksum, cost AS estimated_decode_cost FROM {LISTED}"),
-    "loose_payloads": (loose_payloads, f"SELECT sample_id, doc_id % 9 = 0 OR byte_size = 0 AS failed, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE byte_size END::BIGINT AS read_bytes, CASE WHEN doc_id % 9 <> 0 AND byte_size > 0 THEN checksum END AS read_checksum FROM {LISTED}"),
+    "walked_files": (
+        walked_files, f"SELECT parent || '/' || doc_id || '.txt' AS path, parent, 3 AS depth, byte_size AS size, '.txt' AS extension FROM {LISTED}"
+    ),
+    "manifest_rows": (
+        manifest_rows,
+        f"SELECT sample_id, parent || '/' || doc_id || '.txt' AS relative_path, class_id, byte_size, 1 AS width, n_chars::INTEGER AS height, checksum, cost AS estimated_decode_cost FROM {LISTED}"
+    ),
+    "loose_payloads": (
+        loose_payloads,
+        f"SELECT sample_id, doc_id % 9 = 0 OR byte_size = 0 AS failed, CASE WHEN doc_id % 9 = 0 THEN 0 ELSE byte_size END::BIGINT AS read_bytes, CASE WHEN doc_id % 9 <> 0 AND byte_size > 0 THEN checksum END AS read_checksum FROM {LISTED}"
+    ),
     "tar_samples": (tar_samples, f"SELECT sample_id, class_id, {SHARD_NAME}, checksum FROM {DEALT}"),
     "shard_index_rows": (
         shard_index_rows,
@@ -167,7 +187,16 @@ QUERIES = {
     ),
     "parquet_rows": (_track("parquet"), TRACK_SQL),
     "arrow_rows": (_track("arrow"), TRACK_SQL),
-    "parquet_positions": (parquet_positions, f"SELECT row_number() OVER (ORDER BY sample_id) - 1 AS position, sample_id, false AS failed, checksum FROM {LISTED} UNION ALL SELECT count(*), NULL, true, NULL FROM {LISTED}"),
-    "adapter_payloads": (adapter_payloads, f"SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS position, checksum AS read_checksum, byte_size = 0 AS failed FROM {LISTED}"),
-    "summaries_read": (summaries_read, "WITH e AS (SELECT event_type AS run_name, count(*) AS samples_measured, row_number() OVER (ORDER BY event_type) - 1 AS i FROM events GROUP BY event_type) SELECT i AS input_ordinal, run_name, samples_measured, 7::BIGINT AS seed FROM e UNION ALL SELECT (SELECT count(*) FROM e), run_name, samples_measured, 7 FROM e WHERE i = 0"),
+    "parquet_positions": (
+        parquet_positions,
+        f"SELECT row_number() OVER (ORDER BY sample_id) - 1 AS position, sample_id, false AS failed, checksum FROM {LISTED} UNION ALL SELECT count(*), NULL, true, NULL FROM {LISTED}"
+    ),
+    "adapter_payloads": (
+        adapter_payloads,
+        f"SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS position, checksum AS read_checksum, byte_size = 0 AS failed FROM {LISTED}"
+    ),
+    "summaries_read": (
+        summaries_read,
+        "WITH e AS (SELECT event_type AS run_name, count(*) AS samples_measured, row_number() OVER (ORDER BY event_type) - 1 AS i FROM events GROUP BY event_type) SELECT i AS input_ordinal, run_name, samples_measured, 7::BIGINT AS seed FROM e UNION ALL SELECT (SELECT count(*) FROM e), run_name, samples_measured, 7 FROM e WHERE i = 0"
+    ),
 }

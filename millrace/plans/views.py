@@ -35,8 +35,16 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
-    docs = d.select(F.concat(F.lit("docs/"), "source", F.lit("/"), "lang").alias("parent"), F.concat(F.col("doc_id").cast("string"), _pick(EXTENSIONS, F.col("doc_id") % len(EXTENSIONS))).alias("name"), F.octet_length("text").cast("long").alias("size"), (F.col("doc_id") % 50 == 0).alias("linked"))
-    pages = p.select(F.concat(F.lit("pages/p"), (F.col("page_id") % 7).cast("string")).alias("parent"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.octet_length("html").cast("long").alias("size"), F.lit(False).alias("linked"))
+    docs = d.select(
+        F.concat(F.lit("docs/"), "source", F.lit("/"), "lang").alias("parent"),
+        F.concat(F.col("doc_id").cast("string"), _pick(EXTENSIONS, F.col("doc_id") % len(EXTENSIONS))).alias("name"),
+        F.octet_length("text").cast("long").alias("size"), (F.col("doc_id") % 50 == 0).alias("linked")
+    )
+    pages = p.select(
+        F.concat(F.lit("pages/p"), (F.col("page_id") % 7).cast("string")).alias("parent"),
+        F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), F.octet_length("html").cast("long").alias("size"),
+        F.lit(False).alias("linked")
+    )
     both = docs.unionByName(pages)
     return both.select(
         F.concat_ws("/", "parent", "name").alias("path"), "parent", F.size(F.split("parent", "/")).alias("depth"), F.lit("file").alias("kind"), "size", F.when(F.col("linked"), 2).otherwise(1).alias("nlink"), scalars.extension(F.col("name")).alias("extension"),
@@ -45,7 +53,10 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who read what: ranks 0 to 7, epochs 1 to 7."""
-    return table(spark, sf_dir, "lineitem").select(F.pmod("l_suppkey", F.lit(WORLD_SIZE)).cast("int").alias("rank"), F.col("l_linenumber").alias("epoch"), F.col("l_partkey").alias("sample_index"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.pmod("l_suppkey", F.lit(WORLD_SIZE)).cast("int").alias("rank"), F.col("l_linenumber").alias("epoch"),
+        F.col("l_partkey").alias("sample_index")
+    )
 
 
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +66,13 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of ranks, from what each shipped."""
     li = table(spark, sf_dir, "lineitem")
-    each = li.groupBy(F.pmod("l_suppkey", F.lit(WORLD_SIZE)).cast("int").alias("rank")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"), F.avg("l_discount").alias("w"))
-    return each.select("rank", (F.col("n") / (F.col("q") / 100.0)).alias("samples_per_second"), (F.col("q") / 100.0).alias("elapsed_seconds"), (F.col("w") * 8.0).alias("data_wait_fraction"))
+    each = li.groupBy(F.pmod("l_suppkey", F.lit(WORLD_SIZE)).cast("int").alias("rank")).agg(
+        F.count("*").alias("n"), F.sum("l_quantity").alias("q"), F.avg("l_discount").alias("w")
+    )
+    return each.select(
+        "rank", (F.col("n") / (F.col("q") / 100.0)).alias("samples_per_second"), (F.col("q") / 100.0).alias("elapsed_seconds"),
+        (F.col("w") * 8.0).alias("data_wait_fraction")
+    )
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,14 +81,30 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, v, n = F.col("user_id"), F.col("value"), F.col("event_id")
     workers = _pick(WORKERS, F.pmod(u, F.lit(len(WORKERS))))
     return e.select(
-        n.alias("input_ordinal"), F.concat(F.lit("run-"), n.cast("string")).alias("run_name"), F.col("event_type").alias("layout"), _pick(PLACEMENTS, F.pmod(u, F.lit(len(PLACEMENTS)))).alias("storage"), workers.alias("num_workers"),
+        n.alias("input_ordinal"), F.concat(F.lit("run-"), n.cast("string")).alias("run_name"), F.col("event_type").alias("layout"), _pick(
+            PLACEMENTS, F.pmod(u, F.lit(len(PLACEMENTS)))
+        ).alias("storage"), workers.alias("num_workers"),
         v.alias("samples_per_second"), (v * 0.0025).alias("mib_per_second"), (F.lit(64.0) / (v + 1.0)).alias("mean_batch_wait_seconds"), (F.lit(128.0) / (v + 1.0)).alias("p95_batch_wait_seconds"), (F.pmod(n, F.lit(100)) / 100.0).alias("mean_data_wait_fraction"), (F.pmod(n, F.lit(7)) + 0.5).alias("startup_seconds"),
-        F.when(F.col("event_type") == "click", 41).otherwise(1000).cast("long").alias("files_opened"), F.when(F.col("event_type") == "click", 41).otherwise(50002).cast("long").alias("filesystem_objects"),
+        F.when(
+            F.col("event_type") == "click", 41
+        ).otherwise(1000).cast("long").alias("files_opened"), F.when(
+            F.col("event_type") == "click", 41
+        ).otherwise(50002).cast("long").alias("filesystem_objects"),
         F.lit("m1").alias("manifest_hash"), F.lit("1.0").alias("schema_version"), F.lit(64).alias("batch_size"), F.lit(1000).alias("measured_batches"), F.lit(1).alias("world_size"), F.lit(1234).cast("long").alias("seed"), F.when(n % 3 == 0, F.lit(None)).otherwise(F.lit(1)).cast("int").alias("compute_steps"),
         (F.col("event_type") != "view").alias("shuffle"), F.when(n % 2 == 0, 1000).otherwise(F.lit(None)).cast("int").alias("shuffle_buffer"),
-        (F.when(n % 997 == 0, 1).otherwise(0)).cast("long").alias("failed_samples"), F.lit(0).cast("long").alias("duplicate_samples"), F.lit(0).cast("long").alias("missing_samples"),
-        (F.lit(50000.0) / (v + 1.0)).alias("estimated_epoch_seconds"), F.when(F.pmod(u, F.lit(3)) == 2, 100.0 + F.pmod(n, F.lit(10))).otherwise(0.0).alias("staging_seconds"), F.when(F.pmod(u, F.lit(3)) == 2, 2.0).otherwise(0.0).alias("validation_seconds"), F.when(F.pmod(u, F.lit(3)) == 2, 0.25).otherwise(0.0).alias("dataset_fraction_of_memory"),
-        (F.pmod(n, F.lit(90)) / 100.0).alias("cpu_utilization"), (F.lit(1000.0) * (workers + 1)).alias("peak_memory_bytes"), (F.lit(2.0) * workers * workers).alias("involuntary_switches_per_second"), workers.cast("double").alias("child_processes"),
+        (
+            F.when(n % 997 == 0, 1).otherwise(0)
+        ).cast("long").alias("failed_samples"), F.lit(0).cast("long").alias("duplicate_samples"), F.lit(0).cast("long").alias("missing_samples"),
+        (F.lit(50000.0) / (v + 1.0)).alias("estimated_epoch_seconds"), F.when(
+            F.pmod(u, F.lit(3)) == 2, 100.0 + F.pmod(n, F.lit(10))
+        ).otherwise(0.0).alias("staging_seconds"), F.when(F.pmod(u, F.lit(3)) == 2, 2.0).otherwise(0.0).alias("validation_seconds"), F.when(
+            F.pmod(u, F.lit(3)) == 2, 0.25
+        ).otherwise(0.0).alias("dataset_fraction_of_memory"),
+        (F.pmod(n, F.lit(90)) / 100.0).alias("cpu_utilization"), (F.lit(1000.0) * (workers + 1)).alias("peak_memory_bytes"), (
+            F.lit(2.0) * workers * workers
+        ).alias(
+            "involuntary_switches_per_second"
+        ), workers.cast("double").alias("child_processes"),
         ((workers + 1) / F.lit(14.0)).alias("oversubscription_ratio"), ((workers + 1) / F.lit(7.0)).alias("processes_per_physical_core"), F.lit(7.0).alias("allocated_cores"), F.lit(14.0).alias("cpus_available"),
     )
 
@@ -80,7 +112,10 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches in order of events: wait and whole seconds, and epochs of 1000 batches."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("ordinal"), F.expr("event_id div 1000").alias("epoch"), (F.col("value") / 1000.0).alias("wait"), (F.col("value") / 1000.0 + 0.01).alias("seconds"))
+    return e.select(
+        F.col("event_id").alias("ordinal"), F.expr("event_id div 1000").alias("epoch"), (F.col("value") / 1000.0).alias("wait"),
+        (F.col("value") / 1000.0 + 0.01).alias("seconds")
+    )
 
 
 VIEW_SQL = {

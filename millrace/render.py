@@ -78,14 +78,21 @@ def ladder_report(rungs: DataFrame, verdict) -> str:
 
 def placement_report(rows: DataFrame, even: DataFrame, costs: DataFrame) -> str:
     """Placements, when each pays its set-up cost back, and what each costs at several numbers of epochs."""
-    titles = {"storage": "Placement", "runs": "Runs", "samples_per_second": "Samples/s", "estimated_epoch_seconds": "Epoch s", "staging_seconds": "Staging s", "validation_seconds": "Validate s"}
+    titles = {
+        "storage": "Placement", "runs": "Runs", "samples_per_second": "Samples/s", "estimated_epoch_seconds": "Epoch s",
+        "staging_seconds": "Staging s", "validation_seconds": "Validate s"
+    }
     pays = []
     for r in even.orderBy("storage").collect():
         if r["storage"] != r["baseline"]:
             epochs = "never" if r["break_even_epochs"] is None else f"{r['break_even_epochs']:.4g}"
-            pays.append(f"{r['storage']} against {r['baseline']}: saves {r['per_epoch_time_saved']:.4g} s an epoch for {r['setup_cost_seconds']:.4g} s of set-up, even after {epochs} epochs")
+            pays.append(
+                f"{r['storage']} against {r['baseline']}: saves {r['per_epoch_time_saved']:.4g} s an epoch for {r['setup_cost_seconds']:.4g} s of set-up, even after {epochs} epochs"
+            )
     note = "Wall times with set-up: read the row of the epochs you mean to run. They say nothing of what the storage costs."
-    return "\n\n".join([_titled(rows.orderBy("storage"), titles), *(["\n".join(pays)] if pays else []), table(costs.orderBy("epochs", "storage")), note])
+    return "\n\n".join(
+        [_titled(rows.orderBy("storage"), titles), *(["\n".join(pays)] if pays else []), table(costs.orderBy("epochs", "storage")), note]
+    )
 
 
 def inspection_details(row) -> str:
@@ -121,5 +128,10 @@ def decision_markdown(row, notes: Sequence[str] = (), about: str = "") -> str:
     """The verdict as a short document."""
     d = row.asDict()
     head = f"# Data readiness: {d['data_readiness']}\n\n" + (about + "\n\n" if about else "")
-    body = "".join(f"- {k.replace('_', ' ')}: {d[k]}\n" for k in ("recommended_layout", "recommended_storage", "recommended_workers_per_rank", "main_limiting_factor", "node_local_staging", "distributed_partitioning", "planned_epochs", "next_experiment"))
+    body = "".join(
+        f"- {k.replace('_', ' ')}: {d[k]}\n" for k in (
+            "recommended_layout", "recommended_storage", "recommended_workers_per_rank", "main_limiting_factor", "node_local_staging",
+            "distributed_partitioning", "planned_epochs", "next_experiment"
+        )
+    )
     return head + body + ("\n## Findings\n\n" + "".join(f"- {n}\n" for n in notes) if notes else "")

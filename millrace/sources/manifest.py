@@ -13,7 +13,10 @@ from pyspark.sql import types as T
 from ..errors import ManifestError
 from ..functions.scalars import checksum
 
-FIELDS = {"sample_id": "string", "relative_path": "string", "class_id": "int", "byte_size": "long", "width": "int", "height": "int", "checksum": "string", "estimated_decode_cost": "long"}
+FIELDS = {
+    "sample_id": "string", "relative_path": "string", "class_id": "int", "byte_size": "long", "width": "int", "height": "int", "checksum": "string",
+    "estimated_decode_cost": "long"
+}
 SCHEMA = ", ".join(f"{k} {t}" for k, t in FIELDS.items())
 
 
@@ -30,7 +33,9 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     wanted = F.array(*[F.lit(k) for k in FIELDS])
     parsed = lines.select(F.from_json("value", SCHEMA).alias("r"), keys.alias("k"))
     untyped = F.exists(F.array(*[F.col(f"r.{k}").isNull() for k in FIELDS]), lambda x: x)  # a value of another type is read as null
-    wrong = parsed.filter(F.col("k").isNull() | (F.size(F.array_except("k", wanted)) > 0) | (F.size(F.array_except(wanted, F.col("k"))) > 0) | untyped)
+    wrong = parsed.filter(
+        F.col("k").isNull() | (F.size(F.array_except("k", wanted)) > 0) | (F.size(F.array_except(wanted, F.col("k"))) > 0) | untyped
+    )
     rows = parsed.select("r.*")
     repeated = rows.groupBy("sample_id").count().filter("count > 1")
     if wrong.take(1) or repeated.take(1):
@@ -89,7 +94,9 @@ def manifest_hash(path: str) -> str:
 def content_hash(samples: DataFrame) -> DataFrame:
     """One row: a hash of the rows whatever their order, computed where they are."""
     columns = [F.col(c) for c in FIELDS]
-    return samples.agg(F.lower(F.hex(F.bit_xor(F.xxhash64(*columns)))).alias("content_hash"), F.count("*").alias("samples"), F.sum("byte_size").alias("total_bytes"))
+    return samples.agg(
+        F.lower(F.hex(F.bit_xor(F.xxhash64(*columns)))).alias("content_hash"), F.count("*").alias("samples"), F.sum("byte_size").alias("total_bytes")
+    )
 
 
 def payloads(samples: DataFrame, root: str, verify: bool = False) -> DataFrame:

@@ -99,16 +99,29 @@ def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
     that no row came from is an error.
     """
     given = [(i, re.sub("^file:/+", "/", _uri(spark, p))) for i, p in enumerate(paths)]
-    raw = spark.read.text(sorted(set(paths)), wholetext=True).select("value", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("_path"))
+    raw = spark.read.text(sorted(set(paths)), wholetext=True).select(
+        "value", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("_path")
+    )
     keys = F.json_object_keys("value")
     need, may = F.array(*[F.lit(k) for k in COMMON]), F.array(*[F.lit(k) for k in TYPES])
-    rows = raw.select("_path", keys.isNull().alias("_bad"), F.array_except(need, keys).alias("_absent"), F.array_except(keys, may).alias("_other"), F.from_json("value", SCHEMA).alias("r"))
-    seen = {w["_path"]: w for w in rows.select("_path", "_bad", "_absent", "_other", F.col("r.schema_version").eqNullSafe(VERSION).alias("_same")).collect()}  # one row per file
+    rows = raw.select(
+        "_path", keys.isNull().alias("_bad"), F.array_except(need, keys).alias("_absent"), F.array_except(keys, may).alias("_other"),
+        F.from_json("value", SCHEMA).alias("r")
+    )
+    seen = {
+        w["_path"]: w for w in rows.select(
+            "_path", "_bad", "_absent", "_other", F.col("r.schema_version").eqNullSafe(VERSION).alias("_same")
+        ).collect()
+    }  # one row per file
     for _, path in given:
         w = seen.get(path)
         if w is None:
             raise SummaryError(f"{path}: no run was read from it")
         if w["_bad"] or w["_absent"] or w["_other"] or not w["_same"]:
-            raise SummaryError(f"{path}: " + ("not a JSON object" if w["_bad"] else f"lacks {w['_absent']}" if w["_absent"] else f"unknown fields {w['_other']}" if w["_other"] else f"version is not {VERSION!r}"))
+            raise SummaryError(
+                f"{path}: " + (
+                    "not a JSON object" if w["_bad"] else f"lacks {w['_absent']}" if w["_absent"] else f"unknown fields {w['_other']}" if w["_other"] else f"version is not {VERSION!r}"
+                )
+            )
     order = spark.createDataFrame(given, "input_ordinal long, _path string")
     return rows.join(F.broadcast(order), "_path").select("input_ordinal", "r.*")  # one row per file

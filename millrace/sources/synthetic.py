@@ -101,6 +101,10 @@ def samples(spark: SparkSession, profile: Profile, count: int | None = None) ->
     made = spark.range(profile.samples if count is None else count).mapInArrow(fill, "index long, payload binary")
     i = F.col("index")
     return made.select(
-        scalars.sample_id(i).alias("sample_id"), scalars.sample_path(i, profile.classes, profile.extension).alias("relative_path"), scalars.class_of(i, profile.classes).alias("class_id"), F.octet_length("payload").cast("long").alias("byte_size"),
-        F.lit(profile.width).alias("width"), F.lit(profile.height).alias("height"), scalars.checksum(F.col("payload")).alias("checksum"), F.lit(profile.width * profile.height).cast("long").alias("estimated_decode_cost"), "payload",
+        scalars.sample_id(i).alias("sample_id"), scalars.sample_path(
+            i, profile.classes, profile.extension
+        ).alias("relative_path"), scalars.class_of(i, profile.classes).alias("class_id"), F.octet_length("payload").cast("long").alias("byte_size"),
+        F.lit(profile.width).alias("width"), F.lit(profile.height).alias("height"), scalars.checksum(F.col("payload")).alias("checksum"), F.lit(
+            profile.width * profile.height
+        ).cast("long").alias("estimated_decode_cost"), "payload",
     )

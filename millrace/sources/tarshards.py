@@ -107,7 +107,9 @@ class TarShards(DataSource):
         seed, broken = self.options.get("seed"), self.options.get("broken", "skip")
         if broken not in ("skip", "fail"):
             raise ValueError(f"broken must be skip or fail, not {broken!r}")
-        return TarShardReader(self.options["path"], int(self.options.get("reader", "0")), readers, None if seed is None else int(seed), broken == "skip")
+        return TarShardReader(
+            self.options["path"], int(self.options.get("reader", "0")), readers, None if seed is None else int(seed), broken == "skip"
+        )
 
 
 def read_shards(spark: SparkSession, directory: str, reader: int = 0, readers: int = 1, seed: int | None = None, broken: str = "skip") -> DataFrame:
@@ -137,7 +139,12 @@ def write_shards(members: DataFrame, directory: str, plan: ShardPlan) -> DataFra
     target = os.path.abspath(directory)
     columns = members.select("shard_id", "position", "sample_id", "payload", "class_id", "extension", "byte_size", "estimated_decode_cost")
     rows = columns.repartition("shard_id").sortWithinPartitions("shard_id", "position")
-    shape = pa.schema([("shard_id", pa.int32()), ("shard", pa.string()), ("samples", pa.int64()), ("bytes", pa.int64()), ("sample_bytes", pa.int64()), ("estimated_work", pa.int64())])
+    shape = pa.schema(
+        [
+            ("shard_id", pa.int32()), ("shard", pa.string()), ("samples", pa.int64()), ("bytes", pa.int64()), ("sample_bytes", pa.int64()),
+            ("estimated_work", pa.int64())
+        ]
+    )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, archive, temporary, ids, size, cost = None, None, "", [], 0, 0
@@ -146,7 +153,9 @@ def write_shards(members: DataFrame, directory: str, plan: ShardPlan) -> DataFra
             archive.close()
             name = f"shard-{now:05d}.tar"
             os.replace(temporary, os.path.join(target, name))
-            entry = {"shard": name, "samples": len(ids), "bytes": os.path.getsize(os.path.join(target, name)), "sample_bytes": size, "estimated_work": cost}
+            entry = {
+                "shard": name, "samples": len(ids), "bytes": os.path.getsize(os.path.join(target, name)), "sample_bytes": size, "estimated_work": cost
+            }
             with open(temporary, "w") as f:
                 f.write(json.dumps(entry | {"sample_ids": ids}, indent=2, sort_keys=True))
             os.replace(temporary, _entry_path(target, now))
@@ -170,7 +179,10 @@ def write_shards(members: DataFrame, directory: str, plan: ShardPlan) -> DataFra
 
     schema = "shard_id int, shard string, samples long, bytes long, sample_bytes long, estimated_work long"
     found = rows.mapInArrow(write, schema).orderBy("shard_id").collect()  # one row per shard, of six numbers
-    write_index(os.path.join(target, INDEX_NAME), [_entry_path(target, r["shard_id"]) for r in found], sum(r["samples"] for r in found), sum(r["bytes"] for r in found), plan)
+    write_index(
+        os.path.join(target, INDEX_NAME), [_entry_path(target, r["shard_id"]) for r in found], sum(r["samples"] for r in found),
+        sum(r["bytes"] for r in found), plan
+    )
     return members.sparkSession.createDataFrame(found, schema)
 
 
@@ -180,8 +192,13 @@ def _entry_path(directory: str, shard: int) -> str:
 
 def write_index(path: str, entries: list[str], samples: int, num_bytes: int, plan: ShardPlan) -> None:
     """The index as sorted, indented JSON, from files with one shard's entry each, which are removed."""
-    about = {"samples_per_shard": plan.samples_per_shard, "shuffle_before_sharding": plan.shuffle, "seed": plan.seed, "balance_by": plan.balance_by, "imbalance_factor": plan.imbalance_factor}
-    head, tail = json.dumps({"plan": about, "schema_version": INDEX_VERSION, "shards": [], "total_bytes": num_bytes, "total_samples": samples}, indent=2, sort_keys=True).split("[]")
+    about = {
+        "samples_per_shard": plan.samples_per_shard, "shuffle_before_sharding": plan.shuffle, "seed": plan.seed, "balance_by": plan.balance_by,
+        "imbalance_factor": plan.imbalance_factor
+    }
+    head, tail = json.dumps(
+        {"plan": about, "schema_version": INDEX_VERSION, "shards": [], "total_bytes": num_bytes, "total_samples": samples}, indent=2, sort_keys=True
+    ).split("[]")
     with open(path, "w") as f:
         f.write(head + "[")
         for i, one in enumerate(entries):

@@ -100,11 +100,24 @@ def convert(samples: DataFrame, to: str, directory: str, group_rows: int = GROUP
                 put(group)
                 rows, groups = rows + len(group), groups + 1
         if rows:
-            yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64()), "bytes": pa.array([os.path.getsize(path)], pa.int64()), "groups": pa.array([groups], pa.int32())})
-
-    ordered = samples.select("sample_id", F.col("class_id").cast("int").alias("class_id"), "payload").repartitionByRange("sample_id").sortWithinPartitions("sample_id")
-    done = ordered.mapInArrow(write, "rows long, bytes long, groups int").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("groups"), F.lit(0)).alias("groups"), F.count("*").alias("files")).first()
-    record = {"format": to, "rows": done["rows"], "bytes": done["bytes"], "row_groups": done["groups"], "files": done["files"], "group_rows": group_rows, "compression": compression}
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "rows": pa.array([rows], pa.int64()), "bytes": pa.array([os.path.getsize(path)], pa.int64()),
+                    "groups": pa.array([groups], pa.int32())
+                }
+            )
+
+    ordered = samples.select(
+        "sample_id", F.col("class_id").cast("int").alias("class_id"), "payload"
+    ).repartitionByRange("sample_id").sortWithinPartitions("sample_id")
+    done = ordered.mapInArrow(write, "rows long, bytes long, groups int").agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum("groups"), F.lit(0)).alias("groups"), F.count("*").alias("files")
+    ).first()
+    record = {
+        "format": to, "rows": done["rows"], "bytes": done["bytes"], "row_groups": done["groups"], "files": done["files"], "group_rows": group_rows,
+        "compression": compression
+    }
     with open(os.path.join(directory, "conversion.json"), "w") as f:
         f.write(json.dumps(record, indent=2, sort_keys=True) + "\n")
     return record
@@ -124,7 +137,9 @@ def read_track(spark: SparkSession, directory: str, fmt: str, expected: int | No
                         reader = pa.ipc.open_file(f)
                         for i in range(reader.num_record_batches):
                             b = reader.get_batch(i)
-                            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2).cast(pa.binary())], names=["sample_id", "class_id", "payload"])
+                            yield pa.RecordBatch.from_arrays(
+                                [b.column(0), b.column(1), b.column(2).cast(pa.binary())], names=["sample_id", "class_id", "payload"]
+                            )
 
         found = names.repartition(max(1, names.count()), "path").mapInArrow(load, "sample_id string, class_id int, payload binary")
     elif fmt == "hdf5" and importlib.util.find_spec("h5py") is not None:
@@ -138,7 +153,13 @@ def read_track(spark: SparkSession, directory: str, fmt: str, expected: int | No
                     with h5py.File(path, "r", locking=False) as h:
                         for i in range(0, len(h["class_id"]), GROUP_ROWS):
                             part = slice(i, i + GROUP_ROWS)
-                            yield pa.RecordBatch.from_pydict({"sample_id": pa.array([x.decode() for x in h["sample_id"][part]]), "class_id": pa.array(h["class_id"][part], pa.int32()), "payload": pa.array([x.tobytes() for x in h["payload"][part]], pa.binary())})
+                            yield pa.RecordBatch.from_pydict(
+                                {
+                                    "sample_id": pa.array([x.decode() for x in h["sample_id"][part]]),
+                                    "class_id": pa.array(h["class_id"][part], pa.int32()),
+                                    "payload": pa.array([x.tobytes() for x in h["payload"][part]], pa.binary())
+                                }
+                            )
 
         found = names.repartition(max(1, names.count()), "path").mapInArrow(load_hdf5, "sample_id string, class_id int, payload binary")
     else:
@@ -185,7 +206,9 @@ def read_positions(positions: DataFrame, directory: str, expected: int | None =
     placed = asked.join(cells, inside, "left").select("position", "_group")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = pa.schema([("position", pa.int64()), ("sample_id", pa.string()), ("class_id", pa.int32()), ("payload", pa.binary()), ("failed", pa.bool_())])
+        shape = pa.schema(
+            [("position", pa.int64()), ("sample_id", pa.string()), ("class_id", pa.int32()), ("payload", pa.binary()), ("failed", pa.bool_())]
+        )
         now, rows = None, None
         for batch in batches:
             at, group = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -193,12 +216,28 @@ def read_positions(positions: DataFrame, directory: str, expected: int | None =
                 mine = [p for p, x in zip(at, group, strict=True) if x == g]
                 if g is None:
                     none = pa.nulls(len(mine))
-                    yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), none.cast(pa.string()), none.cast(pa.int32()), none.cast(pa.binary()), pa.array([True] * len(mine))], schema=shape)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(mine, pa.int64()), none.cast(pa.string()), none.cast(pa.int32()), none.cast(pa.binary()),
+                            pa.array([True] * len(mine))
+                        ],
+                        schema=shape
+                    )
                     continue
                 if g != now:
                     rows, now = pq.ParquetFile(bounds[g][0]).read_row_group(bounds[g][1], columns=["sample_id", "class_id", "payload"]), g
                 got = rows.take([p - starts[g] for p in mine]).combine_chunks()
-                yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), *[got[c].cast(t).combine_chunks() for c, t in (("sample_id", pa.string()), ("class_id", pa.int32()), ("payload", pa.binary()))], pa.array([False] * len(mine))], schema=shape)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(mine, pa.int64()),
+                        *[
+                            got[c].cast(t).combine_chunks() for c,
+                            t in (("sample_id", pa.string()), ("class_id", pa.int32()), ("payload", pa.binary()))
+                        ],
+                        pa.array([False] * len(mine))
+                    ],
+                    schema=shape
+                )
 
     dealt = placed.repartition(F.col("_group")).sortWithinPartitions("_group", "position")
     return dealt.mapInArrow(read, "position long, sample_id string, class_id int, payload binary, failed boolean")

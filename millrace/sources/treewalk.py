@@ -17,7 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "path string, parent string, depth int, kind string, size long, nlink int, extension string"
-ARROW = pa.schema([("path", pa.string()), ("parent", pa.string()), ("depth", pa.int32()), ("kind", pa.string()), ("size", pa.int64()), ("nlink", pa.int32()), ("extension", pa.string())])
+ARROW = pa.schema(
+    [
+        ("path", pa.string()), ("parent", pa.string()), ("depth", pa.int32()), ("kind", pa.string()), ("size", pa.int64()), ("nlink", pa.int32()),
+        ("extension", pa.string())
+    ]
+)
 BATCH = 8192
 #: Entries for each task, so that tasks end at about one time, and the most directories that the driver lists for it.
 SPREAD, MOST_LISTED = 8, 256
@@ -109,7 +114,9 @@ class TreeWalkReader(DataSourceReader):
         mode = found.st_mode
         kind = "symlink" if stat.S_ISLNK(mode) else "dir" if stat.S_ISDIR(mode) else "file" if stat.S_ISREG(mode) else "other"
         at = depth if kind == "dir" else max(0, depth - 1)
-        return (path, parent, at, kind, found.st_size if kind == "file" else None, found.st_nlink if kind == "file" else None, extension_of(name)), kind == "dir"
+        return (
+            path, parent, at, kind, found.st_size if kind == "file" else None, found.st_nlink if kind == "file" else None, extension_of(name)
+        ), kind == "dir"
 
 
 class TreeWalk(DataSource):

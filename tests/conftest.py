@@ -13,8 +13,14 @@ from pyspark.sql import SparkSession  # noqa: E402
 def spark():
     work = tempfile.mkdtemp(prefix="millrace-tests-")
     session = (
-        SparkSession.builder.master("local[4]").config("spark.driver.memory", "3g").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"{work}/shared").config("spark.sql.warehouse.dir", f"{work}/warehouse").getOrCreate()
+        SparkSession.builder.master("local[4]").config("spark.driver.memory", "3g").config(
+            "spark.sql.shuffle.partitions", "4"
+        ).config("spark.ui.enabled", "false").config(
+            "spark.ui.showConsoleProgress", "false"
+        )
+        .config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"{work}/shared").config(
+            "spark.sql.warehouse.dir", f"{work}/warehouse"
+        ).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

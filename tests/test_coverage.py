@@ -13,7 +13,10 @@ def total(spark, n):
 
 
 def ranks(spark, elapsed):
-    return spark.createDataFrame([(i, 100.0, float(e), 0.1) for i, e in enumerate(elapsed)], "rank int, samples_per_second double, elapsed_seconds double, data_wait_fraction double")
+    return spark.createDataFrame(
+        [(i, 100.0, float(e), 0.1) for i, e in enumerate(elapsed)],
+        "rank int, samples_per_second double, elapsed_seconds double, data_wait_fraction double"
+    )
 
 
 def test_duplicates_are_counted_within_an_epoch(spark):
@@ -54,13 +57,19 @@ def test_missing_is_judged_only_after_enough_reads(spark):
 
 def test_imbalance_is_a_caution(spark):
     rows = reads(spark, [(r, 0, r * 10 + i) for r in range(4) for i in range(10)])
-    found = coverage.distributed_findings(coverage.cross_rank_verdict(rows, total(spark, 40), 4), coverage.rank_balance(ranks(spark, [10, 10, 40, 10]))).collect()
+    found = coverage.distributed_findings(
+        coverage.cross_rank_verdict(rows, total(spark, 40), 4), coverage.rank_balance(ranks(spark, [10, 10, 40, 10]))
+    ).collect()
     assert [(r.rule_id, r.value) for r in found] == [("rank-imbalance", 0.75)]
 
 
 def test_expectations(spark):
     one = spark.range(1).select(
-        scalars.expected_samples(F.lit(10), F.lit(4), F.lit(True), F.lit(False)), scalars.missing_allowance(F.lit(8), F.lit(4), F.lit(True), F.lit(True)), scalars.missing_allowance(F.lit(8), F.lit(0), F.lit(True), F.lit(True))
+        scalars.expected_samples(
+            F.lit(10), F.lit(4), F.lit(True), F.lit(False)
+        ), scalars.missing_allowance(
+            F.lit(8), F.lit(4), F.lit(True), F.lit(True)
+        ), scalars.missing_allowance(F.lit(8), F.lit(0), F.lit(True), F.lit(True))
     ).first()
     assert list(one) == [8, 28, 7]
 

@@ -19,7 +19,10 @@ def tree(tmp_path, sizes):
 
 
 def files(spark, sizes, ext=".jpg"):
-    return spark.createDataFrame([(f"d/{i}{ext}", "d", 1, "file", n, 1, ext) for i, n in enumerate(sizes)], "path string, parent string, depth int, kind string, size long, nlink int, extension string")
+    return spark.createDataFrame(
+        [(f"d/{i}{ext}", "d", 1, "file", n, 1, ext) for i, n in enumerate(sizes)],
+        "path string, parent string, depth int, kind string, size long, nlink int, extension string"
+    )
 
 
 def test_walk_counts(spark, tmp_path):
@@ -48,7 +51,9 @@ def test_one_deep_directory_is_dealt_to_tasks(spark, tmp_path):
     assert len(parts) == 4 and all(len([r for r in treewalk.TreeWalkReader(root, 4)._rows(p) if r[3] == "file"]) >= 6 for p in parts)
     found = treewalk.walk(spark, root, 4).collect()
     want = {os.path.relpath(os.path.join(at, n), root) for at, inner, names in os.walk(root) for n in inner + names}
-    assert sorted(r.path for r in found) == sorted(want) and {r.parent for r in found if r.kind == "file"} == {f"only/way/d{i}/e{j}" for i in range(12) for j in range(3)}
+    assert sorted(r.path for r in found) == sorted(want) and {r.parent for r in found if r.kind == "file"} == {
+        f"only/way/d{i}/e{j}" for i in range(12) for j in range(3)
+    }
 
 
 def test_walk_of_one_file_and_of_nothing(spark, tmp_path):
@@ -59,7 +64,9 @@ def test_walk_of_one_file_and_of_nothing(spark, tmp_path):
 
 
 def test_extension_of_names(spark):
-    rows = spark.createDataFrame([("a.JPG",), ("x.tar.gz",), (".bashrc",), ("none",)], "n string").select(scalars.extension(F.col("n")).alias("e")).collect()
+    rows = spark.createDataFrame(
+        [("a.JPG",), ("x.tar.gz",), (".bashrc",), ("none",)], "n string"
+    ).select(scalars.extension(F.col("n")).alias("e")).collect()
     assert [r.e for r in rows] == [".jpg", ".gz", "(none)", "(none)"]
     assert [treewalk.extension_of(n) for n in ("a.JPG", "x.tar.gz", ".bashrc", "none")] == [".jpg", ".gz", "(none)", "(none)"]
 
@@ -78,7 +85,9 @@ def test_thresholds_are_strict_and_sorted(spark):
 
 def test_packaging_floor_and_target(spark):
     rows = files(spark, [1000] * 100)
-    assert tuple(inspect.packaging_plan(rows, 10_000).select("size_based_shards", "suggested_shards", "suggested_samples_per_shard").first()) == (10, 10, 10)
+    assert tuple(
+        inspect.packaging_plan(rows, 10_000).select("size_based_shards", "suggested_shards", "suggested_samples_per_shard").first()
+    ) == (10, 10, 10)
     assert tuple(inspect.packaging_plan(rows).select("size_based_shards", "suggested_shards", "suggested_samples_per_shard").first()) == (1, 8, 12)
     assert inspect.packaging_plan(files(spark, [1000] * 10, ".npy")).first().compression_likely_to_help
 
@@ -91,8 +100,13 @@ def test_memory_is_three_valued(spark):
 
 
 def test_many_small_files(spark):
-    rows = spark.range(10_000).select(F.concat(F.lit("d/"), F.col("id").cast("string")).alias("path"), F.lit("d").alias("parent"), F.lit(1).alias("depth"), F.lit("file").alias("kind"), F.lit(2048).cast("long").alias("size"), F.lit(1).alias("nlink"), F.lit(".jpg").alias("extension"))
-    assert [r.experiment for r in inspect.candidate_experiments(rows).orderBy("ordinal").collect()] == ["loose-file-baseline", "squashfs", "webdataset"]
+    rows = spark.range(10_000).select(
+        F.concat(F.lit("d/"), F.col("id").cast("string")).alias("path"), F.lit("d").alias("parent"), F.lit(1).alias("depth"),
+        F.lit("file").alias("kind"), F.lit(2048).cast("long").alias("size"), F.lit(1).alias("nlink"), F.lit(".jpg").alias("extension")
+    )
+    assert [
+        r.experiment for r in inspect.candidate_experiments(rows).orderBy("ordinal").collect()
+    ] == ["loose-file-baseline", "squashfs", "webdataset"]
 
 
 def test_empty_tree(spark):

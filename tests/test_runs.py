@@ -7,7 +7,9 @@ from millrace.cli import main
 from millrace.operators import compare, decide, ladder, placement
 from millrace.sources import runs
 
-BASE = dict(layout="loose", storage="scratch", num_workers=4, batch_size=64, seed=1234, manifest_hash="m", measured_batches=200, compute_steps=1, shuffle=True)
+BASE = dict(
+    layout="loose", storage="scratch", num_workers=4, batch_size=64, seed=1234, manifest_hash="m", measured_batches=200, compute_steps=1, shuffle=True
+)
 
 
 def frame(spark, rows):
@@ -69,7 +71,9 @@ def test_all_rungs_oversubscribed(spark):
 
 
 def places(spark, found):
-    return placement.placement_rows(frame(spark, [dict(storage=s, samples_per_second=v, estimated_epoch_seconds=e, staging_seconds=c) for s, v, e, c in found]))
+    return placement.placement_rows(
+        frame(spark, [dict(storage=s, samples_per_second=v, estimated_epoch_seconds=e, staging_seconds=c) for s, v, e, c in found])
+    )
 
 
 def test_break_even_and_horizons(spark):
@@ -85,7 +89,9 @@ def test_break_even_and_horizons(spark):
 
 
 def test_noise_keeps_scratch(spark):
-    close = places(spark, [("scratch", 13243.0, 3.7, 0.0), ("scratch", 13708.0, 3.7, 0.0), ("flash", 13648.0, 3.6, 0.0), ("flash", 14500.0, 3.6, 0.0)])
+    close = places(
+        spark, [("scratch", 13243.0, 3.7, 0.0), ("scratch", 13708.0, 3.7, 0.0), ("flash", 13648.0, 3.6, 0.0), ("flash", 14500.0, 3.6, 0.0)]
+    )
     assert placement.break_even(close).first().indistinguishable
     assert placement.near_tie_choice(close, 3).first().recommended_storage == "scratch"
     far = places(spark, [("scratch", 1000.0, 50.0, 0.0), ("scratch", 1010.0, 50.0, 0.0), ("flash", 5000.0, 10.0, 0.0), ("flash", 5050.0, 10.0, 0.0)])
@@ -96,7 +102,9 @@ def test_noise_keeps_scratch(spark):
 
 
 def test_first_seen_is_the_baseline(spark):
-    rows = frame(spark, [dict(layout="b", samples_per_second=100.0), dict(layout="a", samples_per_second=150.0), dict(layout="a", samples_per_second=250.0)])
+    rows = frame(
+        spark, [dict(layout="b", samples_per_second=100.0), dict(layout="a", samples_per_second=150.0), dict(layout="a", samples_per_second=250.0)]
+    )
     found = {r.group: r for r in compare.layout_comparison(rows).collect()}
     assert found["b"].is_baseline and found["a"].samples_per_second_percent == 100.0 and found["a"].runs == 2
     assert {r.group: r.is_baseline for r in compare.layout_comparison(rows, baseline="a").collect()} == {"a": True, "b": False}
@@ -117,12 +125,18 @@ def test_mismatches_count_null_and_block(spark):
 def verdict(spark, **more):
     base = dict(world_size=8, unique_samples=800, duplicate_samples=0, missing_samples=0, rank_elapsed_spread=0.05, max_data_wait_fraction=0.1) | more
     idle = base.pop("idle", [])
-    return spark.createDataFrame([(*base.values(), idle)], ", ".join(f"{k} {'double' if isinstance(x, float) else 'long'}" for k, x in base.items()) + ", idle_ranks array<int>")
+    return spark.createDataFrame(
+        [(*base.values(), idle)],
+        ", ".join(f"{k} {'double' if isinstance(x, float) else 'long'}" for k, x in base.items()) + ", idle_ranks array<int>"
+    )
 
 
 def reports(spark, **more):
     two = [dict(layout=n, samples_per_second=s, num_workers=4) for n, s in (("loose", 100.0), ("shards", 300.0)) for _ in range(2)]
-    found = dict(layouts=frame(spark, two), distributed=verdict(spark), inspection=spark.range(1), workers=rungs(spark, [(0, 100), (2, 900), (7, 920)]), storage=frame(spark, [dict(storage="scratch", samples_per_second=10.0)] * 2))
+    found = dict(
+        layouts=frame(spark, two), distributed=verdict(spark), inspection=spark.range(1), workers=rungs(spark, [(0, 100), (2, 900), (7, 920)]),
+        storage=frame(spark, [dict(storage="scratch", samples_per_second=10.0)] * 2)
+    )
     return found | more
 
 
@@ -168,7 +182,11 @@ def test_config_rules(tmp_path):
     assert c.dataset.root == "/r/x" and c.config_hash() == config.build(raw | {"output": {"directory": "p"}}, environ={"ROOT": "/r"}).config_hash()
     with pytest.raises(ValueError, match="ROOT"):
         config.build(raw, environ={})
-    bad = [{"more": {}}, {"loader": {"x": 1}}, {"loader": {"num_workers": 0}}, {"storage": {"location": "tmp"}}, {"storage": {"safety_fraction": 0.0}}, {"dataset": {"layout": "webdataset", "root": "r", "manifest": "m"}}, {"dataset": {"layout": "adapter", "root": "r", "manifest": "m"}}, {"dataset": {"layout": "loose-files"}}]
+    bad = [
+        {"more": {}}, {"loader": {"x": 1}}, {"loader": {"num_workers": 0}}, {"storage": {"location": "tmp"}}, {"storage": {"safety_fraction": 0.0}},
+        {"dataset": {"layout": "webdataset", "root": "r", "manifest": "m"}}, {"dataset": {"layout": "adapter", "root": "r", "manifest": "m"}},
+        {"dataset": {"layout": "loose-files"}}
+    ]
     for change in bad:
         with pytest.raises(ValueError):
             config.build(raw | change, environ={"ROOT": "/r"})
@@ -198,14 +216,30 @@ def test_context_names_fields_of_a_summary():
 
 
 def test_reports_of_ladders_and_placements(spark, tmp_path, capsys):
-    rungs = [runs.write_summary(str(tmp_path / f"w{w}.json"), runs.new_summary(**(BASE | dict(run_name=f"w{w}", num_workers=w, samples_per_second=s)))) for w, s in ((0, 100.0), (2, 900.0), (7, 920.0))]
+    rungs = [
+        runs.write_summary(
+            str(tmp_path / f"w{w}.json"), runs.new_summary(**(BASE | dict(run_name=f"w{w}", num_workers=w, samples_per_second=s)))
+        ) for w,
+        s in ((0, 100.0), (2, 900.0), (7, 920.0))
+    ]
     assert main(["compare", "workers", *rungs, "--no-report"]) == 0
     out = capsys.readouterr().out
     assert "2 *" in out and "RECOMMENDED_WORKERS=2" in out
-    places = [runs.write_summary(str(tmp_path / f"{p}.json"), runs.new_summary(**(BASE | dict(run_name=p, storage=p, samples_per_second=1.0, estimated_epoch_seconds=e, staging_seconds=s)))) for p, e, s in (("scratch", 100.0, 0.0), ("tmp", 50.0, 100.0))]
+    places = [
+        runs.write_summary(
+            str(tmp_path / f"{p}.json"),
+            runs.new_summary(**(BASE | dict(run_name=p, storage=p, samples_per_second=1.0, estimated_epoch_seconds=e, staging_seconds=s)))
+        ) for p,
+        e, s in (("scratch", 100.0, 0.0), ("tmp", 50.0, 100.0))
+    ]
     assert main(["compare", "storage", *places, "--no-report"]) == 0
     assert "tmp against scratch: saves 50 s an epoch for 100 s of set-up, even after 2 epochs" in capsys.readouterr().out
-    made = main(["decide", "--layouts", rungs[0], str(tmp_path / "gone.json"), "--inspection", str(tmp_path / "nowhere"), "--output-dir", str(tmp_path / "out")])
+    made = main(
+        [
+            "decide", "--layouts", rungs[0], str(tmp_path / "gone.json"), "--inspection", str(tmp_path / "nowhere"), "--output-dir",
+            str(tmp_path / "out")
+        ]
+    )
     assert made == 6 and "gone.json is not there" in capsys.readouterr().err
 
 
@@ -213,7 +247,11 @@ def test_profiles(tmp_path):
     from millrace.sources import synthetic
 
     p = tmp_path / "p.yaml"
-    for text, fine in (("dataset: {profile: x, samples: 3, width: 4, height: 5}", True), ("dataset: {profile: x, samples: 0, width: 4, height: 5}", False), ("dataset: {profile: x}", False), ("dataset: {profile: x, samples: 3, width: 4, height: 5, more: 1}", False), ("other: {}", False), ("dataset: {profile: x, samples: 3, width: 4, height: 5, encoding: gif}", False)):
+    for text, fine in (
+            ("dataset: {profile: x, samples: 3, width: 4, height: 5}", True), ("dataset: {profile: x, samples: 0, width: 4, height: 5}", False),
+            ("dataset: {profile: x}", False), ("dataset: {profile: x, samples: 3, width: 4, height: 5, more: 1}", False), ("other: {}", False),
+            ("dataset: {profile: x, samples: 3, width: 4, height: 5, encoding: gif}", False)
+    ):
         p.write_text(text)
         if fine:
             assert synthetic.load_profile(str(p)).extension == "jpg"

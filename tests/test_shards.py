@@ -21,7 +21,10 @@ def groups(df):
     return found
 
 
-@pytest.mark.parametrize("plan", [shards.ShardPlan(10), shards.ShardPlan(10, balance_by="work"), shards.ShardPlan(10, imbalance_factor=6.0), shards.ShardPlan(10, shuffle=False)])
+@pytest.mark.parametrize(
+    "plan",
+    [shards.ShardPlan(10), shards.ShardPlan(10, balance_by="work"), shards.ShardPlan(10, imbalance_factor=6.0), shards.ShardPlan(10, shuffle=False)]
+)
 def test_every_sample_is_planned_once(spark, plan):
     found = groups(shards.plan_shards(samples(spark, 33), plan))
     assert sorted(x for g in found.values() for x in g) == [f"s{i:08d}" for i in range(33)]
@@ -80,7 +83,9 @@ def test_shards_round_trip_and_rebuild_alike(spark, tmp_path):
     want = shards.shard_index(shards.plan_shards(made, plan)).select("shard_id", "tar_bytes")
     assert {tuple(r) for r in want.collect()} == {(r.shard_id, r.bytes) for r in index.collect()}
     back = tarshards.read_shards(spark, str(tmp_path / "a"))
-    assert {(r.sample_id, bytes(r.payload), r.class_id) for r in back.collect()} == {(r.sample_id, bytes(r.payload), r.class_id) for r in made.collect()}
+    assert {
+        (r.sample_id, bytes(r.payload), r.class_id) for r in back.collect()
+    } == {(r.sample_id, bytes(r.payload), r.class_id) for r in made.collect()}
     parts = [tarshards.read_shards(spark, str(tmp_path / "a"), i, 3).count() for i in range(3)]
     assert sum(parts) == 40 and min(parts) > 0
     listed = tarshards.read_index(spark, str(tmp_path / "a" / "shard_index.json"))
@@ -108,7 +113,10 @@ def test_manifest_round_trip_and_errors(spark, tmp_path):
     assert manifest.manifest_hash(a) == manifest.manifest_hash(b)
     assert manifest.read_manifest(spark, a).count() == 12
     lines = open(a).read().splitlines()
-    for bad, text in ((lines + [lines[0]], "line 13"), ([lines[0], "", "{"], "line 3"), ([lines[0].replace('"width"', '"wide"')], "lacks"), ([lines[0][:-1] + ', "more": 1}'], "unknown"), ([lines[1], lines[0].replace('"width": 16', '"width": "16"')], "line 2.*width")):
+    for bad, text in (
+            (lines + [lines[0]], "line 13"), ([lines[0], "", "{"], "line 3"), ([lines[0].replace('"width"', '"wide"')], "lacks"),
+            ([lines[0][:-1] + ', "more": 1}'], "unknown"), ([lines[1], lines[0].replace('"width": 16', '"width": "16"')], "line 2.*width")
+    ):
         p = tmp_path / "bad.jsonl"
         p.write_text("\n".join(bad) + "\n")
         with pytest.raises(ValueError, match=text):
@@ -128,12 +136,16 @@ def test_loose_files_and_failures(spark, tmp_path):
     assert sum(r.read_bytes for r in back) == sum(len(r.payload) for r in made.collect()[:5])
     changed = made.orderBy("sample_id").first()
     (tmp_path / changed.relative_path).write_bytes(b"\0" + bytes(changed.payload)[1:])
-    assert [r.failed for r in manifest.payloads(made.drop("payload"), str(tmp_path), verify=True).orderBy("sample_id").collect()] == [True, False, False, False, False, True]
+    assert [
+        r.failed for r in manifest.payloads(made.drop("payload"), str(tmp_path), verify=True).orderBy("sample_id").collect()
+    ] == [True, False, False, False, False, True]
 
 
 def test_ranges_of_ids_are_even_in_sorted_input(spark):
     rows = spark.range(0, 60_000, 1, 6).select(F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("sample_id"))
-    found = rows.withColumn("b", ordering.range_bucket(rows, "sample_id", 1000)).groupBy("b").agg(F.count("*").alias("n"), F.min("sample_id").alias("lo"), F.max("sample_id").alias("hi")).orderBy("b").collect()
+    found = rows.withColumn("b", ordering.range_bucket(rows, "sample_id", 1000)).groupBy("b").agg(
+        F.count("*").alias("n"), F.min("sample_id").alias("lo"), F.max("sample_id").alias("hi")
+    ).orderBy("b").collect()
     assert len(found) > 50 and max(r.n for r in found) < 5000 and all(a.hi < b.lo for a, b in zip(found, found[1:]))
     ranks = ordering.ranked(rows, [], ordering.range_bucket(rows, "sample_id", 1000), ["sample_id"], total="total")
     assert ranks.filter("rank <> cast(substring(sample_id, 2) as long) or total <> 60000").count() == 0
@@ -147,7 +159,9 @@ def test_shards_in_a_seeded_order_and_broken_ones(spark, tmp_path):
     members = made.join(shards.plan_shards(made.drop("payload", "extension"), plan).select("sample_id", "shard_id", "position"), "sample_id")
     tarshards.write_shards(members, str(tmp_path), plan)
     whole = json.load(open(tmp_path / tarshards.INDEX_NAME))
-    assert open(tmp_path / tarshards.INDEX_NAME).read() == json.dumps(whole, indent=2, sort_keys=True) + "\n" and sum(len(s["sample_ids"]) for s in whole["shards"]) == 40
+    assert open(tmp_path / tarshards.INDEX_NAME).read() == json.dumps(whole, indent=2, sort_keys=True) + "\n" and sum(
+        len(s["sample_ids"]) for s in whole["shards"]
+    ) == 40
     assert not [n for n in os.listdir(tmp_path) if n.startswith(".") and not n.endswith(".crc")]
     order = lambda seed: [os.path.basename(p.path) for p in tarshards.TarShardReader(str(tmp_path), 0, 1, seed, True).partitions()]
     assert order(3) == order(3) and sorted(order(3)) == order(None) and len({tuple(order(i)) for i in range(5)}) > 1
@@ -171,6 +185,10 @@ def test_rows_by_position(spark, tmp_path):
     asked = spark.createDataFrame([(i,) for i in [*range(56, -1, -2), 3, 3, 57, -1]], "position long")
     found = tracks.read_positions(asked, str(tmp_path), 57).collect()
     assert len(found) == 33 and {r.position for r in found if r.failed} == {57, -1}
-    assert all((r.sample_id, r.class_id, bytes(r.payload)) == (want[r.position].sample_id, want[r.position].class_id, bytes(want[r.position].payload)) for r in found if not r.failed)
+    assert all(
+        (r.sample_id, r.class_id, bytes(r.payload)) == (
+            want[r.position].sample_id, want[r.position].class_id, bytes(want[r.position].payload)
+        ) for r in found if not r.failed
+    )
     with pytest.raises(ValueError):
         tracks.read_positions(asked, str(tmp_path), 58)
