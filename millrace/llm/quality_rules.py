@@ -25,27 +25,39 @@ LINE_COVERAGE = 0.45
 MIN_WORDS = 10
 BASE_N = 5
 BASE_PERCENT = 20
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _covered(codes: np.ndarray, n: int) -> np.ndarray:
-    """Which words lie in an n-gram that occurs at least twice in the text."""
-    inside = np.zeros(len(codes), bool)
-    m = len(codes) - n + 1
-    if m < 2:
-        return inside
-    h = np.zeros(m, np.uint64)
-    for j in range(n):
-        h = (h ^ (h >> np.uint64(29))) * MULTIPLIER + codes[j : j + m]
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    twice = np.zeros(m, bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    depth = np.zeros(len(codes) + 1, np.int32)
-    np.add.at(depth, np.flatnonzero(twice), 1)
-    np.add.at(depth, np.flatnonzero(twice) + n, -1)
-    return np.cumsum(depth[:-1]) > 0
+#: Of the polynomial that hashes n-grams: odd.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Rolling:
+    """Hashes of the n-grams of a text, of any length n, from one pass: differences of prefix sums of a polynomial in an odd base."""
+
+    def __init__(self, codes: np.ndarray):
+        m = len(codes)
+        powers = np.cumprod(np.r_[np.uint64(1), np.full(max(m - 1, 0), BASE)])[:m]
+        self.sums = np.r_[np.uint64(0), np.cumsum(codes * powers)]
+        # An odd base has an inverse: it takes a window's hash back to where the text starts.
+        self.back = np.cumprod(np.r_[np.uint64(1), np.full(max(m - 1, 0), np.uint64(pow(int(BASE), -1, 1 << 64)))])[:m]
+
+    def grams(self, n: int) -> np.ndarray:
+        m = len(self.sums) - n
+        return (self.sums[n:] - self.sums[:m]) * self.back[:m]
+
+    def covered(self, n: int) -> np.ndarray:
+        """Which words lie in an n-gram that occurs at least twice in the text."""
+        words = len(self.sums) - 1
+        if words - n + 1 < 2:
+            return np.zeros(words, bool)
+        h = self.grams(n)
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        twice = np.zeros(len(h), bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        depth = np.zeros(words + 1, np.int32)
+        depth[: len(h)] += twice
+        depth[n : n + len(h)] -= twice
+        return np.cumsum(depth[:-1]) > 0
 
 
 def measures(text: bytes, lengths: tuple[int, ...]) -> tuple:
@@ -69,8 +81,9 @@ def measures(text: bytes, lengths: tuple[int, ...]) -> tuple:
                     repeated += 1
                     line_chars += sum(len(w.decode("utf-8", "replace")) for w in inside)
                 seen.add(line)
-    base = _covered(codes, BASE_N)
-    rates = [float(chars[base if n == BASE_N else _covered(codes, n)].sum()) / total if total else 0.0 for n in lengths]
+    rolling = Rolling(codes)
+    base = rolling.covered(BASE_N)
+    rates = [float(chars[base if n == BASE_N else rolling.covered(n)].sum()) / total if total else 0.0 for n in lengths]
     return len(words), total, len(SYMBOLS.findall(text)), repeated, int(base.sum()), line_chars / total if total else 0.0, rates
 
 
@@ -80,16 +93,11 @@ def _rules(batches: Iterator[pa.RecordBatch], limits: dict[int, float], line_lim
         rows = [measures(x, lengths) for x in texts]
         counts = {k: [r[i] for r in rows] for i, k in enumerate(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))}
         failed = [r[0] < MIN_WORDS or 100 * r[4] > BASE_PERCENT * r[0] for r in rows]
-        kept = [
-            not f and r[5] <= line_limit and all(c <= limits[n] for n, c in zip(lengths, r[6], strict=True)) for f,
-            r in zip(failed, rows, strict=True)
-        ]
-        yield pa.RecordBatch.from_pydict({
-            "doc_id": part.column(0), **{
-                k: pa.array(v, pa.int64()) for k, v in counts.items()
-            }, "base_failed": pa.array(failed), "kept": pa.array(kept),
-            "line_coverage": pa.array([r[5] for r in rows], pa.float64()), "coverage": pa.array([r[6] for r in rows], pa.list_(pa.float64())),
-        })
+        within = [r[5] <= line_limit and all(c <= limits[n] for n, c in zip(lengths, r[6], strict=True)) for r in rows]
+        columns = {"doc_id": part.column(0)} | {k: pa.array(v, pa.int64()) for k, v in counts.items()}
+        columns |= {"base_failed": pa.array(failed), "kept": pa.array([w and not f for w, f in zip(within, failed, strict=True)])}
+        columns |= {"line_coverage": pa.array([r[5] for r in rows], pa.float64()), "coverage": pa.array([r[6] for r in rows], pa.list_(pa.float64()))}
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def quality_rules(docs: DataFrame, limits: dict[int, float] = COVERAGE, line_limit: float = LINE_COVERAGE) -> DataFrame:
