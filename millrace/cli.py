@@ -170,9 +170,10 @@ def render_decision(a) -> int:
         ).limit(1)
     tree = treewalk.walk(spark, a.inspection) if _present([a.inspection] if a.inspection else []) else None
     inputs = {"layouts": load(a.layouts), "workers": load(a.workers), "storage": load(a.storage), "distributed": dist, "inspection": tree}
-    verdict = decide.decide(spark, **inputs, planned_epochs=a.planned_epochs)
+    evidence = decide.Evidence(spark, **inputs)
+    verdict = decide.decide(spark, evidence, planned_epochs=a.planned_epochs)
     row = verdict.first()
-    notes = render.findings(decide.findings(spark, **inputs))
+    notes = render.findings(decide.findings(spark, evidence))
     os.makedirs(a.output_dir, exist_ok=True)
     _save(verdict, os.path.join(a.output_dir, "decision.json"))
     with open(os.path.join(a.output_dir, "decision.md"), "w") as f:

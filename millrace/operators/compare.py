@@ -38,8 +38,8 @@ def group_key(runs: DataFrame, key: str) -> Column:
 def group_summaries(runs: DataFrame, key: str = "layout", metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """Per group: runs, median, min, max and cv of each metric, correctness totals, first_seen. One shuffle."""
     values = [
-        f(number(_has(runs, m))).alias(f"{m}_{name}") for m in metrics for name,
-        f in (("median", median), ("min", F.min), ("max", F.max), ("cv", coefficient_of_variation))
+        f(number(_has(runs, m))).alias(f"{m}_{name}") for m in metrics
+        for name, f in (("median", median), ("min", F.min), ("max", F.max), ("cv", coefficient_of_variation))
     ]
     totals = [F.sum(F.coalesce(_has(runs, c).cast("long"), F.lit(0))).alias(c) for c in CORRECTNESS]
     return runs.groupBy(group_key(runs, key).alias("group")).agg(

@@ -231,8 +231,8 @@ def read_positions(positions: DataFrame, directory: str, expected: int | None =
                     [
                         pa.array(mine, pa.int64()),
                         *[
-                            got[c].cast(t).combine_chunks() for c,
-                            t in (("sample_id", pa.string()), ("class_id", pa.int32()), ("payload", pa.binary()))
+                            got[c].cast(t).combine_chunks()
+                            for c, t in (("sample_id", pa.string()), ("class_id", pa.int32()), ("payload", pa.binary()))
                         ],
                         pa.array([False] * len(mine))
                     ],
