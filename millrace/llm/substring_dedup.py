@@ -305,8 +305,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch], places: list[int]) -> Iterat
             best = best[np.r_[True, more[0][best][1:] != more[0][best][:-1]]] if len(best) else best
             seen = [x[best] for x in more]
         rows = [
-            (n, blob) for n,
-            blob in _split(
+            (n, blob)
+            for n, blob in _split(
                 b[order][first], buckets,
                 {"h1": h1[order][first], "h2": h2[order][first], "i": i[order][first], "k": k[order][first], "s": s[order][first]}
             )

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import work
 
 #: At most so many labelled rows, of so many bytes together, are learned from in each class.
-TRAIN_ROWS, TRAIN_BYTES = 2000, 24 << 20
+TRAIN_ROWS, TRAIN_BYTES = 2000, 8 << 20
 FOLDS = 5
 #: Bytes that come before and after each window's word; the compressor matches the first and leaves the last.
 LEAD = b"0123456789abcdefghijklmnopqrstuvwxyz=ABCDEFGHIJKLMNOPQRSTUVWXYZ!"

@@ -675,6 +675,35 @@ def test_toxicity_learns_segments(spark, docs, none):
     assert {r["predicted"] for r in rows(toxicity.score(docs, nothing))} <= {0, 1}
 
 
+def test_scores_against_plain_code(spark, docs):
+    """Each window compressed anew, no counts kept: the scores of the operator."""
+    import zstandard
+
+    r = random.Random(9)
+    plain = lambda: " ".join("".join(r.choice(["the", "an", "er", "ing", "on", "re"]) for _ in range(r.randint(1, 3))) for _ in range(40))
+    model = toxicity.fit([(plain() + " vile blackguard" * (i % 2)).encode() for i in range(300)], [i % 2 for i in range(300)])
+
+    def size(content, window):
+        how = zstandard.ZstdCompressionParameters(
+            format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, window_log=15, hash_log=13, chain_log=13,
+            search_log=6, min_match=4, target_length=32, strategy=zstandard.STRATEGY_LAZY,
+        )
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(compression_params=how)
+        return len(zstandard.ZstdCompressor(dict_data=known, compression_params=how).compress(window))
+
+    texts = {1: "a vile blackguard, a blackguard", 2: "the thing", 3: "", 4: None, 5: plain() + " VILE Blackguard " + plain()}
+    for x in rows(toxicity.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model)):
+        words = raw(texts[x["doc_id"]]).lower().split()
+        gains = {w: size(model.ordinary, window) - size(model.toxic, window) for w in set(words) for window in [toxicity.LEAD + b" " + w + b" " + toxicity.TAIL]}
+        each = sorted((gains[w] for w in words if gains[w] > 0), reverse=True) + [0] * 8
+        counts = [[sum(g >= t for g in found if g > 0) for t in toxicity.THRESHOLDS] for found in ([gains[w] for w in words], list(gains.values()))]
+        shares = [(n / len(words)) ** 0.5 if words else 0.0 for n in counts[0]]
+        features = [each[0], sum(each[:3]) / 3, sum(each[:8]) / 8, *np.log1p(counts[0]), *np.log1p(counts[1]), *shares]
+        z = sum(w * (f - c) / s for w, f, c, s in zip(model.weights, features, model.centre, model.scale)) + model.weights[-1]
+        assert abs(x["score"] - 1 / (1 + np.exp(-max(-30, min(30, z))))) < 1e-9
+
+
 def test_training_leaves_the_held_out_fold(spark):
     frame = spark.createDataFrame([(i, "some words") for i in range(200)], "doc_id long, text string")
     labels = lambda f: spark.createDataFrame([(i, f(i)) for i in range(200)], "doc_id long, toxic int")
