@@ -26,7 +26,7 @@ def folder(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_work"
     path = os.path.join(re.sub("^file:/+", "/", shared), f"millrace-{name}-{uuid.uuid4().hex}")
     os.makedirs(path)
-    gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file:{path}")
     gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(gone)
     return path
 

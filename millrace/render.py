@@ -104,6 +104,10 @@ def inspection_details(row) -> str:
     parts.append(["Extensions", *(f"{e['extension']}: {e['files']} files, {e['bytes']} bytes, {e['fraction']:.1%}" for e in d["extensions"])])
     if d["format_hints"]:
         parts.append(["Formats, by name only", *(f"{h['extension']}: {h['topic']}" for h in d["format_hints"])])
+    plan = d["packaging"]
+    if plan["suggested_shards"]:
+        why = "so that readers have shards to share" if plan["floor_decides"] else "by their size"
+        parts.append(["Packaging", f"{plan['suggested_shards']} shards of some {plan['suggested_samples_per_shard']} samples, {why}"])
     parts.append(["Next experiments", *(f"{i}. {c['experiment']}" for i, c in enumerate(d["candidates"], 1))])
     return "\n\n".join("\n".join([p[0], *("  " + x for x in p[1:])]) for p in parts)
 

@@ -150,4 +150,5 @@ def test_reports_as_text(spark):
     assert "10 files" in render.dataset_sentence(row) and render.dataset_sentence(inspect.inspection_report(files(spark, [])).first()) == ""
     details = render.inspection_details(row)
     assert "under 4096 bytes: 9 files, 90.0%" in details and ".jpg: 10 files" in details and "1. loose-file-baseline" in details
+    assert "8 shards of some 1 samples, so that readers have shards to share" in details
     assert "not judged" in render.accounting_note(0) and render.accounting_note(2).startswith("2 whole epochs")
