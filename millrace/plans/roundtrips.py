@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
 from ..functions import scalars
 from ..operators import inspect, shards
 from ..sources import manifest, runs, tarshards, tracks, treewalk
@@ -25,6 +26,8 @@ def folder(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, else in the warehouse; only where these are mounted as files."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_work"
     path = os.path.join(re.sub("^file:/+", "/", shared), f"millrace-{name}-{uuid.uuid4().hex}")
+    if not os.path.isabs(path):
+        raise ConfigError(f"{shared} is not mounted as files: tar and record files need a shared folder that is")
     os.makedirs(path)
     gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file:{path}")
     gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(gone)
