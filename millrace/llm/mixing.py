@@ -37,8 +37,8 @@ WEIGHTS = (1, 2, 3)
 SHARDS = 64
 #: Rounds of the permutation of block indices, and the prime modulo which its hash squares.
 ROUNDS, PRIME = 12, 2147483647
-#: Not names that tables have: two hashes of a row, what is taken of it, and its new text.
-ONE, TWO, TIMES, PARTS, TEXT = (f"_millrace_{x}" for x in ("row_1", "row_2", "times", "parts", "text"))
+#: Not names that tables have: two hashes of a row, the same in the plan of what is taken, that, and the new text.
+ONE, TWO, PLAN_ONE, PLAN_TWO, TIMES, PARTS, TEXT = (f"_millrace_{x}" for x in ("row_1", "row_2", "plan_1", "plan_2", "times", "parts", "text"))
 
 
 def _hashed(*parts: Column) -> Column:
@@ -251,12 +251,12 @@ def mixed(docs: DataFrame, **settings) -> DataFrame:
     )
     plan = work.cut(
         plan.select(
-            F.col(ONE).alias("_one"), F.col(TWO).alias("_two"), TIMES, F.flatten(F.transform(F.array_sort(PARTS), lambda p: p["parts"])).alias(PARTS)
+            F.col(ONE).alias(PLAN_ONE), F.col(TWO).alias(PLAN_TWO), TIMES, F.flatten(F.transform(F.array_sort(PARTS), lambda p: p["parts"])).alias(PARTS)
         )
     )
     keyed = docs.select("*", *_keys())
-    often = work.cut(plan.groupBy("_one", "_two").count().filter("count > 1"))
-    same = (F.col(ONE) == F.col("_one")) & (F.col(TWO) == F.col("_two"))
+    often = work.cut(plan.groupBy(PLAN_ONE, PLAN_TWO).count().filter("count > 1"))
+    same = (F.col(ONE) == F.col(PLAN_ONE)) & (F.col(TWO) == F.col(PLAN_TWO))
     if often.take(1):
         keyed = keyed.join(often, same, "left_anti").union(work.cut(keyed.join(often, same, "left_semi").dropDuplicates([ONE, TWO])))
     joined = keyed.join(plan, same)
