@@ -154,13 +154,13 @@ class Encoder:
         self.vocabulary = vocabulary
         ids, suffix = vocabulary.ids, vocabulary.suffix
         self.token_of = {i: t for t, i in ids.items()} | {i: t for t, i in vocabulary.special.items()}
-        self.pair = {
-            (ids[a], ids[b]): ids[a + b if not (suffix and a.endswith(suffix) and len(a) > len(suffix)) else a[: -len(suffix)] + b] for a,
-            b in vocabulary.merges
+        pair_ids = {
+            (ids[a], ids[b]): ids[a + b if not (suffix and a.endswith(suffix) and len(a) > len(suffix)) else a[: -len(suffix)] + b]
+            for a, b in vocabulary.merges
         }
-        self.rank = {pair: n for n, pair in enumerate(self.pair)}
-        self.made_at = {t: self.rank[pair] for pair, t in self.pair.items()}
-        self.halves = {t: pair for pair, t in self.pair.items()}
+        self.rank = {pair: n for n, pair in enumerate(pair_ids)}
+        self.made_at = {t: self.rank[pair] for pair, t in pair_ids.items()}
+        self.halves = {t: pair for pair, t in pair_ids.items()}
         alphabet = byte_alphabet()
         self.table = {b: c for b, c in alphabet.items() if chr(b) != c}
         symbols: dict[int, str] = {}
@@ -183,13 +183,20 @@ class Encoder:
             "(" + "|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True)) + ")"
         ) if vocabulary.special else None
         self.special_starts = {x[0] for x in vocabulary.special}
-        self.library = Tokenizer.from_str(vocabulary.source)
+        self._library: Tokenizer | None = None
         # Each token as decoding writes it, with the space that parts it from the next; null where there is no such id.
         self.pieces = pa.array(
             [None if (t := self.token_of.get(i)) is None else t.encode() + b" " for i in range(max(self.token_of) + 1)], pa.large_binary()
         )
         self.ids = _Words(self)
 
+    @property
+    def library(self) -> Tokenizer:
+        """The library's own tokenizer, made when a text first needs it."""
+        if self._library is None:
+            self._library = Tokenizer.from_str(self.vocabulary.source)
+        return self._library
+
     def _for_latin(self, pattern: str) -> str:
         """The pattern for texts of Latin-1 characters, with each class written out."""
         for name in (r"\p{L}", r"\p{N}", r"\s"):
