@@ -390,7 +390,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     rows = np.concatenate(parts)
     del parts
-    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]  # ties between pairs fall alike in each run
     cell, ids, points = rows[:, 0], rows[:, 1], rows[:, 2:]
     edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
     sizes = np.diff(np.r_[edges, len(cell)])
@@ -418,12 +418,15 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(points: DataFrame) -> DataFrame:
-    """(a, b): pairs of ``points`` (id, n, fingerprints) that share a cell and may be alike, each once."""
-    columns, (each, bits) = ["id", "n", *PRINT_COLUMNS], grid(points.count())
+    """(a, b): pairs of ``points`` (id, n, fingerprints) that share a cell and may be alike, each once; the same in each run."""
+    n = points.count()
+    columns, (each, bits) = ["id", "n", *PRINT_COLUMNS], grid(n)
     cells = points.select(*columns).mapInArrow(
         lambda it: _set_cells(it, each, bits), "cell long, id long, n int, " + ", ".join(f"{c} long" for c in PRINT_COLUMNS)
     )
-    return cells.repartition(F.col("cell")).mapInArrow(_candidates, "a long, b long").distinct()
+    # The forest is one over the cells of a partition, so which those are must follow from the rows alone.
+    parts = max(work.MIN_PARTS, min(n * each // work.PART, work.MOST_PARTS))
+    return cells.repartition(parts, "cell").mapInArrow(_candidates, "a long, b long").distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:

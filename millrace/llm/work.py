@@ -16,8 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MIN_BUCKETS = 1024
 #: Rows that one bucket of a rank or running total is planned to hold.
 BUCKET_ROWS = 100_000
-#: Rows that one row unfolds into at a time, rows that a partition of unfolded ones is planned to hold, and the most partitions.
-RUN, PART, MOST_PARTS = 4096, 500_000, 100_000
+#: Rows that one row unfolds into at a time, rows that a partition of unfolded ones is planned to hold, and the least and most partitions.
+RUN, PART, MIN_PARTS, MOST_PARTS = 4096, 500_000, 12, 100_000
 #: Bits of a filter for each key, and its least and greatest size: beyond that it passes more rows, none less.
 KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
 

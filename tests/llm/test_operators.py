@@ -545,6 +545,22 @@ def test_similar_texts_are_dropped_and_others_stay(spark):
     assert all(2 * i in stay for i in range(240)) and found[0] >= 56 and found[1] >= 58 and found[2] == 60 and found[3] <= near[3]
 
 
+def test_candidates_follow_from_the_rows_alone(spark):
+    r, table = random.Random(8), []
+    for i in range(60):
+        words = [f"x{r.getrandbits(40)}" for _ in range(60)]
+        for k in range(r.choice([1, 2, 5])):
+            table.append((len(table), " ".join([*words[: 60 - k], *(f"n{k}{j}" for j in range(k))])))
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    spread = lambda n: sorted(map(tuple, simhash.alike(frame.repartition(n)).collect()))
+    one = spread(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        assert spread(7) == one and len({x[2] for x in one}) < len(table)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_different_texts_of_one_id_stay(spark):
     one, two, three = (" ".join(f"{c}{i}" for i in range(300)) for c in "abc")
     table = [(1, one), (1, two), (1, two), (2, two + " end"), (3, three), (3, one + " end")]
