@@ -16,7 +16,10 @@ and the same components. Components are the fixed point of alternating large-sta
 small-star rounds over written tables; no link reaches the driver.
 
 ``alike``, for stages that ask for a similarity of shingle sets, draws its grid
-from several such fingerprints, bit by bit, and counts the similarity itself.
+from several such fingerprints, bit by bit, and counts the similarity itself. What
+the grid leaves apart is then joined exactly (``missed``): sets of a similarity of 0.8
+share a shingle among the rarest fifth of each, and bounds that hold for every pair
+leave few to count.
 """
 
 from __future__ import annotations
@@ -56,6 +59,10 @@ SPLIT_CELL = 256
 #: The same as ``SMALL_CELL``, for cells of sets.
 SMALL_SET_CELL = 256
 ROUNDS = 60
+#: Slots in which the shingles of all texts are counted: tokens are ordered by their slot's count, the rarest first. Any counts give the same links.
+SLOT_BITS = 16
+#: Least bits of a set's parity, and pairs of one task that are made different from each other at a time.
+PARITY_BITS, SOME_PAIRS = 256, 1 << 20
 #: Not names that tables have.
 KEY, ROW = "_millrace_key", "_millrace_row"
 
@@ -285,23 +292,57 @@ def set_prints(hashes: np.ndarray) -> np.ndarray:
 
 
 PRINT_COLUMNS = [f"w{k}" for k in range(PRINTS)]
+SETS = "row long, doc_id long, id long, n int, " + ", ".join(f"{c} long" for c in PRINT_COLUMNS) + ", parity binary, counts binary"
+
+
+def set_id(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """A bit for each slot of two or more a shingle: whether it has an odd number of them. Sets differ in as many shingles as parities in bits, at least."""
+    bits = max(PARITY_BITS, 1 << (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parity_distance(one: bytes, two: bytes) -> int:
+    """Bits in which two parities differ; the longer one is folded to the shorter one's slots."""
+    if len(one) < len(two):
+        one, two = two, one
+    x, n = int.from_bytes(one, "little"), len(one)
+    while n > len(two):
+        n //= 2
+        x = (x >> (8 * n)) ^ (x & ((1 << (8 * n)) - 1))
+    return (x ^ int.from_bytes(two, "little")).bit_count()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    """A row for each text, and a last one without ids: how often the task's shingles fall into each slot."""
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    schema = pa.schema(
+        [("row", pa.int64()), ("doc_id", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), *((c, pa.int64()) for c in PRINT_COLUMNS),
+         ("parity", pa.binary()), ("counts", pa.binary())]
+    )
     for part, texts in work.text_slices(batches):
-        ids, sizes, prints = [], [], []
+        ids, sizes, prints, parities = [], [], [], []
         for x in texts:
             hashes = shingle_set(x, seed=seed)
-            ids.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+            ids.append(set_id(hashes))
             sizes.append(len(hashes))
             prints.append(set_prints(hashes))
+            parities.append(parity(hashes))
+            np.add.at(counts, (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
         words = np.array(prints, np.uint64).reshape(-1, PRINTS).view(np.int64)
         yield pa.RecordBatch.from_pydict(
             {
                 "row": part.column(0), "doc_id": part.column(1), "id": pa.array(np.array(ids, np.uint64).view(np.int64)),
-                "n": pa.array(np.array(sizes, np.int32)), **{c: pa.array(words[:, k].copy()) for k, c in enumerate(PRINT_COLUMNS)}
-            }
+                "n": pa.array(np.array(sizes, np.int32)), **{c: pa.array(words[:, k].copy()) for k, c in enumerate(PRINT_COLUMNS)},
+                "parity": pa.array(parities, pa.binary()), "counts": pa.nulls(len(texts), pa.binary())
+            }, schema
         )
+    if counts.any():
+        yield pa.RecordBatch.from_pylist([{"counts": counts.tobytes()}], schema)
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
@@ -437,28 +478,174 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(9 * shared >= 4 * (F.size("_one") + F.size("_two"))).select("a", "b")
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        for x in batch.column(0):
+            total += np.frombuffer(x.as_buffer(), np.int64)
+    yield pa.RecordBatch.from_pydict({"counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def slot_ranks(base: DataFrame) -> np.ndarray:
+    """The rank of each slot by its count in all of ``base``; eight sums of half a megabyte reach the driver."""
+    counts = base.filter("counts is not null").select("counts").mapInArrow(_summed, "counts binary").repartition(8).mapInArrow(_summed, "counts binary")
+    total = sum((np.frombuffer(r["counts"], np.int64) for r in counts.collect()), np.zeros(1 << SLOT_BITS, np.int64))
+    ranks = np.empty(1 << SLOT_BITS, np.uint64)
+    ranks[np.argsort(total, kind="stable")] = np.arange(1 << SLOT_BITS, dtype=np.uint64)
+    return ranks
+
+
+def prefix(hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, renamed so that rare slots come first: one more than a set can lack of another at 0.8, which shares one of them."""
+    if not len(hashes):
+        return hashes
+    rest = np.uint64(64 - SLOT_BITS)
+    tokens = (ranks[(hashes >> rest).astype(np.int64)] << rest) | (hashes & np.uint64((1 << (64 - SLOT_BITS)) - 1))
+    most = len(hashes) - -(-4 * len(hashes) // 5) + 1
+    return np.sort(np.partition(tokens, most - 1)[:most])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], seed: int, ranks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for _, texts in work.text_slices(batches):
+        sets = [shingle_set(x, seed=seed) for x in texts]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "id": pa.array(np.array([set_id(x) for x in sets], np.uint64).view(np.int64)), "n": pa.array([len(x) for x in sets], pa.int32()),
+                "tokens": pa.array([prefix(x, ranks).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            }
+        )
+
+
+def _meeting(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Whether sets (rows: id, root, n, place of the token) of different roots can be at 0.8 if the token is the first that they share."""
+    n, m = one[..., 2], many[..., 2]
+    room = 1 + np.minimum(n - 1 - one[..., 3], m - 1 - many[..., 3])
+    return (one[..., 1] != many[..., 1]) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * room >= 4 * (n + m))
+
+
+def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets with a shared token and different roots, of a partition that holds whole tokens."""
+    parts = [np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1) for b in batches if len(b)]
+    if not parts:
+        return
+    rows = np.concatenate(parts)
+    del parts
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    token, sets = rows[:, 0], rows[:, 1:]
+    edges = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    sizes = np.diff(np.r_[edges, len(token)])
+
+    def pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_pydict({c: pa.array(every[:, k].copy()) for k, c in enumerate(("a", "b", "one", "two"))})
+
+    def put(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        x, y = sets[i, :2] if not isinstance(i, int) else np.broadcast_to(sets[i, :2], (len(j), 2)), sets[j, :2]
+        turn = (x[:, 1] > y[:, 1])[:, None]  # one link between two roots is enough, so pairs are told apart by these
+        x, y = np.where(turn, y, x), np.where(turn, x, y)
+        return np.stack([x[:, 0], y[:, 0], x[:, 1], y[:, 1]], axis=1)
+
+    got, held = [], 0
+    small = np.flatnonzero(np.repeat(sizes, sizes) <= SMALL_SET_CELL)
+    for lag in range(1, SMALL_SET_CELL):
+        small = small[small < len(token) - lag]
+        small = small[token[small + lag] == token[small]]
+        if not len(small):
+            break
+        for i in np.array_split(small, len(small) // (1 << 16) + 1):
+            i = i[_meeting(sets[i], sets[i + lag])]
+            got.append(put(i, i + lag))
+            held += len(i)
+            if held > SOME_PAIRS:
+                yield pairs(got)
+                got, held = [], 0
+    for start, n in zip(edges[sizes > SMALL_SET_CELL].tolist(), sizes[sizes > SMALL_SET_CELL].tolist(), strict=True):
+        roots, most = np.unique(sets[start : start + n, 1], return_counts=True)
+        # The largest root's sets last: no two of them are a pair.
+        order = start + np.argsort(sets[start : start + n, 1] == roots[np.argmax(most)], kind="stable")
+        for k in range(n - int(most.max())):
+            i, rest = int(order[k]), order[k + 1 :]
+            rest = rest[_meeting(sets[i], sets[rest])]
+            got.append(put(i, rest))
+            held += len(rest)
+            if held > SOME_PAIRS:
+                yield pairs(got)
+                got, held = [], 0
+    if held:
+        yield pairs(got)
+
+
+def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose parities leave a similarity of 0.8 possible, with the bits that these differ in."""
+    for batch in batches:
+        n, m, x, y = (batch.column(i).to_pylist() for i in range(4, 8))
+        bits = [parity_distance(p, q) for p, q in zip(x, y, strict=True)]
+        kept = pa.array([9 * d <= k + j for d, k, j in zip(bits, n, m, strict=True)], pa.bool_())
+        columns = {c: batch.column(i) for i, c in enumerate(("a", "b", "one", "two"))}
+        yield pa.RecordBatch.from_pydict(columns | {"bits": pa.array(bits, pa.int32())}).filter(kept)
+
+
+def missed(texts: DataFrame, base: DataFrame, points: DataFrame, members: DataFrame, seed: int = SEED) -> DataFrame:
+    """(a, b, one, two, bits): every pair of ``points`` of different components that may be at 0.8 or more, with their roots.
+
+    A prefix filter: all pairs at 0.8 share a token of their prefixes, and none that
+    sizes, the tokens' places or parities leave out can be at 0.8. So nothing is
+    missed, whatever the counts that order the tokens are. Tokens of one component
+    alone are dropped before sets are dealt out by token.
+    """
+    ranks = slot_ranks(base)
+    first = work.cut(texts.select("text").mapInArrow(lambda it: _prefixes(it, seed, ranks), "id long, n int, tokens array<long>"))
+    rooted = first.dropDuplicates(["id"]).join(members.withColumnRenamed("node", "id"), "id", "left")
+    tokens = work.cut(rooted.withColumn("root", F.coalesce("root", "id"))).select("id", "root", "n", F.posexplode("tokens").alias("at", "token"))
+    shared = work.cut(tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token"))
+    maybe = work.passes(shared, "token")
+    met = tokens.filter(maybe(F.col("token"))).select("token", "id", "root", "n", "at")
+    found = met.repartition(F.col("token")).mapInArrow(_crossing, "a long, b long, one long, two long").distinct()
+    sides = [points.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}")) for c in "ab"]
+    both = found.join(sides[0], "a").join(sides[1], "b").select("a", "b", "one", "two", "n_a", "n_b", "parity_a", "parity_b")
+    return both.mapInArrow(_differing, "a long, b long, one long, two long, bits int")
+
+
+def _sets_of(pairs: DataFrame, texts: DataFrame, points: DataFrame, seed: int) -> DataFrame:
+    """(id, hashes) of the sets in ``pairs``, each from one text."""
+    met = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    of = work.cut(points.join(met, "id").select("id", F.col("row").alias("_row")))
+    maybe = work.passes(of, "_row")
+    found = texts.filter(maybe(F.col("row"))).join(of, F.col("row") == F.col("_row")).select("id", "text").dropDuplicates(["id"])
+    return work.cut(found.mapInArrow(lambda it: _shingles(it, seed), "id long, hashes array<long>"))
+
+
 def alike(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """(row, doc_id, root) for every row of ``docs``: which texts reach each other over shingle similarities of 0.8 or more.
 
     ``row`` is a hash of doc_id and text, ``root`` names the component. Candidates
     share a grid cell of their fingerprints; each is verified over the sets of
     shingles. A cell of ``n`` sets gives ``n - 1`` candidates, those of fewest
-    differing bits that connect it, never all pairs. Nulls: a null text has no
+    differing bits that connect it, never all pairs. What these leave apart is joined
+    exactly: of all pairs of two components that no bound rules out (``missed``) the
+    likeliest is verified first, the others where that was none. Nulls: a null text has no
     words, and texts without words are equal. Equal sets are one point.
     """
     row = F.xxhash64("doc_id", "text").alias("row")
     texts = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = work.cut(
-        texts.mapInArrow(lambda it: _sets(it, seed), "row long, doc_id long, id long, n int, " + ", ".join(f"{c} long" for c in PRINT_COLUMNS))
-    )
-    points = work.cut(base.groupBy("id").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", *PRINT_COLUMNS)]))
+    base = work.cut(texts.mapInArrow(lambda it: _sets(it, seed), SETS))
+    rows = base.filter("counts is null")
+    points = work.cut(rows.groupBy("id").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", *PRINT_COLUMNS, "parity")]))
     pairs = work.cut(candidates(points))
-    met = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    of = work.cut(points.join(met, "id").select("id", F.col("row").alias("_row")))
-    found = texts.join(of, F.col("row") == F.col("_row")).select("id", "text").dropDuplicates(["id"])
-    sets = work.cut(found.mapInArrow(lambda it: _shingles(it, seed), "id long, hashes array<long>"))
-    members = work.cut(components(similar(pairs, sets)))
-    return base.join(members.withColumnRenamed("node", "id"), "id", "left").select("row", "doc_id", F.coalesce("root", "id").alias("root"))
+    linked = work.cut(similar(pairs, _sets_of(pairs, texts, points, seed)))
+    members = work.cut(components(linked))
+    close = work.cut(missed(texts, base, points, members, seed))
+    if close.take(1):
+        sets = _sets_of(close, texts, points, seed)
+        best = close.groupBy("one", "two").agg(F.min(F.struct("bits", "a", "b")).alias("s")).select("s.a", "s.b")
+        linked = work.cut(linked.union(similar(work.cut(best), sets)))
+        members = work.cut(components(linked))
+        now = [members.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+        rest = close.join(now[0], "a", "left").join(now[1], "b", "left")
+        rest = work.cut(rest.filter("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b").join(best, ["a", "b"], "left_anti"))
+        if rest.take(1):
+            members = work.cut(components(work.cut(linked.union(similar(rest, sets)))))
+    return rows.join(members.withColumnRenamed("node", "id"), "id", "left").select("row", "doc_id", F.coalesce("root", "id").alias("root"))
 
 
 def drop_near_duplicates(docs: DataFrame, seed: int = SEED) -> DataFrame:

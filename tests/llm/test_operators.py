@@ -568,6 +568,60 @@ def test_different_texts_of_one_id_stay(spark):
     assert sorted((x["doc_id"], x["text"]) for x in stay) == [(1, one), (1, two), (3, three)]
 
 
+def set_components(texts):
+    """The smallest place that each text reaches over similarities of 0.8, all pairs compared."""
+    sets = []
+    for t in texts:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    least = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if least[i] != least[j] and 9 * len(a & sets[j]) >= 4 * (len(a) + len(sets[j])):
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    return least
+
+
+@pytest.mark.parametrize("cell", [256, 4])
+def test_no_pair_at_the_threshold_is_left_out(spark, monkeypatch, cell):
+    """Pairs just above 0.8, chains of them, and a frequent passage that joins nothing: what stays is what brute force keeps."""
+    monkeypatch.setattr(simhash, "SMALL_SET_CELL", cell)
+    r, texts = random.Random(31), ["", " \t", "one", "One", "a b c d e", "a b c d e f"]
+    line = [f"line{i}" for i in range(12)]
+    for i in range(150):
+        words = [f"x{r.getrandbits(40)}" for _ in range(r.choice([6, 14, 30, 45, 90, 150]))] + line * (i % 3 == 0)
+        texts.append(" ".join(words))
+        for _ in range(1 + (i % 10 == 0) * 4):
+            words = changed(r, words, 0.8)[1].split()
+            texts.append(" ".join(words))
+    want = set(set_components(texts))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x["doc_id"] for x in rows(simhash.drop_near_duplicates(frame))} == want and len(want) < len(texts) / 2 + 40
+
+
+def test_bounds_rule_out_no_pair():
+    """Prefixes of sets at 0.8 share a token whatever the order of slots, and parities differ in fewer bits than sets in shingles."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 4, 5, 9, 50, 333, 4000):
+        ranks = rng.permutation(1 << simhash.SLOT_BITS).astype(np.uint64)
+        whole = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        for gone in range(0, n // 5 + 1, max(1, n // 40)):
+            less = np.sort(rng.choice(whole, n - gone, replace=False))
+            new = rng.integers(0, 1 << 63, n // 9, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            for other in (less, np.unique(np.concatenate([less, new]))):
+                shared = len(np.intersect1d(whole, other))
+                apart = len(whole) + len(other) - 2 * shared
+                assert simhash.parity_distance(simhash.parity(whole), simhash.parity(other)) <= apart
+                assert simhash.parity_distance(simhash.parity(other), simhash.parity(whole)) <= apart
+                if 9 * shared >= 4 * (len(whole) + len(other)):
+                    one, two = simhash.prefix(whole, ranks), simhash.prefix(other, ranks)
+                    _, i, j = np.intersect1d(one, two, return_indices=True)
+                    first = int(np.argmin(i))
+                    sides = [np.array([k, k, len(x), at[first]]) for k, (x, at) in enumerate(((whole, i), (other, j)))]
+                    assert simhash._meeting(sides[0], sides[1][None])[0]
+
+
 # BPE
 
 
