@@ -9,8 +9,9 @@ taken twice: by its value (who is it) and by its kind (that there is one).
 A term discloses an entity if it stands near it in enough different texts, if most
 documents with the term have it near that entity, and if their pointwise mutual
 information exceeds a threshold. The share ``P(entity | term)`` of one half or more
-says that the information is within a bit of all that the entity carries. Disclosing
-terms near the entity are sanitised too: removed, or generalised to their kind.
+says that the information is within a bit of all that the entity carries. In texts with
+the entity its disclosing terms are sanitised too, wherever they stand in the text:
+removed, or generalised to their kind.
 
 DataFrame functions only. Texts are shuffled at no point; the corpus counts cover
 every word of every text, and words that no entity has near it are dropped before
@@ -166,10 +167,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return found.withColumn("spans", F.concat(*each)).drop("_plain")
 
 
-def secret_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` (with columns text and spans) and column ``secrets``: runs of letters and digits that look like keys, none that a span touches."""
-    text = F.translate(F.coalesce("text", F.lit("")), OPEN + CLOSE, OTHER + OTHER)
-    found = docs.withColumn("_keys", _spans(text, SECRET, KEY, text.rlike(KEY)))
+def _apart(spans: Column, found: Column, kind: str) -> Column:
+    """Those of ``found`` that none of ``spans`` touches, as spans of ``kind`` by their start."""
     tag = lambda c, own: F.transform(
         c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("own"), s["value"].alias("value"))
     )
@@ -182,11 +181,24 @@ def secret_spans(docs: DataFrame) -> DataFrame:
         return F.transform(
             kept,
             lambda x: F.struct(
-                F.lit(SECRET).alias("kind"), x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["s"]["value"].alias("value")
+                F.lit(kind).alias("kind"), x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["s"]["value"].alias("value")
             )
         )
 
-    alone = _bound(F.array_sort(F.concat(tag("spans", False), tag("_keys", True))), apart)
+    return _bound(F.array_sort(F.concat(tag(spans, False), tag(found, True))), apart)
+
+
+def _names(s: Column) -> Column:
+    """The two entities of a span: its kind with its value, and its kind."""
+    value = F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"].isin("ip", SECRET), s["value"]).otherwise(_digits(s["value"]))
+    return F.array(F.concat_ws(":", s["kind"], value), s["kind"])
+
+
+def secret_spans(docs: DataFrame) -> DataFrame:
+    """``docs`` (with columns text and spans) and column ``secrets``: runs of letters and digits that look like keys, none that a span touches."""
+    text = F.translate(F.coalesce("text", F.lit("")), OPEN + CLOSE, OTHER + OTHER)
+    found = docs.withColumn("_keys", _spans(text, SECRET, KEY, text.rlike(KEY)))
+    alone = _apart(F.col("spans"), F.col("_keys"), SECRET)
     secrets = F.when(F.size("_keys") == 0, F.col("_keys")).when(F.size("spans") == 0, F.col("_keys")).otherwise(alone)
     return found.withColumn("secrets", secrets).drop("_keys")
 
@@ -245,13 +257,9 @@ def _near(entities: DataFrame) -> DataFrame:
         )
     )
     each = entities.select("_row", "_text", F.explode(found).alias("s"))
-    value = F.when(F.col("s.kind") == "email", F.lower("s.value")).when(
-        F.col("s.kind").isin("ip", SECRET), F.col("s.value")
-    ).otherwise(_digits(F.col("s.value")))
-    names = F.array(F.concat_ws(":", F.col("s.kind"), value), F.col("s.kind"))
     # A word at the edge of the reach may be cut, one at the entity may belong to it: neither counts.
     each = each.select(
-        "_row", "_text", F.col("s.blocks").alias("blocks"), names.alias("names"), F.explode("s.sides").alias("c")
+        "_row", "_text", F.col("s.blocks").alias("blocks"), _names(F.col("s")).alias("names"), F.explode("s.sides").alias("c")
     ).withColumn("words", F.split("c.part", SPACES))
     placed = _scan(F.col("words"), F.col("c.at"), lambda at, w: at + F.length(w) + 1)
     kept = F.filter(placed, lambda x, i: ~((i == 0) & F.col("c.first")) & ~((i == F.size("words") - 1) & F.col("c.last")))
@@ -293,6 +301,27 @@ def disclosing(
     return found.filter((F.col("share") >= share) & (F.col("information") >= information)).select("entity", "term", "share", "information")
 
 
+def _everywhere(entities: DataFrame, known: DataFrame) -> DataFrame:
+    """(_row, terms): the words of a text that disclose an entity of that text, wherever they stand, none that a span touches.
+
+    Entities and words are told apart by filters first, so that only words that can
+    disclose are shuffled, with the spans of their texts; texts are not.
+    """
+    named = entities.select("_row", F.explode("spans").alias("s")).select("_row", F.explode(_names(F.col("s"))).alias("entity")).distinct()
+    told = work.cut(named.join(work.cut(known.select("entity").distinct()), "entity", "left_semi"))
+    held, maybe = work.passes(told, "_row"), work.passes(known, "term")
+    texts = entities.filter(held(F.col("_row"))).select("_row", F.split("text", SPACES).alias("words"))
+    each = texts.select("_row", F.explode(_scan(F.col("words"), F.lit(0), lambda at, w: at + F.length(w) + 1)).alias("w"))
+    word = F.col("w.item")
+    start = F.col("w.before") + F.length(word) - F.length(F.ltrim(word, F.lit(EDGES)))
+    term = F.trim(word, F.lit(EDGES))
+    each = each.select("_row", F.lower(term).alias("term"), start.alias("start"), (start + F.length(term)).alias("end"))
+    met = work.cut(each.filter(maybe(F.col("term")))).join(known, "term").join(told, ["_row", "entity"], "left_semi")
+    found = met.groupBy("_row").agg(F.collect_set(F.struct("start", "end", F.col("term").alias("value"))).alias("found"))
+    spans = entities.filter(held(F.col("_row"))).select("_row", "spans")
+    return found.join(spans, "_row").select("_row", _apart(F.col("spans"), F.col("found"), TERM).alias("terms"))
+
+
 def find(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, spans (base), extra (secrets, then terms), sanitised.
 
@@ -309,10 +338,7 @@ def find(docs: DataFrame) -> DataFrame:
     entities = rows.filter("text is not null").withColumns({"_text": F.xxhash64("text"), "spans": F.concat("spans", "secrets")})
     near = work.cut(_near(entities))
     known = work.cut(disclosing(near, plain).select("entity", "term"))
-    terms = near.join(known, ["entity", "term"]).select(
-        "_row", F.struct(F.lit(TERM).alias("kind"), "start", "end", F.col("term").alias("value")).alias("s")
-    )
-    terms = terms.groupBy("_row").agg(F.array_sort(F.collect_set("s")).alias("terms"))
+    terms = _everywhere(entities, known)
     found = rows.join(terms, "_row", "left").withColumn("extra", F.concat("secrets", F.coalesce("terms", F.array().cast(SPAN))))
     return found.select(
         "doc_id", "spans", "extra", F.when(F.col("text").isNotNull(), sanitise(F.col("text"), F.concat("spans", "extra"))).alias("sanitised")

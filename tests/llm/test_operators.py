@@ -911,6 +911,20 @@ def test_terms_against_brute_force(spark):
         assert x["sanitised"] == (out + texts[i][end:] if spans else None)
 
 
+def test_terms_far_from_their_entity(spark):
+    """A disclosing term is a span wherever it stands in a text that has the entity, and in no other text."""
+    r = random.Random(3)
+    far = " ".join(f"w{r.getrandbits(30)}" for _ in range(60))
+    texts = [f"by Zaphod zap@example.com {far} (ZAPHOD) end x-zaphod"] + [f"t{i} Zaphod, zap@example.com" for i in range(3)] + [
+        f"zap@example.com {far} zaphod", "no zaphod here"
+    ] + [f"plain talk {i}" for i in range(80)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {x["doc_id"]: x for x in rows(pii.find(frame))}
+    for i in (0, 4, 5):
+        want = [m.span() for m in re.finditer("(?<![a-z-])zaphod", texts[i].lower())] if i < 5 else []
+        assert [(s["start"], s["end"]) for s in found[i]["extra"] if s["value"] == "zaphod"] == want
+
+
 def test_texts_with_many_spans(spark):
     texts = [(0, "mail a@b.org 10.1.2.3 " * 3000), (1, ""), (2, None), (3, "end a@b.org")]
     found = {x["doc_id"]: x for x in rows(pii.digests(spark.createDataFrame(texts, "doc_id long, text string")))}
