@@ -410,9 +410,8 @@ def encode_and_check(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in one.decode_all(ids)], pa.string()),
             })
 
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    ).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return work.in_python(texts, run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", keep=True)
 
 
 def digest(one: Encoder, texts: list[str]) -> tuple[list[int], list[str], list[str]]:

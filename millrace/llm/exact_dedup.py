@@ -45,9 +45,8 @@ def hashed(docs: DataFrame, with_text: bool = False) -> DataFrame:
     rows = [c for c in (ONE, TWO) if c in docs.columns and not with_text]
     schema = "doc_id long, " + "".join(f"{c} long, " for c in rows) + "h1 long, h2 long, " + "plain binary, " * with_text + "text_sha256 string"
     names = tuple(x.split()[0] for x in schema.split(", "))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rows
-    ).mapInArrow(lambda it: _hashed(it, names), schema)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rows)
+    return work.in_python(texts, lambda it: _hashed(it, names), schema)
 
 
 def _classed(docs: DataFrame, best: Column) -> DataFrame:

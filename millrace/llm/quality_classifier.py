@@ -212,4 +212,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield part.filter(pa.array(good))
 
     assert names[at] == "text"
-    return docs.mapInArrow(run, docs.schema)
+    return work.in_python(docs, run, docs.schema)

@@ -462,12 +462,12 @@ def candidates(points: DataFrame) -> DataFrame:
     """(a, b): pairs of ``points`` (id, n, fingerprints) that share a cell and may be alike, each once; the same in each run."""
     n = points.count()
     columns, (each, bits) = ["id", "n", *PRINT_COLUMNS], grid(n)
-    cells = points.select(*columns).mapInArrow(
-        lambda it: _set_cells(it, each, bits), "cell long, id long, n int, " + ", ".join(f"{c} long" for c in PRINT_COLUMNS)
+    cells = work.in_python(
+        points.select(*columns), lambda it: _set_cells(it, each, bits), "cell long, id long, n int, " + ", ".join(f"{c} long" for c in PRINT_COLUMNS)
     )
     # The forest is one over the cells of a partition, so which those are must follow from the rows alone.
     parts = max(work.MIN_PARTS, min(n * each // work.PART, work.MOST_PARTS))
-    return cells.repartition(parts, "cell").mapInArrow(_candidates, "a long, b long").distinct()
+    return work.in_python(cells.repartition(parts, "cell"), _candidates, "a long, b long").distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -594,16 +594,16 @@ def missed(texts: DataFrame, base: DataFrame, points: DataFrame, members: DataFr
     alone are dropped before sets are dealt out by token.
     """
     ranks = slot_ranks(base)
-    first = work.cut(texts.select("text").mapInArrow(lambda it: _prefixes(it, seed, ranks), "id long, n int, tokens array<long>"))
+    first = work.cut(work.in_python(texts.select("text"), lambda it: _prefixes(it, seed, ranks), "id long, n int, tokens array<long>"))
     rooted = first.dropDuplicates(["id"]).join(members.withColumnRenamed("node", "id"), "id", "left")
     tokens = work.cut(rooted.withColumn("root", F.coalesce("root", "id"))).select("id", "root", "n", F.posexplode("tokens").alias("at", "token"))
     shared = work.cut(tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token"))
     maybe = work.passes(shared, "token")
     met = tokens.filter(maybe(F.col("token"))).select("token", "id", "root", "n", "at")
-    found = met.repartition(F.col("token")).mapInArrow(_crossing, "a long, b long, one long, two long").distinct()
+    found = work.in_python(met.repartition(F.col("token")), _crossing, "a long, b long, one long, two long").distinct()
     sides = [points.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}")) for c in "ab"]
     both = found.join(sides[0], "a").join(sides[1], "b").select("a", "b", "one", "two", "n_a", "n_b", "parity_a", "parity_b")
-    return both.mapInArrow(_differing, "a long, b long, one long, two long, bits int")
+    return work.in_python(both, _differing, "a long, b long, one long, two long, bits int")
 
 
 def _sets_of(pairs: DataFrame, texts: DataFrame, points: DataFrame, seed: int) -> DataFrame:
@@ -612,7 +612,7 @@ def _sets_of(pairs: DataFrame, texts: DataFrame, points: DataFrame, seed: int) -
     of = work.cut(points.join(met, "id").select("id", F.col("row").alias("_row")))
     maybe = work.passes(of, "_row")
     found = texts.filter(maybe(F.col("row"))).join(of, F.col("row") == F.col("_row")).select("id", "text").dropDuplicates(["id"])
-    return work.cut(found.mapInArrow(lambda it: _shingles(it, seed), "id long, hashes array<long>"))
+    return work.cut(work.in_python(found, lambda it: _shingles(it, seed), "id long, hashes array<long>"))
 
 
 def alike(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -628,7 +628,7 @@ def alike(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """
     row = F.xxhash64("doc_id", "text").alias("row")
     texts = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = work.cut(texts.mapInArrow(lambda it: _sets(it, seed), SETS))
+    base = work.cut(work.in_python(texts, lambda it: _sets(it, seed), SETS))
     rows = base.filter("counts is null")
     points = work.cut(rows.groupBy("id").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", *PRINT_COLUMNS, "parity")]))
     pairs = work.cut(candidates(points))

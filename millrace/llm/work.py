@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Characters that split words in every contract: space and 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -147,3 +149,28 @@ def labelled_sample(docs: DataFrame, known: DataFrame, rows: int, most_bytes: in
 def process_cache() -> dict:
     """A dict that lives as long as this Python process: modules are pickled by value, so their globals last one task."""
     return sys.__dict__.setdefault("_millrace_cache", {})
+
+
+def released(found: Iterator[pa.RecordBatch], keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """``found``, after which the worker gives back what the task has freed.
+
+    Workers outlive their tasks, more of them than run at a time, and idle ones count
+    as the executor's memory. Without ``keep`` the worker also lets go of what tasks
+    of other operators have kept in ``process_cache``.
+    """
+    if not keep:
+        process_cache().clear()
+    try:
+        yield from found
+    finally:
+        del found
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # only glibc has it
+            pass
+
+
+def in_python(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, keep: bool = False) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with ``released`` tasks."""
+    return df.mapInArrow(lambda it: released(run(it), keep), schema)

@@ -947,3 +947,24 @@ def test_running_sums(spark):
     found = work.running_before(work.cut(frame), ["g"], "b", [F.col("o")], F.col("v"), "s").collect()
     for x in found:
         assert x.s == sum(v for g, o, v in data if g == x.g and o < x.o) and x["_whole"] == sum(v for g, _, v in data if g == x.g)
+
+
+def test_workers_let_go_of_what_others_kept(spark):
+    """Of the encoder of a BPE task that ran before in the same worker, whose rows are whole all the same."""
+
+    class Table:
+        columns = ["doc_id", "text"]
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["One", None, "two words"]})
+    cache = work.process_cache()
+    for keep in (True, False):
+        cache["bpe"] = object()
+        run = work.in_python(Table(), iter, "", keep=True) if keep else exact_dedup.hashed(Table())
+        assert [x for part in run(iter([batch])) for x in part.column(0).to_pylist()] == [1, 2, 3]
+        assert ("bpe" in cache) == keep
